@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import packing, secrets, tokenfiles, urls
+from pulsegrid.llm import packing, piecewise, secrets, tokenfiles, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_token_files": tokenfiles.op3_token_files,
         "op8_packing": packing.op8_packing,
+        "op9_fingerprints": piecewise.op9_fingerprints,
         "op10_url_filter": urls.op10_url_filter,
     }
 
