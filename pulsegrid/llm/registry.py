@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import packing, piecewise, secrets, tokenfiles, urls
+from pulsegrid.llm import mixing, packing, piecewise, secrets, tokenfiles, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_token_files": tokenfiles.op3_token_files,
+        "op4_mixing": mixing.op4_mixing,
         "op8_packing": packing.op8_packing,
         "op9_fingerprints": piecewise.op9_fingerprints,
         "op10_url_filter": urls.op10_url_filter,
