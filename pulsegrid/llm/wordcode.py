@@ -1,20 +1,25 @@
 """Encoding of whole texts with the tokenizers library, word by word.
 
-Both tokenizers used here never merge across the space before a word, so a text's ids are the ids of its words,
-each taken with the space before it. A task keeps a bounded cache of words it has encoded. Texts in which a space
-touches other white space can't be cut at every space by the byte-level tokenizer; those are encoded whole.
+Both tokenizers used here never merge across the space before a word or the line end before it, so a text's ids are
+the ids of its words, each taken with that space or line end. A task keeps a bounded cache of words it has encoded.
+The byte-level tokenizer cuts longer runs of white space in ways that depend on what follows; texts with such runs
+(other than an empty line) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import islice
 
-#: Words kept by a task, about; the cache starts anew beyond it. Texts encoded together.
+#: Words kept by a task, about (half of them recent, half older); texts encoded together.
 MOST_WORDS, TOGETHER = 1_000_000, 200
+#: An empty line before more white space, or at the end.
+RUN = re.compile(r"\n\n(?:\s|\Z)")
+STOPS = ".,;:!?"
 
 
 class Encoder:
@@ -27,42 +32,56 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
         self._cuts = self._tokenizer.normalizer is None  # byte level: the space before a word is part of it
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes | None] = {}
+        self._older: dict[str, bytes | None] = {}
+        self._stops: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """None stands for a word that forces its text to be encoded at once."""
-        known = self._known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > MOST_WORDS:
-            known, new = {}, list(words)
-            self._known = known
-        if self._cuts:
-            odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-            if odd:
-                known.update(dict.fromkeys(odd))
-                new = [w for w in new if w not in known]
-            led = [" " + w for w in new]
-        else:
-            led = new
+        """Make every word known. None stands for one that forces its text to be encoded at once."""
+        if len(self._known) > MOST_WORDS // 2:
+            self._known, self._older = {}, self._known
+        known, older, new = self._known, self._older, []
+        for w in words.difference(known):
+            if w in older:
+                known[w] = older[w]
+            elif self._cuts and (not w or w[-1].isspace() and w != "\n" or w[0].isspace() and w[0] != "\n"):
+                known[w] = None
+            else:
+                # a letter and the stops after it are never merged
+                core = w.rstrip(STOPS)
+                found = known.get(core) if core != w and core and core[-1].isalpha() and core[-1] != "İ" else None
+                if found is None:
+                    new.append(w)
+                else:
+                    tail = w[len(core) :]
+                    if tail not in self._stops:
+                        self._stops[tail] = self.whole(tail)
+                    known[w] = found + self._stops[tail]
+        led = [w if w[0] == "\n" else " " + w for w in new] if self._cuts else new
         for w, e in zip(new, self._tokenizer.encode_batch_fast(led, add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order; a few hundred texts are taken at a time."""
-        texts = iter(texts)
+        texts, line = iter(texts), " \n" if self._cuts else " "
         while some := list(islice(texts, TOGETHER)):
-            cut = [t.split(" ") for t in some]
+            cut = [t.replace("\n", line).split(" ") for t in some]
             self._learn(set().union(*(c[1:] for c in cut)))
-            known = self._known
+            known = self._known.__getitem__
             for text, parts in zip(some, cut, strict=True):
-                found = list(map(known.__getitem__, islice(parts, 1, None)))
-                if None in found:
+                if self._cuts and "\n\n" in text and (RUN.search(text) or any(a in text for a in self._added)):
                     yield self.whole(text)
-                else:
-                    yield (self.whole(parts[0]) if parts[0] else b"") + b"".join(found)
+                    continue
+                head = self.whole(parts[0]) if parts[0] else b""
+                try:
+                    ids = head + b"".join(map(known, islice(parts, 1, None)))
+                except TypeError:  # a None among them
+                    ids = self.whole(text)
+                yield ids
 
 
 @cache
