@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import documents, materialize, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, materialize, text_or_empty
 from pulsegrid.llm.wordcode import encoder
 
 TOKENIZER, END, CAPACITY = "word_bpe_49k.json", 1, 4096
@@ -208,7 +208,9 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) ->
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    return pack_pieces(materialize(pieces(docs, tokenizer, end, capacity), "pieces"), capacity, block)
+    with arrow_rows(docs.sparkSession):
+        cut = materialize(pieces(docs, tokenizer, end, capacity), "pieces")
+    return pack_pieces(cut, capacity, block)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

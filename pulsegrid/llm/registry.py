@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, packing, piecewise, secrets, tokenfiles, urls
+from pulsegrid.llm import mixing, neighbours, packing, piecewise, secrets, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_token_files": tokenfiles.op3_token_files,
         "op4_mixing": mixing.op4_mixing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
         "op9_fingerprints": piecewise.op9_fingerprints,
         "op10_url_filter": urls.op10_url_filter,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,15 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 def word_count(col: str | Column = "text") -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(WORD)).cast("long")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Fewer rows in the Arrow batches of the jobs started inside: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -16,7 +16,7 @@ from functools import cache
 from itertools import islice
 
 #: Words kept by a task, about (half of them recent, half older); texts encoded together.
-MOST_WORDS, TOGETHER = 1_000_000, 200
+MOST_WORDS, TOGETHER = 640_000, 200
 #: An empty line before more white space, or at the end.
 RUN = re.compile(r"\n\n(?:\s|\Z)")
 STOPS = ".,;:!?"
