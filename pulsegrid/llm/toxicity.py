@@ -1,6 +1,6 @@
 """Toxicity from nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and short word prefixes. From at most EXAMPLES labelled documents (half of the bound for each label,
+Terms are words, short word prefixes, and prefixes that several words of a document share. From at most EXAMPLES labelled documents (half of the bound for each label,
 chosen by a hash of the id) the terms are kept that mark toxic documents far beyond chance: n * KL(t/n, base rate)
 must exceed the logarithm of the number of terms of that kind over NOISE. Document frequencies of these terms are
 counted over all documents. A document's vector holds the TF-IDF of the kept terms; its neighbours are the NEAREST
@@ -31,6 +31,7 @@ from pulsegrid.llm.shared import arrow_rows, documents, materialize, text_or_emp
 
 #: Labelled documents learned from; terms kept; terms expected by chance; prefix lengths; neighbours; block; the cut.
 EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, CUT = 20_000, 4_096, 0.2, (4, 5, 6), 15, 64, 0.7
+REPEATS = ((2, "2"), (4, "4"))
 MEMO = 400_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-#@/\\|~`«»“”‘’…"
 
@@ -45,41 +46,55 @@ def terms_of(word: str) -> list[str]:
     return [w, *(f"{w[:k]}*" for k in PREFIXES if len(w) > k)] if w else []
 
 
-def kind(term: str) -> int:
-    return len(term) if term.endswith("*") else 0
+def with_repeats(counts: dict[str, int]) -> dict[str, int]:
+    """Terms with the number of a document's different words that have them; a prefix of two or more words, or of
+    four or more, is a further term."""
+    more = {f"{t}{m}": n for t, n in counts.items() if t.endswith("*") for least, m in REPEATS if n >= least}
+    return counts | more
+
+
+def base(term: str) -> str:
+    return term[:-1] if term[-2:-1] == "*" else term
 
 
 class _Memo(dict):
-    """Word to the numbers of its kept terms; bounded."""
+    """Word to itself without punctuation and those of its terms that matter, if any; bounded."""
 
-    def __init__(self, numbers: dict[str, int]):
+    def __init__(self, terms: list[str]):
         super().__init__()
-        self.numbers = numbers
+        self.bases = {base(t) for t in terms}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.numbers[t] for t in terms_of(word) if t in self.numbers)
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        own = terms_of(word)
+        kept = [t for t in own if t in self.bases]
+        found = (own[0], *kept) if kept else ()
         if len(self) >= MEMO:
             self.clear()
         self[word] = found
         return found
 
 
+def counts_of(text: str, memo: _Memo) -> dict[str, int]:
+    counts: Counter = Counter()
+    for found in set(filter(None, map(memo.__getitem__, set(text.lower().split())))):
+        counts.update(found[1:])
+    return with_repeats(counts) if counts else counts
+
+
 class Model:
     """terms: kept terms; idf: theirs; vectors: sparse examples ({term number: weight}, unit length); toxic, ids: of
     the examples; steps: isotonic raw and calibrated scores; empty: the score of documents without kept terms."""
 
     def __init__(self, terms: list[str], idf: list[float]):
         self.numbers, self.idf = {t: i for i, t in enumerate(terms)}, np.array(idf)
-        self.memo = _Memo(self.numbers)
+        self.memo = _Memo(terms)
         self.steps = (np.array([0.0]), np.array([0.0]))
         self.empty = 0.0
         self.build([], [], [])
 
     def vector(self, text: str) -> tuple[tuple[int, float], ...]:
-        counts: Counter = Counter()
-        for found in filter(None, map(self.memo.__getitem__, text.lower().split())):
-            counts.update(found)
-        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
+        counts = counts_of(text, self.memo)
+        weights = {i: (1 + math.log(n)) * self.idf[i] for t, n in counts.items() if (i := self.numbers.get(t)) is not None}
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return tuple(sorted((t, w / norm) for t, w in weights.items()))
 
@@ -167,14 +182,14 @@ def _marking_terms(examples: DataFrame, n: int, toxic: int) -> list[str]:
         for batch in batches:
             all_, bad = Counter(), Counter()
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
-                found = {t for w in set(text.lower().split()) for t in terms_of(w)}
+                found = with_repeats(Counter(t for w in {x.strip(PUNCTUATION) for x in set(text.lower().split())} for t in terms_of(w)))
                 all_.update(found)
                 if y:
                     bad.update(found)
             yield pd.DataFrame({"term": list(all_), "n": list(all_.values()), "t": [bad[x] for x in all_]})
 
     counted = materialize(examples.mapInPandas(count, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "toxic-terms")
-    of = F.when(F.col("term").endswith("*"), F.length("term")).otherwise(0)
+    of = F.when(F.col("term").rlike(r"\*[24]?$"), F.length(F.regexp_extract("term", r"\*.*$", 0)) * 10 + F.instr("term", "*")).otherwise(0)
     kinds = {r["k"]: r["count"] for r in counted.groupBy(of.alias("k")).count().collect()}
     p, rate = toxic / n, F.col("t") / F.col("n")
     part = lambda x, q: F.when(x > 0, x * F.log(x / q)).otherwise(0.0)
@@ -191,12 +206,12 @@ def _frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
     numbers = {t: i for i, t in enumerate(terms)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, n = _Memo(numbers), np.zeros(len(numbers), np.int64)
+        memo, n = _Memo(list(numbers)), np.zeros(len(numbers), np.int64)
         for batch in batches:
             for text in batch["text"]:
-                found = set().union(*filter(None, map(memo.__getitem__, text.lower().split())))
+                found = [numbers[t] for t in counts_of(text, memo) if t in numbers]
                 if found:
-                    n[list(found)] += 1
+                    n[found] += 1
         yield pd.DataFrame({"i": np.flatnonzero(n), "n": n[np.flatnonzero(n)]})
 
     rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
