@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, neardup, neighbours, packing, piecewise, secrets, tokenfiles, toxicity, urls
+from pulsegrid.llm import mixing, neardup, neighbours, packing, piecewise, secrets, suffixes, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_token_files": tokenfiles.op3_token_files,
         "op4_mixing": mixing.op4_mixing,
+        "op5_suffix_dedup": suffixes.op5_suffix_dedup,
         "op6_near_duplicates": neardup.op6_near_duplicates,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
