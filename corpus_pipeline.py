@@ -1,8 +1,69 @@
-"""Corpus pipeline; its stages follow as their operators land."""
+"""Corpus pipeline: toxicity, near-duplicates, secrets, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet and read again as the
+next one's documents. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import mixing, neardup, packing, secrets, toxicity
+from pulsegrid.llm.shared import documents, materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the labelled examples nearest to them do not mark as toxic."""
+    model = toxicity.fit(docs.select("doc_id", "text"), documents(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*COLUMNS), model).where("toxic_predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id: five-word shingles, 0.8 or more."""
+    found = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), 5, (8, 10)), "near-components")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    # rows that repeat both id and text are copies too; the join has dealt them by id already
+    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    return left.withColumn("th", F.sha2("text", 256)).dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets found in their texts are replaced by a mark, and n_chars follows."""
+    found, _ = secrets.scan_versions(docs.select(*COLUMNS))
+    text = secrets.redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights; a document that is taken several times comes as often."""
+    return mixing.mix_documents(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Trained scores, sketches and seeded choices are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
