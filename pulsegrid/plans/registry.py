@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.plans import graph_queries, trend_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = trend_queries.QUERIES | graph_queries.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,5 +23,7 @@ def session(master: str = "local[*]", app: str = "pulsegrid", **conf: str) -> Sp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; any path that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table, any path that Spark can read; times without a zone are UTC."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    naive = {c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"}
+    return rows.withColumns(naive) if naive else rows
