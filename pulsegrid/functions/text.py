@@ -7,11 +7,12 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TRAILING = r"[.,;:!?)\]}>'\"]+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities as characters."""
     return text.map(lambda t: None if t is None else html.unescape(t))

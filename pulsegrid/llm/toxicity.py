@@ -2,10 +2,10 @@
 
 Terms are words, short word prefixes, and prefixes that several words of a document share. From at most EXAMPLES labelled documents (half of the bound for each label,
 chosen by a hash of the id) the terms are kept that mark toxic documents far beyond chance: n * KL(t/n, base rate)
-must exceed the logarithm of the number of terms of that kind over NOISE. Document frequencies of these terms are
+must exceed the logarithm of the number of terms of that kind over NOISE, and the odds rise at least ODDS times. Document frequencies of these terms are
 counted over all documents. A document's vector holds the TF-IDF of the kept terms; its neighbours are the NEAREST
 examples by cosine, found exactly: examples are laid out in blocks, each term stores its largest weight by block,
-blocks are visited by falling upper bound until none can hold a better example. Votes weighted by nearness give a raw
+the blocks of the highest upper bounds are scored, then those others that could still hold a nearer example. Votes weighted by nearness give a raw
 score, which isotonic regression over the examples' leave-one-out votes turns into a probability. Documents without
 a kept term have the rate of toxic examples among such documents. The neighbours' ids are returned as evidence.
 
@@ -29,10 +29,12 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from pulsegrid.llm.shared import arrow_rows, documents, materialize, text_or_empty
 
-#: Labelled documents learned from; terms kept; terms expected by chance; prefix lengths; neighbours; block; the cut.
-EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, CUT = 20_000, 4_096, 0.2, (4, 5, 6), 15, 64, 0.7
+#: Labelled documents learned from; terms kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
+EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
 REPEATS = ((2, "2"), (4, "4"))
-MEMO = 400_000
+#: Least odds of a toxic document among those with a kept term, against the odds among all examples.
+ODDS = 8
+MEMO = 250_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-#@/\\|~`«»“”‘’…"
 
 
@@ -104,39 +106,45 @@ class Model:
         self.toxic, self.ids = np.array([toxic[i] for i in order], float), np.array([ids[i] for i in order], np.int64)
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((len(self.numbers), blocks))
-        postings: list[list[list]] = [[[] for _ in range(blocks)] for _ in self.numbers] if len(self.numbers) * blocks < 4_000_000 else [{} for _ in self.numbers]
+        lists: list[list[tuple[int, float]]] = [[] for _ in self.numbers]
         for at, i in enumerate(order):
-            b = at // BLOCK
             for t, w in vectors[i]:
-                cell = postings[t].setdefault(b, []) if isinstance(postings[t], dict) else postings[t][b]
-                cell.append((at % BLOCK, w))
-                self.most[t, b] = max(self.most[t, b], w)
-        self.cells = {(t, b): (np.array([x for x, _ in c]), np.array([w for _, w in c])) for t, row in enumerate(postings) for b, c in (row.items() if isinstance(row, dict) else enumerate(row)) if c}
+                lists[t].append((at, w))
+                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], w)
+        self.postings = [(np.array([at for at, _ in p], np.int64), np.array([w for _, w in p])) for p in lists]
         self.cache: dict = {}
 
+    def _scores(self, vector: tuple, live: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in the live blocks, 0 elsewhere."""
+        at, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for t, w in vector:
+            examples, weights = self.postings[t]
+            on = live[examples // BLOCK]
+            at.append(examples[on])
+            weight.append(w * weights[on])
+        return np.bincount(np.concatenate(at), np.concatenate(weight), len(self.ids))
+
     def nearest(self, vector: tuple, most: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the nearest, by cosine, then id; exact."""
+        """(examples, cosines) of the nearest, by cosine, then id; exact. The blocks of the highest bounds are scored
+        first; of the others, only those whose bound reaches the last neighbour found so far."""
         if not vector or not len(self.ids):
             return np.zeros(0, int), np.zeros(0)
-        terms, weights = [t for t, _ in vector], np.array([w for _, w in vector])
-        bounds = weights @ self.most[terms]
-        found: list[tuple[float, int, int]] = []
-        least = 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in vector:
-                cell = self.cells.get((t, int(b)))
-                if cell is not None:
-                    scores[cell[0]] += w * cell[1]
-            for x in np.flatnonzero((scores > 0) & (scores >= least - 1e-12)):
-                at = int(b) * BLOCK + int(x)
-                if at != but:
-                    found.append((-scores[x], int(self.ids[at]), at))
-            found = sorted(found)[:most]
-            least = -found[-1][0] if len(found) == most else 0.0
-        return np.array([at for _, _, at in found], int), np.array([-s for s, _, _ in found])
+        bounds = np.array([w for _, w in vector]) @ self.most[[t for t, _ in vector]]
+        live = np.zeros(len(bounds), bool)
+        live[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        scores = self._scores(vector, live)
+        if but is not None:
+            scores[but] = 0
+        least = np.partition(scores, -most)[-most] if len(scores) >= most else 0.0
+        rest = (bounds >= least - 1e-12) & ~live & (bounds > 0)
+        if rest.any():
+            scores = scores + self._scores(vector, rest)
+            if but is not None:
+                scores[but] = 0
+            least = np.partition(scores, -most)[-most] if len(scores) >= most else 0.0
+        at = np.flatnonzero((scores >= least) & (scores > 0))
+        at = at[np.lexsort((self.ids[at], -scores[at]))][:most]
+        return at, scores[at]
 
     def votes(self, vector: tuple, but: int | None = None) -> tuple[float, np.ndarray]:
         at, near = self.nearest(vector, but=but)
@@ -160,7 +168,7 @@ class Model:
         if not v:
             return self.empty, []
         if v not in self.cache:
-            if len(self.cache) > 50_000:
+            if len(self.cache) > 4_000:
                 self.cache.clear()
             raw, at = self.votes(v)
             self.cache[v] = (float(np.interp(raw, *self.steps)), [int(i) for i in self.ids[at[:3]]]) if len(at) else (self.empty, [])
@@ -197,7 +205,7 @@ def _marking_terms(examples: DataFrame, n: int, toxic: int) -> list[str]:
     asked = F.lit(0.0)
     for k, size in kinds.items():
         asked = F.when(of == k, math.log(max(size, 1) / NOISE)).otherwise(asked)
-    kept = counted.where((F.col("t") >= 3) & (rate >= 0.5) & (rate > p)).withColumn("gain", gain).where(F.col("gain") >= asked)
+    kept = counted.where((F.col("t") >= 3) & (rate * (1 - p) >= ODDS * p * (1 - rate))).withColumn("gain", gain).where(F.col("gain") >= asked)
     return [r["term"] for r in kept.orderBy(F.desc("gain"), "term").limit(TERMS).collect()]
 
 
@@ -221,6 +229,7 @@ def _frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     """Learn from labels (doc_id, toxic) outside the test fold; everything the driver holds is bounded by most and TERMS."""
     chosen = materialize(_bounded_labels(labels, most), "toxic-labels")
+    docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text_or_empty().alias("text"))
     with arrow_rows(docs.sparkSession):
         examples = materialize(texts, "toxic-examples")
@@ -256,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """Adds score, predicted and evidence (ids of the nearest examples) to the rows of docs, in one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("toxic_score", "toxic_evidence", "toxic_predicted")
     out = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType()), StructField("toxic_evidence", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

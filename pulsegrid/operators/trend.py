@@ -44,12 +44,6 @@ def in_spans(posts: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("w", F.explode(F.filter(spans, lambda s: F.col("age_h") <= s["hours"]))).select("*", "w.*").drop("w")
 
 
-def anchored_bucket(size: Column, by: list[str]) -> Column:
-    """Number of the bucket since the group's first post."""
-    start = F.min(F.unix_micros("published_at")).over(Window.partitionBy(*by))
-    return F.floor((F.unix_micros("published_at") - start) / HOUR / size)
-
-
 def platform_activity(posts: DataFrame) -> DataFrame:
     return posts.groupBy("platform").agg(
         F.count(F.lit(1)).alias("posts"), js_round(F.sum(F.coalesce("interactions", F.lit(0.0))), 4).alias("interactions"), F.avg("engagement_rate").alias("r")
@@ -63,11 +57,21 @@ def reach(posts: DataFrame) -> DataFrame:
 
 def growth(posts: DataFrame) -> DataFrame:
     """First half of a trend's posts by time against the rest, by number of posts."""
-    # two numbers a post and no more go through the ordering
-    w = Window.partitionBy("trend").orderBy("published_at", "event_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("trend"))
-    halves = posts.select("trend", F.coalesce("interactions", F.lit(0.0)).alias("i"), (F.row_number().over(w) <= F.floor(n / 2)).alias("first"))
-    s = halves.groupBy("trend").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("first"), F.col("i")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("first"), 0.0).otherwise(F.col("i"))).alias("b"))
+    i = F.coalesce("interactions", F.lit(0.0))
+    hour = F.floor(F.unix_micros("published_at") / HOUR).alias("hour")
+    # sums by hour find the hour that holds the middle; only that hour's posts are put in order
+    hours = posts.groupBy("trend", hour).agg(F.count(F.lit(1)).alias("n"), F.sum(i).alias("s"))
+    w = Window.partitionBy("trend").orderBy("hour")
+    upto = hours.select("*", F.sum("n").over(w).alias("upto"), F.floor(F.sum("n").over(Window.partitionBy("trend")) / 2).alias("half"))
+    s = upto.groupBy("trend").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("upto") <= F.col("half"), F.col("s")).otherwise(0.0)).alias("before"), F.sum("s").alias("total"),
+        F.min(F.when(F.col("upto") > F.col("half"), F.struct("hour", (F.col("half") - F.col("upto") + F.col("n")).alias("take")))).alias("edge"),
+    )
+    edge = s.select("trend", "edge.*").where("take > 0")
+    at = posts.select("trend", hour, "published_at", "event_id", i.alias("i")).join(edge, ["trend", "hour"])
+    first = at.select("trend", "i", "take", F.row_number().over(Window.partitionBy("trend").orderBy("published_at", "event_id")).alias("r")).where("r <= take")
+    s = s.join(first.groupBy("trend").agg(F.sum("i").alias("more")), "trend", "left").withColumn("a", F.col("before") + F.coalesce("more", F.lit(0.0)))
+    s = s.withColumn("b", F.col("total") - F.col("a"))
     change = js_round((F.col("b") - F.col("a")) / F.col("a") * 100)
     text = (
         F.when(F.col("n") < 2, "+0%")
@@ -80,7 +84,8 @@ def growth(posts: DataFrame) -> DataFrame:
 
 def peak(posts: DataFrame) -> DataFrame:
     """Six-hour bucket with most interactions against the mean of the non-empty ones; ties: the earliest."""
-    rows = posts.select("trend", "published_at", F.coalesce("interactions", F.lit(0.0)).alias("i"), F.min("published_at").over(Window.partitionBy("trend")).alias("t0"))
+    start = posts.groupBy("trend").agg(F.min("published_at").alias("t0"))
+    rows = posts.select("trend", "published_at", F.coalesce("interactions", F.lit(0.0)).alias("i")).join(start, "trend")
     b = F.floor((F.unix_micros("published_at") - F.unix_micros("t0")) / HOUR / PEAK_BUCKET)
     sums = rows.groupBy("trend", "t0", b.alias("b")).agg(F.sum("i").alias("s"), F.count(F.lit(1)).alias("n"))
     best = sums.groupBy("trend", "t0").agg(F.max(F.struct("s", (-F.col("b")).alias("nb"))).alias("m"), F.avg("s").alias("mean"), F.sum("n").alias("n"))
