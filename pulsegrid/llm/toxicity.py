@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from pulsegrid.llm.shared import arrow_rows, documents, materialize, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
 #: Labelled documents learned from; terms kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
 EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
@@ -274,6 +274,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
             found = [own.score(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             columns = [*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "toxic_score", "toxic_evidence"])
+        release()
 
     return docs.mapInArrow(run, out).withColumn("toxic_predicted", F.when(F.col("toxic_score") >= cut, 1).otherwise(0))
 
