@@ -125,7 +125,7 @@ def forecast(snapshots: DataFrame) -> DataFrame:
     )
     known = F.col("history") >= 2
     ahead = lambda h: F.when(known, js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.col("rate") * (F.col("forecast_score") / 50) * h))))
-    hours = js_round((100 - F.col("score")) / F.col("rate"))
+    hours = js_round(F.try_divide(100 - F.col("score"), F.col("rate")))
     confidence = F.when(~known, "insufficient_data").when(F.col("history") < 5, "low").when(F.col("history") < 10, "medium").otherwise("high")
     return now.select(
         "trend", "score", "forecast_score", js_round(F.col("chance")).alias("breakout"), direction.alias("direction"), ahead(6).alias("h6"), ahead(12).alias("h12"), ahead(24).alias("h24"),

@@ -58,7 +58,8 @@ def idempotent(path: str, dead_letters: str, analyse: Callable[[DataFrame], dict
 
 def score_history(scores: DataFrame, most: int = KEPT, stale_days: int = STALE) -> DataFrame:
     """(trend, n, newest, previous, peak) after each micro-batch from (trend, captured_at, score): the state of a trend
-    is its newest scores, and goes when it isn't updated for days."""
+    is its newest scores, and goes when it isn't updated for days of
+    event time."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -71,11 +72,11 @@ def score_history(scores: DataFrame, most: int = KEPT, stale_days: int = STALE)
         order = sorted(range(len(times)), key=lambda i: -times[i])[:most]
         times, values = [times[i] for i in order], [values[i] for i in order]
         state.update((times, values))
-        state.setTimeoutDuration(stale_days * 86_400_000)
+        state.setTimeoutTimestamp(max(times[0] // 1000, state.getCurrentWatermarkMs()) + stale_days * 86_400_000)
         yield pd.DataFrame({"trend": [key[0]], "n": [len(values)], "newest": [values[0]], "previous": [values[1] if len(values) > 1 else None], "peak": [max(values)]})
 
-    return scores.groupBy("trend").applyInPandasWithState(
-        update, "trend string, n long, newest double, previous double, peak double", "times array<long>, scores array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return scores.withWatermark("captured_at", "1 hour").groupBy("trend").applyInPandasWithState(
+        update, "trend string, n long, newest double, previous double, peak double", "times array<long>, scores array<double>", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -158,7 +158,7 @@ def test_envelopes_are_parsed_validated_and_normalised(spark):
     assert checked[0]["all_errors"] == [] and checked[0]["all_warnings"] == ["w", "profile of an author who is not in the collection"]
     assert [r["all_errors"] for r in checked[1:]] == [["schemaVersion must be 1.0.0"], ["collectionId is required"], ["recordsCollected differs from the events"], ["duplicate eventId"]]
     assert good.select(validate.relationship_records(good)).first()[0] == 1
-    events = events_of(good.limit(1))
+    events = events_of(parse_envelopes(spark.createDataFrame([(lines[0],)], "value string"))[0])
     errors = {r["eventId"]: r["errors"] for r in validate.validated_events(events).collect()}
     assert errors["x:1"] == [] and errors["t3_e"] == ["reddit authors are t2_", "time.publishedAt needs a timezone", "time.editedAt is an epoch fallback"]
     rows = {r["event_id"]: r for r in normalize(events).collect()}
