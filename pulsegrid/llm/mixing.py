@@ -155,20 +155,23 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     edge = materialize(small.join(edges, "mix_pattern", "left").select("mix_pattern", "mix_passes", "mix_buckets", F.coalesce("e.b", F.lit(0)).alias("mix_edge"), F.coalesce("e.gap", F.lit(0)).alias("mix_gap")), "mix-plan")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        """Documents in seeded order as long as they fit the gap; a last one that overshoots by less than is missing."""
+        """Documents in seeded order as long as they fit the gap, again from the start while repeats are left and the
+        gap is; a last one that overshoots by less than is missing."""
         group = group.sort_values(["mix_chance", "mix_size"]).reset_index(drop=True)
-        gap, more = int(group["mix_gap"].iloc[0]), []
-        for units in group["units"]:
-            take = 0 < units <= gap
-            gap -= int(units) * take
-            more.append(int(take))
-        left = group[(group["units"] > 0) & (pd.Series(more) == 0) & (group["units"] < 2 * gap)]
-        if len(left):
-            more[left["units"].idxmin()] = 1
+        gap, units = int(group["mix_gap"].iloc[0]), group["units"].tolist()
+        room, more = most - int(group["mix_passes"].iloc[0]), [0] * len(group)
+        for _ in range(room):
+            for i, n in enumerate(units):
+                if 0 < n <= gap:
+                    more[i] += 1
+                    gap -= n
+        left = [(n, i) for i, n in enumerate(units) if 0 < n < 2 * gap and more[i] < room]
+        if left:
+            more[min(left)[1]] += 1
         return group[["mix_pattern", "mix_chance", "mix_size"]].assign(mix_more=more)
 
     at_edge = rows.join(F.broadcast(edge), "mix_pattern").where((_bucket() == F.col("mix_edge")) & (F.col("mix_gap") > 0))
-    alike = at_edge.groupBy("mix_pattern", "mix_chance", "mix_size", "mix_gap").agg(F.sum("mix_size").alias("units"))
+    alike = at_edge.groupBy("mix_pattern", "mix_chance", "mix_size", "mix_gap", "mix_passes").agg(F.sum("mix_size").alias("units"))
     chosen = alike.groupBy("mix_pattern").applyInPandas(fill, "mix_pattern string, mix_chance long, mix_size long, mix_more int")
     return Mix(aims, edge, materialize(chosen, "mix-chosen"))
 
