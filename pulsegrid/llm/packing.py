@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import arrow_rows, documents, materialize, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 from pulsegrid.llm.wordcode import encoder
 
 TOKENIZER, END, CAPACITY = "word_bpe_49k.json", 1, 4096
@@ -45,6 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
             found = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield found.assign(doc_id=found["doc_id"].astype("Int64"))
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(cut, PIECES)
 

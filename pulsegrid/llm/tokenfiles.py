@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import arrow_rows, documents, new_path, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, new_path, release, text_or_empty
 from pulsegrid.llm.wordcode import encoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
@@ -95,6 +95,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
                     doc_ids, lengths, ids = [], [], []
         if ids:
             yield flush()
+        ids = []
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
