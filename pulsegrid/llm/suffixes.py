@@ -3,15 +3,17 @@
 A byte is removed where a string of WIDTH bytes covers it that also starts in a document with a smaller id. Suffixes
 are sampled: each window of WIDTH bytes is reached from the suffix that starts at its leading token, the eight-byte
 token within the window that comes first in a fixed pseudo-random order (rare tokens of a sample before frequent
-ones), so equal windows have equal leading tokens wherever they occur. Runs of windows with one leading token travel
-as one piece of text.
+ones), so equal windows have equal leading tokens wherever they occur. Runs of windows with one leading token are
+handled as one piece.
 
 Splitters sampled from the leading tokens cut the token order into ranges of about equal weight, one bucket each. A
-bucket holds all suffixes of its tokens; its windows are sorted locally by multikey quicksort, eight bytes at a time,
-where each pass orders only the groups that are still equal, and neighbours in that order are compared. No group of
-equal windows crosses a bucket's boundary, as equal windows have equal leading tokens; tasks that prepare a bucket's
-pieces compress them and first compare the windows of frequent tokens among themselves, so a passage that very many
-documents share arrives once from each batch.
+bucket first receives, for each suffix, hashes of the token with the 21 bytes before and after it; a window contains
+one of the two, so a run of windows whose hashes occur in no other document is done. Only the other runs travel with
+their text to the same bucket. There windows are sorted locally by multikey quicksort, eight bytes at a time, where
+each pass orders only the groups that are still equal, and neighbours in that order are compared. No group of equal
+windows crosses a bucket's boundary, as equal windows have equal leading tokens. Before that, a task compares the
+windows of frequent tokens in its batch among themselves, so a passage that very many documents share arrives once
+from each batch.
 
 Nulls: a null text is empty; a document with a null id neither loses bytes nor takes any from others. Rows that repeat an id are one document: they
 never take bytes from each other, each is reported. Texts shorter than WIDTH bytes lose nothing. An empty table
@@ -29,11 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import documents, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
 WIDTH, TOKEN = 50, 8
-#: Bytes of text sampled for splitters and token frequencies, at most; bytes of text for each bucket, and for each part of the documents; bytes handled at once.
-SAMPLE_BYTES, BUCKET_BYTES, PART_BYTES, BATCH_BYTES = 8_000_000, 2_000_000, 8_000_000, 3_000_000
+SIDE = (WIDTH - TOKEN) // 2
+#: Bytes of text sampled for splitters and token frequencies, at most; bytes of text for each bucket, and for each part of the documents; bytes handled at once; pieces a task holds before it packs them.
+SAMPLE_BYTES, BUCKET_BYTES, PART_BYTES, BATCH_BYTES, HELD_PIECES = 8_000_000, 2_000_000, 6_000_000, 1_500_000, 600_000
 #: Classes of token frequency; slots of the frequency table.
 CLASSES, SLOTS = 4, 1 << 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,58 +68,98 @@ def order_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (classes[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(61)) | (h >> np.uint64(3))
 
 
-def window_minima(order: np.ndarray, span: int) -> np.ndarray:
-    """Smallest of every span neighbours, by doubling."""
-    out, have = order, 1
-    while 2 * have <= span:
-        out, have = np.minimum(out[:-have], out[have:]), 2 * have
-    return np.minimum(out[: len(out) - (span - have)], out[span - have :]) if have < span else out
+def leading(order: np.ndarray, span: int) -> np.ndarray:
+    """Position of the first smallest of every span neighbours, by doubling."""
+    out, at, have = order, np.arange(len(order), dtype=np.int32), 1
+    while have < span:
+        step = min(have, span - have)
+        less = out[step:] < out[:-step]
+        out, at = np.where(less, out[step:], out[:-step]), np.where(less, at[step:], at[:-step])
+        have += step
+    return at
 
 
-def equal_groups(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Group number of the window at each start, equal for equal windows: multikey quicksort on eight-byte digits.
+_POWERS: list[np.ndarray] = []
 
-    The first digit orders all windows; each further one orders only windows of groups that still have several.
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.cumprod(np.full(size, c, np.uint64)) for c in (int(M1), pow(int(M1), -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def equal_groups(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the windows at starts that have an equal one, equal ones together; new marks each group's first.
+
+    Multikey quicksort: the first digit is the window's rolling hash, the others are its bytes, eight at a time. A
+    group whose members agree in a digit stays as it is; only groups that differ in it are put in order and divided.
     """
-    group = np.zeros(len(starts), np.int64)
-    live = np.arange(len(starts))
+    h = hash_at(rolling(data), starts, starts + WIDTH)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    order, new = order[some], ~np.concatenate([[False], same])[some]
     padded = words_at(data)
-    next_ = 0
     for at in (*range(0, WIDTH - TOKEN, TOKEN), WIDTH - TOKEN):
-        digit = padded[starts[live] + at].astype(np.uint64)
-        if at == 0:
-            order = np.argsort(digit, kind="stable")
-        else:
-            order = np.argsort(digit, kind="stable")
-            order = order[np.argsort(group[live][order], kind="stable")]
-        ordered, g = digit[order], group[live][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (ordered[1:] != ordered[:-1]) | (g[1:] != g[:-1])
-        number = np.cumsum(new) - 1
-        group[live[order]] = number + next_
-        counts = np.bincount(number)
-        next_ += len(counts)
-        live = live[order][counts[number] > 1]
-        if not len(live):
-            break
-    return group
-
-
-def runs_of(order: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number, leading token's place) of runs of windows that share it; windows that are not ok are left out."""
-    edge = np.ones(len(order), bool)
-    edge[1:] = (order[1:] != order[:-1]) | (ok[1:] != ok[:-1])
+        digit = padded[starts[order] + at]
+        differ = np.flatnonzero((digit[1:] != digit[:-1]) & ~new[1:]) + 1
+        if len(differ):
+            group = np.cumsum(new) - 1
+            rows = np.flatnonzero(np.isin(group, group[differ]))
+            by = rows[np.lexsort((digit[rows].astype(np.uint64), group[rows]))]
+            order[rows], digit = order[by], digit.copy()
+            digit[rows] = digit[by]
+            new[1:] |= digit[1:] != digit[:-1]
+    return order, new
+
+
+def later_copies(data: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a document with a smaller id holds the window at each start as well; doc: each window's document."""
+    out = np.zeros(len(starts), bool)
+    if len(starts):
+        order, new = equal_groups(data, starts)
+        first = np.flatnonzero(new)
+        if len(first):
+            own = doc[order]
+            least = np.minimum.reduceat(own, first)
+            out[order] = own > np.repeat(least, np.diff(np.append(first, len(order))))
+    return out
+
+
+def runs_of(lead: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number) of runs of windows that share their leading token; windows that are not ok are left out."""
+    edge = np.ones(len(lead), bool)
+    edge[1:] = (lead[1:] != lead[:-1]) | (ok[1:] != ok[:-1])
     first = np.flatnonzero(edge)
-    n = np.diff(np.append(first, len(order)))
+    n = np.diff(np.append(first, len(lead)))
     keep = ok[first]
-    return first[keep], n[keep], order[first[keep]]
+    return first[keep], n[keep]
 
 
-def _gather(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The bytes data[at:at + n] of all pieces, one after another."""
-    ends = np.cumsum(n)
-    index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - n), n)
-    return data[index]
+def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums from which hash_at gives the hash of any range of bytes."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
+def hash_at(roll: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (roll[0][end] - roll[0][start]) * roll[1][start]
+
+
+def sides(roll: tuple, token: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of each piece's token with SIDE bytes before it, and after it; 0 where none of its windows holds
+    those bytes. Windows with SIDE bytes before the token hold the first, all others the second."""
+    out = []
+    for on, start, end in ((first <= token - SIDE, token - SIDE, token + TOKEN), (first + n - 1 > token - SIDE, token, token + TOKEN + SIDE)):
+        h = np.zeros(len(token), np.uint32)
+        some = np.flatnonzero(on)
+        h[some] = ((hash_at(roll, start[some], end[some]) * M2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out.append(h)
+    return out[0], out[1]
 
 
 def _covered(first: np.ndarray, n: np.ndarray, hit: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +213,9 @@ def make_plan(texts: DataFrame, total: int) -> Plan:
             for text in batch["text"]:
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 if len(data) >= WIDTH:
-                    low = window_minima(order_of(words_at(data), classes), WIDTH - TOKEN + 1)
-                    found.append(low[:: max(1, len(low) // 64)])
+                    order = order_of(words_at(data), classes)
+                    lead = leading(order, WIDTH - TOKEN + 1)
+                    found.append(order[lead[:: max(1, len(lead) // 64)]])
             yield pd.DataFrame({"place": np.concatenate(found).astype(np.int64)})
 
     # places are below 2^63
@@ -205,9 +249,9 @@ def _spans(doc: np.ndarray, th: np.ndarray, part: np.ndarray, begin: np.ndarray,
         yield int(part[own[0]]), _pack(doc=doc[own], th=th[own], start=begin[own].astype(np.int32), end=(begin[own] + n[own] + WIDTH - 1).astype(np.int32))
 
 
-def _first_pass(batch: list[tuple], plan: Plan) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, number, packed) of some documents (doc_id, th, part, text bytes): kind 0, pieces for bucket number;
-    kind 1, spans for part number."""
+def _first_pass(batch: list[tuple], plan: Plan) -> Iterator[tuple[int, int, object]]:
+    """(kind, number, found) of some documents (doc_id, th, part, text bytes): kind 0, pieces for bucket number;
+    kind 1, packed spans for part number."""
     doc, th, part, raw = zip(*batch, strict=True)
     doc, th, part = np.array(doc, np.int64), np.array(th, np.int64), np.array(part, np.int32)
     # exact copies within the batch: all but the smallest id go whole
@@ -226,49 +270,108 @@ def _first_pass(batch: list[tuple], plan: Plan) -> Iterator[tuple[int, int, byte
     data = np.frombuffer(b"".join(raw[i] for i in stay), np.uint8)
     ends = np.cumsum(size[stay])
     begins = ends - size[stay]
-    low = window_minima(order_of(words_at(data), plan.classes), WIDTH - TOKEN + 1)
-    ok = np.ones(len(low), bool)
+    order = order_of(words_at(data), plan.classes)
+    lead = leading(order, WIDTH - TOKEN + 1)
+    ok = np.ones(len(lead), bool)
     for e in ends[:-1].tolist():  # windows that would cross into the next document
         ok[max(0, e - WIDTH + 1) : e] = False
     # windows of frequent tokens: compared within the batch, so that each goes on once
-    often = np.flatnonzero(ok & (low >= np.uint64(1 << 61)))
-    hit = np.zeros(len(low), bool)
+    often = np.flatnonzero(ok & (order[lead] >= np.uint64(1 << 61)))
+    hit = np.zeros(len(lead), bool)
     if len(often):
-        owner = np.searchsorted(ends, often, side="right")
-        group = equal_groups(data, often)
-        least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[stay][owner])
-        hit[often] = doc[stay][owner] > least[group]
-        b, e = (f(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])) == s) for f, s in ((np.flatnonzero, 1), (np.flatnonzero, -1)))
+        hit[often] = later_copies(data, often, doc[stay][np.searchsorted(ends, often, side="right")])
+        # a run of hits doesn't cross documents, as windows that do are not ok
+        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+        b, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         own = np.searchsorted(ends, b, side="right")
-        # a run may not cross documents: windows that do are not ok, so it can't
         i = stay[own]
         yield from ((1, p, x) for p, x in _spans(doc[i], th[i], part[i], b - begins[own], e - b))
-    at, n, place = runs_of(low, ok & ~hit)
+    at, n = runs_of(lead, ok & ~hit)
+    token = lead[at].astype(np.int64)
+    before, after = sides(rolling(data), token, at, n)
     owner = np.searchsorted(ends, at, side="right")
-    bucket = np.searchsorted(plan.splitters, place, side="right")
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for own in np.split(order, cuts):
+    bucket = np.searchsorted(plan.splitters, order[token], side="right")
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+    for own in np.split(by, cuts):
         if len(own):
             i = stay[owner[own]]
-            yield 0, int(bucket[own[0]]), _pack(doc=doc[i], th=th[i], part=part[i], begin=(at[own] - begins[owner[own]]).astype(np.int32), n=n[own].astype(np.int32), bytes=_gather(data, at[own], n[own] + WIDTH - 1))
+            yield 0, int(bucket[own[0]]), (doc[i], th[i], part[i], (at[own] - begins[owner[own]]).astype(np.int32), n[own].astype(np.int32), before[own], after[own])
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Small numbers as byte planes, which compress well."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).reshape(-1)
+
+
+def _back(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, -1).T).reshape(-1).view("<i4").astype(np.int64)
+
+
+def _pieces_blob(doc: np.ndarray, th: np.ndarray, part: np.ndarray, begin: np.ndarray, n: np.ndarray, **more: np.ndarray) -> bytes:
+    """Pieces, packed: their documents once, then small numbers, then more columns as they are."""
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+    step = np.where(first, begin, np.diff(begin, prepend=0))
+    return _pack(doc=doc[first], th=th[first], part=part[first], first=np.packbits(first), step=_turned(step), n=_turned(n), **more)
+
+
+def _read_pieces(raw: bytes) -> dict[str, np.ndarray]:
+    c = _unpack(raw)
+    step, n = _back(c.pop("step")), _back(c.pop("n"))
+    first = np.unpackbits(c.pop("first"), count=len(n)).astype(bool)
+    at = np.cumsum(first) - 1
+    sums = np.cumsum(step)
+    begin = sums - (sums[first] - step[first])[at]
+    return c | {"doc": c["doc"][at], "th": c["th"][at], "part": c["part"][at], "begin": begin, "n": n}
+
+
+def _by_part(c: dict[str, np.ndarray], keep: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, packed pieces) of the pieces to keep, for each part of the documents."""
+    own = np.flatnonzero(keep)
+    own = own[np.lexsort((c["begin"][own], c["th"][own], c["doc"][own], c["part"][own]))]
+    cuts = np.flatnonzero(np.diff(c["part"][own])) + 1
+    for i in np.split(own, cuts):
+        if len(i):
+            yield int(c["part"][i[0]]), _pieces_blob(*(c[k][i] for k in ("doc", "th", "part", "begin", "n")))
+
+
+def _alive(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(part, packed pieces) of one bucket's pieces that may hold a window of another document."""
+    parts = [_read_pieces(b) for b in blobs]
+    c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    keep = np.zeros(len(c["doc"]), bool)
+    for side in ("before", "after"):
+        some = np.flatnonzero(c[side])
+        if not len(some):
+            continue
+        some = some[np.argsort(c[side][some])]
+        h, doc = c[side][some], c["doc"][some]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        differ = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        keep[some] |= np.repeat(differ, np.diff(np.append(start, len(h))))
+    yield from _by_part(c, keep)
+
+
+def _with_text(docs: pd.DataFrame, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed pieces with text) for one part's documents; asked: (bucket, packed pieces)."""
+    raw = {(d, t): x.encode("utf-8", "surrogatepass") for d, t, x in zip(docs["doc_id"], docs["th"], docs["text"], strict=True) if not pd.isna(d)}
+    for bucket, blob in asked:
+        c = _read_pieces(blob)
+        text = b"".join([raw[d, t][b : b + n + WIDTH - 1] for d, t, b, n in zip(*(c[k].tolist() for k in ("doc", "th", "begin", "n")), strict=True)])
+        yield bucket, _pieces_blob(*(c[k] for k in ("doc", "th", "part", "begin", "n")), bytes=np.frombuffer(text, np.uint8))
 
 
 def _search_bucket(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """Spans that the pieces of one bucket lose to documents with smaller ids."""
-    parts = [_unpack(b) for b in blobs]
+    parts = [_read_pieces(b) for b in blobs]
     c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    n = c["n"].astype(np.int64)
+    n = c["n"]
     sizes = n + WIDTH - 1
     at = np.cumsum(sizes) - sizes
     starts = np.cumsum(n) - n
     windows = np.arange(int(n.sum())) + np.repeat(at - starts, n)
-    group = equal_groups(c["bytes"], windows)
-    owner = np.repeat(np.arange(len(n)), n)
-    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, c["doc"][owner])
-    hit = c["doc"][owner] > least[group]
+    hit = later_copies(c["bytes"], windows, np.repeat(c["doc"], n))
     piece, offset, count = _covered(at, n, hit, starts)
     yield from _spans(c["doc"][piece], c["th"][piece], c["part"][piece], c["begin"][piece] + offset, count)
 
@@ -309,31 +412,75 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     texts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts)).cast("int"))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        docs, size, held, weight = [], 0, {}, 0
+
+        def take() -> Iterator[tuple[int, int, bytes]]:
+            """Spans at once; pieces wait until a task has enough of them to pack well."""
+            nonlocal weight
+            for kind, number, found in _first_pass(docs, plan.value):
+                if kind == 1:
+                    yield kind, number, found
+                else:
+                    held.setdefault(number, []).append(found)
+                    weight += len(found[0])
+
+        def flush() -> Iterator[tuple[int, int, bytes]]:
+            nonlocal weight
+            for number in sorted(held):
+                *columns, before, after = (np.concatenate(x) for x in zip(*held[number], strict=True))
+                yield 0, number, _pieces_blob(*columns, before=before, after=after)
+            held.clear()
+            weight = 0
+
+        frame = lambda rows: pd.DataFrame(list(rows), columns=["kind", "number", "packed"])
         for batch in batches:
             for doc_id, th, part, text in zip(*(batch[c] for c in ("doc_id", "th", "part", "text")), strict=True):
                 if pd.isna(doc_id):
                     continue
                 raw = text.encode("utf-8", "surrogatepass")
-                held.append((int(doc_id), th, part, raw))
+                docs.append((int(doc_id), th, part, raw))
                 size += len(raw)
                 if size >= BATCH_BYTES:
-                    yield pd.DataFrame(list(_first_pass(held, plan.value)), columns=["kind", "number", "packed"])
-                    held, size = [], 0
-        if held:
-            yield pd.DataFrame(list(_first_pass(held, plan.value)), columns=["kind", "number", "packed"])
-
-    def bucket(group: pd.DataFrame) -> pd.DataFrame:
-        out = list(_search_bucket(group.loc[group["kind"] == 0, "packed"].tolist())) if group["kind"].iloc[0] == 0 else [(n, p) for n, p in zip(group["number"], group["packed"])]
-        return pd.DataFrame(out, columns=["part", "packed"])
-
-    packed = texts.mapInPandas(first, "kind int, number int, packed binary")
-    spans = packed.groupBy("kind", "number").applyInPandas(bucket, "part int, packed binary")
+                    yield frame(take())
+                    docs, size = [], 0
+                    if weight >= HELD_PIECES:
+                        yield frame(flush())
+        if docs:
+            yield frame(take())
+            docs = []
+        yield frame(flush())
+        release()
+
+    def alive(group: pd.DataFrame) -> pd.DataFrame:
+        kind, number = int(group["kind"].iloc[0]), int(group["number"].iloc[0])
+        out = [(0, p, number, x) for p, x in _alive(group["packed"].tolist())] if kind == 0 else [(1, number, 0, x) for x in group["packed"]]
+        release()
+        return pd.DataFrame(out, columns=["kind", "part", "bucket", "packed"])
+
+    with arrow_rows(spark):
+        packed = texts.mapInPandas(first, "kind int, number int, packed binary")
+        staged = materialize(packed.groupBy("kind", "number").applyInPandas(alive, "kind int, part int, bucket int, packed binary"), "suffix-pieces")
+
+    def with_text(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(list(_with_text(docs, list(zip(asked["bucket"], asked["packed"], strict=True)))), columns=["bucket", "packed"])
+        release()
+        return found
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(list(_search_bucket(group["packed"].tolist())), columns=["part", "packed"])
+        release()
+        return found
+
+    dealt = texts.groupBy("part")
+    pieces = dealt.cogroup(staged.where("kind = 0").groupBy("part")).applyInPandas(with_text, "bucket int, packed binary")
+    spans = pieces.groupBy("bucket").applyInPandas(search, "part int, packed binary").unionByName(staged.where("kind = 1").select("part", "packed"))
 
     def finish(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return _finish(docs, found["packed"].tolist())
+        out = _finish(docs, found["packed"].tolist())
+        release()
+        return out
 
-    return texts.groupBy("part").cogroup(spans.groupBy("part")).applyInPandas(finish, SCHEMA)
+    return dealt.cogroup(spans.groupBy("part")).applyInPandas(finish, SCHEMA)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
