@@ -31,12 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import arrow_rows, documents, materialize, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
 ROWS, BANDS, BITS, PARITY, SEED = 3, 21, 4, 4_096, 3
 K = 64
 BLOCK, SLACK = 512, 0.27
-MEMO = 400_000
+MEMO = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _random = np.random.default_rng(SEED)
 #: Odd multipliers and offsets of the K hash functions.
@@ -123,6 +123,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 rows.append(seen[known])
             found = pd.DataFrame(rows, columns=["n", "set_key", "bands", "bits", "odd"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), found], axis=1)
+        memo.clear()
+        release()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text_or_empty().alias("text"))
     with arrow_rows(docs.sparkSession):
@@ -241,6 +243,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int,
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 link.append(threshold[1] * shared >= threshold[0] * (len(p) + len(q) - shared))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "link": link})
+        memo.clear()
+        release()
 
     with arrow_rows(docs.sparkSession):
         return materialize(both.mapInPandas(run, "a long, b long, link boolean").groupBy("a", "b").agg(F.max("link").alias("link")), "near-confirmed")

@@ -8,7 +8,7 @@ Positions are code points. They come from splitting a text by a pattern: a match
 matches before it.
 
 Nulls: a null text is the empty text; a null doc_id is a path like any other. Repeated rows give repeated rows.
-An empty table gives an empty result. Other columns of the input are not read.
+An empty table gives an empty result. Other columns of the input are passed through; blob and spans are replaced.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def scan(todo: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = R
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(addressed rows with their spans, the ledger with this run's rows). Blobs in the ledger are not scanned again."""
-    addressed = blobs(versions, text)
+    addressed = blobs(versions.drop("spans"), text)
     fresh = materialize(scan(unseen(addressed, ledger, rule_version, text), rules, rule_version), "secret-ledger")
     whole = fresh if ledger is None else ledger.unionByName(fresh)
     # only blobs with findings travel to the paths; the others have none
