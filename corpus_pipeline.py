@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), 5, (8, 10)), "near-components")
     gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     # rows that repeat both id and text are copies too; the join has dealt them by id already
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
     return left.withColumn("th", F.sha2("text", 256)).dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
 
 
