@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,7 +66,6 @@ def arrow_rows(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
 
 def release() -> None:
     """In a Python worker at a task's end: hand freed memory back, as idle workers stay for a while."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -36,7 +36,7 @@ from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, te
 WIDTH, TOKEN = 50, 8
 SIDE = (WIDTH - TOKEN) // 2
 #: Bytes of text sampled for splitters and token frequencies, at most; bytes of text for each bucket, and for each part of the documents; bytes handled at once; pieces a task holds before it packs them.
-SAMPLE_BYTES, BUCKET_BYTES, PART_BYTES, BATCH_BYTES, HELD_PIECES = 8_000_000, 2_000_000, 6_000_000, 1_500_000, 600_000
+SAMPLE_BYTES, BUCKET_BYTES, PART_BYTES, BATCH_BYTES, HELD_PIECES = 8_000_000, 1_000_000, 4_000_000, 1_500_000, 600_000
 #: Classes of token frequency; slots of the frequency table.
 CLASSES, SLOTS = 4, 1 << 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -449,6 +449,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
             yield frame(take())
             docs = []
         yield frame(flush())
+        _POWERS.clear()
         release()
 
     def alive(group: pd.DataFrame) -> pd.DataFrame:
@@ -468,6 +469,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         found = pd.DataFrame(list(_search_bucket(group["packed"].tolist())), columns=["part", "packed"])
+        _POWERS.clear()
         release()
         return found
 
