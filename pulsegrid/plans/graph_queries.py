@@ -28,7 +28,7 @@ EDGES = f"""{LINKS}, edges AS (SELECT src, dst, {", ".join(f"count(*) FILTER (WH
 
 
 def _nodes(spark: S, d: str) -> DataFrame:
-    return posts(spark, d).where(F.col("user_id") % 3 > 0).select(F.concat(F.lit("x:"), F.col("user_id").cast("string")).alias("id")).distinct()
+    return posts(spark, d).where(F.col("user_id").isNotNull()).select(F.concat(F.lit("x:"), F.col("user_id").cast("string")).alias("id")).distinct()
 
 
 def edge_agg(spark: S, d: str) -> DataFrame:

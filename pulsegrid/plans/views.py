@@ -63,7 +63,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from pulsegrid.functions.numbers import js_round, tier
 
-    day = posts(spark, sf_dir).where(F.col("user_id") % 4 > 0).groupBy("trend", F.date_trunc("day", "published_at").alias("captured_at")).agg(
+    day = posts(spark, sf_dir).groupBy("trend", F.date_trunc("day", "published_at").alias("captured_at")).agg(
         F.sum("interactions").alias("engagement"), F.count(F.lit(1)).alias("n"), F.count_distinct("platform").alias("platforms"), F.avg("interactions").alias("m"), F.max("interactions").alias("mx")
     )
     m = F.col("m")
