@@ -7,7 +7,9 @@ counted over all documents. A document's vector holds the TF-IDF of the kept ter
 examples by cosine, found exactly: examples are laid out in blocks, each term stores its largest weight by block,
 the blocks of the highest upper bounds are scored, then those others that could still hold a nearer example. Votes weighted by nearness give a raw
 score, which isotonic regression over the examples' leave-one-out votes turns into a probability. Documents without
-a kept term have the rate of toxic examples among such documents. The neighbours' ids are returned as evidence.
+a kept term have the rate of toxic examples among such documents. As the bound cuts each label by itself, an example
+counts in votes, calibration and rates as the labelled documents of its label that it stands for. The choice of terms
+asks what chance would do in the sample itself, so it uses the sample's own rate. The neighbours' ids are returned as evidence.
 
 Nulls: a null text is empty; labels with a null id or label teach nothing; a null id is held out. Several labels of a document: the
 largest. Repeated rows are scored alike. Without labels of both kinds every score is the rate of label 1 (0 without
@@ -85,7 +87,8 @@ def counts_of(text: str, memo: _Memo) -> dict[str, int]:
 
 class Model:
     """terms: kept terms; idf: theirs; vectors: sparse examples ({term number: weight}, unit length); toxic, ids: of
-    the examples; steps: isotonic raw and calibrated scores; empty: the score of documents without kept terms."""
+    the examples; weight: labelled documents that each stands for; steps: isotonic raw and calibrated scores; empty:
+    the score of documents without kept terms."""
 
     def __init__(self, terms: list[str], idf: list[float]):
         self.numbers, self.idf = {t: i for i, t in enumerate(terms)}, np.array(idf)
@@ -100,10 +103,11 @@ class Model:
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return tuple(sorted((t, w / norm) for t, w in weights.items()))
 
-    def build(self, vectors: list, toxic: list[int], ids: list[int]) -> None:
+    def build(self, vectors: list, toxic: list[int], ids: list[int], stands: tuple[float, float] = (1.0, 1.0)) -> None:
         """The block-max inverted index; examples with a common heaviest term lie together."""
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda x: x[1])[0], vectors[i], ids[i]))
         self.toxic, self.ids = np.array([toxic[i] for i in order], float), np.array([ids[i] for i in order], np.int64)
+        self.weight = np.where(self.toxic > 0, stands[1], stands[0])
         blocks = -(-len(order) // BLOCK)
         self.most = np.zeros((len(self.numbers), blocks))
         lists: list[list[tuple[int, float]]] = [[] for _ in self.numbers]
@@ -150,14 +154,15 @@ class Model:
         at, near = self.nearest(vector, but=but)
         if not len(at):
             return 0.0, at
-        weight = near**2
+        weight = near**2 * self.weight[at]
         return float((weight * self.toxic[at]).sum() / weight.sum() * near[: max(1, len(near) // 3)].mean() ** 0.5), at
 
-    def calibrate(self, raw: np.ndarray, toxic: np.ndarray) -> None:
+    def calibrate(self, raw: np.ndarray, toxic: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> None:
         """Isotonic regression by pooling adjacent violators."""
-        blocks: list[list[float]] = []  # raw sum, toxic sum, count
+        blocks: list[list[float]] = []  # raw sum, toxic sum, count, each weighted
         for r, y in sorted(zip(raw, toxic, strict=True)):
-            blocks.append([r, y, 1.0])
+            w = stands[int(y)]
+            blocks.append([r * w, y * w, w])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -175,14 +180,14 @@ class Model:
         return self.cache[v]
 
 
-def _bounded_labels(labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, toxic) to learn from: at most about most / 2 of each label, by a hash of the id."""
+def _bounded_labels(labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic) to learn from, at most about most / 2 of each label by a hash of the id; the numbers of all by label."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
     share = F.lit(0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, int(min(1.0, most / 2 / n) * 1_000_000)).otherwise(share)
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), counts
 
 
 def _marking_terms(examples: DataFrame, n: int, toxic: int) -> list[str]:
@@ -228,7 +233,10 @@ def _frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     """Learn from labels (doc_id, toxic) outside the test fold; everything the driver holds is bounded by most and TERMS."""
-    chosen = materialize(_bounded_labels(labels, most), "toxic-labels")
+    chosen, known = _bounded_labels(labels, most)
+    chosen = materialize(chosen, "toxic-labels")
+    kept = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}  # two rows at most
+    stands = tuple(known[y] / kept[y] if kept.get(y) else 1.0 for y in (0, 1))
     docs = docs.select("doc_id", "text")
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text_or_empty().alias("text"))
     with arrow_rows(docs.sparkSession):
@@ -253,12 +261,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
 
         rows = examples.mapInPandas(vectors, "doc_id long, toxic int, t array<int>, w array<double>").orderBy("doc_id").collect()  # at most `most` short vectors
     with_terms = [r for r in rows if r["t"]]
-    model.build([tuple(zip(r["t"], r["w"], strict=True)) for r in with_terms], [r["toxic"] for r in with_terms], [r["doc_id"] for r in with_terms])
+    model.build([tuple(zip(r["t"], r["w"], strict=True)) for r in with_terms], [r["toxic"] for r in with_terms], [r["doc_id"] for r in with_terms], stands)
     by_id = {int(i): at for at, i in enumerate(model.ids)}
     raw = [model.votes(tuple(zip(r["t"], r["w"], strict=True)), but=by_id[r["doc_id"]])[0] for r in with_terms]
-    model.calibrate(np.array(raw), np.array([r["toxic"] for r in with_terms], float))
+    model.calibrate(np.array(raw), np.array([r["toxic"] for r in with_terms], float), stands)
     without = [r["toxic"] for r in rows if not r["t"]]
-    model.empty = sum(without) / len(without) if without else bad / n
+    bad, n = (sum(without), len(without)) if without else (bad, n)
+    model.empty = bad * stands[1] / (bad * stands[1] + (n - bad) * stands[0])
     return model
 
 
