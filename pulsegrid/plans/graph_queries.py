@@ -90,8 +90,9 @@ def betweenness(spark: S, d: str) -> DataFrame:
 def top_influencers(spark: S, d: str) -> DataFrame:
     edges = G.aggregate_edges(links(spark, d))
     p = posts(spark, d).groupBy(F.concat(F.lit("x:"), F.col("user_id").cast("string")).alias("id")).agg(F.sum("likes").alias("activity"), F.max("followers").alias("reach"))
-    deg = G.degrees(p.select("id"), edges).select("id", F.col("degree"), F.col("weighted_in").alias("pagerank"), F.col("weighted_out").alias("betweenness"))
-    nodes = p.join(deg, "id").withColumn("observed", F.lit(True))
+    p = p.where("id is not null")
+    between = G.betweenness(edges.withColumn("graph", F.lit(1)), "graph").select("id", "betweenness")
+    nodes = p.join(G.degrees(p.select("id"), edges).select("id", "degree"), "id").join(G.pagerank(p.select("id"), edges), "id").join(between, "id", "left").withColumn("observed", F.lit(True))
     return G.top_influencers(G.influence_scores(nodes)).select("place", "id", "influence", "influence_tier")
 
 
