@@ -201,7 +201,7 @@ def label_slugs(spark: S, d: str) -> DataFrame:
 
 
 def relevance_labels(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.relevance(F.col("text"), F.lit("the thing")).alias("label"), X.reliable(F.substring(F.col("text"), 1, 40)).alias("reliable"))
+    return table(spark, d, "documents").select("doc_id", X.relevance(F.col("text"), F.lit("the thing")).alias("label"), X.reliable(F.col("text")).alias("reliable"))
 
 
 def relation_types(spark: S, d: str) -> DataFrame:
@@ -232,7 +232,7 @@ def folded_union(spark: S, d: str) -> DataFrame:
 
 def segmented_tags(spark: S, d: str) -> DataFrame:
     words = ["the", "and", "for", "trend", "climate", "action", "now", "green", "energy"]
-    tags = spark.createDataFrame([("#ClimateActionNow",), ("#greenenergy",), ("#trend2026",), ("#theandfor",), ("#zzzzqqqq",)], "tag string")
+    tags = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"#[\p{L}\p{N}_]+"), F.lit(0))).alias("tag")).distinct()  # case splits need the case
     return Z.segment_tags(tags, "tag", words)
 
 

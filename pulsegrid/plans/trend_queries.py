@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import numbers as N
+from pulsegrid.functions import text as X
 from pulsegrid.operators import distributions as D
 from pulsegrid.operators import ranking as R
 from pulsegrid.operators import trend as T
@@ -130,8 +131,7 @@ def age_histogram(spark: S, d: str) -> DataFrame:
 
 
 def hashtag_cooccurrence(spark: S, d: str) -> DataFrame:
-    tags = table(spark, d, "documents").select("lang", F.filter(F.split("text", " "), lambda w: w.rlike("^[A-Z][a-z]{2,3}$")).alias("tags"))
-    return D.tag_pairs(tags, "tags", "lang").where("n > 1")
+    return D.tag_pairs(table(spark, d, "documents").select("lang", X.hashtags(F.col("text")).alias("tags")), "tags", "lang")
 
 
 def nearest_rank_latency(spark: S, d: str) -> DataFrame:
