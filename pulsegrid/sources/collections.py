@@ -43,7 +43,12 @@ def pairs_to_map(fields: str = "fields") -> Column:
 
 
 def comment_tree(comments: DataFrame, most: int | None = None) -> DataFrame:
-    """Depth-first order of comments (post, id, parent_id, ord); roots have no parent. Adds depth, path and place."""
+    """Depth-first order of comments (post, id, parent_id, ord); roots have no parent. Adds depth, path and place.
+
+    Spark's limits of recursion are lifted in the session; parents that form a circle have no root and are never met.
+    """
+    for limit in ("Level", "Row"):
+        comments.sparkSession.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
     comments.createOrReplaceTempView("pulsegrid_comments")
     tree = comments.sparkSession.sql("""
         WITH RECURSIVE t AS (
