@@ -109,34 +109,83 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     want = Counter(brute_suffixes())
     assert sum(r[2] for r in want) > 1000
     assert Counter(map(tuple, suffixes.removed_repeats(docs(spark)).collect())) == want
-    for name, value in (("BUCKET_BYTES", 3000), ("PART_BYTES", 9000), ("BATCH_BYTES", 5000), ("HELD_PIECES", 500), ("SAMPLE_BYTES", 30_000)):
+    for name, value in (("BUCKET_BYTES", 1500), ("PART_BYTES", 9000), ("BATCH_BYTES", 5000), ("HELD_PIECES", 500), ("SAMPLE_BYTES", 30_000), ("SORTED", 60), ("REMEMBERED", 30), ("CROWDED", 2_000)):
         monkeypatch.setattr(suffixes, name, value)
     assert Counter(map(tuple, suffixes.removed_repeats(docs(spark)).collect())) == want
 
 
-def test_multikey_groups_are_exact():
+def test_multikey_quicksort_and_common_lengths():
     dice = np.random.default_rng(4)
-    data = dice.integers(97, 99, 4000).astype(np.uint8)
-    data[2000:2300] = data[:300]
-    starts = np.arange(len(data) - 49)
-    order, new = suffixes.equal_groups(data, starts)
-    texts = [data[s : s + 50].tobytes() for s in starts]
-    by = defaultdict(set)
-    for i, g in zip(order, np.cumsum(new)):
-        by[g].add(texts[i])
-    assert all(len(v) == 1 for v in by.values()) and len(by) == len(set().union(*by.values()))
-    assert {texts[i] for i in order} == {t for t, n in Counter(texts).items() if n > 1}
-
-
-def test_hash_collisions_are_told_apart(monkeypatch):
-    monkeypatch.setattr(suffixes, "hash_at", lambda roll, start, end: np.zeros(len(start), np.uint64))
-    data = np.frombuffer(b"".join(bytes([65 + i % 3]) * 60 for i in range(9)), np.uint8)
-    starts = np.arange(0, 540 - 49, 60)
-    order, new = suffixes.equal_groups(data, starts)
-    got: dict = defaultdict(set)
-    for i, g in zip(order, np.cumsum(new)):
-        got[g].add(data[starts[i]])
-    assert len(got) == 3 and all(len(v) == 1 for v in got.values())
+    rows = dice.integers(97, 99, (500, 56)).astype(np.uint8)
+    rows[100:200, :30] = rows[0, :30]
+    rows[300:310] = rows[299]
+    order, common = suffixes.multikey(rows)
+    texts = [r.tobytes() for r in rows]
+    assert [texts[i] for i in order] == sorted(texts)
+    for k in range(1, len(rows)):
+        a, b = texts[order[k - 1]], texts[order[k]]
+        assert common[k] == next((i for i in range(56) if a[i] != b[i]), 56)
+
+
+def pieces_of(raw: bytes) -> tuple:
+    data = np.frombuffer(raw, np.uint8)
+    order = suffixes.order_of(suffixes.words_at(data), np.zeros(suffixes.SLOTS, np.uint64))
+    lead = suffixes.leading(order, suffixes.WIDTH - suffixes.TOKEN + 1)
+    at, n = suffixes.runs_of(lead, np.ones(len(lead), bool))
+    return data, lead[at].astype(np.int64), at, n
+
+
+def test_equal_windows_meet_across_the_boundaries_of_buckets(monkeypatch):
+    """Windows that end within the second token, whose suffixes go on differently: some lie on both sides of a
+    splitter within that token, and meet in one bucket all the same."""
+    monkeypatch.setattr(suffixes, "DRAWN", 1)
+    dice, moved = random.Random(8), 0
+    for _ in range(12):
+        passage = bytes(dice.choice(b"abcdefgh") for _ in range(60))
+        raws = [bytes(dice.choice(b"xyz") for _ in range(30)) + passage + bytes(dice.choice(b"ijklmn") for _ in range(40)) for _ in range(40)]
+        found = [pieces_of(r) for r in raws]
+        drawn = np.array(sorted((int(v), int(w)) for data, token, _, _ in found for t in [suffixes.words_at(np.concatenate([data, np.zeros(8, np.uint8)]))] for v, w in zip(t[token], t[token + 8])), np.uint64)
+        plan = suffixes.Plan(np.zeros(suffixes.SLOTS, np.uint64), drawn, 1)
+        assert len(plan.deep)
+        place: dict = defaultdict(set)
+        for data, token, at, n in found:
+            t = suffixes.words_at(np.concatenate([data, np.zeros(8, np.uint8)]))
+            value, after = t[token].astype(np.uint64), t[token + 8].astype(np.uint64)
+            own = plan.bucket(value, after)
+            piece, begin, count, bucket = plan.placed(token, value, after, at, n)
+            assert sorted(w for b, k in zip(begin.tolist(), count.tolist()) for w in range(b, b + k)) == list(range(len(data) - 49))
+            moved += int((bucket != own[piece]).sum())
+            for b, k, x in zip(begin.tolist(), count.tolist(), bucket.tolist()):
+                for w in range(b, b + k):
+                    place[data[w : w + 50].tobytes()].add(x)
+        assert all(len(x) == 1 for x in place.values())
+    assert moved > 0
+
+
+def test_later_copies_in_chunks_of_tokens(monkeypatch):
+    dice = random.Random(3)
+    common = bytes(dice.choice(b"abc") for _ in range(200))
+    raws = [bytes(dice.choice(b"abc") for _ in range(60)) + common[dice.randrange(100) : 100 + dice.randrange(100)] for _ in range(50)]
+    data, token, at, n, doc, base = [], [], [], [], [], 0
+    for i, r in enumerate(raws):
+        if len(r) >= 50:
+            _, p, a, k = pieces_of(r)
+            token.append(p + base), at.append(a + base), n.append(k), doc.append(np.full(len(p), i))
+        data.append(r)
+        base += len(r)
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    token, at, n, doc = (np.concatenate(x) for x in (token, at, n, doc))
+    least: dict = {}
+    for a, k, d in zip(at, n, doc):
+        for w in range(a, a + k):
+            key = whole[w : w + 50].tobytes()
+            least[key] = min(d, least.get(key, d))
+    want = {w for a, k, d in zip(at, n, doc) for w in range(a, a + k) if least[whole[w : w + 50].tobytes()] < d}
+    assert want
+    for size in (10, 100_000):
+        monkeypatch.setattr(suffixes, "SORTED", size)
+        _, begin, count = suffixes.later_copies(whole, token, at, n, doc)
+        assert {w for b, c in zip(begin.tolist(), count.tolist()) for w in range(b, b + c)} == want and count.sum() == len(want)
 
 
 def distance(a: str, b: str) -> int:
