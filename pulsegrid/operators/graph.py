@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.numbers import js_round, null_sum
 from pulsegrid.functions.text import node_id, relation_type, username
+from pulsegrid.session import checkpoint_folder
 
 #: Weight of each interaction and of each signal of the influence score.
 EDGE_WEIGHTS = {"follow": 1, "like": 1, "mention": 1, "reply": 2, "quote": 3, "repost": 3}
-SIGNALS = {"pagerank": 0.30, "betweenness": 0.25, "activity": 0.15, "reach": 0.20, "degree": 0.10}
+SIGNALS = {"content_impact": 0.30, "network_authority": 0.25, "reach": 0.15, "received_influence": 0.20, "interaction_activity": 0.10}
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
 #: Sources of shortest paths that one task takes of a graph, about.
 SOURCES = 64
@@ -104,11 +105,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, every: int = 5) -> DataFrame:
     """(id, pagerank): unweighted, dangling mass spread over all, stopped by the L1 change. Ranks are checkpointed to
     the shared folder every few rounds; the driver sees one row of sums a check."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_folder(nodes.sparkSession)
     ids = nodes.select("id").distinct()
     n = ids.count()
     if not n:
@@ -175,8 +172,29 @@ def betweenness(edges: DataFrame, graph: str) -> DataFrame:
     return found.groupBy(graph, "id").agg(js_round(F.sum("betweenness"), 6).alias("betweenness"))
 
 
+def influence_signals(authors: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, observed, pagerank, signals) of authors, as author_nodes has them, and of the external ends of edges.
+
+    Content impact: likes, replies and reposts of an author's posts, and reposts by others. Network authority:
+    PageRank. Reach: followers or views. Received influence: quotes and reposts of the posts, and all edges that end
+    in the author. Interaction activity: interactions with the posts, and all edges that begin in the author.
+    """
+    kinds = [F.sum(f"n_{k}").alias(f"n_{k}") for k in EDGE_WEIGHTS]
+    all_kinds = sum((F.col(f"n_{k}") for k in EDGE_WEIGHTS), F.lit(0))
+    got = edges.groupBy(F.col("dst").alias("id")).agg(*kinds).select("id", all_kinds.alias("got"), F.col("n_repost").alias("got_reposts"))
+    gave = edges.groupBy(F.col("src").alias("id")).agg(*kinds).select("id", all_kinds.alias("gave"))
+    known = authors.select("id", "likes", "replies", "reposts", "quotes", "interactions", F.col("reach").alias("own_reach"), F.lit(True).alias("observed"))
+    ends = known.join(got, "id", "full_outer").join(gave, "id", "full_outer").join(ranks, "id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return ends.select(
+        "id", F.coalesce("observed", F.lit(False)).alias("observed"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"),
+        (n("likes") + n("replies") + n("reposts") + n("got_reposts")).alias("content_impact"), F.coalesce("pagerank", F.lit(0.0)).alias("network_authority"), n("own_reach").alias("reach"),
+        (n("quotes") + n("reposts") + n("got")).alias("received_influence"), (n("interactions") + n("gave")).alias("interaction_activity"),
+    )
+
+
 def influence_scores(nodes: DataFrame) -> DataFrame:
-    """Adds influence (0 to 100), tier and rank to nodes (id, observed, pagerank, betweenness, activity, reach, degree).
+    """Adds influence (0 to 100) and its tier to nodes (id, observed, signals).
 
     Each signal is scaled by its maximum over observed nodes; external nodes score 0.
     """

@@ -10,7 +10,22 @@ from pulsegrid.functions.text import blank_to_null, hashtags
 from pulsegrid.functions.times import hours_between, to_timestamp_lenient
 
 #: Place names and the region they stand for, in order.
-REGIONS = (("india", "India"), ("delhi", "India"), ("mumbai", "India"), ("usa", "North America"), ("united states", "North America"), ("new york", "North America"), ("london", "Europe"), ("uk", "Europe"), ("germany", "Europe"))
+REGIONS = (
+    ("india", "India"), ("mumbai", "Maharashtra"), ("pune", "Maharashtra"), ("nagpur", "Maharashtra"), ("maharashtra", "Maharashtra"),
+    ("delhi", "Delhi"), ("new delhi", "Delhi"), ("ncr", "Delhi"),
+    ("bangalore", "Karnataka"), ("bengaluru", "Karnataka"), ("karnataka", "Karnataka"), ("mysore", "Karnataka"),
+    ("hyderabad", "Telangana"), ("telangana", "Telangana"),
+    ("chennai", "Tamil Nadu"), ("coimbatore", "Tamil Nadu"), ("tamil nadu", "Tamil Nadu"),
+    ("kolkata", "West Bengal"), ("west bengal", "West Bengal"),
+    ("ahmedabad", "Gujarat"), ("surat", "Gujarat"), ("gujarat", "Gujarat"),
+    ("jaipur", "Rajasthan"), ("rajasthan", "Rajasthan"),
+    ("lucknow", "Uttar Pradesh"), ("kanpur", "Uttar Pradesh"), ("noida", "Uttar Pradesh"), ("up", "Uttar Pradesh"), ("uttar pradesh", "Uttar Pradesh"),
+    ("chandigarh", "Punjab/Haryana"), ("punjab", "Punjab/Haryana"), ("haryana", "Punjab/Haryana"), ("gurgaon", "Punjab/Haryana"),
+    ("bhopal", "Madhya Pradesh"), ("indore", "Madhya Pradesh"), ("madhya pradesh", "Madhya Pradesh"),
+    ("patna", "Bihar"), ("bihar", "Bihar"),
+    ("kerala", "Kerala"), ("kochi", "Kerala"), ("trivandrum", "Kerala"),
+    ("andhra pradesh", "Andhra Pradesh"), ("vizag", "Andhra Pradesh"),
+)
 
 
 def platform(name: Column) -> Column:

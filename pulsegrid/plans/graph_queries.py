@@ -24,7 +24,20 @@ S = SparkSession
 
 EDGES = f"""{LINKS}, edges AS (SELECT src, dst, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in G.EDGE_WEIGHTS)},
   CAST(sum(CASE kind WHEN 'reply' THEN 2 WHEN 'quote' THEN 3 WHEN 'repost' THEN 3 ELSE 1 END) AS BIGINT) AS weight, min(published_at) AS first_at, max(published_at) AS last_at, list_sort(list(DISTINCT event_id)) AS ids FROM links GROUP BY 1, 2),
-  nodes AS (SELECT DISTINCT 'x:' || user_id AS id FROM posts WHERE user_id % 3 > 0)"""
+  nodes AS (SELECT DISTINCT 'x:' || user_id AS id FROM posts WHERE user_id IS NOT NULL)"""
+
+
+#: Change of all ranks at which PageRank has settled far below the decimals that are compared.
+CONVERGED = 1e-12
+#: PageRank over nodes and edges by so many rounds; ranks(id, rank).
+RANKS = """shares AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM (SELECT DISTINCT src, dst FROM edges)),
+  linked AS (SELECT n.id, n.id IN (SELECT src FROM shares) AS linked, (SELECT count(*) FROM nodes) AS n FROM nodes n),
+  rounds AS (SELECT 0 AS k, id, linked, n, 1.0::DOUBLE / n AS rank FROM linked UNION ALL
+    SELECT g.k + 1, l.id, l.linked, l.n, 0.15 / l.n + 0.85 * (coalesce(g.got, 0) + coalesce(g.loose, 0) / l.n) FROM
+      (SELECT any_value(r.k) AS k, x.id, sum(CASE WHEN x.via THEN r.rank * x.share END) AS got, sum(CASE WHEN NOT x.via AND NOT r.linked THEN r.rank END) AS loose
+        FROM rounds r JOIN (SELECT src, dst AS id, share, true AS via FROM shares UNION ALL SELECT a.id, b.id, 0.0, false FROM linked a, linked b WHERE NOT a.linked OR a.id = b.id) x ON x.src = r.id WHERE r.k < 80 GROUP BY x.id) g
+      JOIN linked l ON l.id = g.id),
+  ranks AS (SELECT id, rank FROM rounds WHERE k = 80)"""
 
 
 def _nodes(spark: S, d: str) -> DataFrame:
@@ -79,7 +92,7 @@ def behaviour_pattern(spark: S, d: str) -> DataFrame:
 def pagerank(spark: S, d: str) -> DataFrame:
     edges = links(spark, d).select("src", "dst").distinct()
     nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    return G.pagerank(nodes, edges)
+    return G.pagerank(nodes, edges, tolerance=CONVERGED)
 
 
 def betweenness(spark: S, d: str) -> DataFrame:
@@ -89,10 +102,8 @@ def betweenness(spark: S, d: str) -> DataFrame:
 
 def top_influencers(spark: S, d: str) -> DataFrame:
     edges = G.aggregate_edges(links(spark, d))
-    p = posts(spark, d).groupBy(F.concat(F.lit("x:"), F.col("user_id").cast("string")).alias("id")).agg(F.sum("likes").alias("activity"), F.max("followers").alias("reach"))
-    p = p.where("id is not null")
-    between = G.betweenness(edges.withColumn("graph", F.lit(1)), "graph").select("id", "betweenness")
-    nodes = p.join(G.degrees(p.select("id"), edges).select("id", "degree"), "id").join(G.pagerank(p.select("id"), edges), "id").join(between, "id", "left").withColumn("observed", F.lit(True))
+    authors = G.author_nodes(posts(spark, d).withColumns({"platform": F.lit("x"), "hashtags": F.array(F.lit("#all"))}))
+    nodes = G.influence_signals(authors, edges, G.pagerank(authors, edges, tolerance=CONVERGED))
     return G.top_influencers(G.influence_scores(nodes)).select("place", "id", "influence", "influence_tier")
 
 
@@ -261,12 +272,14 @@ QUERIES = {
     "behaviour_pattern": (behaviour_pattern, f"""WITH {POSTS}, g AS (SELECT author_id, (epoch_us(published_at) - epoch_us(lag(published_at) OVER (PARTITION BY author_id ORDER BY published_at, event_id))) / 1000 AS d FROM posts),
       r AS (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY d) AS r, count(*) OVER (PARTITION BY author_id) AS n FROM g WHERE d IS NOT NULL)
       SELECT author_id, count(*) AS delays, {jr("max(CASE WHEN r = n // 2 + 1 THEN d END)", 3)} AS median_ms, {jr("avg(d)", 2)} AS mean_ms, {jr("stddev_pop(d)", 2)} AS deviation_ms FROM r GROUP BY 1"""),
-    "pagerank": (pagerank, None),
+    "pagerank": (pagerank, f"""WITH RECURSIVE {LINKS}, edges AS (SELECT DISTINCT src, dst FROM links), nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), {RANKS}
+      SELECT id, {jr("rank", 8)} AS pagerank FROM ranks"""),
     "betweenness": (betweenness, None),
-    "top_influencers": (top_influencers, f"""WITH {EDGES}, p AS (SELECT 'x:' || user_id AS id, CAST(sum(likes) AS BIGINT) AS act, max(followers) AS reach FROM posts GROUP BY 1),
-      g AS (SELECT p.id, act, reach, coalesce(i.c, 0) + coalesce(o.c, 0) AS deg, coalesce(i.w, 0) AS pr, coalesce(o.w, 0) AS bt FROM p LEFT JOIN (SELECT dst AS id, count(*) AS c, sum(weight) AS w FROM edges GROUP BY 1) i USING (id) LEFT JOIN (SELECT src AS id, count(*) AS c, sum(weight) AS w FROM edges GROUP BY 1) o USING (id)),
-      s AS (SELECT id, pr, {jr("(0.3 * pr / max(pr) OVER () + 0.25 * bt / max(bt) OVER () + 0.15 * act / max(act) OVER () + 0.2 * reach / max(reach) OVER () + 0.1 * deg / max(deg) OVER ()) * 100", 2)} AS influence FROM g)
-      SELECT row_number() OVER (ORDER BY influence DESC, pr DESC, id) AS place, id, influence, CASE WHEN influence >= 70 THEN 'high' WHEN influence >= 40 THEN 'medium' ELSE 'low' END AS influence_tier FROM s QUALIFY place <= 10"""),
+    "top_influencers": (top_influencers, f"""WITH RECURSIVE {EDGES}, {RANKS}, p AS (SELECT 'x:' || user_id AS id, sum(likes) AS l, sum(replies) AS c, sum(reposts) AS s, coalesce(sum(quotes), 0) AS q, sum(likes + replies + reposts + coalesce(quotes, 0)) AS i, greatest(max(followers), max(views)) AS reach FROM posts WHERE user_id IS NOT NULL GROUP BY 1),
+      ev AS (SELECT *, {" + ".join(f"n_{k}" for k in G.EDGE_WEIGHTS)} AS every FROM edges), t AS (SELECT dst AS id, sum(every) AS got, sum(n_repost) AS got_s FROM ev GROUP BY 1), f AS (SELECT src AS id, sum(every) AS gave FROM ev GROUP BY 1),
+      g AS (SELECT id, l + c + s + coalesce(got_s, 0) AS a, {jr("rank", 8)} AS b, reach AS c, q + s + coalesce(got, 0) AS d, i + coalesce(gave, 0) AS e FROM p LEFT JOIN t USING (id) LEFT JOIN f USING (id) LEFT JOIN ranks USING (id)),
+      s AS (SELECT id, b, {jr("(0.30 * a / max(a) OVER () + 0.25 * b / max(b) OVER () + 0.15 * c / max(c) OVER () + 0.20 * d / max(d) OVER () + 0.10 * e / max(e) OVER ()) * 100", 2)} AS influence FROM g)
+      SELECT row_number() OVER (ORDER BY influence DESC, b DESC, id) AS place, id, influence, CASE WHEN influence >= 70 THEN 'high' WHEN influence >= 40 THEN 'medium' ELSE 'low' END AS influence_tier FROM s QUALIFY place <= 10"""),
     "author_merge": (author_merge, f"WITH {POSTS} SELECT platform, author_id, max(published_at) AS published_at, arg_max(likes, (published_at, CAST(event_id AS BIGINT))) AS likes, arg_max(quotes, (published_at, event_id)) FILTER (WHERE quotes IS NOT NULL) AS quotes, arg_max(views, (published_at, event_id)) AS views FROM posts GROUP BY 1, 2"),
     "trend_upsert": (trend_upsert, f"WITH {POSTS} SELECT regexp_replace(lower(trim(trend)), '\\s+', '-', 'g') AS trend_key, max(trend) AS label, min(published_at) AS first_seen, max(published_at) AS last_seen, 'active' AS status FROM posts GROUP BY 1"),
     "collection_sequence": (collection_sequence, f"WITH {POSTS}, c AS (SELECT trend, date_trunc('day', published_at) AS observed_at, min(event_id) AS collection_id FROM posts GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY trend ORDER BY observed_at, collection_id) AS collection_sequence FROM c"),
@@ -295,7 +308,7 @@ QUERIES = {
     "mentions_of_documents": (mentions_of_documents, None),
     "label_slugs": (label_slugs, """SELECT p_partkey, substr(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS slug,
       regexp_replace(lower(trim(p_type)), '\\s+', '-', 'g') AS key FROM part"""),
-    "relevance_labels": (relevance_labels, """WITH w AS (SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(trim(substr(text, 1, 40), ' '), '\\s+'), lambda x: NOT regexp_matches(x, '^(#|@|https?://)') AND regexp_matches(x, '\\p{L}')) AS w FROM documents)
+    "relevance_labels": (relevance_labels, """WITH w AS (SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(trim(text, ' '), '\\s+'), lambda x: NOT regexp_matches(x, '^(#|@|https?://)') AND regexp_matches(x, '\\p{L}')) AS w FROM documents)
       SELECT doc_id, CASE WHEN contains(t, 'the thing') THEN 'lexical' WHEN contains(t, 'the') OR contains(t, 'thing') THEN 'partial_lexical' ELSE 'unknown' END AS label, len(w) >= 3 AND length(array_to_string(w, ' ')) >= 15 AS reliable FROM w"""),
     "relation_types": (relation_types, f"WITH {POSTS} SELECT (['follow','like','mention','repost','repost',NULL])[k % 6 + 1] AS kind, count(*) AS n FROM posts GROUP BY 1"),
     "humanized": (humanized, """WITH v AS (SELECT c_custkey, abs(c_acctbal) * pow(10.0, c_custkey % 6) AS x FROM customer), u AS (SELECT c_custkey, CASE WHEN x >= 1e9 THEN floor(x / 1e9 * 10 + 0.5) / 10 WHEN x >= 1e6 THEN floor(x / 1e6 * 10 + 0.5) / 10 WHEN x >= 1e3 THEN floor(x / 1e3 * 10 + 0.5) / 10 ELSE floor(x + 0.5) END AS v,

@@ -266,8 +266,8 @@ QUERIES = {
     "age_histogram": (age_histogram, """WITH y AS (SELECT (epoch_us(TIMESTAMP '2001-09-01') - epoch_us(o_orderdate)) / (365.25 * 86400000000) AS y FROM orders WHERE o_orderdate IS NOT NULL),
       c AS (SELECT CASE WHEN y < 0.5 THEN '<6m' WHEN y < 1 THEN '6m-1y' WHEN y < 3 THEN '1-3y' WHEN y < 5 THEN '3-5y' ELSE '5y+' END AS age, count(*) AS n FROM y GROUP BY 1),
       s(ord, age) AS (VALUES (0, '<6m'), (1, '6m-1y'), (2, '1-3y'), (3, '3-5y'), (4, '5y+')) SELECT CAST(ord AS INTEGER) AS ord, age, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (age)"""),
-    "hashtag_cooccurrence": (hashtag_cooccurrence, """WITH t AS (SELECT doc_id, lang, unnest(list_distinct(list_transform(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[A-Z][a-z]{2,3}$')), lambda w: lower(w)))) AS t FROM documents)
-      SELECT a.lang, a.t AS tag_a, b.t AS tag_b, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.t < b.t GROUP BY 1, 2, 3 HAVING count(*) > 1"""),
+    "hashtag_cooccurrence": (hashtag_cooccurrence, """WITH t AS (SELECT doc_id, lang, unnest(list_distinct(list_transform(regexp_extract_all(text, '#[\\p{L}\\p{N}_]+'), lambda x: lower(x)))) AS t FROM documents)
+      SELECT a.lang, a.t AS tag_a, b.t AS tag_b, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.t < b.t GROUP BY 1, 2, 3"""),
     "nearest_rank_latency": (nearest_rank_latency, f"""WITH {POSTS}, r AS (SELECT trend, interactions AS x, row_number() OVER (PARTITION BY trend ORDER BY interactions) - 1 AS r, count(*) OVER (PARTITION BY trend) AS n FROM posts)
       SELECT trend, count(*) AS n, {jr("avg(x)", 4)} AS mean, min(x) AS min, max(x) AS max, max(CASE WHEN r = least(floor(n * 0.5), n - 1) THEN x END) AS p50, max(CASE WHEN r = least(floor(n * 0.95), n - 1) THEN x END) AS p95 FROM r GROUP BY 1"""),
     "confusion_matrix": (confusion_matrix, "SELECT quality AS expected, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2"),

@@ -49,7 +49,7 @@ posts AS (SELECT event_id, event_type AS trend, CASE k % 3 WHEN 0 THEN 'x' WHEN
 SNAPSHOTS = f"""
 {POSTS},
 daily AS (SELECT trend, date_trunc('day', published_at) AS captured_at, sum(interactions) AS engagement, count(*) AS n, count(DISTINCT platform) AS platforms,
-  avg(interactions) AS m, max(interactions) AS mx FROM posts WHERE user_id % 4 > 0 GROUP BY 1, 2),
+  {jr("avg(interactions)", 6)} AS m, max(interactions) AS mx FROM posts GROUP BY 1, 2),
 snapshots AS (SELECT trend, captured_at, least(100.0, {jr("m / 5", 2)}) AS score, {jr("m / 10", 8)} AS velocity, {jr("n / 10.0", 4)} AS acceleration, {jr("mx / 5", 4)} AS burst,
   {jr("engagement", 2)} AS engagement, {jr("m / 500", 4)} AS virality, platforms,
   row_number() OVER (PARTITION BY captured_at ORDER BY {jr("m / 5", 2)} DESC, trend) AS rank,
@@ -64,7 +64,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.functions.numbers import js_round, tier
 
     day = posts(spark, sf_dir).groupBy("trend", F.date_trunc("day", "published_at").alias("captured_at")).agg(
-        F.sum("interactions").alias("engagement"), F.count(F.lit(1)).alias("n"), F.count_distinct("platform").alias("platforms"), F.avg("interactions").alias("m"), F.max("interactions").alias("mx")
+        F.sum("interactions").alias("engagement"), F.count(F.lit(1)).alias("n"), F.count_distinct("platform").alias("platforms"), js_round(F.avg("interactions"), 6).alias("m"), F.max("interactions").alias("mx")
     )
     m = F.col("m")
     w = Window.partitionBy("captured_at").orderBy(F.desc(js_round(m / 5, 2)), "trend")

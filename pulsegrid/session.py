@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def session(master: str = "local[*]", app: str = "pulsegrid", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the folder of checkpoints to the cluster's shared one, spark.checkpoint.dir. Only a local session without
+    it gets a temporary folder."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pulsegrid-")
+    spark.sparkContext.setCheckpointDir(shared)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, any path that Spark can read; times without a zone are UTC."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
