@@ -283,7 +283,7 @@ def make_plan(texts: DataFrame, total: int) -> Plan:
     """From a sample of whole documents, chosen by hash, of at most about SAMPLE_BYTES; results don't depend on it."""
     asked = min(MOST_DRAWN, DRAWN * max(1, -(-total // BUCKET_BYTES)))
     share = min(1.0, max(SAMPLE_BYTES, 22 * asked) / max(total, 1))
-    chosen = materialize(texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text"), "suffix-sample")
+    chosen = texts.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = np.zeros(SLOTS, np.int64)
@@ -551,8 +551,7 @@ def _finish(docs: pd.DataFrame, spans: list[bytes]) -> pd.DataFrame:
 def removed_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = every.where("doc_id is not null").withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // PART_BYTES))
     plan = spark.sparkContext.broadcast(make_plan(rows, total))
@@ -581,6 +580,8 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
         frame = lambda rows: pd.DataFrame(list(rows), columns=["kind", "number", "packed"])
         for batch in batches:
             for doc_id, th, part, text in zip(*(batch[c] for c in ("doc_id", "th", "part", "text")), strict=True):
+                if pd.isna(doc_id):
+                    continue
                 raw = text.encode("utf-8", "surrogatepass")
                 docs.append((int(doc_id), th, part, raw))
                 size += len(raw)
@@ -624,9 +625,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     dealt = texts.groupBy("part")
     pieces = dealt.cogroup(staged.where("kind = 0").groupBy("part")).applyInPandas(with_text, "bucket int, packed binary")
     spans = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(search, "part int, packed binary").unionByName(staged.where("kind = 1").select("part", "packed"))
-    known = dealt.cogroup(spans.groupBy("part")).applyInPandas(finish, SCHEMA)
-    whole = F.octet_length("text").cast("long")
-    return known.unionByName(every.where("doc_id is null").select("doc_id", whole.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))
+    return dealt.cogroup(spans.groupBy("part")).applyInPandas(finish, SCHEMA)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
