@@ -1,24 +1,28 @@
 """Near-duplicate detection by b-bit MinHash.
 
-A document's set is the hashes of its distinct word shingles. Documents with equal sets are one class (its smallest
-id stands for it), so copies are compared once. Each class has K minima; BANDS bands of ROWS minima are its bucket
-keys, and the B low bits of every minimum are its packed b-bit signature. A second packed sketch, one parity bit for
-each hash value modulo PARITY, bounds the symmetric difference of two sets from below: it can only rule out pairs
-that are certainly too far apart.
-
-Buckets are cut into blocks of bounded size and pairs of blocks are searched in memory: pairs stay whose
-collision-corrected b-bit estimate is within SLACK of the threshold and whose parity sketches allow a link. Of these,
-a spanning forest in order of the sketch distance is confirmed on full sets. Where a forest pair fails, all pairs of
-its buckets between components found so far that the sketches allow are confirmed. So every link between different
-sets that shares a bucket ends within one component, without listing the pairs of large groups. A link at exactly
-the threshold shares no bucket with probability under 1e-8.
+A document's set is the hashes of its distinct word shingles. Documents with equal sets are one class, so copies are
+compared once; classes are numbered when their table is written. Each class has K minima; BANDS bands of ROWS minima
+are its bucket keys, and the B low bits of every minimum are its packed b-bit signature. A second packed sketch, one
+parity bit for each hash value modulo PARITY, bounds the symmetric difference of two sets from below: it can only rule
+out pairs that are certainly too far apart.
+
+Buckets are cut into blocks of bounded size and searched in memory: pairs stay whose collision-corrected b-bit
+estimate is within SLACK of the threshold and whose parity sketches allow a link. Of these, a spanning forest in order
+of the sketch distance is confirmed on full sets. First every block is searched by itself. A bucket of several blocks
+that still holds several components is then searched across its blocks: all members outside its largest component
+against all members, so a bucket that one large group of near copies fills costs no pairs of blocks. Where a forest
+pair fails, all pairs of its buckets between components found so far that the sketches allow are confirmed. So every
+link between different sets that shares a bucket ends within one component, without listing the pairs of large
+groups. A link at exactly the threshold shares no bucket with probability under 1e-8.
 
 Components come from label propagation on tables in the shared folder; nothing of the documents passes through the
 driver.
 
 Nulls: a null text, or one without words, has an empty set, links with nothing and is kept. Fewer words than a shingle: the whole
-sequence is the only shingle. A null id takes part as the largest id. Repeated rows are copies of each other; rows
-that repeat an id share its component. An empty table gives an empty result. Input columns are not overwritten.
+sequence is the only shingle. Every row is a node of its own: rows with null or repeated ids take part like others,
+and rows that share an id but not a text are not linked by that. A component's id is the smallest of its ids, null where
+all are null; one of its rows (by id, nulls last, then the text's SHA-256) is marked as its leader, so are all rows
+that equal it. An empty table gives an empty result. Input columns are not overwritten.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, te
 ROWS, BANDS, BITS, PARITY, SEED = 3, 21, 4, 4_096, 3
 K = 64
 BLOCK, SLACK = 512, 0.27
+#: Rows up to which a counted table of keys is broadcast; larger ones are joined by a shuffle.
+FEW = 100_000
 MEMO = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _random = np.random.default_rng(SEED)
@@ -103,35 +109,33 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_key, bands, bits, odd) of every document; texts don't leave their task."""
+    """(doc_id, text_key, n, set_key, bands, bits, odd) of every document; texts don't leave their task. text_key: the
+    text's SHA-256 in hexadecimal, as F.sha2 has it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, seen = Words(), {}
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                known = hash(text)
+                known = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
                 if known not in seen:
                     if len(seen) > 2_000:
                         seen.clear()
                     s = shingles(text, size, memo)
                     if len(s):
                         m = minima(s)
-                        seen[known] = (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(m), b_bits(m), parity(s))
+                        seen[known] = (known, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(m), b_bits(m), parity(s))
                     else:
-                        seen[known] = (0, None, None, None, None)
+                        seen[known] = (known, 0, None, None, None, None)
                 rows.append(seen[known])
-            found = pd.DataFrame(rows, columns=["n", "set_key", "bands", "bits", "odd"])
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), found], axis=1)
+            found = pd.DataFrame(rows, columns=["text_key", "n", "set_key", "bands", "bits", "odd"])
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True).astype({"doc_id": "Int64"}), found], axis=1)
         memo.clear()
         release()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     with arrow_rows(docs.sparkSession):
-        return materialize(rows.mapInPandas(run, "doc_id long, n long, set_key binary, bands array<long>, bits binary, odd binary"), "near-signatures")
-
-
-POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+        return materialize(rows.mapInPandas(run, "doc_id long, text_key string, n long, set_key binary, bands array<long>, bits binary, odd binary"), "near-signatures")
 
 
 def _possible(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
@@ -159,10 +163,14 @@ def _possible(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
 
 
 def _pairs_of(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: float, forest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller id, larger id) of a block pair: a spanning forest of the possible links, or all between components."""
+    """Pairs (smaller number, larger number) of classes: a spanning forest of the possible links between rows of a and
+    of b, or all between components. same: a and b are one block; else b may hold rows of a's kind (side 0), and a pair
+    of two such is taken up where a has the smaller one."""
     apart = _possible(a, b, threshold)
     if same:
         apart[np.tril_indices(len(a))] = -1
+    else:
+        apart[(b["outside"].to_numpy(bool)[None]) & (b["cid"].to_numpy()[None] <= a["cid"].to_numpy()[:, None])] = -1
     ca, cb = a["comp"].to_numpy(), b["comp"].to_numpy()
     apart[ca[:, None] == cb[None]] = -1
     i, j = np.nonzero(apart >= 0)
@@ -185,13 +193,29 @@ def _pairs_of(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: float, fo
             yield int(low[k]), int(high[k])
 
 
-def _search(members: DataFrame, sketches: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """(a, b) pairs to confirm, from (bucket, cid, comp) rows of buckets with more than one component."""
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = sized.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j")))
-    dealt = placed.withColumn("p", F.explode(pairs)).select("bucket", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "blk", "cid", "comp")
+def _alone(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, outside, cid, comp): each block of rows (bucket, m, cid, comp) by itself."""
+    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK)).cast("int")
+    return members.select("bucket", block.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), F.lit(True).alias("outside"), "cid", "comp")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, outside, cid, comp): blocks of members outside their bucket's largest component (side 0),
+    each with every block of the bucket's members (side 1)."""
+    by = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = by.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    sizes = sizes.select("bucket", F.col("top.comp").alias("largest"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("left"), F.ceil(F.col("n") / BLOCK).cast("int").alias("right"))
+    placed = members.join(sizes, "bucket").withColumn("outside", F.col("comp") != F.col("largest"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    as_left = F.transform(every("right"), lambda x: F.struct(own("left").alias("i"), x.alias("j"), F.lit(0).alias("side")))
+    as_right = F.transform(every("left"), lambda x: F.struct(x.alias("i"), own("right").alias("j"), F.lit(1).alias("side")))
+    at = F.explode(F.when(F.col("outside"), F.concat(as_left, as_right)).otherwise(as_right))
+    return placed.withColumn("at", at).select("bucket", "at.i", "at.j", "at.side", "outside", "cid", "comp")
+
+
+def _search(dealt: DataFrame, sketches: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """(a, b) pairs of classes to confirm, from rows of _alone or _across."""
     rows = dealt.join(sketches.select("cid", "n", "bits", "odd"), "cid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,9 +225,9 @@ def _search(members: DataFrame, sketches: DataFrame, threshold: float, forest: b
         def close(group: pd.DataFrame) -> list[tuple[int, int]]:
             if len(group) < 2:
                 return []
-            if group["i"].iloc[0] == group["j"].iloc[0]:
+            if group["j"].iloc[0] < 0:
                 return list(_pairs_of(group, group, True, threshold, forest))
-            a, b = group[group["blk"] == group["i"]], group[group["blk"] == group["j"]]
+            a, b = group[group["side"] == 0], group[group["side"] == 1]
             return list(_pairs_of(a, b, False, threshold, forest)) if len(a) and len(b) else []
 
         for batch in batches:
@@ -224,15 +248,24 @@ def _search(members: DataFrame, sketches: DataFrame, threshold: float, forest: b
         if held:
             yield pd.DataFrame(close(held[0]), columns=["a", "b"], dtype="int64")
 
-    ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+    ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "cid")
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b, link) with link decided on the full sets of both texts."""
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
-    first = pairs.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = first.join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """The rows, marked for a broadcast join only where a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b, link) with link decided on the full sets of both classes, from one text of each class that is asked for."""
+    pairs = materialize(pairs, "near-pairs")
+    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    keys = materialize(classes.select("cid", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key")).join(asked, "cid", "left_semi"), "near-asked")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_key", F.sha2("text", 256))
+    found = text.join(few(keys), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("cid", "text")
+    # rows that repeat id and text have equal sets: any of them will do
+    both = pairs.join(found.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Words()
@@ -250,12 +283,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int,
         return materialize(both.mapInPandas(run, "a long, b long, link boolean").groupBy("a", "b").agg(F.max("link").alias("link")), "near-confirmed")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, comp): smallest id reachable over links (a, b), for every id that has one. Labels travel along links and
-    jump to their label's label, each round a table in the shared folder."""
+    jump to their label's label, each round a table in the shared folder, until none moves (they only ever fall)."""
     edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-edges")
     labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")), "near-labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, F.col("id") == F.col("a")).select("id", "comp", F.least("comp", "near").alias("to"))
         hop = labels.select(F.col("id").alias("to"), F.col("comp").alias("next"))
@@ -264,36 +297,67 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("id", F.col("new").alias("comp"))
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(bucket, m, cid) of buckets with m > 1 members. Large buckets are few; they are told apart first, so that their
+    members are not dealt by bucket."""
+    buckets = classes.select("cid", F.explode("bands").alias("bucket"))
+    shared = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-shared")
+    large = few(shared.where(F.col("m") > BLOCK).select("bucket", F.col("m").alias("many")))
+    marked = buckets.join(large, "bucket", "left")
+    rest = marked.where("many is null").join(shared.where(F.col("m") <= BLOCK), "bucket").select("bucket", "m", "cid")
+    return materialize(marked.where("many is not null").select("bucket", F.col("many").alias("m"), "cid").unionByName(rest), "near-buckets")
 
 
 def near_duplicates(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; links: threshold[1] * shared >= threshold[0] * union."""
+    """(doc_id, n_shingles, component_id, kept, text_key, leader) of every row; links: threshold[1] * shared >=
+    threshold[0] * union. kept: the row has its component's id; leader: the row, or one that equals it, stands for its
+    component."""
     least = threshold[0] / threshold[1]
     rows = signatures(docs, size)
-    whole = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.min(F.struct("n", "bands", "bits", "odd")).alias("s"))
-    classes = materialize(whole.select("set_key", "cid", "s.*"), "near-classes")
+    # of a component or class: its smallest row, nulls last
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    whole = rows.where("n > 0").groupBy("set_key").agg(smallest.alias("first"), F.min(F.struct("n", "bands", "bits", "odd")).alias("s"))
+    classes = materialize(whole.select(F.monotonically_increasing_id().alias("cid"), "set_key", "first", "s.*"), "near-classes")
     sketches = classes.select("cid", "n", "bits", "odd")
-    buckets = classes.select("cid", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = materialize(buckets.join(shared, "bucket"), "near-buckets")
-    tried = _confirm(_search(members.withColumn("comp", F.col("cid")), sketches, least, True), docs, size, threshold)
+    members = _members(classes)
+    tried = _confirm(_search(_alone(members.withColumn("comp", F.col("cid"))), sketches, least, True), classes, docs, size, threshold)
     found = components(tried.where("link"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    def with_more(more: DataFrame) -> DataFrame:
+        nonlocal found
+        if more.where("link").limit(1).count():
+            found = components(tried.unionByName(more).where("link"))
+        return tried.unionByName(more)
+
+    large = members.where(F.col("m") > BLOCK)
+    if large.limit(1).count():
+        crossed = materialize(_across(labelled(large)), "near-across")
+        if crossed.limit(1).count():
+            tried = with_more(_confirm(_search(crossed, sketches, least, True), classes, docs, size, threshold))
     failed = tried.where("not link").select("a", "b")
     if failed.limit(1).count():
         # buckets that hold both ends of a failed pair: all possible pairs between their components
         ends = failed.join(members.select(F.col("cid").alias("a"), "bucket"), "a").join(members.select(F.col("cid").alias("b"), "bucket"), ["b", "bucket"], "left_semi")
-        again = members.join(ends.select("bucket").distinct(), "bucket", "left_semi").join(found.withColumnRenamed("id", "cid"), "cid", "left")
-        again = materialize(again.select("bucket", "cid", F.coalesce("comp", "cid").alias("comp")), "near-again")
+        again = materialize(labelled(members.join(ends.select("bucket").distinct(), "bucket", "left_semi")), "near-again")
         open_ = again.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-        rest = _search(again.join(open_, "bucket", "left_semi"), sketches, least, False).join(failed, ["a", "b"], "left_anti")
-        more = _confirm(rest, docs, size, threshold).where("link")
-        if more.limit(1).count():
-            found = components(tried.where("link").select("a", "b").union(more.select("a", "b")))
-    of_class = classes.select("set_key", "cid").join(found, F.col("cid") == F.col("id"), "left").select("set_key", F.coalesce("comp", "cid").alias("comp"))
-    of_row = rows.select("doc_id", "n", "set_key").join(of_class, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
-    return of_row.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        again = again.join(open_, "bucket", "left_semi")
+        dealt = _alone(again.where(F.col("m") <= BLOCK)).unionByName(_across(again.where(F.col("m") > BLOCK)))
+        with_more(_confirm(_search(dealt, sketches, least, False).join(failed, ["a", "b"], "left_anti"), classes, docs, size, threshold))
+    linked = classes.select("cid", "set_key", "first").join(found, F.col("cid") == F.col("id"))
+    tops = linked.groupBy("comp").agg(F.min("first").alias("top"))
+    of_class = classes.select("set_key", "first").join(linked.join(tops, "comp").select("set_key", "top"), "set_key", "left").select("set_key", F.coalesce("top", "first").alias("top"))
+    # ids that are not null come first, so the smallest row has the smallest id
+    of_row = rows.select("doc_id", "text_key", "n", "set_key").join(of_class, "set_key", "left")
+    component = F.when(F.col("n") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id"))
+    leads = F.when(F.col("n") > 0, F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("text_key") == F.col("top.text_key"))).otherwise(True)
+    return of_row.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", leads.alias("leader"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), 3, (85, 100))
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), 3, (85, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

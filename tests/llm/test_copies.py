@@ -42,35 +42,70 @@ def docs(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string, part string, th string").repartition(3)
 
 
+def brute_groups(rows, size, threshold):
+    """(doc_id, shingles, component id, kept) of each row; every row is a node."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+
+    sets, root = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and threshold[1] * n >= threshold[0] * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(r[0], least.get(find(i), r[0]))
+    return Counter((r[0], len(sets[i]), least.get(find(i)), r[0] == least.get(find(i))) for i, r in enumerate(rows))
+
+
+def near(rows, size, threshold):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(rows, size, threshold).collect())
+
+
+#: Near copies with null ids, ids that unlike texts share, groups of null ids alone.
+LONG = text(120)
+ODD = [(None, edited(LONG, 1), "p", "t"), (None, edited(LONG, 2), "p", "t"), (7001, LONG, "p", "t"), (7001, text(60), "p", "t"), (7000, LONG, "p", "t"), (7001, LONG, "p", "t"),
+       (None, WORDS[0] + " only nulls here", "p", "t"), (None, WORDS[0] + " ONLY nulls here", "p", "t"), (None, "", "p", "t"), (None, None, "p", "t")]
+
+
 def test_near_duplicates_equal_brute_force(spark):
+    rows = ROWS + ODD
     for size, threshold in ((3, (85, 100)), (5, (8, 10))):
-        def shingles(t, size=size):
-            w = (t or "").encode().lower().split()
-            return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
-
-        ids = [(1 << 63) - 1 if r[0] is None else r[0] for r in ROWS]
-        sets, root = [shingles(r[1]) for r in ROWS], {i: i for i in ids}
+        frame = spark.createDataFrame(rows, "doc_id long, text string, part string, th string").repartition(3)
+        assert near(frame, size, threshold) == brute_groups(rows, size, threshold)
 
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
 
-        for i in range(len(ROWS)):
-            for j in range(i):
-                n = len(sets[i] & sets[j])
-                if n and threshold[1] * n >= threshold[0] * len(sets[i] | sets[j]):
-                    a, b = find(ids[i]), find(ids[j])
-                    root[max(a, b)] = min(a, b)
-        want = Counter((i, len(s), find(i), find(i) == i) for i, s in zip(ids, sets))
-        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark), size, threshold).collect())
-        assert got == want
+def test_leaders_are_one_row_of_each_group(spark):
+    rows = ROWS + ODD
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, part string, th string"), 3, (85, 100)).collect()
+    by: dict = defaultdict(set)
+    for r in found:
+        if r["leader"] and r["n_shingles"]:
+            by[r["component_id"]].add((r["doc_id"], r["text_key"]))
+    assert by and all(len(v) == 1 for k, v in by.items() if k is not None and k != 7001)
+    assert len(by[7000]) == 1 and len(by[7001]) == 1
+    assert all(r["leader"] for r in found if not r["n_shingles"])
 
 
 def test_blocks_and_failed_pairs_change_nothing(spark, monkeypatch):
-    whole = sorted(map(tuple, neardup.near_duplicates(docs(spark), 3, (85, 100)).collect()))
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    assert sorted(map(tuple, neardup.near_duplicates(docs(spark), 3, (85, 100)).collect())) == whole
+    """Buckets of several blocks: each block alone, then members outside the largest component against all."""
+    whole = near(docs(spark), 3, (85, 100))
+    crossed = []
+    across = neardup._across
+    monkeypatch.setattr(neardup, "_across", lambda m: crossed.append(1) or across(m))
+    for block in (8, 2):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert near(docs(spark), 3, (85, 100)) == whole
+    assert crossed
 
 
 def test_sketches_never_rule_out_a_link():

@@ -49,3 +49,14 @@ def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.queries())
     assert numbers == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_near_duplicate_stage_loses_no_unlike_text(spark):
+    dice = random.Random(9)
+    long = " ".join(dice.choice(WORDS) for _ in range(99))
+    near = long.replace(long.split(" ")[50], "otherwise", 1)
+    other = " ".join(dice.choice(WORDS) for _ in range(40))
+    rows = [(3, long), (5, long), (5, other), (None, near), (None, near), (None, other + " x y z w v u t s r q p o n m"), (8, ""), (8, ""), (None, None), (9, other + " z"), (5, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((str(r["doc_id"]), r["text"] or "") for r in pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect())
+    assert left == sorted([("3", long), ("5", other), ("None", rows[5][1]), ("8", ""), ("8", ""), ("None", "")])
