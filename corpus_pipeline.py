@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import mixing, neardup, packing, secrets, toxicity
-from pulsegrid.llm.shared import documents, materialize
+from pulsegrid.llm.shared import WORD, documents, materialize, text_or_empty
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,12 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id: five-word shingles, 0.8 or more."""
-    found = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), 5, (8, 10)), "near-components")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    # rows that repeat both id and text are copies too; the join has dealt them by id already
-    left = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
-    return left.withColumn("th", F.sha2("text", 256)).dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
+    """One row of each group of near-duplicates, the one with the smallest id: five-word shingles, 0.8 or more. Rows are
+    told apart by id and text, so an unlike text under the same id stays; of rows alike in both, one stays. Texts
+    without words are no duplicates of anything."""
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), 5, (8, 10))
+    gone = found.where("not leader").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    text = text_or_empty()
+    rows = docs.select(*COLUMNS, F.sha2(text, 256).alias("text_key"))
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
+    alone = F.when(text.rlike(WORD), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    # the join has dealt the rows by id and text already
+    return left.withColumn("alone", alone).dropDuplicates(["doc_id", "text_key", "alone"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
