@@ -2,15 +2,19 @@
 
 Equal vectors are one class (its smallest ids stand for it), so a vector that very many rows share is indexed and
 searched once. A bounded sample of classes is clustered into balanced lists: k-means whose large clusters are split
-again. Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm, 0 for queries.
-Every class goes to its nearest centroid's list and, near a boundary, to further lists whose centroid is nearly as
-near (a relative neighbourhood rule keeps those lists apart). A query finds centroids by best-first search in a
-neighbour graph over the centroids, and searches the lists whose distance is at most RATIO times the nearest's, and
-more of them in order of distance until they hold enough classes. Lists are searched in blocks of bounded size on
-both sides; scores are inner products of the original components in double precision.
-
-Fitted on a sample: centroids only (at most SAMPLE vectors). Indexed and searched: every row. Recall, against brute
-force, is tested to be at least 0.9.
+again; where more lists are asked for than the driver's sample can carry, tasks cluster each list's own sample once
+more. Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm, 0 for queries.
+Every class goes to its nearest centroid's list and, where it lies at the boundary to others, to theirs as well: at
+most EDGE of the way from the bisecting plane to its own centroid. A query finds centroids by best-first search in a
+neighbour graph over the centroids, and searches the lists whose distance is at most a ratio times the nearest's, and
+more of them in order of distance until they hold enough classes. The ratio is fitted: the least at which vectors of
+the sample find RECALL of their true neighbours within the sample. On clustered vectors it stays near 1; on vectors
+without any structure, distances to all centroids are alike and it selects many lists. Lists are searched in blocks of
+bounded size on both sides; scores are inner products of the original components in double precision.
+
+Fitted on a sample: centroids and the ratio (at most SAMPLE vectors on the driver, SECOND for each list in tasks).
+Indexed and searched: every row. Recall, against brute force, is tested to be at least 0.9. Beyond MOST_LISTS lists
+of LIST classes, lists grow with the data.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id
 or vectors of another length than most. Rows that repeat an id and vector count once; a query never finds its own
@@ -29,12 +33,12 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.shared import documents, materialize
 
-#: Neighbours; classes meant for a list; most vectors and bytes of the sample; most lists for each sampled vector.
-NEAREST, LIST, SAMPLE, SAMPLE_BYTES, PER_LIST = 20, 512, 65_536, 32_000_000, 16
-#: Lists searched up to this ratio to the nearest centroid's distance; lists a class goes to; their ratio.
-RATIO, COPIES, COPY_RATIO = 1.16, 4, 1.08
-#: Classes and queries of one block; links of a centroid; rows handled at once.
-BLOCK, QUERY_BLOCK, DEGREE, TOGETHER, SEED = 4_096, 2_048, 24, 512, 11
+#: Neighbours; classes meant for a list; most lists; most vectors and bytes of the driver's sample; sampled vectors for each list, on the driver and in tasks.
+NEAREST, LIST, MOST_LISTS, SAMPLE, SAMPLE_BYTES, PER_LIST, SECOND = 20, 256, 65_536, 65_536, 32_000_000, 16, 32
+#: Share of true neighbours that the fitted ratio finds within the sample; its queries; the ratio where nothing can be fitted; lists a class goes to; its place between the bisecting plane (0) and its own centroid (1).
+RECALL, ASKED, RATIO, COPIES, EDGE = 0.95, 256, 1.2, 4, 0.05
+#: Classes and queries of one block; links of a centroid; rows handled at once; distances held at once.
+BLOCK, QUERY_BLOCK, DEGREE, TOGETHER, HELD, SEED = 4_096, 2_048, 24, 512, 4_000_000, 11
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -133,67 +137,125 @@ def _graph(raw: bytes, width: int) -> CentroidGraph:
 
 
 class Index:
-    """Broadcast: the centroids, of bounded size. norm: the largest norm."""
+    """Broadcast: the centroids, of bounded size. norm: the largest norm; ratio: of distances, for pruning."""
 
-    def __init__(self, spark: SparkSession, centroids: np.ndarray, norm: float):
-        self.width, self.norm, self.lists = centroids.shape[1], norm, len(centroids)
+    def __init__(self, spark: SparkSession, centroids: np.ndarray, norm: float, ratio: float = RATIO):
+        self.width, self.norm, self.lists, self.ratio = centroids.shape[1], norm, len(centroids), ratio
         self.raw = spark.sparkContext.broadcast(centroids.tobytes())
 
     def graph(self) -> CentroidGraph:
         return _graph(self.raw.value, self.width)
 
+    def together(self) -> int:
+        """Rows to search the graph for at once."""
+        return max(16, min(TOGETHER, HELD // self.lists))
+
 
 def lift(x: np.ndarray, norm: float) -> np.ndarray:
     """The further coordinate of indexed vectors."""
     return np.concatenate([x, np.sqrt(np.maximum(norm**2 - (x * x).sum(1), 0))[:, None]], axis=1)
 
 
-def fit(found: DataFrame, size: int = LIST) -> Index:
+def asking(x: np.ndarray) -> np.ndarray:
+    """The further coordinate of queries."""
+    return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+
+
+def homes(graph: CentroidGraph, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, whether a vector goes there): the nearest, and those to which it is at the boundary."""
+    near, far = graph.search(lifted, 2 * COPIES)
+    gap = ((graph.c[near] - graph.c[near[:, :1]]) ** 2).sum(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        place = (far**2 - far[:, :1] ** 2) / gap  # 0 on the bisecting plane, 1 at the own centroid
+    keep = np.isfinite(far) & (gap > 0) & (place <= EDGE)
+    keep[:, 0] = True
+    return near, keep & (np.cumsum(keep, axis=1) <= COPIES)
+
+
+def fitted_ratio(x: np.ndarray, graph: CentroidGraph, norm: float, nearest: int) -> float:
+    """The least ratio of distances at which vectors of the sample find RECALL of their nearest in the sample."""
+    if len(x) <= nearest + 1 or len(graph.c) < 2:
+        return RATIO
+    asked = np.unique(np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int))
+    needed = []
+    for i in range(0, len(asked), 32):
+        own = asked[i : i + 32]
+        score = x[own] @ x.T
+        score[np.arange(len(own)), own] = -np.inf
+        best = np.argpartition(-score, nearest, axis=1)[:, :nearest]
+        away = np.sqrt(squared(asking(x[own]), graph.c))
+        ratio = away / np.maximum(away.min(1, keepdims=True), 1e-300)
+        near, keep = homes(graph, lift(x[best.reshape(-1)], norm))
+        there = np.where(keep, ratio[np.repeat(np.arange(len(own)), nearest)[:, None], near], np.inf)
+        needed.append(there.min(1))
+    return float(np.quantile(np.concatenate(needed), RECALL)) + 1e-9
+
+
+def _second_level(found: DataFrame, first: Index, lists: int, n: int) -> np.ndarray:
+    """Centroids of the first level's lists clustered once more, each in a task, from about SECOND vectors a list."""
+    share = min(1.0, SECOND * lists / n)
+    sample = found.where(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(1_000_000_000)) < int(share * 1_000_000_000) + 1)
+    drawn = materialize(assign(sample, first, copies=False), "second-sample")
+    norm = first.norm
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cid")
+        x = np.frombuffer(b"".join(group["v"])).reshape(len(group), -1)
+        c = balanced_centroids(lift(x, norm), max(1, round(len(x) / SECOND)))
+        return pd.DataFrame({"list": group["list"].iloc[0], "c": [v.tobytes() for v in c]})
+
+    rows = drawn.groupBy("list").applyInPandas(split, "list int, c binary").orderBy("list", "c").collect()  # about MOST_LISTS at most
+    return np.frombuffer(b"".join(bytes(r["c"]) for r in rows)).reshape(len(rows), -1)
+
+
+def fit(found: DataFrame, size: int = LIST, nearest: int = NEAREST) -> Index:
     spark = found.sparkSession
     stats = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), F.max(F.size("v")).alias("d")).first()
     n, d = stats["n"], stats["d"] or 1
     most = max(256, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
     share = min(1.0, most / max(n, 1))
-    sample = found.where(F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(F.xxhash64("cid")).limit(most)
+    sample = found.where(F.pmod(F.xxhash64("cid"), F.lit(1_000_000_000)) < int(share * 1_000_000_000) + 1).orderBy(F.xxhash64("cid")).limit(most)
     x = np.array([r["v"] for r in sample.select("v").collect()]).reshape(-1, d)  # bounded by SAMPLE and SAMPLE_BYTES
     norm = float(np.sqrt(stats["norm"] or 0.0))
-    lists = max(1, min(-(-n // size), len(x) // PER_LIST))
-    return Index(spark, balanced_centroids(lift(x, norm), lists) if len(x) else np.zeros((1, d + 1)), norm)
-
-
-def assign(found: DataFrame, index: Index) -> DataFrame:
+    if not len(x):
+        return Index(spark, np.zeros((1, d + 1)), norm)
+    lists = max(1, min(MOST_LISTS, -(-n // size)))
+    index = Index(spark, balanced_centroids(lift(x, norm), min(lists, max(1, len(x) // PER_LIST))), norm)
+    if lists > 2 * index.lists:
+        index = Index(spark, _second_level(found, index, lists, n), norm)
+    # the nearest among all are so many of the sample, as likely
+    index.ratio = fitted_ratio(x, index.graph(), norm, max(2, -(-nearest * len(x) // n)))
+    return index
+
+
+def assign(found: DataFrame, index: Index, copies: bool = True) -> DataFrame:
     """(list, cid, v as bytes) rows of the posting lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = index.graph()
-        between = np.sqrt(squared(graph.c, graph.c)) if len(graph.c) <= 4096 else None
+        graph, step = index.graph(), index.together()
         for batch in batches:
-            for i in range(0, len(batch), TOGETHER):
-                part = batch.iloc[i : i + TOGETHER]
+            for i in range(0, len(batch), step):
+                part = batch.iloc[i : i + step]
                 x = np.stack(part["v"].to_numpy()).astype(float)
-                near, far = graph.search(lift(x, index.norm), 2 * COPIES)
-                keep = far <= COPY_RATIO * far[:, :1]
-                keep[:, 0] = True
-                for j in range(1, near.shape[1]):  # a list closer to one already taken than to the vector adds little
-                    gap = between[near[:, j, None], near[:, :j]] if between is not None else np.sqrt(((graph.c[near[:, j, None]] - graph.c[near[:, :j]]) ** 2).sum(-1))
-                    keep[:, j] &= ~((gap < far[:, j, None]) & keep[:, :j]).any(1) & (keep[:, :j].sum(1) < COPIES)
-                row, col = np.nonzero(keep)
+                near, keep = homes(graph, lift(x, index.norm))
+                row, col = np.nonzero(keep) if copies else (np.arange(len(x)), np.zeros(len(x), int))
                 raw = [r.tobytes() for r in x]
                 yield pd.DataFrame({"list": near[row, col], "cid": part["cid"].to_numpy()[row], "v": [raw[r] for r in row]})
 
     return found.select("cid", "v").mapInPandas(run, "list int, cid long, v binary")
 
 
-def probe(queries: DataFrame, index: Index, sizes: np.ndarray, enough: int, ratio: float = RATIO) -> DataFrame:
+def probe(queries: DataFrame, index: Index, sizes: np.ndarray, enough: int, ratio: float | None = None) -> DataFrame:
     """(list, qid, v) rows: the lists that each query searches."""
+    ratio = index.ratio if ratio is None else ratio
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = index.graph()
+        graph, step = index.graph(), index.together()
         for batch in batches:
-            for i in range(0, len(batch), TOGETHER):
-                part = batch.iloc[i : i + TOGETHER]
+            for i in range(0, len(batch), step):
+                part = batch.iloc[i : i + step]
                 x = np.stack(part["v"].to_numpy()).astype(float)
-                lifted, width = np.concatenate([x, np.zeros((len(x), 1))], axis=1), 64
+                lifted, width = asking(x), 64
                 while True:  # wide enough when the farthest that was met is beyond what is asked for
                     near, far = graph.search(lifted, width)
                     held = np.where(np.isfinite(far), sizes[near], 0).cumsum(1)
@@ -214,11 +276,7 @@ def _blocks(rows: DataFrame, key: str, size: int) -> dict[int, int]:
     return {r["list"]: -(-r["count"] // size) for r in rows.groupBy("list").count().collect()}
 
 
-def _number(blocks: dict[int, int], lists: int) -> Column:
-    return F.element_at(F.array(*[F.lit(blocks.get(i, 1)) for i in range(lists)]), F.col("list") + 1) if lists <= 256 else F.coalesce(F.create_map(*[F.lit(x) for p in blocks.items() for x in p])[F.col("list")], F.lit(1))
-
-
-def search(found: DataFrame, queries: DataFrame, nearest: int, index: Index, ratio: float = RATIO) -> DataFrame:
+def search(found: DataFrame, queries: DataFrame, nearest: int, index: Index, ratio: float | None = None) -> DataFrame:
     """(qid, hits: array<struct<loss: -score, cid>>): for each query class its nearest + 1 best classes met."""
     posted = materialize(assign(found, index), "posting-lists")
     first = found.sparkSession.createDataFrame
@@ -256,13 +314,13 @@ def search(found: DataFrame, queries: DataFrame, nearest: int, index: Index, rat
     return whole.withColumn("h", ordered).select("qid", F.slice(once, 1, nearest + 1).alias("hits"))
 
 
-def nearest_neighbours(rows: DataFrame, is_query: Column, key: str, vector: str, nearest: int = NEAREST, ratio: float = RATIO, size: int = LIST) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, is_query: Column, key: str, vector: str, nearest: int = NEAREST, ratio: float | None = None, size: int = LIST) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows for which is_query (of column id) holds, against all rows."""
     kept = valid(rows, key, vector)
     found = materialize(classes(kept, nearest + 1), "classes")
-    index = fit(found, size)
-    asking = kept.where(is_query).select(F.col("id").alias("query_id"), "v").distinct()
-    members = materialize(asking.join(found.select("v", "cid"), "v").select("query_id", "cid"), "query-classes")
+    index = fit(found, size, nearest)
+    queries = kept.where(is_query).select(F.col("id").alias("query_id"), "v").distinct()
+    members = materialize(queries.join(found.select("v", "cid"), "v").select("query_id", "cid"), "query-classes")
     hits = search(found, found.join(members.select("cid").distinct(), "cid", "left_semi"), nearest, index, ratio)
     ids = hits.select("qid", F.explode("hits").alias("h")).join(found.select(F.col("cid").alias("h_cid"), "ids"), F.col("h.cid") == F.col("h_cid"))
     best = ids.select("qid", (-F.col("h.loss")).alias("score"), F.explode("ids").alias("vec_id"))

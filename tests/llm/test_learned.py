@@ -42,6 +42,41 @@ def test_neighbours_reach_the_recall_and_order_ties(spark):
             assert abs(r["score"] - float(np.dot(x[q].astype(float), x[r["vec_id"]].astype(float)))) < 1e-12
 
 
+def measured(spark, x, lists_of=64, monkeypatch=None):
+    """(index, rows for each vector, share of postings that a query scores, recall) against brute force."""
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.materialize(neighbours.classes(neighbours.valid(table, "vec_id", "embedding"), 21), "test-classes")
+    index = neighbours.fit(found, lists_of)
+    posted = neighbours.assign(found, index).groupBy("list").count().collect()
+    sizes = np.bincount([r["list"] for r in posted], [r["count"] for r in posted], index.lists)
+    asked = neighbours.probe(found.where("cid % 20 = 0"), index, sizes, 84).groupBy("qid").agg(F.collect_list("list").alias("l")).collect()
+    share = np.mean([sizes[r["l"]].sum() for r in asked]) / len(x)
+    got: dict = {}
+    for r in neighbours.nearest_neighbours(table, F.col("id") % 20 == 0, "vec_id", "embedding", size=lists_of).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hits = [len(got[q] & set(np.argsort(-score[q], kind="stable")[:20].tolist())) / 20 for q in range(0, len(x), 20)]
+    return index, sizes.sum() / len(x), share, np.mean(hits)
+
+
+def test_boundary_replicas_and_pruning_of_clustered_vectors(spark, monkeypatch):
+    dice = np.random.default_rng(5)
+    x = dice.normal(size=(60, 24))[dice.integers(0, 60, 4000)] + 0.5 * dice.normal(size=(4000, 24))
+    index, rows, share, recall = measured(spark, x)
+    assert index.lists > 30 and 1.0 < rows < 2 and share < 0.25 and recall >= 0.9
+    # a small sample on the driver: tasks cluster the lists once more
+    monkeypatch.setattr(neighbours, "SAMPLE", 256)
+    second, rows, share, recall = measured(spark, x)
+    assert second.lists > 32 and rows > 1.0 and share < 0.3 and recall >= 0.9
+
+
+def test_vectors_without_structure_reach_the_recall_by_more_lists(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 24))
+    _, rows, share, recall = measured(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
+    assert rows > 1.0 and recall >= 0.9 and share < 1.2
+
+
 def test_few_candidates_are_all_returned(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest_neighbours(table, F.col("id") % 20 == 0, "vec_id", "embedding").collect()
