@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, size: int, threshold: tuple[int, int]) -> D
         with_more(_confirm(_search(dealt, sketches, least, False).join(failed, ["a", "b"], "left_anti"), classes, docs, size, threshold))
     linked = classes.select("cid", "set_key", "first").join(found, F.col("cid") == F.col("id"))
     tops = linked.groupBy("comp").agg(F.min("first").alias("top"))
-    of_class = classes.select("set_key", "first").join(linked.join(tops, "comp").select("set_key", "top"), "set_key", "left").select("set_key", F.coalesce("top", "first").alias("top"))
+    of_class = classes.select("cid", "set_key", "first").join(linked.join(tops, "comp").select("cid", "top"), "cid", "left").select("set_key", F.coalesce("top", "first").alias("top"))
+    of_class = materialize(of_class, "near-tops")  # so that the join that follows can split the rows of a set that very many have
     # ids that are not null come first, so the smallest row has the smallest id
     of_row = rows.select("doc_id", "text_key", "n", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id"))

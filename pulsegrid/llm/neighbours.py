@@ -292,7 +292,7 @@ def search(found: DataFrame, queries: DataFrame, nearest: int, index: Index, rat
 
     def score(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "losses": [], "cids": []})
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "losses": pd.Series(dtype=object), "cids": pd.Series(dtype=object)})
         c = c.sort_values("cid")
         x, ids = np.frombuffer(b"".join(c["v"])).reshape(len(c), -1), c["cid"].to_numpy()
         out = []

@@ -154,3 +154,13 @@ def test_without_labels_or_documents(spark):
         model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
         assert {r["toxic_score"] for r in toxicity.score(table, model).collect()} == {want}
     assert toxicity.score(table.limit(0), model).count() == 0
+
+
+def test_lists_without_queries_or_with_them_alone(spark):
+    dice = np.random.default_rng(2)
+    x = dice.normal(size=(8, 6))[np.arange(400) % 8] * 5 + 0.01 * dice.normal(size=(400, 6))
+    x[0], x[20] = x[1], x[9]  # queries in two of eight clusters
+    keep = [i for i in range(400) if i % 20 or i in (0, 20)]
+    table = spark.createDataFrame([(i, x[i].tolist()) for i in keep], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(table, F.col("id") % 20 == 0, "vec_id", "embedding", nearest=5, size=20).collect()
+    assert len(got) == 10
