@@ -1,24 +1,32 @@
 """Toxicity from nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, short word prefixes, and prefixes that several words of a document share. From at most EXAMPLES labelled documents (half of the bound for each label,
-chosen by a hash of the id) the terms are kept that mark toxic documents far beyond chance: n * KL(t/n, base rate)
-must exceed the logarithm of the number of terms of that kind over NOISE, and the odds rise at least ODDS times. Document frequencies of these terms are
-counted over all documents. A document's vector holds the TF-IDF of the kept terms; its neighbours are the NEAREST
-examples by cosine, found exactly: examples are laid out in blocks, each term stores its largest weight by block,
-the blocks of the highest upper bounds are scored, then those others that could still hold a nearer example. Votes weighted by nearness give a raw
-score, which isotonic regression over the examples' leave-one-out votes turns into a probability. Documents without
-a kept term have the rate of toxic examples among such documents. As the bound cuts each label by itself, an example
-counts in votes, calibration and rates as the labelled documents of its label that it stands for. The choice of terms
-asks what chance would do in the sample itself, so it uses the sample's own rate. The neighbours' ids are returned as evidence.
+A document's vector has two parts. The words: every word, hashed to one of SLOTS terms, with its frequency in the
+document. The marks: words, short word prefixes, and prefixes that several words of a document share, of which at most
+TERMS are chosen from the examples because they mark toxic documents far beyond chance: n * KL(t/n, base rate) must
+exceed the logarithm of the number of terms of that kind over NOISE, and the odds rise at least ODDS times. Both parts
+are TF-IDF, the document frequencies counted over all documents, each of length 1; marks make up MARKED of the squared
+length of a vector that has any. (By words alone the few that make a long text toxic are lost among its others.) A
+vector holds the terms that occur in examples; those no example has can't bring one nearer than another.
+
+Examples are at most EXAMPLES labelled documents, half of the bound for each label, chosen by a hash of the id. A
+document's neighbours are the NEAREST of them by cosine, found exactly: examples are laid out in blocks of like ones,
+each term stores its largest weight by block, the blocks of the highest upper bounds are scored, then those others
+that could still hold a nearer example. Votes weighted by nearness give a raw score, which isotonic regression over
+the examples' leave-one-out votes turns into a probability, for documents with marks and for those with words alone
+each by its own. Documents without any term of an example have the rate of toxic examples among those without marks.
+As the bound cuts each label by itself, an example counts in votes, calibration and rates as the labelled documents of
+its label that it stands for. The choice of marks asks what chance would do in the sample itself, so it uses the
+sample's own rate. The neighbours' ids are returned as evidence.
 
 Nulls: a null text is empty; labels with a null id or label teach nothing; a null id is held out. Several labels of a document: the
-largest. Repeated rows are scored alike. Without labels of both kinds every score is the rate of label 1 (0 without
-any labels). An empty table gives an empty result.
+largest. Repeated rows are scored alike. Very long texts are read whole. Without labels of both kinds every score is
+the rate of label 1 (0 without any labels). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +39,13 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
-#: Labelled documents learned from; terms kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
-EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
+#: Labelled documents learned from; marks kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
+EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 6_000, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
 REPEATS = ((2, "2"), (4, "4"))
-#: Least odds of a toxic document among those with a kept term, against the odds among all examples.
-ODDS = 8
-MEMO = 250_000
+#: Least odds of a toxic document among those with a mark, against the odds among all examples; marks' share of a squared length; slots of words.
+ODDS, MARKED, SLOTS = 8, 0.9, 1 << 20
+#: Words a task remembers; documents and terms handled at once.
+MEMO, TOGETHER, TERMS_TOGETHER = 250_000, 64, 12_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-#@/\\|~`«»“”‘’…"
 
 
@@ -62,102 +71,153 @@ def base(term: str) -> str:
 
 
 class _Memo(dict):
-    """Word to itself without punctuation and those of its terms that matter, if any; bounded."""
+    """Word to its slot (-1: nothing is left of it) and the marks it has; bounded."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, marks: dict[str, int]):
         super().__init__()
-        self.bases = {base(t) for t in terms}
+        self.bases = {base(t) for t in marks}
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
+    def __missing__(self, word: str) -> tuple[int, tuple[str, ...]]:
         own = terms_of(word)
-        kept = [t for t in own if t in self.bases]
-        found = (own[0], *kept) if kept else ()
+        found = (zlib.crc32(own[0].encode("utf-8", "surrogatepass")) % SLOTS, tuple(t for t in own if t in self.bases)) if own else (-1, ())
         if len(self) >= MEMO:
             self.clear()
         self[word] = found
         return found
 
 
-def counts_of(text: str, memo: _Memo) -> dict[str, int]:
-    counts: Counter = Counter()
-    for found in set(filter(None, map(memo.__getitem__, set(text.lower().split())))):
-        counts.update(found[1:])
-    return with_repeats(counts) if counts else counts
+class Reader:
+    """Terms of texts: slots of words, and SLOTS + number of marks, with their frequencies."""
+
+    def __init__(self, marks: list[str]):
+        self.marks = {t: i for i, t in enumerate(marks)}
+        self.memo = _Memo(self.marks)
+
+    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, frequencies), by term; a mark's frequency is the number of different words that have it."""
+        words: dict[int, int] = {}
+        marked: dict[str, set[int]] = {}
+        for word, n in Counter(text.lower().split()).items():
+            slot, found = self.memo[word]
+            if slot >= 0:
+                words[slot] = words.get(slot, 0) + n
+                for t in found:
+                    marked.setdefault(t, set()).add(slot)
+        if marked:
+            for t, n in with_repeats({t: len(x) for t, x in marked.items()}).items():
+                i = self.marks.get(t)
+                if i is not None:
+                    words[SLOTS + i] = n
+        terms = np.fromiter(words.keys(), np.int64, len(words))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(words.values(), np.int64, len(words))[order]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each range, one after the other."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + size, size)
 
 
 class Model:
-    """terms: kept terms; idf: theirs; vectors: sparse examples ({term number: weight}, unit length); toxic, ids: of
-    the examples; weight: labelled documents that each stands for; steps: isotonic raw and calibrated scores; empty:
-    the score of documents without kept terms."""
-
-    def __init__(self, terms: list[str], idf: list[float]):
-        self.numbers, self.idf = {t: i for i, t in enumerate(terms)}, np.array(idf)
-        self.memo = _Memo(terms)
-        self.steps = (np.array([0.0]), np.array([0.0]))
+    """known: the examples' terms, in order; idf: theirs; ids, toxic: of the examples; weight: labelled documents that
+    each stands for; steps: raw and calibrated scores of documents with marks, and of those without; empty: the score of
+    documents without terms."""
+
+    def __init__(self, marks: list[str], known: np.ndarray, idf: np.ndarray):
+        self.marks, self.known, self.idf = marks, known, idf
+        self.steps = [(np.array([0.0]), np.array([0.0]))] * 2
         self.empty = 0.0
         self.build([], [], [])
 
-    def vector(self, text: str) -> tuple[tuple[int, float], ...]:
-        counts = counts_of(text, self.memo)
-        weights = {i: (1 + math.log(n)) * self.idf[i] for t, n in counts.items() if (i := self.numbers.get(t)) is not None}
-        norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-        return tuple(sorted((t, w / norm) for t, w in weights.items()))
-
-    def build(self, vectors: list, toxic: list[int], ids: list[int], stands: tuple[float, float] = (1.0, 1.0)) -> None:
-        """The block-max inverted index; examples with a common heaviest term lie together."""
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda x: x[1])[0], vectors[i], ids[i]))
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places among the known terms, weights), of length 1."""
+        at = np.searchsorted(self.known, terms)
+        on = (at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == terms) if len(self.known) else np.zeros(len(terms), bool)
+        at, marks = at[on], terms[on] >= SLOTS
+        weight = (1 + np.log(counts[on])) * self.idf[at]
+        for part, share in ((marks, MARKED), (~marks, 1 - MARKED)):
+            length = np.sqrt((weight[part] ** 2).sum())
+            if length:
+                weight[part] *= np.sqrt(share if marks.any() and not marks.all() else 1.0) / length
+        return at, weight
+
+    def marked(self, vector: tuple[np.ndarray, np.ndarray]) -> bool:
+        return bool(len(vector[0]) and self.known[vector[0][-1]] >= SLOTS)
+
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int], stands: tuple[float, float] = (1.0, 1.0)) -> None:
+        """The block-max inverted index: for each term its blocks, with their largest weight, and their postings.
+        Examples with a common heaviest mark, else a common most frequent kind of word, lie together."""
+
+        def like(i: int) -> tuple:
+            at, weight = vectors[i]
+            if not len(at):
+                return (2, 0)
+            return (0, int(at[weight.argmax()])) if self.marked(vectors[i]) else (1, int(at[(weight / self.idf[at]).argmax()]))
+
+        order = sorted(range(len(vectors)), key=lambda i: (like(i), ids[i]))
         self.toxic, self.ids = np.array([toxic[i] for i in order], float), np.array([ids[i] for i in order], np.int64)
         self.weight = np.where(self.toxic > 0, stands[1], stands[0])
-        blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(self.numbers), blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.numbers]
-        for at, i in enumerate(order):
-            for t, w in vectors[i]:
-                lists[t].append((at, w))
-                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], w)
-        self.postings = [(np.array([at for at, _ in p], np.int64), np.array([w for _, w in p])) for p in lists]
-        self.cache: dict = {}
-
-    def _scores(self, vector: tuple, live: np.ndarray) -> np.ndarray:
-        """Cosines of the examples in the live blocks, 0 elsewhere."""
-        at, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for t, w in vector:
-            examples, weights = self.postings[t]
-            on = live[examples // BLOCK]
-            at.append(examples[on])
-            weight.append(w * weights[on])
-        return np.bincount(np.concatenate(at), np.concatenate(weight), len(self.ids))
-
-    def nearest(self, vector: tuple, most: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the nearest, by cosine, then id; exact. The blocks of the highest bounds are scored
-        first; of the others, only those whose bound reaches the last neighbour found so far."""
-        if not vector or not len(self.ids):
-            return np.zeros(0, int), np.zeros(0)
-        bounds = np.array([w for _, w in vector]) @ self.most[[t for t, _ in vector]]
-        live = np.zeros(len(bounds), bool)
-        live[np.argsort(-bounds, kind="stable")[:FIRST]] = True
-        scores = self._scores(vector, live)
-        if but is not None:
-            scores[but] = 0
-        least = np.partition(scores, -most)[-most] if len(scores) >= most else 0.0
-        rest = (bounds >= least - 1e-12) & ~live & (bounds > 0)
-        if rest.any():
-            scores = scores + self._scores(vector, rest)
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        by = np.lexsort((example, term))
+        term, self.example, self.posted = term[by], example[by], weight[by]
+        key = term * self.blocks + self.example // BLOCK
+        self.start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.start, len(key)))
+        self.block = (key[self.start] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.posted, self.start) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(term[self.start], np.arange(len(self.known) + 1))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the nearest of each vector, by cosine, then id; exact. The blocks of the highest
+        bounds are scored first; of the others, only those whose bound reaches the last neighbour found so far."""
+        n = len(vectors)
+        if not len(self.ids):
+            return [(np.zeros(0, int), np.zeros(0))] * n
+        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        size = self.first[term + 1] - self.first[term]
+        entry, row, weight = _ranges(self.first[term], size), np.repeat(row, size), np.repeat(weight, size)
+        block = self.block[entry]
+        bounds = np.bincount(row * self.blocks + block, weight * self.most[entry], n * self.blocks).reshape(n, -1)
+
+        def scored(live: np.ndarray) -> np.ndarray:
+            """Cosines of the examples in each row's live blocks, 0 elsewhere."""
+            on = live[row, block]
+            e, length = entry[on], self.size[entry[on]]
+            at = _ranges(self.start[e], length)
+            found = np.bincount(np.repeat(row[on], length) * len(self.ids) + self.example[at], np.repeat(weight[on], length) * self.posted[at], n * len(self.ids)).reshape(n, -1)
             if but is not None:
-                scores[but] = 0
-            least = np.partition(scores, -most)[-most] if len(scores) >= most else 0.0
-        at = np.flatnonzero((scores >= least) & (scores > 0))
-        at = at[np.lexsort((self.ids[at], -scores[at]))][:most]
-        return at, scores[at]
-
-    def votes(self, vector: tuple, but: int | None = None) -> tuple[float, np.ndarray]:
-        at, near = self.nearest(vector, but=but)
+                found[np.arange(n), but] = 0
+            return found
+
+        def last(scores: np.ndarray) -> np.ndarray:
+            return np.partition(scores, -NEAREST, axis=1)[:, -NEAREST, None] if scores.shape[1] >= NEAREST else np.zeros((n, 1))
+
+        live = np.zeros((n, self.blocks), bool)
+        live[np.arange(n)[:, None], np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]] = True
+        scores = scored(live)
+        rest = (bounds >= last(scores) - 1e-12) & ~live & (bounds > 0)
+        if rest.any():
+            scores += scored(rest)
+        least, out = last(scores), []
+        for i in range(n):
+            at = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > 0))
+            at = at[np.lexsort((self.ids[at], -scores[i, at]))][:NEAREST]
+            out.append((at, scores[i, at]))
+        return out
+
+    def vote(self, at: np.ndarray, near: np.ndarray, marked: bool) -> float:
+        """The share of toxic ones among the neighbours, weighted by nearness; of marked documents, less where none is near."""
         if not len(at):
-            return 0.0, at
+            return 0.0
         weight = near**2 * self.weight[at]
-        return float((weight * self.toxic[at]).sum() / weight.sum() * near[: max(1, len(near) // 3)].mean() ** 0.5), at
+        return float((weight * self.toxic[at]).sum() / weight.sum() * (near[: max(1, len(near) // 3)].mean() ** 0.5 if marked else 1.0))
 
-    def calibrate(self, raw: np.ndarray, toxic: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)) -> None:
+    def calibrate(self, raw: np.ndarray, toxic: np.ndarray, marked: bool, stands: tuple[float, float] = (1.0, 1.0)) -> None:
         """Isotonic regression by pooling adjacent violators."""
         blocks: list[list[float]] = []  # raw sum, toxic sum, count, each weighted
         for r, y in sorted(zip(raw, toxic, strict=True)):
@@ -166,18 +226,31 @@ class Model:
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-        self.steps = (np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])) if blocks else self.steps
-
-    def score(self, text: str) -> tuple[float, list[int]]:
-        v = self.vector(text)
-        if not v:
-            return self.empty, []
-        if v not in self.cache:
-            if len(self.cache) > 4_000:
-                self.cache.clear()
-            raw, at = self.votes(v)
-            self.cache[v] = (float(np.interp(raw, *self.steps)), [int(i) for i in self.ids[at[:3]]]) if len(at) else (self.empty, [])
-        return self.cache[v]
+        if blocks:
+            self.steps[marked] = (np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks]))
+
+    def batches(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[int]]:
+        """Numbers of vectors to search for together."""
+        held, size = [], 0
+        for i, (terms, _) in enumerate(vectors):
+            held.append(i)
+            size += len(terms)
+            if len(held) >= TOGETHER or size >= TERMS_TOGETHER:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def scores(self, texts: list[str], reader: Reader) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of each text; equal ones are scored once."""
+        distinct = list(dict.fromkeys(texts))
+        vectors = [self.vector(*reader.terms(t)) for t in distinct]
+        out: dict[str, tuple[float, list[int]]] = {}
+        for held in self.batches(vectors):
+            for i, (at, near) in zip(held, self.nearest([vectors[i] for i in held]), strict=True):
+                marked = self.marked(vectors[i])
+                out[distinct[i]] = (float(np.interp(self.vote(at, near, marked), *self.steps[marked])), [int(x) for x in self.ids[at[:3]]]) if len(at) else (self.empty, [])
+        return [out[t] for t in texts]
 
 
 def _bounded_labels(labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
@@ -214,73 +287,94 @@ def _marking_terms(examples: DataFrame, n: int, toxic: int) -> list[str]:
     return [r["term"] for r in kept.orderBy(F.desc("gain"), "term").limit(TERMS).collect()]
 
 
-def _frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
-    """How many of all documents hold each kept term."""
-    numbers = {t: i for i, t in enumerate(terms)}
+def _packed(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    return np.concatenate([terms, counts]).astype(np.int32).tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, np.int32).astype(np.int64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
+def _frequencies(docs: DataFrame, marks: list[str], known: np.ndarray) -> np.ndarray:
+    """How many of all documents hold each known term."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, n = _Memo(list(numbers)), np.zeros(len(numbers), np.int64)
+        reader, n = Reader(marks), np.zeros(SLOTS + len(marks), np.int64)
         for batch in batches:
             for text in batch["text"]:
-                found = [numbers[t] for t in counts_of(text, memo) if t in numbers]
-                if found:
-                    n[found] += 1
-        yield pd.DataFrame({"i": np.flatnonzero(n), "n": n[np.flatnonzero(n)]})
+                n[reader.terms(text)[0]] += 1
+        own = shared.value
+        own = own[n[own] > 0]
+        yield pd.DataFrame({"i": own, "n": n[own]})
 
-    rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    return {terms[r["i"]]: r["n"] for r in rows}  # at most TERMS rows
+    rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # SLOTS + TERMS rows at most
+    found = np.zeros(SLOTS + len(marks), np.int64)
+    found[rows["i"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return found[known]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
-    """Learn from labels (doc_id, toxic) outside the test fold; everything the driver holds is bounded by most and TERMS."""
+    """Learn from labels (doc_id, toxic) outside the test fold; what the driver holds is bounded by most, TERMS and SLOTS."""
     chosen, known = _bounded_labels(labels, most)
     chosen = materialize(chosen, "toxic-labels")
     kept = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}  # two rows at most
     stands = tuple(known[y] / kept[y] if kept.get(y) else 1.0 for y in (0, 1))
     docs = docs.select("doc_id", "text")
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text_or_empty().alias("text"))
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text_or_empty().alias("text"))  # at most `most` labels
     with arrow_rows(docs.sparkSession):
         examples = materialize(texts, "toxic-examples")
         tally = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
         n, bad = sum(tally.values()), tally.get(1, 0)
         if not bad or bad == n:
-            model = Model([], [])
+            model = Model([], np.zeros(0, np.int64), np.zeros(0))
             model.empty = bad / n if n else 0.0
             return model
-        terms = _marking_terms(examples, n, bad)
-        frequency = _frequencies(docs, terms) if terms else {}
-        total = docs.count()
-        model = Model(terms, [math.log(1 + total / (1 + frequency.get(t, 0))) for t in terms])
-        numbers, idf = list(model.numbers), model.idf.tolist()
-
-        def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = Model(numbers, idf)
+        marks = _marking_terms(examples, n, bad)
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = Reader(marks)
             for batch in batches:
-                found = [own.vector(t) for t in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "t": [[t for t, _ in v] for v in found], "w": [[w for _, w in v] for v in found]})
-
-        rows = examples.mapInPandas(vectors, "doc_id long, toxic int, t array<int>, w array<double>").orderBy("doc_id").collect()  # at most `most` short vectors
-    with_terms = [r for r in rows if r["t"]]
-    model.build([tuple(zip(r["t"], r["w"], strict=True)) for r in with_terms], [r["toxic"] for r in with_terms], [r["doc_id"] for r in with_terms], stands)
-    by_id = {int(i): at for at, i in enumerate(model.ids)}
-    raw = [model.votes(tuple(zip(r["t"], r["w"], strict=True)), but=by_id[r["doc_id"]])[0] for r in with_terms]
-    model.calibrate(np.array(raw), np.array([r["toxic"] for r in with_terms], float), stands)
-    without = [r["toxic"] for r in rows if not r["t"]]
-    bad, n = (sum(without), len(without)) if without else (bad, n)
-    model.empty = bad * stands[1] / (bad * stands[1] + (n - bad) * stands[0])
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [_packed(*reader.terms(t)) for t in batch["text"]]})
+
+        rows = examples.mapInPandas(read, "doc_id long, toxic int, terms binary").orderBy("doc_id", "terms").collect()  # the examples' terms
+        found = [_unpacked(bytes(r["terms"])) for r in rows]
+        terms = np.unique(np.concatenate([t for t, _ in found]))
+        frequency, total = _frequencies(docs, marks, terms), docs.count()
+    model = Model(marks, terms, np.log(1 + total / (1 + frequency)))
+    vectors = [model.vector(*x) for x in found]
+    model.build(vectors, [r["toxic"] for r in rows], [r["doc_id"] for r in rows], stands)
+    # the index has put the examples in its own order; rows that repeat id and text may stand for each other
+    place: dict[int, list[int]] = {}
+    for at, i in enumerate(model.ids):
+        place.setdefault(int(i), []).append(at)
+    own = [place[r["doc_id"]].pop() for r in rows]
+    raw = np.zeros(len(rows))
+    for held in model.batches(vectors):
+        for i, (at, near) in zip(held, model.nearest([vectors[i] for i in held], [own[i] for i in held]), strict=True):
+            raw[i] = model.vote(at, near, model.marked(vectors[i]))
+    toxic = np.array([r["toxic"] for r in rows], float)
+    marked = np.array([model.marked(v) for v in vectors])
+    for kind in (False, True):
+        model.calibrate(raw[marked == kind], toxic[marked == kind], kind, stands)
+    plain = toxic[~marked] if not marked.all() else toxic
+    bad = plain.sum()
+    model.empty = float(bad * stands[1] / (bad * stands[1] + (len(plain) - bad) * stands[0]))
     return model
 
 
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """Adds score, predicted and evidence (ids of the nearest examples) to the rows of docs, in one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
     docs = docs.drop("toxic_score", "toxic_evidence", "toxic_predicted")
     out = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType()), StructField("toxic_evidence", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        reader = Reader(own.marks)
         for batch in batches:
-            found = [own.score(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            found = own.scores([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()], reader)
             columns = [*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "toxic_score", "toxic_evidence"])
         release()

@@ -129,22 +129,49 @@ def test_held_out_accuracy_and_contract(spark):
 
 def test_nearest_examples_are_exact():
     dice = random.Random(9)
-    model = toxicity.Model([f"t{i}" for i in range(40)], [1.0 + i / 40 for i in range(40)])
+    model = toxicity.Model([], np.arange(40), np.array([1.0 + i / 40 for i in range(40)]))
 
     def vector():
-        w = {t: dice.random() for t in dice.sample(range(40), 5)}
+        w = {t: dice.random() for t in sorted(dice.sample(range(40), 5))}
         n = math.sqrt(sum(x * x for x in w.values()))
-        return tuple(sorted((t, x / n) for t, x in w.items()))
+        return np.array(list(w)), np.array([x / n for x in w.values()])
 
     vectors = [vector() for _ in range(700)]
     model.build(vectors, [i % 2 for i in range(700)], list(range(700)))
-    for _ in range(50):
-        q = vector()
-        dense = np.zeros(40)
-        dense[[t for t, _ in q]] = [w for _, w in q]
-        scores = sorted((-sum(dense[t] * w for t, w in v), i) for i, v in enumerate(vectors))
-        at, near = model.nearest(q)
-        assert np.allclose(near, [-s for s, _ in scores[:15]]) and set(model.ids[at].tolist()) == {i for _, i in scores[:15]}
+    queries = [vector() for _ in range(50)]
+    but = [dice.randrange(700) for _ in range(50)]
+    for left_out in (None, but):
+        for k, (at, near) in enumerate(model.nearest(queries, left_out)):
+            dense = np.zeros(40)
+            dense[queries[k][0]] = queries[k][1]
+            scores = sorted((-float(dense[t] @ w), i) for i, (t, w) in enumerate(vectors) if left_out is None or model.ids[but[k]] != i)
+            assert np.allclose(near, [-s for s, _ in scores[:15]]) and set(model.ids[at].tolist()) == {i for _, i in scores[:15]}
+
+
+def test_vectors_hold_all_words_and_marks():
+    """Against TF-IDF by hand: frequencies of words, both parts of length 1, marks weighing MARKED."""
+    reader = toxicity.Reader(["zorg*", "zorg*2", "plum"])
+    terms, counts = reader.terms("Plum zorgo, zorgix zorgo the The the ... other")
+    slot = lambda w: zlib.crc32(w.encode()) % toxicity.SLOTS
+    want = {slot("plum"): 1, slot("zorgo"): 2, slot("zorgix"): 1, slot("the"): 3, slot("other"): 1, toxicity.SLOTS: 2, toxicity.SLOTS + 1: 2, toxicity.SLOTS + 2: 1}
+    assert dict(zip(terms.tolist(), counts.tolist())) == want
+    known = np.array(sorted(t for t in want if t != slot("other")))
+    idf = np.arange(1.0, len(known) + 1)
+    at, weight = toxicity.Model(["zorg*", "zorg*2", "plum"], known, idf).vector(terms, counts)
+    raw = {t: (1 + math.log(n)) * idf[list(known).index(t)] for t, n in want.items() if t != slot("other")}
+    for marks, share in ((True, toxicity.MARKED), (False, 1 - toxicity.MARKED)):
+        part = {t: w for t, w in raw.items() if (t >= toxicity.SLOTS) == marks}
+        length = math.sqrt(sum(w * w for w in part.values()))
+        for t, w in part.items():
+            assert abs(weight[list(known[at]).index(t)] - math.sqrt(share) * w / length) < 1e-12
+
+
+def test_documents_without_marks_have_neighbours(spark):
+    docs, labels = toxic_corpus()
+    table = spark.createDataFrame([*docs, (9000, " ".join(d[1] for d in docs[:300]), "x")], "doc_id long, text string, x string")  # the last is very long
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(table, model).collect()
+    assert sum(bool(r["toxic_evidence"]) for r in got) >= 0.95 * len(got)
 
 
 def test_without_labels_or_documents(spark):

@@ -15,8 +15,9 @@ def test_a_cut_sample_keeps_the_share_of_toxic_documents(spark):
 
 
 def test_votes_and_calibration_count_what_examples_stand_for():
-    model = toxicity.Model(["a"], [1.0])
-    model.build([((0, 1.0),)] * 4, [1, 1, 0, 0], [1, 2, 3, 4], (9.0, 1.0))
-    assert abs(model.votes(((0, 1.0),))[0] - 0.1) < 1e-12
-    model.calibrate(np.array([0.1, 0.1, 0.2, 0.2]), np.array([1.0, 1.0, 0.0, 0.0]), (9.0, 1.0))
-    assert abs(float(np.interp(0.1, *model.steps)) - 0.1) < 1e-12
+    one = (np.array([0]), np.array([1.0]))
+    model = toxicity.Model([], np.array([5]), np.array([1.0]))
+    model.build([one] * 4, [1, 1, 0, 0], [1, 2, 3, 4], (9.0, 1.0))
+    assert abs(model.vote(*model.nearest([one])[0], False) - 0.1) < 1e-12
+    model.calibrate(np.array([0.1, 0.1, 0.2, 0.2]), np.array([1.0, 1.0, 0.0, 0.0]), False, (9.0, 1.0))
+    assert abs(float(np.interp(0.1, *model.steps[False])) - 0.1) < 1e-12
