@@ -35,13 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
+from pulsegrid.llm.shared import arrow_rows, documents, few, materialize, release, text_or_empty
 
 ROWS, BANDS, BITS, PARITY, SEED = 3, 21, 4, 4_096, 3
 K = 64
 BLOCK, SLACK = 512, 0.27
-#: Rows up to which a counted table of keys is broadcast; larger ones are joined by a shuffle.
-FEW = 100_000
 MEMO = 250_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _random = np.random.default_rng(SEED)
@@ -252,11 +250,6 @@ def _search(dealt: DataFrame, sketches: DataFrame, threshold: float, forest: boo
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def few(rows: DataFrame, most: int = FEW) -> DataFrame:
-    """The rows, marked for a broadcast join only where a count shows that they are few."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """(a, b, link) with link decided on the full sets of both classes, from one text of each class that is asked for."""
     pairs = materialize(pairs, "near-pairs")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows up to which a counted table of short rows is broadcast; larger ones are joined by a shuffle.
+FEW = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -21,9 +23,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir; only a local session without it gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,6 +56,11 @@ def word_count(col: str | Column = "text") -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(WORD)).cast("long")
 
 
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """The rows, marked for a broadcast join only where a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """Fewer rows in the Arrow batches of the jobs started inside: texts may be long."""

@@ -2,12 +2,14 @@
 
 A rule list decides what it fits; a gradient-boosted tree ensemble, trained from labelled URLs, decides the rest.
 Features: lengths, depth, digit ratio, character entropy, parameter counts and statistics of the host suffix (how
-often labelled URLs of that suffix are blocked, how common the suffix is). Only DataFrame functions and Spark's own
-ML estimators are used.
+often labelled URLs of that suffix are blocked, how common the suffix is). The labelled are dealt into FOLDS by a hash
+of the url, and a labelled URL's share of blocked ones comes from the other folds, so neither its own label nor those
+of its repeats are in it. Only DataFrame functions and Spark's own ML estimators are used.
 
 Nulls: a null url, or one without ``://``, has empty host and path and is judged by the trees on its (empty)
-features. Repeated rows give repeated rows. Where no labels exist, or all are of one kind, that kind (else allow)
-is the verdict. Columns of the input other than the key and url are not read.
+features. Repeated rows, repeated keys and null keys are judged by their urls alone and give as many rows. Where no
+labels exist, or all are of one kind, that kind (else allow) is the verdict. Equal lengths of fitting rules: the
+smaller name. An empty table gives an empty result. Columns of the input other than the key and url are not read.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import documents, materialize
+from pulsegrid.llm.shared import documents, few, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most labelled rows that the trees are fitted on, and the trees' settings.
 FIT_ROWS, TREES, DEPTH, SEED = 50_000, 20, 4, 7
 #: A longer rule list than this is matched by a join.
 INLINE_RULES = 256
+#: Folds of the labelled URLs for their suffix statistics.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -58,11 +62,11 @@ def _best(fits: Column) -> Column:
     return F.element_at(F.array_sort(F.transform(fits, lambda r: F.struct((-r["n"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))), 1)
 
 
-def with_rules(urls: DataFrame, rules: tuple[Rule, ...] | DataFrame, key: str) -> DataFrame:
+def with_rules(urls: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
     """Adds fit: struct(n, rule, verdict) of the longest rule that fits host and path, else null.
 
     A rule list is a tuple (up to INLINE_RULES: one expression) or a DataFrame (host, path, verdict), joined on the
-    url's host suffixes; the number of matches a url then carries is bounded by its own labels and rules.
+    host suffixes of the distinct pairs of host and path; a pair then carries at most the rules that fit it.
     """
     if isinstance(rules, tuple) and len(rules) <= INLINE_RULES:
         if not rules:
@@ -76,13 +80,14 @@ def with_rules(urls: DataFrame, rules: tuple[Rule, ...] | DataFrame, key: str) -
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     listed = rules.select(F.col("host").alias("suffix"), F.col("path").alias("p"), "verdict")
     hits = (
-        urls.select(key, "path", F.explode(suffixes).alias("suffix"))
-        .join(listed, "suffix")
+        urls.select("host", "path").distinct()
+        .select("host", "path", F.explode(suffixes).alias("suffix"))
+        .join(few(listed), "suffix")
         .where(F.col("path").startswith(F.col("p")))
-        .groupBy(key)
+        .groupBy("host", "path")
         .agg(F.min(F.struct((-F.length(F.concat("suffix", "p"))).alias("n"), F.concat("suffix", "p").alias("rule"), F.col("verdict"))).alias("fit"))
-    )
-    return urls.join(hits, key, "left")
+    )
+    return urls.join(hits, ["host", "path"], "left")
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -110,12 +115,20 @@ def lexical(urls: DataFrame) -> DataFrame:
 FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_labels", "f_dots", "f_dashes", "f_digits", "f_entropy", "f_params", "f_query", "f_fragment", "f_secure", "f_suffix_block", "f_suffix_common"]
 
 
-def suffix_statistics(featured: DataFrame) -> DataFrame:
-    """Per suffix, over all rows: smoothed share of blocked among the labelled, and how common it is (log count)."""
-    known = F.count("label")
-    return featured.groupBy("suffix").agg(
-        ((F.sum(F.coalesce("label", F.lit(0.0))) + 1.0) / (known + 2.0)).alias("f_suffix_block"), F.log1p(F.count(F.lit(1))).alias("f_suffix_common")
-    )
+def with_suffix_statistics(featured: DataFrame) -> DataFrame:
+    """Adds, from all rows of a suffix, the smoothed share of blocked among the labelled of other folds, and how common
+    the suffix is (log count). Rows without a label are in no fold: all labelled ones count for them."""
+    fold = F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
+    placed = featured.withColumn("fold", fold)
+    by = placed.groupBy("suffix").agg(
+        F.count(F.lit(1)).alias("n_all"), *[F.count_if(F.col("fold") == k).alias(f"n_{k}") for k in range(FOLDS)],
+        *[F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("label"))), F.lit(0.0)).alias(f"b_{k}") for k in range(FOLDS)],
+    )
+    by = materialize(by, "url-suffixes")
+    others = lambda c: sum((F.when(F.col("fold").eqNullSafe(k), 0).otherwise(F.col(f"{c}_{k}")) for k in range(FOLDS)), F.lit(0))
+    # statistics are broadcast only where they are few; else a join that can split a hot suffix
+    joined = placed.join(few(by), "suffix", "left")
+    return joined.withColumns({"f_suffix_block": (others("b") + 1.0) / (others("n") + 2.0), "f_suffix_common": F.log1p("n_all")}).select(*featured.columns, "f_suffix_block", "f_suffix_common")
 
 
 def score(urls: DataFrame, key: str, label: str, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -125,7 +138,7 @@ def score(urls: DataFrame, key: str, label: str, fit_rows: int = FIT_ROWS) -> Da
     statistics and the scores cover all rows.
     """
     featured = lexical(urls.withColumn("label", F.col(label)))
-    featured = materialize(featured.join(suffix_statistics(featured), "suffix", "left"), "url-features")
+    featured = materialize(with_suffix_statistics(featured), "url-features")
     kinds = featured.where("label is not null").groupBy("label").count().collect()  # at most two rows
     known = {r["label"]: r["count"] for r in kinds}
     if len(known) < 2:
@@ -149,11 +162,11 @@ def judge(pages: DataFrame, key: str = "page_id", rules: tuple[Rule, ...] | Data
     ones.
     """
     host, path = host_path(F.col("url"))
-    urls = with_rules(pages.select(key, "url").withColumns({"host": host, "path": path}), rules, key)
+    urls = with_rules(pages.select(key, "url").withColumns({"host": host, "path": path}), rules)
     known = F.when(F.col("fit").isNotNull(), (F.col("fit")["verdict"] == "block").cast("double"))
     if labels is not None:
         given = labels.groupBy("url").agg(F.max("label").cast("double").alias("given"))
-        urls = urls.join(given, "url", "left")
+        urls = urls.join(few(given), "url", "left")
         known = F.col("given")
     scored = score(urls.withColumn("known", known), key, "known")
     verdict = F.coalesce(F.col("fit")["verdict"], F.when(F.col("block_score") >= at_least, "block").otherwise("allow"))
