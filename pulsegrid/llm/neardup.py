@@ -276,18 +276,25 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, t
         return materialize(both.mapInPandas(run, "a long, b long, link boolean").groupBy("a", "b").agg(F.max("link").alias("link")), "near-confirmed")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, comp): smallest id reachable over links (a, b), for every id that has one. Labels travel along links and
-    jump to their label's label, each round a table in the shared folder, until none moves (they only ever fall)."""
+    jump to their label's label, two such steps for each table in the shared folder, until none moves (they only ever
+    fall). known: labels from some of the links, to begin with."""
     edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-edges")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp")), "near-labels")
+    labels = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp"))
+    if known is not None:
+        labels = labels.union(known.select("id", "comp")).groupBy("id").agg(F.min("comp").alias("comp"))
+
+    def step(labels: DataFrame) -> DataFrame:
+        near = edges.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        to = labels.join(near, F.col("id") == F.col("a")).select("id", "was", F.least("comp", "near").alias("to"))
+        return to.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("next")), "to").select("id", "was", F.least("to", "next").alias("comp"))
+
+    labels = materialize(labels, "near-labels")
     while True:
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("a")).select("id", "comp", F.least("comp", "near").alias("to"))
-        hop = labels.select(F.col("id").alias("to"), F.col("comp").alias("next"))
-        new = materialize(step.join(hop, "to").select("id", F.least("to", "next").alias("new"), (F.least("to", "next") < F.col("comp")).alias("moved")), "near-labels")
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("id", F.col("new").alias("comp"))
+        new = materialize(step(step(labels.withColumn("was", F.col("comp")))), "near-labels")
+        moved = new.where("comp < was").limit(1).count()
+        labels = new.select("id", "comp")
         if not moved:
             return labels
 
@@ -324,7 +331,7 @@ def near_duplicates(docs: DataFrame, size: int, threshold: tuple[int, int]) -> D
     def with_more(more: DataFrame) -> DataFrame:
         nonlocal found
         if more.where("link").limit(1).count():
-            found = components(tried.unionByName(more).where("link"))
+            found = components(tried.unionByName(more).where("link"), found)
         return tried.unionByName(more)
 
     large = members.where(F.col("m") > BLOCK)
