@@ -4,11 +4,13 @@ A document may belong to several sources; its set of sources is its membership p
 pattern; a min-cost flow routes the patterns' tokens to the sources' quotas, where each further repetition of a
 pattern costs more than the one before (convex costs), so repetitions spread as evenly as quotas allow. A pattern
 whose flow is c whole passes and a rest takes every document c times and, in the order of a seeded hash, documents
-worth the rest once more.
+worth the rest once more (of those that are not larger than the rest; all of them again where they don't suffice).
 
-The driver sees one row for each pattern and source, never documents. The seeded choice needs no global order: each
-pattern's documents fall into hash buckets of about BUCKET documents; whole buckets are taken until one would exceed
-the rest, and only that bucket's documents are looked at one by one.
+Patterns and sources that no overlap connects are routed apart, so the flow is solved for each connected part. The
+driver sees one row for each pattern and source, never documents. The seeded choice needs no global order: the hashes
+of each pattern's documents are cut into at most BUCKETS ranges; whole ranges are taken until one would exceed the
+rest. Where that one holds more than BUCKET documents, it is cut again; the documents of the last are looked at one
+by one.
 
 Nulls: a null source is a source of its own, the last; a null text has size 0. Rows that are wholly alike share a
 decision. Empty texts are never taken. An empty table gives an empty result. Sizes and targets are words.
@@ -24,11 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import documents, materialize, text_or_empty, word_count
+from pulsegrid.llm.shared import documents, few, materialize, text_or_empty, word_count
 
-WEIGHTS, MOST_REPEATS, SEED, BUCKET, MOST_BUCKETS = (1, 2, 3), 3, 20_240_229, 512, 65_536
-#: More patterns than this are refused: they pass through the driver.
-MOST_PATTERNS = 50_000
+WEIGHTS, MOST_REPEATS, SEED, BUCKET, BUCKETS = (1, 2, 3), 3, 20_240_229, 512, 65_536
+#: Hashes of documents lie below this.
+SPAN = (1 << 63) - 1
 
 
 class Source(NamedTuple):
@@ -57,8 +59,33 @@ def flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) ->
     """Tokens that each pattern gives to each of its sources: a maximum flow of least repetition cost.
 
     patterns: tokens by tuple of sources; quotas: whole tokens by source. The k-th pass over a pattern costs 2k - 1 a
-    token. Successive shortest paths with potentials.
+    token. Patterns that share sources, directly or over others, are solved together, all others apart.
     """
+    root = {s: s for s in quotas}
+
+    def find(s):
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for name in patterns:
+        for s in name[1:]:
+            root[find(s)] = find(name[0])
+    parts: dict = {}
+    for name in patterns:
+        parts.setdefault(find(name[0]) if name else None, []).append(name)
+    out = {}
+    for names in parts.values():
+        sources = dict.fromkeys(s for name in names for s in name)
+        if len(names) == 1 and len(sources) <= 1:  # alone: all that it may give
+            out |= {name: {s: min(quotas[s], most * patterns[name]) for s in name} for name in names}
+        else:
+            out |= _joint_flow({name: patterns[name] for name in names}, {s: quotas[s] for s in sources}, most)
+    return out
+
+
+def _joint_flow(patterns: dict[tuple, int], quotas: dict, most: int) -> dict[tuple, dict]:
+    """Successive shortest paths with potentials."""
     names = list(patterns)
     at = {("p", i): i + 1 for i in range(len(names))} | {("s", s): len(names) + 1 + j for j, s in enumerate(quotas)}
     sink = len(at) + 1
@@ -117,25 +144,50 @@ def sized(docs: DataFrame, sources: Column | None = None, seed: int = SEED) -> D
     }).withColumn("mix_pattern", F.to_json(F.struct("mix_sources")))
 
 
-def _bucket() -> Column:
-    return F.pmod(F.col("mix_chance"), F.col("mix_buckets"))
-
-
 class Mix(NamedTuple):
-    """sources: their targets; plan: (mix_pattern, mix_passes, mix_buckets, mix_edge), one row a pattern; chosen:
-    (mix_pattern, mix_chance, mix_size, mix_more) of the documents in the patterns' edge buckets."""
+    """sources: their targets; plan: (mix_pattern, mix_passes, mix_limit, mix_extra, mix_low, mix_high), one row a
+    pattern: of the documents up to size mix_limit all are taken mix_extra times more, and those whose hash is below
+    mix_low once more; chosen: (mix_pattern, mix_chance, mix_size, mix_more) of those from mix_low to below mix_high."""
 
     sources: list[Source]
     plan: DataFrame
     chosen: DataFrame
 
 
+def _eligible() -> Column:
+    return (F.col("mix_size") > 0) & (F.col("mix_size") <= F.col("mix_limit"))
+
+
+def _narrowed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with the range that each pattern's rest ends in, of about BUCKET documents. A range that hardly shrinks
+    holds equal rows, which are looked at as one."""
+    wider = F.col("mix_n") > 2 * BUCKET
+    while True:
+        wide = plan.where(wider)
+        if not wide.limit(1).count():
+            return plan
+        ranges = F.greatest(F.lit(1), F.least(F.lit(BUCKETS), 2 * F.ceil(F.col("mix_n") / BUCKET), F.col("mix_high") - F.col("mix_low")))
+        # rounded up, so that every hash lies in one of the ranges
+        step = F.expr("(mix_high - mix_low) div ranges + CASE WHEN (mix_high - mix_low) % ranges > 0 THEN 1 ELSE 0 END")
+        wide = wide.withColumn("ranges", ranges.cast("long")).withColumn("step", step)
+        inside = rows.join(few(wide), "mix_pattern").where(_eligible() & (F.col("mix_chance") >= F.col("mix_low")) & (F.col("mix_chance") < F.col("mix_high")))
+        by = inside.groupBy("mix_pattern", F.expr("(mix_chance - mix_low) div step").alias("b")).agg(F.sum("mix_size").alias("s"), F.count(F.lit(1)).alias("n"))
+        # at most BUCKETS rows of a pattern
+        upto = by.selectExpr("*", "sum(s) OVER (PARTITION BY mix_pattern ORDER BY b) AS upto").join(few(wide), "mix_pattern").where("upto > mix_gap")
+        first = upto.groupBy("mix_pattern").agg(F.min(F.struct("b", "upto", "s", "n")).alias("e"))
+        at = F.col("mix_low") + F.col("e.b") * F.col("step")
+        cut = wide.join(first, "mix_pattern", "left").select(
+            "mix_pattern", "mix_passes", "mix_limit", "mix_extra", F.when(F.col("e").isNull(), F.lit(0)).otherwise(F.col("mix_gap") - F.col("e.upto") + F.col("e.s")).cast("long").alias("mix_gap"),
+            F.coalesce(at, F.col("mix_high")).cast("long").alias("mix_low"), F.coalesce(F.least(F.col("mix_high") - F.col("step"), at) + F.col("step"), F.col("mix_high")).cast("long").alias("mix_high"),
+            F.when(F.col("e.n") * 10 <= F.col("mix_n") * 9, F.col("e.n")).otherwise(0).alias("mix_n"),
+        )
+        plan = materialize(plan.where(~wider).unionByName(cut), "mix-plan")
+
+
 def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS) -> Mix:
     """Decide the mix of sized() rows (no text needed)."""
     spark = rows.sparkSession
-    found = rows.groupBy("mix_pattern").agg(F.first("mix_sources").alias("s"), F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    found = rows.groupBy("mix_pattern").agg(F.first("mix_sources").alias("s"), F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("mix_pattern").collect()
     sizes: dict = {}
     for r in found:
         for s in r["s"]:
@@ -146,20 +198,25 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     for r in found:
         got = sum(routed[tuple(r["s"])].values())
         whole, rest = divmod(got, r["size"]) if r["size"] else (0, 0)
-        passes.append((r["mix_pattern"], int(whole), int(rest), int(min(MOST_BUCKETS, max(1, r["n"] // BUCKET)))))
-    small = spark.createDataFrame(passes, "mix_pattern string, mix_passes int, mix_rest long, mix_buckets long")
-    # whole buckets up to the rest; the first that would exceed it is the pattern's edge
-    by = rows.join(F.broadcast(small), "mix_pattern").groupBy("mix_pattern", "mix_rest", _bucket().alias("b")).agg(F.sum("mix_size").alias("s"))
-    upto = by.selectExpr("*", "sum(s) OVER (PARTITION BY mix_pattern ORDER BY b) AS upto")
-    edges = upto.where("upto > mix_rest").groupBy("mix_pattern").agg(F.min(F.struct("b", (F.col("mix_rest") - F.col("upto") + F.col("s")).alias("gap"))).alias("e"))
-    edge = materialize(small.join(edges, "mix_pattern", "left").select("mix_pattern", "mix_passes", "mix_buckets", F.coalesce("e.b", F.lit(0)).alias("mix_edge"), F.coalesce("e.gap", F.lit(0)).alias("mix_gap")), "mix-plan")
+        passes.append((r["mix_pattern"], int(whole), int(rest)))
+    small = materialize(spark.createDataFrame(passes, "mix_pattern string, mix_passes int, mix_limit long"), "mix-passes")
+    by = rows.join(few(small), "mix_pattern").where(_eligible()).groupBy("mix_pattern").agg(F.sum("mix_size").alias("e"), F.count(F.lit(1)).alias("n"))
+    extra = F.coalesce(F.least(F.expr("mix_limit div e"), F.lit(most) - F.col("mix_passes")), F.lit(0)).cast("int")
+    gap = F.when(F.col("mix_passes") + F.col("mix_extra") < most, F.col("mix_limit") - F.col("mix_extra") * F.col("e")).otherwise(0)
+    plan = small.join(by, "mix_pattern", "left").withColumn("mix_extra", extra).withColumn("mix_gap", F.coalesce(gap, F.lit(0)).cast("long"))
+    some = F.col("mix_gap") > 0  # else nobody is taken once more
+    plan = plan.select(
+        "mix_pattern", "mix_passes", "mix_limit", "mix_extra", "mix_gap", F.lit(0).cast("long").alias("mix_low"),
+        F.when(some, F.lit(SPAN)).otherwise(0).cast("long").alias("mix_high"), F.when(some, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("mix_n"),
+    )
+    edge = _narrowed(rows, materialize(plan, "mix-plan"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         """Documents in seeded order as long as they fit the gap, again from the start while repeats are left and the
         gap is; a last one that overshoots by less than is missing."""
         group = group.sort_values(["mix_chance", "mix_size"]).reset_index(drop=True)
         gap, units = int(group["mix_gap"].iloc[0]), group["units"].tolist()
-        room, more = most - int(group["mix_passes"].iloc[0]), [0] * len(group)
+        room, more = most - int(group["mix_passes"].iloc[0]) - int(group["mix_extra"].iloc[0]), [0] * len(group)
         for _ in range(room):
             for i, n in enumerate(units):
                 if 0 < n <= gap:
@@ -170,16 +227,17 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
             more[min(left)[1]] += 1
         return group[["mix_pattern", "mix_chance", "mix_size"]].assign(mix_more=more)
 
-    at_edge = rows.join(F.broadcast(edge), "mix_pattern").where((_bucket() == F.col("mix_edge")) & (F.col("mix_gap") > 0))
-    alike = at_edge.groupBy("mix_pattern", "mix_chance", "mix_size", "mix_gap", "mix_passes").agg(F.sum("mix_size").alias("units"))
+    at_edge = rows.join(few(edge), "mix_pattern").where((F.col("mix_chance") >= F.col("mix_low")) & (F.col("mix_chance") < F.col("mix_high")) & (F.col("mix_gap") > 0) & _eligible())
+    alike = at_edge.groupBy("mix_pattern", "mix_chance", "mix_size", "mix_gap", "mix_passes", "mix_extra").agg(F.sum("mix_size").alias("units"))
     chosen = alike.groupBy("mix_pattern").applyInPandas(fill, "mix_pattern string, mix_chance long, mix_size long, mix_more int")
-    return Mix(aims, edge, materialize(chosen, "mix-chosen"))
+    return Mix(aims, edge.select("mix_pattern", "mix_passes", "mix_limit", "mix_extra", "mix_low", "mix_high"), materialize(chosen.where("mix_more > 0"), "mix-chosen"))
 
 
 def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Adds mix_copies, how often the mix takes a sized() row. Both joins broadcast a few rows for each pattern."""
-    placed = rows.join(F.broadcast(mix.plan), "mix_pattern").join(F.broadcast(mix.chosen), ["mix_pattern", "mix_chance", "mix_size"], "left")
-    more = F.when(_bucket() < F.col("mix_edge"), 1).when(_bucket() == F.col("mix_edge"), F.coalesce("mix_more", F.lit(0))).otherwise(0)
+    """Adds mix_copies, how often the mix takes a sized() row."""
+    placed = rows.join(few(mix.plan), "mix_pattern").join(few(mix.chosen), ["mix_pattern", "mix_chance", "mix_size"], "left")
+    once = F.when(F.col("mix_chance") < F.col("mix_low"), 1).otherwise(F.coalesce("mix_more", F.lit(0)))
+    more = F.when(_eligible(), F.col("mix_extra") + once).otherwise(0)
     return placed.withColumn("mix_copies", F.when(F.col("mix_size") > 0, F.col("mix_passes") + more).otherwise(0))
 
 

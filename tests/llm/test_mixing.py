@@ -53,3 +53,46 @@ def test_overlapping_sources(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_documents(none).count() == 0
+
+
+def test_overlap_routing_decides_the_mix(spark):
+    """Of 300 documents 100 are a's alone, 100 of both, 100 b's alone; a is to have 50 words more than its own."""
+    rows = spark.createDataFrame([(i, "w " * 10, [["a"], ["a", "b"], ["b"]][i % 3]) for i in range(300)], "doc_id long, text string, of array<string>")
+    sized = mixing.sized(rows.withColumn("source", F.lit("")), F.col("of"))
+    mix = mixing.plan_mix(sized, weights=(1, 3), share=0.5)
+    aims = {s.source: s.target for s in mix.sources}
+    assert aims == {"a": 500.0, "b": 1500.0}
+    routed = mixing.flow({("a",): 1000, ("a", "b"): 1000, ("b",): 1000}, {"a": 500, "b": 1500})
+    assert sum(f.get("b", 0) for f in routed.values()) == 1500 and sum(f.get("a", 0) for f in routed.values()) == 500
+    assert max(sum(f.values()) for f in routed.values()) <= 1000  # b's words come from both patterns: nothing is taken twice
+    taken = mixing.with_copies(sized, mix)
+    assert taken.agg(F.sum(F.col("mix_size") * F.col("mix_copies"))).first()[0] == 2000 and taken.agg(F.max("mix_copies")).first()[0] == 1
+
+
+def test_flow_of_parts_equals_the_joint_flow():
+    import random
+
+    dice = random.Random(3)
+    cost = lambda p, got: sum(sum(2 * k - 1 for k in range(1, 4) for _ in range(max(0, min(p[n], sum(f.values()) - (k - 1) * p[n])))) for n, f in got.items())
+    for _ in range(20):
+        patterns = {}
+        for s in range(6):
+            patterns[(s,)] = dice.randint(1, 30)
+        for a, b in ((0, 1), (2, 3)):
+            patterns[a, b] = dice.randint(1, 30)
+        quotas = {s: dice.randint(0, 60) for s in range(6)}
+        apart, joint = mixing.flow(patterns, quotas), mixing._joint_flow(patterns, quotas, 3)
+        assert sum(sum(f.values()) for f in apart.values()) == sum(sum(f.values()) for f in joint.values())
+        assert cost(patterns, apart) == cost(patterns, joint)
+
+
+def test_many_documents_are_narrowed_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    rows = mixing.sized(docs(spark).unionByName(spark.createDataFrame([(9999, "w w w", "a", "x")] * 300, "doc_id long, text string, source string, size string")))
+    mix = mixing.plan_mix(rows)
+    found = mixing.with_copies(rows, mix)
+    taken = {r["source"]: r["t"] for r in found.groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("t")).collect()}
+    for s in mix.sources:
+        assert abs(taken[s.source] - s.target) <= 0.05 * s.target + 20, s
+    assert found.where("mix_copies > 3").count() == 0 and found.where("doc_id = 9999").select("mix_copies").distinct().count() == 1
