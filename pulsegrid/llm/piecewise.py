@@ -6,14 +6,18 @@ for, the block size's logarithm, is the least that leaves at most 64 chunks. A f
 fingerprints compare by edit distance where their block sizes are equal or differ by a factor of two; other pairs
 have likeness 0.
 
+Ranges of (descending id, hash of the text) are cut at a bounded sample of these keys, so rows that share an id, or
+have none, lie in many ranges; only rows alike in both lie in one.
+
 Nulls: a null text is empty (fingerprint ``1::``); null ids come last in descending order. Rows that repeat an id
-follow one another in the order of their texts. Equal texts have equal fingerprints and likeness 1. A single document is its own next
+follow one another in the order of a hash of their texts. Equal texts have equal fingerprints and likeness 1. A single document is its own next
 document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +32,8 @@ VALUE = np.zeros(256, np.int64)
 VALUE[DIGITS] = np.arange(64)
 MOST, LEVELS = 64, 40
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Pairs compared at once.
-TOGETHER = 512
+#: Pairs compared at once; keys sampled for each range.
+TOGETHER, SAMPLED = 512, 50
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -124,23 +128,37 @@ def _compare(rows: list[tuple]) -> pd.DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (range, ahead, doc_id, text), each range one task's run of descending ids; a copy of the next range's
-    first row, ahead = 1, ends each range (the very first row ends the last). The ranges' first ids, one for each
-    shuffle partition, are all that passes through the driver."""
+    first row, ahead = 1, ends each range (the very first row ends the last). A sample of keys, SAMPLED for each shuffle
+    partition, and the ranges' first keys are all that passes through the driver."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    falls = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    ranged = rows.withColumn("range", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(falls, lambda c: F.col("doc_id") < c))))
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()
-    before = [(r["range"], r["head"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
-    known = spark.createDataFrame(before, "range int, head long, before int")
+    # rises as ids fall, nulls last; then a hash of the text
+    keyed = rows.withColumns({"none": F.col("doc_id").isNull().cast("int"), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "th": F.xxhash64("text")})
+    key = ["none", "down", "th"]
+    total = keyed.count() if parts > 1 else 0
+    share = min(1.0, SAMPLED * parts / total) if total else 0.0
+    drawn = keyed.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select(*key).distinct()
+    found = sorted(map(tuple, drawn.collect())) if share else []
+    cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
+    shared = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def range_of(none: pd.Series, down: pd.Series, th: pd.Series) -> pd.Series:
+        own = shared.value
+        return pd.Series([bisect_right(own, x) for x in zip(none, down, th, strict=True)], dtype="int32")
+
+    ranged = keyed.withColumn("range", range_of(*key))
+    heads = ranged.groupBy("range").agg(F.min(F.struct(*key)).alias("head")).orderBy("range").collect()  # one row a range
+    before = [(r["range"], *r["head"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
+    known = spark.createDataFrame(before, "range int, h_none int, h_down long, h_th long, before int")
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("ahead"))
     copied = F.struct(F.col("before").alias("range"), F.lit(1).alias("ahead"))
-    at = F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, copied)).otherwise(F.array(own)))
-    placed = ranged.join(F.broadcast(known), "range").select(at.alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
+    leads = (F.col("none") == F.col("h_none")) & (F.col("down") == F.col("h_down")) & (F.col("th") == F.col("h_th"))
+    at = F.explode(F.when(leads, F.array(own, copied)).otherwise(F.array(own)))
+    placed = ranged.join(F.broadcast(known), "range").select(at.alias("at"), *key, "doc_id", "text").select("at.*", *key, "doc_id", "text")  # a row a range
     dealt = placed.repartitionById(parts, F.col("range"))
-    return dealt.sortWithinPartitions("range", "ahead", F.desc_nulls_last("doc_id"), "text")
+    return dealt.sortWithinPartitions("range", "ahead", *key, "text").select("range", "ahead", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ stores every block's first id, number of ids and plane sizes, so that a reader c
 rows of Parquet files that Spark commits, so a lost executor's attempt leaves nothing behind.
 
 Nulls: a null text is empty (its document has the end id alone); null ids come first. Rows that repeat an id keep
-their own entries, in the order of their texts. Very long texts make a frame of their own, in as many blocks as they need. An
+their own entries, in the order of a hash of their texts (so ranges may part them). Very long texts make a frame of their own, in as many blocks as they need. An
 empty table writes no frame. Other columns of the input are not written.
 """
 
@@ -99,7 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
         release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     with arrow_rows(docs.sparkSession):
         ordered.mapInPandas(encode, FRAME_SCHEMA).write.option("compression", "none").parquet(path)
 

@@ -234,7 +234,7 @@ def distance(a: str, b: str) -> int:
 
 
 def test_fingerprints_of_documents_and_edits(spark):
-    rows = sorted({(r[0], r[1] or "") for r in ROWS if r[0] is not None}, key=lambda r: (-r[0], r[1]))
+    rows = sorted({(r[0], r[1] or "") for r in ROWS if r[0] is not None}, key=lambda r: (-r[0], r[1]))  # no id has two texts here
     got = {(r["doc_id"], r["n_chars"]): r for r in piecewise.fingerprints(docs(spark).where("doc_id is not null").dropDuplicates(["doc_id", "text"])).collect()}
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(rows):
@@ -251,6 +251,17 @@ def test_edit_distances_and_likeness():
     assert piecewise.likeness([(x, x), ("1:ABC:D", "8:ABC:D"), ("1::", "1::"), ("2:ABCD:AB", "4:AB:X")]).tolist() == [1.0, 0.0, 1.0, 1.0]
 
 
+def test_rows_that_share_an_id_lie_in_many_ranges(spark):
+    """A third without an id, a third with one id: their next documents are those of the order by id and hash."""
+    rows = [(None, text(9)) for _ in range(150)] + [(77, text(9)) for _ in range(150)] + [(i, text(9)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = piecewise.with_next(frame).where("ahead = 0").groupBy("range").count().collect()
+    assert len(placed) > 1 and max(r["count"] for r in placed) < 300
+    keyed = sorted((r["none"], r["down"], r["th"], r["text"]) for r in frame.selectExpr("int(doc_id is null) none", "coalesce(~doc_id, 0L) down", "xxhash64(text) th", "text").collect())
+    want = Counter(hashlib.sha256(piecewise.edited(k[3], keyed[(i + 1) % len(keyed)][3]).encode()).hexdigest() for i, k in enumerate(keyed))
+    assert Counter(r["edited_sha256"] for r in piecewise.fingerprints(frame).collect()) == want
+
+
 def test_edges_of_the_fingerprint_order(spark):
     one = spark.createDataFrame([(5, "only one", "x")], "doc_id long, text string, range string")
     r = piecewise.fingerprints(one).first()
