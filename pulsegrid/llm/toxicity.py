@@ -8,15 +8,16 @@ are TF-IDF, the document frequencies counted over all documents, each of length
 length of a vector that has any. (By words alone the few that make a long text toxic are lost among its others.) A
 vector holds the terms that occur in examples; those no example has can't bring one nearer than another.
 
-Examples are at most EXAMPLES labelled documents, half of the bound for each label, chosen by a hash of the id. A
-document's neighbours are the NEAREST of them by cosine, found exactly: examples are laid out in blocks of like ones,
-each term stores its largest weight by block, the blocks of the highest upper bounds are scored, then those others
-that could still hold a nearer example. Votes weighted by nearness give a raw score, which isotonic regression over
-the examples' leave-one-out votes turns into a probability, for documents with marks and for those with words alone
-each by its own. Documents without any term of an example have the rate of toxic examples among those without marks.
-As the bound cuts each label by itself, an example counts in votes, calibration and rates as the labelled documents of
-its label that it stands for. The choice of marks asks what chance would do in the sample itself, so it uses the
-sample's own rate. The neighbours' ids are returned as evidence.
+Marks are chosen from at most EXAMPLES labelled documents, half of the bound for each label, by a hash of the id; the
+index holds the first INDEXED of them, likewise. A document's neighbours are the NEAREST of these by cosine, found
+exactly: examples are laid out in blocks of like ones, each term stores its largest weight by block, the blocks of the
+highest upper bounds are scored, then those others that could still hold a nearer example. Votes weighted by nearness
+give a raw score, which isotonic regression over the votes for all EXAMPLES, each left out of its own, turns into a
+probability, for documents with marks and for those with words alone each by its own. Documents without any term of an
+example have the rate of toxic examples among those without marks. As the bounds cut each label by itself, an example
+counts in votes, calibration and rates as the labelled documents of its label that it stands for. The choice of marks
+asks what chance would do in the sample itself, so it uses the sample's own rate. The neighbours' ids are returned as
+evidence.
 
 Nulls: a null text is empty; labels with a null id or label teach nothing; a null id is held out. Several labels of a document: the
 largest. Repeated rows are scored alike. Very long texts are read whole. Without labels of both kinds every score is
@@ -33,19 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
-#: Labelled documents learned from; marks kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
-EXAMPLES, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 6_000, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
+#: Labelled documents that marks are chosen from; those of them in the index; marks kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
+EXAMPLES, INDEXED, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 3_072, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
 REPEATS = ((2, "2"), (4, "4"))
 #: Least odds of a toxic document among those with a mark, against the odds among all examples; marks' share of a squared length; slots of words.
 ODDS, MARKED, SLOTS = 8, 0.9, 1 << 20
 #: Words a task remembers; documents and terms handled at once.
 MEMO, TOGETHER, TERMS_TOGETHER = 250_000, 64, 12_000
+#: Characters of the texts read at once; a document's number and a term in one key.
+CHARACTERS, KEY = 1_000_000, 1 << 21
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-#@/\\|~`«»“”‘’…"
 
 
@@ -93,24 +97,51 @@ class Reader:
         self.marks = {t: i for i, t in enumerate(marks)}
         self.memo = _Memo(self.marks)
 
-    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, frequencies), by term; a mark's frequency is the number of different words that have it."""
-        words: dict[int, int] = {}
-        marked: dict[str, set[int]] = {}
-        for word, n in Counter(text.lower().split()).items():
-            slot, found = self.memo[word]
-            if slot >= 0:
-                words[slot] = words.get(slot, 0) + n
-                for t in found:
-                    marked.setdefault(t, set()).add(slot)
+    def keys(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the text * KEY + term, frequency), by key; a mark's frequency is the number of different words that
+        have it. Arrow cuts the texts, so Python sees each distinct word once."""
+        parts = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = parts.flatten().dictionary_encode()
+        found = [self.memo[w] for w in coded.dictionary.to_pylist()]
+        slots = np.array([x[0] for x in found], np.int64)
+        code = coded.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        on = slots[code] >= 0 if len(code) else np.zeros(0, bool)
+        keys, counts = np.unique(row[on] * KEY + slots[code[on]], return_counts=True)
+        having = np.array([bool(x[1]) for x in found], bool)
+        on = having[code] if len(code) else on
+        marked: dict[tuple[int, str], set[int]] = {}
+        for r, c in set(zip(row[on].tolist(), code[on].tolist(), strict=True)):
+            for t in found[c][1]:
+                marked.setdefault((r, t), set()).add(found[c][0])
         if marked:
-            for t, n in with_repeats({t: len(x) for t, x in marked.items()}).items():
-                i = self.marks.get(t)
-                if i is not None:
-                    words[SLOTS + i] = n
-        terms = np.fromiter(words.keys(), np.int64, len(words))
-        order = np.argsort(terms)
-        return terms[order], np.fromiter(words.values(), np.int64, len(words))[order]
+            by: dict[int, dict[str, int]] = {}
+            for (r, t), words in marked.items():
+                by.setdefault(r, {})[t] = len(words)
+            more = [(r * KEY + SLOTS + self.marks[t], n) for r, own in by.items() for t, n in with_repeats(own).items() if t in self.marks]
+            keys, counts = np.concatenate([keys, np.array([k for k, _ in more], np.int64)]), np.concatenate([counts, np.array([n for _, n in more], np.int64)])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+        return keys, counts
+
+    def chunks(self, texts: list[str]) -> Iterator[list[str]]:
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHARACTERS:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, frequencies) of each text, by term."""
+        for chunk in self.chunks(texts):
+            keys, counts = self.keys(chunk)
+            cuts = np.searchsorted(keys, np.arange(len(chunk) + 1) * KEY)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield keys[a:b] % KEY, counts[a:b]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -172,7 +203,7 @@ class Model:
         self.first = np.searchsorted(term[self.start], np.arange(len(self.known) + 1))
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(examples, cosines) of the nearest of each vector, by cosine, then id; exact. The blocks of the highest
+        """(examples, cosines) of the nearest of each vector but one (-1: none), by cosine, then id; exact. The blocks of the highest
         bounds are scored first; of the others, only those whose bound reaches the last neighbour found so far."""
         n = len(vectors)
         if not len(self.ids):
@@ -191,7 +222,8 @@ class Model:
             at = _ranges(self.start[e], length)
             found = np.bincount(np.repeat(row[on], length) * len(self.ids) + self.example[at], np.repeat(weight[on], length) * self.posted[at], n * len(self.ids)).reshape(n, -1)
             if but is not None:
-                found[np.arange(n), but] = 0
+                some = np.flatnonzero(np.array(but) >= 0)
+                found[some, np.array(but)[some]] = 0
             return found
 
         def last(scores: np.ndarray) -> np.ndarray:
@@ -244,7 +276,7 @@ class Model:
     def scores(self, texts: list[str], reader: Reader) -> list[tuple[float, list[int]]]:
         """(score, evidence) of each text; equal ones are scored once."""
         distinct = list(dict.fromkeys(texts))
-        vectors = [self.vector(*reader.terms(t)) for t in distinct]
+        vectors = [self.vector(*x) for x in reader.many(distinct)]
         out: dict[str, tuple[float, list[int]]] = {}
         for held in self.batches(vectors):
             for i, (at, near) in zip(held, self.nearest([vectors[i] for i in held]), strict=True):
@@ -253,14 +285,20 @@ class Model:
         return [out[t] for t in texts]
 
 
-def _bounded_labels(labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, toxic) to learn from, at most about most / 2 of each label by a hash of the id; the numbers of all by label."""
+def _bounded_labels(labels: DataFrame, most: int, indexed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, in_index) to learn from, at most about most / 2 of each label by a hash of the id, and of these
+    about indexed / 2 for the index; the numbers of all by label."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
-    share = F.lit(0)
-    for label, n in counts.items():
-        share = F.when(F.col("toxic") == label, int(min(1.0, most / 2 / n) * 1_000_000)).otherwise(share)
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), counts
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))
+
+    def within(bound: int) -> Column:
+        share = F.lit(0)
+        for label, n in counts.items():
+            share = F.when(F.col("toxic") == label, int(min(1.0, bound / 2 / n) * 1_000_000_000)).otherwise(share)
+        return place < share
+
+    return known.where(within(most)).withColumn("in_index", within(indexed)), counts
 
 
 def _marking_terms(examples: DataFrame, n: int, toxic: int) -> list[str]:
@@ -303,8 +341,8 @@ def _frequencies(docs: DataFrame, marks: list[str], known: np.ndarray) -> np.nda
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, n = Reader(marks), np.zeros(SLOTS + len(marks), np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                n[reader.terms(text)[0]] += 1
+            for chunk in reader.chunks(batch["text"].tolist()):
+                n += np.bincount(reader.keys(chunk)[0] % KEY, minlength=len(n))
         own = shared.value
         own = own[n[own] > 0]
         yield pd.DataFrame({"i": own, "n": n[own]})
@@ -315,14 +353,14 @@ def _frequencies(docs: DataFrame, marks: list[str], known: np.ndarray) -> np.nda
     return found[known]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
-    """Learn from labels (doc_id, toxic) outside the test fold; what the driver holds is bounded by most, TERMS and SLOTS."""
-    chosen, known = _bounded_labels(labels, most)
+def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, indexed: int = INDEXED) -> Model:
+    """Learn from labels (doc_id, toxic) outside the test fold; what the driver holds is bounded by indexed, TERMS and SLOTS."""
+    chosen, known = _bounded_labels(labels, most, min(most, indexed))
     chosen = materialize(chosen, "toxic-labels")
-    kept = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}  # two rows at most
+    kept = {r["toxic"]: r["count"] for r in chosen.where("in_index").groupBy("toxic").count().collect()}  # two rows at most
     stands = tuple(known[y] / kept[y] if kept.get(y) else 1.0 for y in (0, 1))
     docs = docs.select("doc_id", "text")
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text_or_empty().alias("text"))  # at most `most` labels
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "in_index", text_or_empty().alias("text"))  # at most `most` labels
     with arrow_rows(docs.sparkSession):
         examples = materialize(texts, "toxic-examples")
         tally = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
@@ -336,26 +374,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reader = Reader(marks)
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [_packed(*reader.terms(t)) for t in batch["text"]]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [_packed(*x) for x in reader.many(batch["text"].tolist())]})
 
-        rows = examples.mapInPandas(read, "doc_id long, toxic int, terms binary").orderBy("doc_id", "terms").collect()  # the examples' terms
+        rows = examples.where("in_index").mapInPandas(read, "doc_id long, toxic int, terms binary").orderBy("doc_id", "terms").collect()  # the examples' terms
         found = [_unpacked(bytes(r["terms"])) for r in rows]
         terms = np.unique(np.concatenate([t for t, _ in found]))
         frequency, total = _frequencies(docs, marks, terms), docs.count()
     model = Model(marks, terms, np.log(1 + total / (1 + frequency)))
-    vectors = [model.vector(*x) for x in found]
-    model.build(vectors, [r["toxic"] for r in rows], [r["doc_id"] for r in rows], stands)
-    # the index has put the examples in its own order; rows that repeat id and text may stand for each other
-    place: dict[int, list[int]] = {}
-    for at, i in enumerate(model.ids):
-        place.setdefault(int(i), []).append(at)
-    own = [place[r["doc_id"]].pop() for r in rows]
-    raw = np.zeros(len(rows))
-    for held in model.batches(vectors):
-        for i, (at, near) in zip(held, model.nearest([vectors[i] for i in held], [own[i] for i in held]), strict=True):
-            raw[i] = model.vote(at, near, model.marked(vectors[i]))
-    toxic = np.array([r["toxic"] for r in rows], float)
-    marked = np.array([model.marked(v) for v in vectors])
+    model.build([model.vector(*x) for x in found], [r["toxic"] for r in rows], [r["doc_id"] for r in rows], stands)
+    return _calibrated(model, examples, known, tally)
+
+
+def _calibrated(model: Model, examples: DataFrame, known: dict[int, int], tally: dict[int, int]) -> Model:
+    """Fits the steps and the rate of documents without terms from the votes for all examples, found in tasks."""
+    shared = examples.sparkSession.sparkContext.broadcast(model)  # of bounded size
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        reader, place = Reader(own.marks), {int(i): at for at, i in enumerate(own.ids)}
+        for batch in batches:
+            vectors = [own.vector(*x) for x in reader.many(batch["text"].tolist())]
+            left = [place.get(int(i), -1) for i in batch["doc_id"]]
+            raw = np.zeros(len(vectors))
+            for held in own.batches(vectors):
+                for i, (at, near) in zip(held, own.nearest([vectors[i] for i in held], [left[i] for i in held]), strict=True):
+                    raw[i] = own.vote(at, near, own.marked(vectors[i]))
+            yield pd.DataFrame({"toxic": batch["toxic"], "marked": [own.marked(v) for v in vectors], "raw": raw})
+
+    with arrow_rows(examples.sparkSession):
+        found = examples.select("doc_id", "toxic", "text").mapInPandas(votes, "toxic int, marked boolean, raw double").toPandas()  # at most EXAMPLES rows
+    stands = tuple(known[y] / tally[y] if tally.get(y) else 1.0 for y in (0, 1))
+    toxic, marked, raw = found["toxic"].to_numpy(float), found["marked"].to_numpy(bool), found["raw"].to_numpy()
     for kind in (False, True):
         model.calibrate(raw[marked == kind], toxic[marked == kind], kind, stands)
     plain = toxic[~marked] if not marked.all() else toxic

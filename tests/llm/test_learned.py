@@ -151,7 +151,7 @@ def test_nearest_examples_are_exact():
 def test_vectors_hold_all_words_and_marks():
     """Against TF-IDF by hand: frequencies of words, both parts of length 1, marks weighing MARKED."""
     reader = toxicity.Reader(["zorg*", "zorg*2", "plum"])
-    terms, counts = reader.terms("Plum zorgo, zorgix zorgo the The the ... other")
+    _, (terms, counts), _ = reader.many(["the plum", "Plum zorgo, zorgix zorgo the The the ... other", ""])
     slot = lambda w: zlib.crc32(w.encode()) % toxicity.SLOTS
     want = {slot("plum"): 1, slot("zorgo"): 2, slot("zorgix"): 1, slot("the"): 3, slot("other"): 1, toxicity.SLOTS: 2, toxicity.SLOTS + 1: 2, toxicity.SLOTS + 2: 1}
     assert dict(zip(terms.tolist(), counts.tolist())) == want
