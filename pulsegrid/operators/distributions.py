@@ -50,13 +50,40 @@ def snapshot_metrics(posts: DataFrame, *by: str) -> DataFrame:
     )
 
 
+#: Accuracy of the sketch that tells where a rank lies; the share of rows counted by value is about four over it.
+ACCURACY = 10_000
+
+
+def at_ranks(rows: DataFrame, value: str, ranks: dict[str, tuple[float, Column]], *by: str) -> DataFrame:
+    """(…, n, mean, min, max, a value for each rank) of each group's known values; exact.
+
+    ranks: name to (about which share of the values lies below, the rank from 0 as an expression of n). A mergeable
+    sketch bounds where each rank lies; values below are only counted, those within by value, so no group is sorted.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*by, value)
+    near = lambda q, d: F.percentile_approx(value, min(1.0, max(0.0, q + d)), ACCURACY)
+    bounds = [f(q).alias(f"{side}_{k}") for k, (q, _) in ranks.items() for side, f in (("lo", lambda q: near(q, -2 / ACCURACY)), ("hi", lambda q: near(q, 2 / ACCURACY)))]
+    stats = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), js_round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *bounds)
+    named = stats.select(*[F.col(c).alias(f"g_{c}") for c in by], *[c for c in stats.columns if c[:3] in ("lo_", "hi_")])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    v = F.col(value)
+    at = F.array(*[F.when(v < F.col(f"lo_{k}"), F.struct(F.lit(k).alias("k"), F.lit(None).cast(dict(rows.dtypes)[value]).alias("v"))).when(v <= F.col(f"hi_{k}"), F.struct(F.lit(k).alias("k"), v.alias("v"))) for k in ranks])
+    counted = known.join(named, same).select(*by, F.explode(F.array_compact(at)).alias("at")).groupBy(*by, "at.k", "at.v").agg(F.count(F.lit(1)).alias("c"))
+    # null, what lies below, comes first
+    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = upto.where("v is not null").join(stats.select(*[F.col(c).alias(f"g_{c}") for c in by], "n"), same)
+    pick = [F.min(F.when((F.col("k") == k) & (F.col("upto") > rank), F.col("v"))).alias(k) for k, (_, rank) in ranks.items()]
+    found = joined.groupBy(*by).agg(*pick)
+    renamed = found.select(*[F.col(c).alias(f"g_{c}") for c in by], *ranks)
+    return stats.join(renamed, same).select(*by, "n", "mean", "min", "max", *ranks)
+
+
 def nearest_rank(rows: DataFrame, value: str, quantiles: dict[str, float], *by: str) -> DataFrame:
     """sorted[floor(n * q)] of each group: the row of that place, not an interpolation."""
-    place = Window.partitionBy(*by).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(place) - 1).alias("r"), n.alias("n"))
-    at = lambda q: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), js_round(F.avg(value), 4).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), *[at(q).alias(k) for k, q in quantiles.items()])
+    n = F.col("n")
+    return at_ranks(rows, value, {k: (q, F.least(F.floor(n * q), n - 1)) for k, q in quantiles.items()}, *by)
 
 
 def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
@@ -81,10 +108,17 @@ def interest_timeline(rows: DataFrame, by: str, at: str, value: str) -> DataFram
 
 
 def kept_by_share(rows: DataFrame, score: str, key: str, least: int, share: float) -> DataFrame:
-    """The best rows: a share of them, but at least so many. The cut is found without numbering all rows."""
+    """The best rows: a share of them, but at least so many; ties by key. The score of the last is found by its rank, so
+    only rows of that score are put in order."""
     n = rows.count()
     most = max(least, int(n * share + 0.5))
-    return rows.orderBy(F.desc(score), key).limit(most)
+    scored, rest = rows.where(F.col(score).isNotNull()), rows.where(F.col(score).isNull())
+    m = scored.count()
+    if most >= m:
+        return scored.unionByName(rest.orderBy(key).limit(most - m))
+    cut = at_ranks(scored.withColumn("of_all", F.lit(1)), score, {"cut": ((m - most) / m, F.lit(m - most))}, "of_all").first()["cut"]
+    above = scored.where(F.col(score) > F.lit(cut))
+    return above.unionByName(scored.where(F.col(score) == F.lit(cut)).orderBy(key).limit(most - above.count()))
 
 
 def rollups(posts: DataFrame, grains: dict[str, str] | None = None, *dims: str) -> DataFrame:

@@ -155,7 +155,10 @@ def rank_score(rank: Column) -> Column:
 
 def densified(batches: DataFrame) -> DataFrame:
     """Every trend in every batch: rank null and score 0 where it is missing. The spine is trends times batches, the
-    series that is asked for."""
-    spine = batches.select("trend").distinct().crossJoin(F.broadcast(batches.select("captured_at").distinct()))
+    series that is asked for; times are dealt into parts and every trend meets each part."""
+    parts = int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = batches.select("captured_at").distinct().withColumn("part", F.pmod(F.xxhash64("captured_at"), F.lit(parts)))
+    trends = batches.select("trend").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    spine = trends.join(times, "part").select("trend", "captured_at")
     found = spine.join(batches.select("trend", "captured_at", "rank"), ["trend", "captured_at"], "left")
     return found.withColumn("chart_score", rank_score(F.col("rank")))

@@ -162,6 +162,18 @@ def dynamics(posts: DataFrame, now: Column, by: list[str] | None = None, least:
     )
 
 
+def before(rows: DataFrame, value: str, by: str, at: str, tie: str, minutes: int = 10) -> DataFrame:
+    """Adds previous: the value of the row before in its series. Rows are put in order within short slots of time; the
+    last value of each slot goes on to the first row of the next, so no series is sorted as a whole."""
+    slotted = rows.withColumn("slot", F.floor(F.unix_micros(at) / F.lit(minutes * 60_000_000)))
+    w = Window.partitionBy(by, "slot").orderBy(at, tie)
+    own = slotted.withColumns({"place": F.row_number().over(w), "lagged": F.lag(value).over(w)})
+    ends = slotted.groupBy(by, "slot").agg(F.max_by(value, F.struct(at, tie)).alias("last"))
+    ends = ends.select(F.col(by).alias("of"), F.col("slot").alias("in_slot"), F.lag("last").over(Window.partitionBy(by).orderBy("slot")).alias("ended"))
+    joined = own.join(ends, F.col(by).eqNullSafe(F.col("of")) & F.col("slot").eqNullSafe(F.col("in_slot")), "left")
+    return joined.select(*rows.columns, F.when(F.col("place") == 1, F.col("ended")).otherwise(F.col("lagged")).alias("previous"))
+
+
 def top_posts(posts: DataFrame, now: Column, most: int = 5) -> DataFrame:
     """For each window its posts of greatest influence; an author may come several times."""
     w = Window.partitionBy("span").orderBy(F.desc("influence"), "event_id")

@@ -77,11 +77,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interactions between users: each user's event points to the user of the event before it in the same trend."""
-    from pyspark.sql import Window
+    from pulsegrid.operators.trend import before
 
-    w = Window.partitionBy("trend").orderBy("published_at", "event_id")
     kind = F.element_at(F.array(*map(F.lit, ("follow", "like", "mention", "reply", "quote", "repost"))), (F.col("k") % 6 + 1).cast("int"))
-    p = posts(spark, sf_dir).withColumn("other", F.lag("user_id").over(w)).where(F.col("other").isNotNull() & (F.col("other") != F.col("user_id")))
+    p = before(posts(spark, sf_dir).select("trend", "published_at", "event_id", "user_id", "k"), "user_id", "trend", "published_at", "event_id").withColumnRenamed("previous", "other")
+    p = p.where(F.col("other").isNotNull() & (F.col("other") != F.col("user_id")))
     node = lambda c: F.concat(F.lit("x:"), F.col(c).cast("string"))
     return p.select(node("user_id").alias("src"), node("other").alias("dst"), kind.alias("kind"), "published_at", F.col("event_id").cast("string").alias("event_id"))
 

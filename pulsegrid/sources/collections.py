@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.session import checkpoint_folder
 from pulsegrid.sources.schemas import ENVELOPE
 
 PRICES = "date date, instrument string, close double"
@@ -45,17 +46,20 @@ def pairs_to_map(fields: str = "fields") -> Column:
 def comment_tree(comments: DataFrame, most: int | None = None) -> DataFrame:
     """Depth-first order of comments (post, id, parent_id, ord); roots have no parent. Adds depth, path and place.
 
-    Spark's limits of recursion are lifted in the session; parents that form a circle have no root and are never met.
+    Level by level, each a checkpoint in the shared folder, so neither depth nor number of comments is limited; parents
+    that form a circle have no root and are never met.
     """
-    for limit in ("Level", "Row"):
-        comments.sparkSession.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
-    comments.createOrReplaceTempView("pulsegrid_comments")
-    tree = comments.sparkSession.sql("""
-        WITH RECURSIVE t AS (
-          SELECT post, id, 0 AS depth, array(ord) AS path FROM pulsegrid_comments WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.post, c.id, t.depth + 1, concat(t.path, array(c.ord)) FROM pulsegrid_comments c JOIN t ON c.post = t.post AND c.parent_id = t.id
-        ) SELECT post, id, depth, path, row_number() OVER (PARTITION BY post ORDER BY path) AS place FROM t""")
+    checkpoint_folder(comments.sparkSession)
+    rows = comments.select("post", "id", "parent_id", "ord")
+    level = rows.where("parent_id IS NULL").select("post", "id", F.lit(0).alias("depth"), F.array("ord").alias("path"))
+    tree = level
+    while True:
+        above = level.select("post", F.col("id").alias("parent_id"), "depth", "path")
+        level = rows.join(above, ["post", "parent_id"]).select("post", "id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("ord")).alias("path")).checkpoint()
+        if not level.limit(1).count():
+            break
+        tree = tree.unionByName(level)
+    tree = tree.withColumn("place", F.row_number().over(Window.partitionBy("post").orderBy("path")))
     return tree if most is None else tree.where(F.col("place") <= most)
 
 

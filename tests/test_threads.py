@@ -9,3 +9,18 @@ def test_threads_deeper_than_the_sessions_limits(spark):
     spark.conf.set("spark.sql.cteRecursionRowLimit", "3")
     tree = comment_tree(spark.createDataFrame(rows, "post int, id int, parent_id int, ord int").coalesce(1))
     assert sorted(r["depth"] for r in tree.collect()) == list(range(7))
+
+
+def test_threads_of_several_posts_in_depth_first_order(spark):
+    rows = [(p, i, (i - 1) // 2 if i else None, i) for p in (1, 2) for i in range(15)] + [(3, 1, 2, 0), (3, 2, 1, 0)]  # post 3 is a circle
+    got = {(r["post"], r["id"]): (r["depth"], r["place"]) for r in comment_tree(spark.createDataFrame(rows, "post int, id int, parent_id int, ord int")).collect()}
+    order: list = []
+
+    def walk(i, d):
+        order.append((i, d))
+        for c in (2 * i + 1, 2 * i + 2):
+            if c < 15:
+                walk(c, d + 1)
+
+    walk(0, 0)
+    assert got == {(p, i): (d, k + 1) for p in (1, 2) for k, (i, d) in enumerate(order)}
