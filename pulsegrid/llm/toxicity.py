@@ -42,14 +42,16 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
 #: Labelled documents that marks are chosen from; those of them in the index; marks kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
-EXAMPLES, INDEXED, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 3_072, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
+EXAMPLES, INDEXED, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 2_560, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
 REPEATS = ((2, "2"), (4, "4"))
 #: Least odds of a toxic document among those with a mark, against the odds among all examples; marks' share of a squared length; slots of words.
 ODDS, MARKED, SLOTS = 8, 0.9, 1 << 20
 #: Words a task remembers; documents and terms handled at once.
 MEMO, TOGETHER, TERMS_TOGETHER = 250_000, 64, 12_000
 #: Characters of the texts read at once; a document's number and a term in one key.
-CHARACTERS, KEY = 1_000_000, 1 << 21
+CHARACTERS, KEY, MARKING = 2_000_000, 1 << 21, 1 << 40
+#: Share of the examples from which on a term's weights are stored for every example.
+HOT = 1 / 16
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_-#@/\\|~`«»“”‘’…"
 
 
@@ -75,17 +77,25 @@ def base(term: str) -> str:
 
 
 class _Memo(dict):
-    """Word to its slot (-1: nothing is left of it) and the marks it has; bounded."""
+    """Word to its slot (SLOTS: nothing is left of it), plus MARKING where it has marks, which are kept beside; bounded."""
 
     def __init__(self, marks: dict[str, int]):
         super().__init__()
         self.bases = {base(t) for t in marks}
-
-    def __missing__(self, word: str) -> tuple[int, tuple[str, ...]]:
-        own = terms_of(word)
-        found = (zlib.crc32(own[0].encode("utf-8", "surrogatepass")) % SLOTS, tuple(t for t in own if t in self.bases)) if own else (-1, ())
+        self.heads = {t[: PREFIXES[0]] for t in self.bases if t.endswith("*")}
+        self.marks: dict[str, tuple[str, ...]] = {}
+
+    def __missing__(self, word: str) -> int:
+        w = word.strip(PUNCTUATION)
+        found = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS if w else SLOTS
+        if w in self.bases or w[: PREFIXES[0]] in self.heads:
+            own = tuple(t for t in terms_of(word) if t in self.bases)
+            if own:
+                self.marks[word] = own
+                found += MARKING
         if len(self) >= MEMO:
             self.clear()
+            self.marks = {word: self.marks[word]} if found >= MARKING else {}
         self[word] = found
         return found
 
@@ -102,23 +112,25 @@ class Reader:
         have it. Arrow cuts the texts, so Python sees each distinct word once."""
         parts = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
         coded = parts.flatten().dictionary_encode()
-        found = [self.memo[w] for w in coded.dictionary.to_pylist()]
-        slots = np.array([x[0] for x in found], np.int64)
-        code = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        found, having = np.zeros(len(words), np.int64), {}
+        for i, w in enumerate(words):
+            found[i] = slot = self.memo[w]
+            if slot >= MARKING:
+                having[i] = self.memo.marks[w]
+        code = coded.indices.to_numpy()
         row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
-        on = slots[code] >= 0 if len(code) else np.zeros(0, bool)
-        keys, counts = np.unique(row[on] * KEY + slots[code[on]], return_counts=True)
-        having = np.array([bool(x[1]) for x in found], bool)
-        on = having[code] if len(code) else on
-        marked: dict[tuple[int, str], set[int]] = {}
-        for r, c in set(zip(row[on].tolist(), code[on].tolist(), strict=True)):
-            for t in found[c][1]:
-                marked.setdefault((r, t), set()).add(found[c][0])
-        if marked:
-            by: dict[int, dict[str, int]] = {}
-            for (r, t), words in marked.items():
-                by.setdefault(r, {})[t] = len(words)
-            more = [(r * KEY + SLOTS + self.marks[t], n) for r, own in by.items() for t, n in with_repeats(own).items() if t in self.marks]
+        slots = found % MARKING
+        keys = row * KEY + slots[code]
+        keys, counts = np.unique(keys[slots[code] < SLOTS], return_counts=True)
+        if having:
+            on = (found >= MARKING)[code]
+            marked: dict[int, dict[str, set[int]]] = {}
+            for r, c in set(zip(row[on].tolist(), code[on].tolist(), strict=True)):
+                own = marked.setdefault(r, {})
+                for t in having[c]:
+                    own.setdefault(t, set()).add(int(slots[c]))
+            more = [(r * KEY + SLOTS + self.marks[t], n) for r, own in marked.items() for t, n in with_repeats({t: len(x) for t, x in own.items()}).items() if t in self.marks]
             keys, counts = np.concatenate([keys, np.array([k for k, _ in more], np.int64)]), np.concatenate([counts, np.array([n for _, n in more], np.int64)])
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
@@ -201,6 +213,14 @@ class Model:
         self.block = (key[self.start] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.posted, self.start) if len(key) else np.zeros(0)
         self.first = np.searchsorted(term[self.start], np.arange(len(self.known) + 1))
+        # weights of frequent terms as rows over all examples; the others are looked up in the postings
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.known)) >= max(1.0, HOT * len(order))) if len(order) else np.zeros(0, np.int64)
+        self.dense = np.zeros((len(often), len(order)))
+        self.hot = np.full(len(self.known), -1)
+        self.hot[often] = np.arange(len(often))
+        on = self.hot[term] >= 0
+        self.dense[self.hot[term[on]], self.example[on]] = self.posted[on]
+        self.rare = self.hot[term[self.start]] < 0 if len(key) else np.zeros(0, bool)
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(examples, cosines) of the nearest of each vector but one (-1: none), by cosine, then id; exact. The blocks of the highest
@@ -210,17 +230,24 @@ class Model:
             return [(np.zeros(0, int), np.zeros(0))] * n
         row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        own = np.zeros((n, len(self.dense)))
+        hot = self.hot[term] >= 0
+        own[row[hot], self.hot[term[hot]]] = weight[hot]
+        whole = own @ self.dense  # what frequent terms add to every cosine
         size = self.first[term + 1] - self.first[term]
         entry, row, weight = _ranges(self.first[term], size), np.repeat(row, size), np.repeat(weight, size)
         block = self.block[entry]
         bounds = np.bincount(row * self.blocks + block, weight * self.most[entry], n * self.blocks).reshape(n, -1)
+        rare = self.rare[entry]
+        entry, row, weight, block = entry[rare], row[rare], weight[rare], block[rare]
 
         def scored(live: np.ndarray) -> np.ndarray:
             """Cosines of the examples in each row's live blocks, 0 elsewhere."""
             on = live[row, block]
             e, length = entry[on], self.size[entry[on]]
             at = _ranges(self.start[e], length)
-            found = np.bincount(np.repeat(row[on], length) * len(self.ids) + self.example[at], np.repeat(weight[on], length) * self.posted[at], n * len(self.ids)).reshape(n, -1)
+            found = np.bincount(np.repeat(row[on] * len(self.ids), length) + self.example[at], np.repeat(weight[on], length) * self.posted[at], n * len(self.ids)).reshape(n, -1)
+            found = found + np.where(np.repeat(live, BLOCK, axis=1)[:, : len(self.ids)], whole, 0.0)
             if but is not None:
                 some = np.flatnonzero(np.array(but) >= 0)
                 found[some, np.array(but)[some]] = 0
