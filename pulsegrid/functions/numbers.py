@@ -77,3 +77,31 @@ def tier(score: Column) -> Column:
 def tier_order(name: Column) -> Column:
     """Ordinal of a tier; -1 where it is unknown."""
     return F.coalesce(F.array_position(F.array(*map(F.lit, TIERS)), name) - 1, F.lit(-1)).cast("int")
+
+
+def polarity(positive: Column, neutral: Column, negative: Column) -> Column:
+    """1 to 5 from percentages of the three sentiments."""
+    return (5 * positive + 3 * neutral + negative) / 100
+
+
+def emotion_polarity(score: Column) -> Column:
+    return F.greatest(F.lit(1.0), F.least(F.lit(5.0), score))
+
+
+def humanize_fixed(x: Column) -> Column:
+    """1.2M with one decimal, K with one decimal below 10 thousand and none from there on, else the number."""
+    tenth = lambda u: F.format_string("%.1f", F.floor(x / u * 10 + 0.5) / 10)
+    return (
+        F.when(x >= 1e6, F.concat(tenth(1e6), F.lit("M"))).when(x >= 1e4, F.concat(F.floor(x / 1e3 + 0.5).cast("string"), F.lit("K")))
+        .when(x >= 1e3, F.concat(tenth(1e3), F.lit("K"))).otherwise(F.floor(x + 0.5).cast("string"))
+    )
+
+
+def shortest(x: Column) -> Column:
+    """A number without trailing zeros."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def valid_date(text: Column) -> Column:
+    """YYYY-MM-DD that exists in the calendar."""
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))

@@ -142,3 +142,31 @@ def fan_in(results: DataFrame, categories: tuple[str, ...] = ("sentiment", "demo
     )
     missing = F.array_compact(F.array(*[F.when(F.col(f"n_{c}") == 0, F.lit(f"missing {c}")) for c in categories], *[F.when(F.col(f"n_{c}") > 1, F.lit(f"duplicate {c}")) for c in categories], F.when(F.col("unexpected") > 0, F.lit("unexpected category"))))
     return by.select("run_id", *categories, F.array_join(missing, "; ").alias("problem"))
+
+
+def dimension_rollups(posts: DataFrame, dims: tuple[str, ...], grains: dict[str, str] | None = None) -> DataFrame:
+    """(trend, granularity, bucket_start, dimension, value, mentions, average, peak, share): each dimension by itself in
+    one pass; share in percent of the bucket's mentions, 2 decimals."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])
+    found = rollups(posts.withColumn("d", F.explode(pairs)).select("*", "d.*"), grains, "dimension", "value").select("trend", "granularity", "bucket_start", "dimension", "value", "mentions", "average", "peak")
+    total = F.sum("mentions").over(Window.partitionBy("trend", "granularity", "bucket_start", "dimension"))  # over one row a value
+    return found.withColumn("share", js_round(100.0 * F.col("mentions") / total, 2))
+
+
+def benchmark(rows: DataFrame, expected: str, predicted: str, latency: str, *by: str) -> DataFrame:
+    """(…, n, correct, accuracy, mean latency, p50, p95): accuracy with 4 decimals, latencies by nearest rank."""
+    scores = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(expected).eqNullSafe(F.col(predicted))).alias("correct"))
+    late = nearest_rank(rows, latency, {"p50": 0.5, "p95": 0.95}, *by).select(*by, "mean", "p50", "p95")
+    return scores.withColumn("accuracy", js_round(F.col("correct") / F.col("n"), 4)).join(late, list(by), "left")
+
+
+def reaction_total(reactions: Column) -> Column:
+    """Sum of the known counts of an array of reactions; null where there is none."""
+    counts = F.filter(F.transform(reactions, lambda r: r["count"]), lambda c: c.isNotNull())
+    return F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c))
+
+
+def argmax_label(rows: DataFrame, label: str, value: str, *by: str) -> DataFrame:
+    """The label of the largest value of each group, ties to the smaller label, and that value."""
+    best = rows.groupBy(*by).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col(label).alias("l"))).alias("m"))
+    return best.select(*by, F.col("m.l").alias(label), (-F.col("m.v")).alias(value))

@@ -245,3 +245,63 @@ def behaviour(posts: DataFrame, by: str = "author_id") -> DataFrame:
 def coordinated(density: Column, betweenness: Column, delays: Column, mean_ms: Column, deviation_ms: Column) -> Column:
     """Dense, central and evenly timed: at least three timestamps, short delays that hardly vary."""
     return (density > 0.75) & (betweenness > 0.65) & (delays >= 2) & (deviation_ms < 500) & (mean_ms < 2000)
+
+
+def hashtag_overlap(posts: DataFrame, by: str) -> DataFrame:
+    """(by, overlap): share of a collection's posts that have its most common hashtag, 3 decimals; 0 where none has any."""
+    n = posts.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    tags = posts.select(by, F.explode(F.array_distinct("hashtags")).alias("tag")).groupBy(by, "tag").agg(F.count(F.lit(1)).alias("c"))
+    top = tags.groupBy(F.col(by).alias("of")).agg(F.max("c").alias("c"))
+    return n.join(top, F.col(by).eqNullSafe(F.col("of")), "left").select(by, js_round(F.coalesce("c", F.lit(0)) / F.col("n"), 3).alias("overlap"))
+
+
+def analyze_network(posts: DataFrame, links: DataFrame, by: str, most: int = 10, exact: bool = True) -> DataFrame:
+    """One row for each collection: nodes, edges, density, counts by kind, delays between its posts, hashtag overlap and,
+    where exact, the mean betweenness of its top influencers (by degree within the collection) and the coordination flag.
+
+    posts: by, id (node), published_at, event_id, hashtags; links: by, src, dst, kind, published_at, event_id.
+    """
+    weight = F.create_map(*[F.lit(x) for p in EDGE_WEIGHTS.items() for x in p])[F.col("kind")]
+    edges = links.groupBy(by, "src", "dst").agg(F.sum(weight).alias("weight"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in EDGE_WEIGHTS])
+    ends = edges.select(by, F.explode(F.array("src", "dst")).alias("id"), F.lit(False).alias("posted"))
+    nodes = ends.unionByName(posts.where("id is not null").select(by, "id", F.lit(True).alias("posted"))).groupBy(by, "id").agg(F.bool_or("posted").alias("observed"), F.count_if(~F.col("posted")).alias("degree"))
+    n = nodes.groupBy(by).agg(F.count(F.lit(1)).alias("nodes"), F.count_if("observed").alias("observed"))
+    e = edges.groupBy(by).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("total_weight"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in EDGE_WEIGHTS])
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("edges", "total_weight", *[f"n_{k}" for k in EDGE_WEIGHTS])]
+    whole = n.join(e, by, "left").select(by, "nodes", "observed", (F.col("nodes") - F.col("observed")).alias("external"), *zero)
+    pairs = F.col("nodes") * (F.col("nodes") - 1)
+    whole = whole.withColumn("density", F.when(pairs > 0, js_round(F.col("edges") / pairs, 6)).otherwise(0.0))
+    whole = whole.join(behaviour(posts, by), by, "left").join(hashtag_overlap(posts, by), by, "left")
+    if not exact:
+        return whole
+    place = Window.partitionBy(by).orderBy(F.desc("degree"), "id")
+    top = nodes.where("observed").withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+    between = betweenness(edges.select(by, "src", "dst"), by)
+    mean = top.join(between, [by, "id"], "left").groupBy(by).agg(js_round(F.avg(F.coalesce("betweenness", F.lit(0.0))), 6).alias("avg_betweenness"))
+    flag = coordinated(F.col("density"), F.col("avg_betweenness"), F.col("delays"), F.col("mean_ms"), F.col("deviation_ms"))
+    return whole.join(mean, by, "left").withColumn("suspected", F.coalesce(flag, F.lit(False)))
+
+
+def edge_keys(edges: DataFrame, authors: DataFrame) -> DataFrame:
+    """Edges (platform, src, dst) with the surrogate keys of their ends from authors (platform, author_id, author_key);
+    an unknown end has none."""
+    key = lambda end: authors.select(F.col("platform"), F.col("author_id").alias(end), F.col("author_key").alias(f"{end}_key"))
+    return edges.join(key("src"), ["platform", "src"], "left").join(key("dst"), ["platform", "dst"], "left")
+
+
+def trend_bridge(posts: DataFrame, trends: DataFrame) -> DataFrame:
+    """(event_id, trend_key) once for each post and trend that is known."""
+    return posts.select("event_id", "trend_key").distinct().join(trends.select("trend_key"), "trend_key", "left_semi").select("event_id", "trend_key")
+
+
+def edge_platform(explicit: Column, src: Column, dst: Column, single: Column) -> Column:
+    """The explicit platform, else the prefix of an end's id, else the only platform of the collection; null: no edge."""
+    known = lambda x: F.when(F.split_part(x, F.lit(":"), F.lit(1)).isin("x", "reddit", "telegram") & x.contains(":"), F.split_part(x, F.lit(":"), F.lit(1)))
+    return F.coalesce(F.nullif(F.lower(F.trim(explicit)), F.lit("")), known(src), known(dst), single)
+
+
+def degree_rank(edges: DataFrame) -> DataFrame:
+    """(id, edge_count, rank): edges of each node; nodes that no edge ends in have rank 0."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(False).alias("target")), F.struct(F.col("dst").alias("id"), F.lit(True).alias("target")))).alias("e")).select("e.*")
+    by = ends.groupBy("id").agg(F.count(F.lit(1)).alias("edge_count"), F.bool_or("target").alias("target"))
+    return by.select("id", "edge_count", F.when(F.col("target"), F.col("edge_count")).otherwise(0).alias("rank"))

@@ -145,3 +145,49 @@ def registry(events: DataFrame) -> DataFrame:
 
 def audit_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("verdict") == "INTACT").alias("intact"), F.count_if(F.col("verdict") != "INTACT").alias("tampered"))
+
+
+#: Fields of a snapshot's payload, in order of name.
+PAYLOAD = ("captured_at", "centrality_score", "config_hash", "sentiment_result", "sentiment_score", "snapshot_id", "trend_label", "virality_score", "virality_tier")
+BATCH = 100
+
+
+def canonical_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a compact JSON object of the fields in order of name; nulls are written, numbers without .0."""
+    text = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6), F.lit("null"))
+    value = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.regexp_replace(text(c), r"^(-?[0-9]+)\.0$", "$1"))
+    parts = [F.concat(F.lit(f'"{k}":'), value(fields[k])) for k in sorted(fields)]
+    return F.concat(F.lit("0x"), F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256))
+
+
+def payload(snapshots: DataFrame, **columns: Column) -> DataFrame:
+    """The nine payload fields of each snapshot; those not given are null."""
+    return snapshots.select(*[columns.get(k, F.lit(None).cast("string")).alias(k) for k in PAYLOAD])
+
+
+def batches(leaves: DataFrame, order: list[str], most: int = BATCH) -> DataFrame:
+    """Adds batch and leaf_index: at most so many leaves of one stream in a batch, in order. Numbers of leaves before each
+    day are summed over days, so no stream is numbered as a whole. leaves: stream, day, and the columns of order."""
+    days = leaves.groupBy("stream", "day").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("stream").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offset = days.select("stream", "day", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("stream", "day").orderBy(*order)) - 1
+    numbered = leaves.withColumn("own", own).join(offset, ["stream", "day"]).withColumn("place", F.col("offset") + F.col("own"))
+    return numbered.select(*leaves.columns, F.concat_ws("#", "stream", F.floor(F.col("place") / most).cast("string")).alias("batch"), (F.col("place") % most).cast("int").alias("leaf_index"))
+
+
+def ladder(proof_ok: Column, direct: Column, legacy: Column, tampered_fields: Column) -> Column:
+    """(status, method) of a check: by proof where there is one, else a root anchored by itself, else a legacy hash, else
+    tampered. proof_ok: null without a proof; tampered_fields: how many differ."""
+    clean = tampered_fields == 0
+    status = lambda ok, how: F.struct(F.when(ok, "INTACT").otherwise("TAMPER_DETECTED").alias("status"), F.lit(how).alias("method"))
+    return (
+        F.when(proof_ok.isNotNull(), status(proof_ok & clean, "field_merkle_tree")).when(direct, status(clean, "direct"))
+        .when(legacy, status(F.lit(True), "direct_legacy")).otherwise(status(F.lit(False), "unknown"))
+    )
+
+
+def audit_latest(anchors: DataFrame, verdicts: DataFrame, most: int = 10) -> DataFrame:
+    """The newest anchors with their verdict; an anchor whose snapshot is gone is missing."""
+    newest = anchors.orderBy(F.desc("anchored_at"), "snapshot_id").limit(most)
+    return newest.join(verdicts.select("snapshot_id", "verdict"), "snapshot_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("MISSING")))

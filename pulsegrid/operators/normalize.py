@@ -68,3 +68,30 @@ def normalize(events: DataFrame, reach: Column | None = None) -> DataFrame:
         blank_to_null(F.col("relationships.replyToAuthorId")).alias("reply_to_author"), blank_to_null(F.col("relationships.quoteOfId")).alias("quote_of"),
         blank_to_null(F.col("relationships.forwardOfId")).alias("forward_of"), F.col("content.text").alias("text"), region(F.col("author.authorLocation")).alias("region"),
     )
+
+
+def tolerant_interactions(p: Column, given: Column, e: dict[str, Column], m: dict[str, Column], reactions: Column) -> Column:
+    """A given number first; else the platform's counters: reddit replies and comments, telegram reactions, replies and
+    comments, others every counter and the metrics' likes, comments and shares. Null where all are missing."""
+    every = null_sum(*[e[k] for k in ("likes", "replies", "reposts", "quotes", "bookmarks") if k in e], *[m[k] for k in ("likes", "comments", "shares") if k in m])
+    comments = [m["comments"]] if "comments" in m else []
+    by = F.when(p == "reddit", null_sum(e["replies"], *comments)).when(p == "telegram", null_sum(reactions, e["replies"], *comments)).otherwise(every)
+    return F.coalesce(given, by)
+
+
+def first_label(*paths: Column) -> Column:
+    """The first label that is not blank, trimmed."""
+    return F.coalesce(*[blank_to_null(c) for c in paths])
+
+
+def kept_on_ingest(p: Column, region_: Column, engagement: Column, least: int = 10) -> Column:
+    """Posts with enough engagement; those of x only with a known region."""
+    return (F.coalesce(engagement, F.lit(0)) >= least) & ((p != "x") | (region_ != "Other"))
+
+
+def matches(query: str, *columns: Column) -> Column:
+    """Some column contains the query; a blank query matches all."""
+    found = F.lit(not query.strip())
+    for c in columns:
+        found = found | F.coalesce(F.lower(c).contains(query.strip().lower()), F.lit(False))
+    return found

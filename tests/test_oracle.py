@@ -12,6 +12,11 @@ import __spark_entry__
 from pulsegrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
+#: Queries without SQL, and the tests that hold them against plain Python or cases by hand.
+ELSEWHERE = {
+    "betweenness": "test_no_sql", "network_flags": "test_no_sql", "mentions_of_documents": "test_no_sql", "merkle_roots": "test_no_sql",
+    "segmented_tags": "test_texts", "sentiment": "test_operators",
+}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -39,7 +44,7 @@ def test_query(spark, duck, name):
     columns = sorted(found.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in found.collect())
     if sql is None:
-        assert len(got) >= 0
+        assert name in ELSEWHERE and (got or name == "segmented_tags")  # the smallest table has no tags
         return
     answer = duck.execute(sql)
     names = [d[0] for d in answer.description]
