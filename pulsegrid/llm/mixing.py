@@ -22,6 +22,7 @@ import heapq
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import documents, few, materialize, text_or_empty, word_count
 
 WEIGHTS, MOST_REPEATS, SEED, BUCKET, BUCKETS = (1, 2, 3), 3, 20_240_229, 512, 65_536
-#: Hashes of documents lie below this.
+#: Documents looked at for an exchange; hashes of documents lie below SPAN.
+EXCHANGED = 1_024
 SPAN = (1 << 63) - 1
 
 
@@ -213,19 +215,28 @@ def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         """Documents in seeded order as long as they fit the gap, again from the start while repeats are left and the
-        gap is; a last one that overshoots by less than is missing."""
+        gap is; then a few exchanges, each the one that brings the sum nearest: a document in, one out, or both."""
         group = group.sort_values(["mix_chance", "mix_size"]).reset_index(drop=True)
-        gap, units = int(group["mix_gap"].iloc[0]), group["units"].tolist()
-        room, more = most - int(group["mix_passes"].iloc[0]) - int(group["mix_extra"].iloc[0]), [0] * len(group)
+        gap, units = int(group["mix_gap"].iloc[0]), group["units"].to_numpy(np.int64)
+        room, more = most - int(group["mix_passes"].iloc[0]) - int(group["mix_extra"].iloc[0]), np.zeros(len(group), np.int64)
         for _ in range(room):
-            for i, n in enumerate(units):
+            for i, n in enumerate(units.tolist()):
                 if 0 < n <= gap:
                     more[i] += 1
                     gap -= n
-        left = [(n, i) for i, n in enumerate(units) if 0 < n < 2 * gap and more[i] < room]
-        if left:
-            more[min(left)[1]] += 1
-        return group[["mix_pattern", "mix_chance", "mix_size"]].assign(mix_more=more)
+        for _ in range(4):
+            into, out = np.flatnonzero((more < room) & (units > 0))[:EXCHANGED], np.flatnonzero(more)[:EXCHANGED]
+            change = np.concatenate([units[into], [0]])[:, None] - np.concatenate([units[out], [0]])[None]
+            k = int(np.abs(gap - change).argmin())
+            if gap == 0 or abs(gap - change.flat[k]) >= abs(gap):
+                break
+            i, j = divmod(k, change.shape[1])
+            gap -= int(change.flat[k])
+            if i < len(into):
+                more[into[i]] += 1
+            if j < len(out):
+                more[out[j]] -= 1
+        return group[["mix_pattern", "mix_chance", "mix_size"]].assign(mix_more=more.astype("int32"))
 
     at_edge = rows.join(few(edge), "mix_pattern").where((F.col("mix_chance") >= F.col("mix_low")) & (F.col("mix_chance") < F.col("mix_high")) & (F.col("mix_gap") > 0) & _eligible())
     alike = at_edge.groupBy("mix_pattern", "mix_chance", "mix_size", "mix_gap", "mix_passes", "mix_extra").agg(F.sum("mix_size").alias("units"))
