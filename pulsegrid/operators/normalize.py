@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numbers import null_sum
-from pulsegrid.functions.text import blank_to_null, hashtags
+from pulsegrid.functions.text import blank_to_null, hashtags, prefixed
 from pulsegrid.functions.times import hours_between, to_timestamp_lenient
 
 #: Place names and the region they stand for, in order.
@@ -95,3 +95,38 @@ def matches(query: str, *columns: Column) -> Column:
     for c in columns:
         found = found | F.coalesce(F.lower(c).contains(query.strip().lower()), F.lit(False))
     return found
+
+
+def prefixed_id(platform_: str, *paths: Column) -> Column:
+    """The first known id of several payload paths, with its platform's prefix once."""
+    return prefixed(platform_, first_label(*paths))
+
+
+def distinct_attachments(items: Column) -> Column:
+    """Attachments (type, url, …) without repeats of type and url, the first kept; those without a url all stay."""
+    keys = F.transform(items, lambda a: F.when(a["url"].isNotNull(), F.concat_ws("|", a["type"], a["url"])))
+    return F.filter(items, lambda a, i: a["url"].isNull() | (F.array_position(keys, F.concat_ws("|", a["type"], a["url"])) == i + 1))
+
+
+def resolved_urls(raw: Column, entities: Column) -> Column:
+    """The resolved form of each raw URL by the entities (raw, resolved) of its post, else the URL itself."""
+    known = F.map_from_entries(F.transform(F.filter(entities, lambda e, i: F.array_position(F.transform(entities, lambda x: x["raw"]), e["raw"]) == i + 1), lambda e: F.struct(e["raw"], e["resolved"])))
+    return F.transform(raw, lambda u: F.coalesce(F.try_element_at(known, u), u))
+
+
+def keyword_class(texts: DataFrame, text: str, keywords: DataFrame, key: str) -> DataFrame:
+    """(key, class, hits): the class most of whose keywords (class, keyword) stand in the text as words; ties to the
+    smaller name; null where none does. Texts meet keywords by word, so nothing is compared with everything."""
+    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("keyword"))
+    hits = words.join(keywords.select("class", F.lower("keyword").alias("keyword")), "keyword").groupBy(key, "class").agg(F.count(F.lit(1)).alias("hits"))
+    best = hits.groupBy(F.col(key).alias("of")).agg(F.min(F.struct((-F.col("hits")).alias("n"), F.col("class").alias("c"))).alias("m"))
+    return texts.select(key).join(best, F.col(key) == F.col("of"), "left").select(key, F.col("m.c").alias("class"), F.coalesce(-F.col("m.n"), F.lit(0)).alias("hits"))
+
+
+def matched_name(name: Column, known: list[str]) -> Column:
+    """The known name that equals a name but for case, spaces and punctuation, else the first that contains it or lies in it."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
+    n = plain(name)
+    exact = [F.when(n == plain(F.lit(k)), F.lit(k)) for k in known]
+    near = [F.when((n != "") & (n.contains(plain(F.lit(k))) | plain(F.lit(k)).contains(n)), F.lit(k)) for k in known]
+    return F.coalesce(*exact, *near)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.validate import messages
+
 
 def duplicates(prices: DataFrame) -> DataFrame:
     """(instrument, date) keys that occur more than once; a price file must have none."""
@@ -41,3 +43,19 @@ def average_alerts(prices: DataFrame, rules: DataFrame) -> DataFrame:
     above = (F.col("direction") == "above") & (F.col("p") <= 0) & (F.col("g") > 0)
     below = (F.col("direction") == "below") & (F.col("p") >= 0) & (F.col("g") < 0)
     return hits.where(above | below).select("date", "rule_id", "instrument", "direction")
+
+
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """Adds errors: what is wrong with each price rule."""
+    t = F.col("type")
+    return rules.withColumn("errors", messages([
+        (F.coalesce(F.trim("rule_id"), F.lit("")) == "", "rule_id is required"), (F.coalesce(F.trim("instrument"), F.lit("")) == "", "instrument is required"),
+        (t.isNull() | ~t.isin("level", "ma_cross"), "unknown type"), (F.col("direction").isNull() | ~F.col("direction").isin("above", "below"), "unknown direction"),
+        ((t == "level") & F.col("level").isNull(), "level is required"),
+        ((t == "ma_cross") & (F.col("short").isNull() | F.col("long").isNull() | (F.col("short") < 1) | (F.col("short") >= F.col("long"))), "windows need 1 <= short < long"),
+    ]))
+
+
+def ordered_alerts(alerts: DataFrame) -> DataFrame:
+    """By date, then rule id byte by byte."""
+    return alerts.orderBy("date", F.encode("rule_id", "utf-8"))

@@ -81,3 +81,10 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def conserved(parts: list[DataFrame], whole: DataFrame) -> bool:
     return whole.count() == sum(p.count() for p in parts)
+
+
+def platform_errors(envelopes: DataFrame) -> DataFrame:
+    """Adds platform_errors: one code for each platform block that failed, by name; PLATFORM_ERROR where it gives none."""
+    names = F.array_sort(F.map_keys("platforms"))
+    codes = F.transform(names, lambda k: F.when(F.col("platforms")[k]["status"].isin("error", "rate_limited"), F.concat_ws(":", k, F.coalesce(F.col("platforms")[k]["code"], F.lit("PLATFORM_ERROR")))))
+    return envelopes.withColumn("platform_errors", F.array_compact(codes))

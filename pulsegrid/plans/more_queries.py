@@ -12,6 +12,7 @@ from pulsegrid.operators import graph as G
 from pulsegrid.operators import integrity as I
 from pulsegrid.operators import normalize as M
 from pulsegrid.operators import ranking as R
+from pulsegrid.operators import rules as P
 from pulsegrid.operators import trend as T
 from pulsegrid.operators import validate as V
 from pulsegrid.plans import trend_queries as Q
@@ -204,6 +205,54 @@ def short_numbers(spark: S, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", N.humanize_fixed(x).alias("text"), N.shortest((F.col("c_custkey") / 2)).alias("number"), N.valid_date(date).alias("valid"))
 
 
+def edge_platforms(spark: S, d: str) -> DataFrame:
+    k, e = F.col("k"), F.col("platform")
+    src = F.when(k % 3 == 0, F.concat(e, F.lit(":"), F.col("author_id"))).otherwise(F.col("author_id"))
+    dst = F.when(k % 5 == 0, F.concat(F.lit("telegram:"), F.col("author_id"))).otherwise(F.lit("other:1"))
+    return posts(spark, d).select("event_id", G.edge_platform(F.when(k % 7 == 0, F.concat(F.lit(" "), F.upper(e))), src, dst, F.when(k % 2 == 0, F.lit("x"))).alias("platform"))
+
+
+def platform_block_errors(spark: S, d: str) -> DataFrame:
+    k = F.col("k")
+    block = lambda n: F.struct(pick(("success", "error", "rate_limited", "unavailable"), k + n).alias("status"), F.when((k + n) % 3 == 0, F.lit("E1")).alias("code"))
+    e = posts(spark, d).select("event_id", F.create_map(F.lit("x"), block(0), F.lit("reddit"), block(1)).alias("platforms"))
+    return V.platform_errors(e).select("event_id", F.array_join("platform_errors", ",").alias("errors"))
+
+
+def attachments(spark: S, d: str) -> DataFrame:
+    k = F.col("k")
+    item = lambda m: F.struct(F.when(k % m == 0, "photo").otherwise("video").alias("type"), F.when(k % 4 > 0, F.concat(F.lit("u"), (k % m).cast("string"))).alias("url"))
+    kept = M.distinct_attachments(F.array(item(2), item(3), item(2)))
+    return posts(spark, d).select("event_id", F.size(kept).alias("n"), F.array_join(F.transform(kept, lambda x: F.concat_ws("=", x["type"], F.coalesce(x["url"], F.lit("-")))), ",").alias("kept"))
+
+
+def resolved_links(spark: S, d: str) -> DataFrame:
+    k = (F.col("k") % 5).cast("string")
+    entity = lambda r, t: F.struct(r.alias("raw"), t.alias("resolved"))
+    entities = F.array(entity(F.concat(F.lit("t/"), k), F.concat(F.lit("https://a/"), k)), entity(F.lit("t/0"), F.lit("https://zero")))
+    return posts(spark, d).select("event_id", F.array_join(M.resolved_urls(F.array(F.concat(F.lit("t/"), k), F.lit("t/0"), F.lit("t/9")), entities), " ").alias("urls"))
+
+
+def part_classes(spark: S, d: str) -> DataFrame:
+    words = spark.createDataFrame([("tools", "bolt"), ("tools", "gear"), ("tools", "ring"), ("looks", "red"), ("looks", "blue"), ("looks", "hot"), ("size", "small")], "class string, keyword string")
+    return M.keyword_class(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", words, "p_partkey")
+
+
+def matched_states(spark: S, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("TAMIL-NADU", "West Bengal, India", "guj", "Oslo", "kerala ")))
+    states = ["Tamil Nadu", "West Bengal", "Gujarat", "Kerala"]
+    return posts(spark, d).select("event_id", M.matched_name(F.element_at(names, (F.col("k") % 5 + 1).cast("int")), states).alias("state"))
+
+
+def price_rule_errors(spark: S, d: str) -> DataFrame:
+    k = F.col("k")
+    r = posts(spark, d).select(
+        F.when(k % 11 > 0, F.col("event_id").cast("string")).alias("rule_id"), F.when(k % 13 > 0, F.col("trend")).otherwise(F.lit(" ")).alias("instrument"), pick(("level", "ma_cross", "other"), k).alias("type"),
+        pick(("above", "below", "up"), F.col("user_id")).alias("direction"), F.when(k % 2 == 0, 1.0).alias("level"), (k % 4).alias("short"), F.lit(3).alias("long"), "event_id",
+    )
+    return P.rule_errors(r).select("event_id", F.array_join("errors", "; ").alias("errors"))
+
+
 _GRAIN = "make_timestamp(CAST(floor(epoch_us(published_at) / (h * 3.6e9)) * (h * 3600000000) AS BIGINT))"
 _DAYS = f"""{LINKS}, dl AS (SELECT *, strftime(published_at, '%Y-%m-%d') AS day FROM links), dp AS (SELECT *, strftime(published_at, '%Y-%m-%d') AS day FROM posts),
   de AS (SELECT day, src, dst, CAST(sum(CASE kind WHEN 'reply' THEN 2 WHEN 'quote' THEN 3 WHEN 'repost' THEN 3 ELSE 1 END) AS BIGINT) AS weight, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in G.EDGE_WEIGHTS)} FROM dl GROUP BY 1, 2, 3)"""
@@ -262,4 +311,15 @@ QUERIES = {
     "polarity_scores": (polarity_scores, f"WITH {POSTS} SELECT event_id, (5 * (k % 50) + 60 + (80 - k % 50)) / 100 AS polarity, greatest(1.0, least(5.0, CAST(k % 9 AS DOUBLE))) AS emotion FROM posts"),
     "short_numbers": (short_numbers, """WITH v AS (SELECT c_custkey, pow(10.0, c_custkey % 7) * (c_custkey % 97) AS x FROM customer) SELECT c_custkey, CASE WHEN x >= 1e6 THEN printf('%.1fM', floor(x / 1e6 * 10 + 0.5) / 10) WHEN x >= 1e4 THEN CAST(floor(x / 1e3 + 0.5) AS BIGINT) || 'K' WHEN x >= 1e3 THEN printf('%.1fK', floor(x / 1e3 * 10 + 0.5) / 10) ELSE CAST(CAST(floor(x + 0.5) AS BIGINT) AS VARCHAR) END AS text,
       regexp_replace(CAST(c_custkey / 2 AS VARCHAR), '\\.0$', '') AS number, c_custkey % 4 > 1 AS valid FROM v"""),
+    "edge_platforms": (edge_platforms, f"""WITH {POSTS} SELECT event_id, CASE WHEN k % 7 = 0 THEN platform WHEN k % 3 = 0 THEN platform WHEN k % 5 = 0 THEN 'telegram' WHEN k % 2 = 0 THEN 'x' END AS platform FROM posts"""),
+    "platform_block_errors": (platform_block_errors, f"""WITH {POSTS} SELECT event_id, array_to_string(list_filter([CASE WHEN (k + 1) % 4 IN (1, 2) THEN 'reddit:' || CASE WHEN (k + 1) % 3 = 0 THEN 'E1' ELSE 'PLATFORM_ERROR' END END,
+      CASE WHEN k % 4 IN (1, 2) THEN 'x:' || CASE WHEN k % 3 = 0 THEN 'E1' ELSE 'PLATFORM_ERROR' END END], lambda v: v IS NOT NULL), ',') AS errors FROM posts"""),
+    "attachments": (attachments, f"""WITH {POSTS}, a AS (SELECT event_id, CASE WHEN k % 2 = 0 THEN 'photo' ELSE 'video' END AS t2, CASE WHEN k % 3 = 0 THEN 'photo' ELSE 'video' END AS t3, CASE WHEN k % 4 > 0 THEN 'u' || k % 2 END AS u2, CASE WHEN k % 4 > 0 THEN 'u' || k % 3 END AS u3 FROM posts),
+      l AS (SELECT event_id, list_filter([t2 || '=' || coalesce(u2, '-'), CASE WHEN u3 IS NULL OR t3 <> t2 OR u3 <> u2 THEN t3 || '=' || coalesce(u3, '-') END, CASE WHEN u2 IS NULL THEN t2 || '=-' END], lambda v: v IS NOT NULL) AS l FROM a) SELECT event_id, CAST(len(l) AS INTEGER) AS n, array_to_string(l, ',') AS kept FROM l"""),
+    "resolved_links": (resolved_links, f"WITH {POSTS} SELECT event_id, 'https://a/' || k % 5 || ' ' || CASE WHEN k % 5 = 0 THEN 'https://a/0' ELSE 'https://zero' END || ' t/9' AS urls FROM posts"),
+    "part_classes": (part_classes, """WITH w(class, keyword) AS (VALUES ('tools', 'bolt'), ('tools', 'gear'), ('tools', 'ring'), ('looks', 'red'), ('looks', 'blue'), ('looks', 'hot'), ('size', 'small')), t AS (SELECT DISTINCT p_partkey, unnest(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+')) AS keyword FROM part),
+      h AS (SELECT p_partkey, class, count(*) AS hits FROM t JOIN w USING (keyword) GROUP BY 1, 2), b AS (SELECT p_partkey, arg_min(class, (-hits, class)) AS class, max(hits) AS hits FROM h GROUP BY 1) SELECT p_partkey, class, coalesce(hits, 0) AS hits FROM part LEFT JOIN b USING (p_partkey)"""),
+    "matched_states": (matched_states, f"WITH {POSTS} SELECT event_id, (['Tamil Nadu', 'West Bengal', 'Gujarat', NULL, 'Kerala'])[k % 5 + 1] AS state FROM posts"),
+    "price_rule_errors": (price_rule_errors, f"""WITH {POSTS} SELECT event_id, array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'rule_id is required' END, CASE WHEN k % 13 = 0 THEN 'instrument is required' END, CASE WHEN k % 3 = 2 THEN 'unknown type' END, CASE WHEN user_id % 3 = 2 THEN 'unknown direction' END,
+      CASE WHEN k % 3 = 0 AND k % 2 = 1 THEN 'level is required' END, CASE WHEN k % 3 = 1 AND (k % 4 < 1 OR k % 4 >= 3) THEN 'windows need 1 <= short < long' END], lambda v: v IS NOT NULL), '; ') AS errors FROM posts"""),
 }

@@ -64,7 +64,12 @@ def comment_tree(comments: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=PRICES, header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd")
+    """Daily prices; line ends of either kind. A file with two prices of an instrument for one day is refused."""
+    prices = spark.read.csv(path, schema=PRICES, header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    twice = prices.groupBy("instrument", "date").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two prices of {twice[0]['instrument']} on {twice[0]['date']}")
+    return prices
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
