@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by a task, about (half of them recent, half older); characters of the texts encoded together.
-MOST_WORDS, TOGETHER = 450_000, 1_000_000
+#: Words kept by a task, about; characters of the texts encoded together.
+MOST_WORDS, TOGETHER = 400_000, 3_000_000
 #: An empty line before more white space, or at the end.
 RUN = re.compile(r"\n\n(?:\s|\Z)")
 STOPS = ".,;:!?"
 #: How byte-level tokenizers write bytes: visible Latin-1 characters as they are, the others from U+0100 on.
+ODD = -1
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
@@ -40,52 +41,76 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
         self._cuts = self._tokenizer.normalizer is None  # byte level: the space before a word is part of it
         self._model = self._tokenizer.model
-        self._line, self._space = (self.whole("\n"), BYTES[32]) if self._cuts else (b"", "")
+        self._space = BYTES[32] if self._cuts else ""
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes | None] = {}
-        self._older: dict[str, bytes | None] = {}
-        self._stops: dict[str, bytes] = {}
+        self._stops: dict[str, list[int]] = {}
+        self._line_ids = self._ids("\n") if self._cuts else []
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by number (ODD: one that forces its text to be encoded at once); the ids of number n are
+        pool[starts[n]:starts[n] + sizes[n]]."""
+        self._known: dict[str, int] = {}
+        self._pool, self._starts, self._sizes = array("I"), array("q"), array("q")
+
+    def _ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _keep(self, word: str, ids: list[int] | array) -> None:
+        self._known[word] = len(self._starts)
+        self._starts.append(len(self._pool))
+        self._sizes.append(len(ids))
+        self._pool.extend(ids)
 
     def whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, lead: str, letters: str) -> bytes:
+    def _letters(self, lead: str, letters: str) -> list[int]:
         """The ids of a run of letters, which both tokenizers take as one word: straight from the merge model."""
         if not self._cuts:
             letters = letters.lower()
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(BYTES)
-        return array("I", [t.id for t in self._model.tokenize(lead + letters)]).tobytes()
-
-    def _learn(self, words: list[str]) -> list[bytes | None]:
-        """The ids of these words; None stands for one that forces its text to be encoded at once."""
-        if len(self._known) > MOST_WORDS // 2:
-            self._known, self._older = {}, self._known
-        known, older, new = self._known, self._older, []
+        return [t.id for t in self._model.tokenize(lead + letters)]
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The numbers of these words."""
+        if len(self._known) > MOST_WORDS:  # those of this batch stay
+            known, pool, starts, sizes = self._known, self._pool, self._starts, self._sizes
+            self._forget()
+            for w in words:
+                n = known.get(w)
+                if n == ODD:
+                    self._known[w] = ODD
+                elif n is not None:
+                    self._keep(w, pool[starts[n] : starts[n] + sizes[n]])
+        known, cuts, new = self._known, self._cuts, []
         for w in [w for w in words if w not in known]:
-            if w in older:
-                known[w] = older[w]
-            elif self._cuts and (not w or w[-1].isspace() and w != "\n" or w[0].isspace() and w[0] != "\n"):
-                known[w] = None
-            else:
-                # a letter and the stops after it are never merged
-                core = w.rstrip(STOPS)
-                lined = self._cuts and core[:1] == "\n"
-                letters = core[1:] if lined else core
-                if letters.isalpha() and (self._cuts or max(letters) < "\u0180" and "İ" not in letters):
-                    found = known.get(core)
-                    if found is None:
-                        found = self._line + self._letters("", letters) if lined else self._letters(self._space, letters)
-                    tail = w[len(core) :]
-                    if tail and tail not in self._stops:
-                        self._stops[tail] = self.whole(tail)
-                    known[w] = found + self._stops[tail] if tail else found
+            if cuts and (not w or w[-1].isspace() and w != "\n" or w[0].isspace() and w[0] != "\n"):
+                known[w] = ODD
+                continue
+            # a letter and the stops after it are never merged
+            core = w.rstrip(STOPS)
+            lined = cuts and core[:1] == "\n"
+            letters = core[1:] if lined else core
+            if letters.isalpha() and (cuts or max(letters) < "\u0180" and "İ" not in letters):
+                n = known.get(core)
+                if n is None:
+                    found = self._line_ids + self._letters("", letters) if lined else self._letters(self._space, letters)
                 else:
-                    new.append(w)
-        led = [w if w[0] == "\n" else " " + w for w in new] if self._cuts else new
+                    found = self._pool[self._starts[n] : self._starts[n] + self._sizes[n]].tolist()
+                tail = w[len(core) :]
+                if tail:
+                    if tail not in self._stops:
+                        self._stops[tail] = self._ids(tail)
+                    found = found + self._stops[tail]
+                self._keep(w, found)
+            else:
+                new.append(w)
+        led = [w if w[0] == "\n" else " " + w for w in new] if cuts else new
         for w, e in zip(new, self._tokenizer.encode_batch_fast(led, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        return list(map(known.__getitem__, words))
+            self._keep(w, e.ids)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         """Arrow cuts the texts and numbers their distinct words, of which alone Python sees each once."""
@@ -93,27 +118,26 @@ class Encoder:
         parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n" if self._cuts else " "), " ")
         coded = parts.flatten().dictionary_encode()
         ends = parts.offsets.to_numpy()
-        words = coded.dictionary.to_pylist()
-        at = coded.indices.to_numpy().astype(np.int64)
-        found = self._learn(words)
-        odd = np.array([x is None for x in found])
+        number = self._learn(coded.dictionary.to_pylist())
+        at = number[coded.indices.to_numpy()]
+        pool, starts, sizes = (np.array(x) for x in (self._pool, self._starts, self._sizes))
         whole = set()
         if self._cuts:
-            if odd.any():
-                heads = np.zeros(len(at), bool)
-                heads[ends[:-1]] = True
-                whole |= set((np.searchsorted(ends, np.flatnonzero(odd[at] & ~heads), side="right") - 1).tolist())
+            # a text's first word has no space before it
+            firsts = [array("I", self._ids(t[: t.find(" ")] if " " in t else t)) if t else array("I") for t in (t.partition("\n")[0] for t in texts)]
+            first = len(starts) + np.arange(len(texts))
+            at[ends[:-1]] = first
+            own = np.array([len(x) for x in firsts], np.int64)
+            starts, sizes = np.concatenate([starts, len(pool) + np.cumsum(own) - own]), np.concatenate([sizes, own])
+            pool = np.concatenate([pool, *(np.array(x) for x in firsts)])
+            whole |= set((np.searchsorted(ends, np.flatnonzero(at == ODD), side="right") - 1).tolist())
             lined = pc.match_substring(column, "\n\n").to_numpy(zero_copy_only=False)
             whole |= {i for i in np.flatnonzero(lined).tolist() if RUN.search(texts[i]) or any(a in texts[i] for a in self._added)}
-            # a text's first word has no space before it
-            at[ends[:-1]] = len(words) + np.arange(len(texts))
-            found += [self.whole(t[: t.find(" ")] if " " in t else t) if t else b"" for t in (t.partition("\n")[0] for t in texts)]
-        pieces = [x or b"" for x in found]
-        sizes = np.array([len(x) for x in pieces], np.int64) // 4
-        starts = np.cumsum(sizes) - sizes
+            at[at == ODD] = first[0] if len(first) else 0  # their texts are encoded whole
         n = sizes[at]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(starts[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        kind = np.int32 if max(upto[-1], len(pool)) < 1 << 30 else np.int64
+        ids = pool[np.repeat((starts[at] - upto[:-1]).astype(kind), n) + np.arange(upto[-1], dtype=kind)].astype("<u4", copy=False).tobytes()
         cuts = (4 * upto[ends]).tolist()
         for i, text in enumerate(texts):
             yield self.whole(text) if i in whole else ids[cuts[i] : cuts[i + 1]]
