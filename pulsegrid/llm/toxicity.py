@@ -42,7 +42,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from pulsegrid.llm.shared import arrow_rows, documents, materialize, release, text_or_empty
 
 #: Labelled documents that marks are chosen from; those of them in the index; marks kept; terms expected by chance; prefix lengths; neighbours; block; blocks scored first; the cut.
-EXAMPLES, INDEXED, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 3_072, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
+EXAMPLES, INDEXED, TERMS, NOISE, PREFIXES, NEAREST, BLOCK, FIRST, CUT = 12_000, 2_048, 2_048, 0.2, (4, 5, 6), 15, 64, 6, 0.7
 REPEATS = ((2, "2"), (4, "4"))
 #: Least odds of a toxic document among those with a mark, against the odds among all examples; marks' share of a squared length; slots of words.
 ODDS, MARKED, SLOTS = 8, 0.9, 1 << 20
@@ -77,25 +77,23 @@ def base(term: str) -> str:
 
 
 class _Memo(dict):
-    """Word to its slot (SLOTS: nothing is left of it), plus MARKING where it has marks, which are kept beside; bounded."""
+    """Word to its slot (SLOTS: nothing is left of it), plus MARKING where it has marks; bounded."""
 
     def __init__(self, marks: dict[str, int]):
         super().__init__()
         self.bases = {base(t) for t in marks}
         self.heads = {t[: PREFIXES[0]] for t in self.bases if t.endswith("*")}
-        self.marks: dict[str, tuple[str, ...]] = {}
+
+    def marks_of(self, word: str) -> tuple[str, ...]:
+        return tuple(t for t in terms_of(word) if t in self.bases)
 
     def __missing__(self, word: str) -> int:
         w = word.strip(PUNCTUATION)
         found = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS if w else SLOTS
-        if w in self.bases or w[: PREFIXES[0]] in self.heads:
-            own = tuple(t for t in terms_of(word) if t in self.bases)
-            if own:
-                self.marks[word] = own
-                found += MARKING
+        if (w in self.bases or w[: PREFIXES[0]] in self.heads) and self.marks_of(word):
+            found += MARKING
         if len(self) >= MEMO:
             self.clear()
-            self.marks = {word: self.marks[word]} if found >= MARKING else {}
         self[word] = found
         return found
 
@@ -113,11 +111,8 @@ class Reader:
         parts = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        found, having = np.zeros(len(words), np.int64), {}
-        for i, w in enumerate(words):
-            found[i] = slot = self.memo[w]
-            if slot >= MARKING:
-                having[i] = self.memo.marks[w]
+        found = np.array(list(map(self.memo.__getitem__, words)), np.int64)
+        having = {i: self.memo.marks_of(words[i]) for i in np.flatnonzero(found >= MARKING).tolist()}
         code = coded.indices.to_numpy()
         row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
         slots = found % MARKING
