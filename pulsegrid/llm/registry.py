@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import filteraudit, mixing, neardup, neighbours, packing, piecewise, secrets, suffixes, tokenfiles, toxicity, urls
+from pulsegrid.llm import bytecnn, filteraudit, mixing, neardup, neighbours, packing, piecewise, secrets, suffixes, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": piecewise.op9_fingerprints,
         "op10_url_filter": urls.op10_url_filter,
         "op12_filter_audit": filteraudit.op12_filter_audit,
+        "op13_quality_classifier": bytecnn.op13_quality_classifier,
     }
 
 
