@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import bytecnn, filteraudit, mixing, neardup, neighbours, packing, piecewise, secrets, suffixes, tokenfiles, toxicity, urls
+from pulsegrid.llm import bytecnn, collocations, filteraudit, mixing, neardup, neighbours, packing, piecewise, secrets, suffixes, tokenfiles, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_fingerprints": piecewise.op9_fingerprints,
         "op10_url_filter": urls.op10_url_filter,
+        "op11_collocations": collocations.op11_collocations,
         "op12_filter_audit": filteraudit.op12_filter_audit,
         "op13_quality_classifier": bytecnn.op13_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.ORACLE_SQL, "op12_filter_audit": filteraudit.ORACLE_SQL}
+    return {"op2_secret_scan": secrets.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_filter_audit": filteraudit.ORACLE_SQL}
