@@ -372,8 +372,8 @@ ORACLE_SQL = f"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, row_number() OVER () AS piece, t FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS t FROM d)),
 q AS (SELECT lang, piece, regexp_extract_all(t, '[^\\x20\\x09]+') AS ws FROM p),
-w AS (SELECT lang, piece, unnest(ws) AS w1, unnest(range(1, len(ws) + 1)) AS at FROM q),
-g AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY piece ORDER BY at)),
+w AS (SELECT lang, piece, unnest(ws) AS w1, unnest(range(1, len(ws) + 1)) AS spot FROM q),
+g AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY piece ORDER BY spot)),
 f AS (SELECT lang, [w1] AS ws, count(*) AS a FROM g GROUP BY ALL
   UNION ALL SELECT lang, [w1, w2], count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}
   UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}
