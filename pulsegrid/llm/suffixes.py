@@ -18,12 +18,17 @@ Buckets are compared across their boundaries: a window that ends before the seco
 both sides of a splitter within that token. Such a window goes to the bucket that holds the smallest suffix beginning
 as the window does, so its equals on both sides meet there.
 
+A stretch that repeats itself every one to PERIODS bytes ("-----", blanks) has only so many different windows; its first
+ones stand for all, and what is found for them is spread over the stretch when the results are put together. So a
+megabyte of one character is one piece, not a million.
+
 Before that, a task compares the pieces of frequent tokens in its batch among themselves and remembers those it has
 sent, so a passage that very many documents share arrives about once from each task.
 
 Nulls: a null text is empty; a document with a null id neither loses bytes nor takes any from others. Rows that repeat an id are one document: they
-never take bytes from each other, each is reported. Texts shorter than WIDTH bytes lose nothing. An empty table
-gives an empty result. Other columns of the input are not read.
+never take bytes from each other, each is reported. Texts shorter than WIDTH bytes lose nothing; very long
+ones are read whole, by the task of their part. An empty table gives an empty result. Other columns of the input are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ SIDE = (WIDTH - TOKEN) // 2
 SAMPLE_BYTES, BUCKET_BYTES, PART_BYTES, BATCH_BYTES, HELD_PIECES = 8_000_000, 1_000_000, 4_000_000, 1_000_000, 400_000
 #: Suffixes drawn for each splitter, and at most; pieces sorted at once; passages of frequent tokens a task remembers.
 DRAWN, MOST_DRAWN, SORTED, REMEMBERED = 8, 2_000_000, 50_000, 40_000
+#: Longest period of a stretch whose windows are looked at once; with the two times that WIDTH holds, stretches of two periods never share a window.
+PERIODS, PROBE = 16, WIDTH // 2
 #: Bytes of text of a bucket above which, where MOST_DRAWN leaves no more splitters, its tokens are dealt into shares by a hash.
 CROWDED = 64_000_000
 #: Classes of token frequency; slots of the frequency table.
@@ -199,6 +206,43 @@ def runs_of(lead: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[keep], n[keep]
 
 
+def stretches(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(begin, end, period) of the longest stretches, within documents that end at ends, that hold more than their first
+    period windows: those of period 1 first, and none twice. Three bytes in every PROBE say whether a period is worth a look."""
+    found: list[tuple[int, int, int]] = []
+    begins = np.concatenate([[0], ends[:-1]])
+    for p in range(1, PERIODS + 1):
+        i = np.arange(p, len(data) - 16, PROBE)
+        if not (len(i) and ((data[i] == data[i - p]) & (data[i + 8] == data[i + 8 - p]) & (data[i + 16] == data[i + 16 - p])).any()):
+            continue
+        edge = np.diff(np.concatenate([[0], (data[p:] == data[:-p]).astype(np.int8), [0]]))
+        own: list[tuple[int, int, int]] = []
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + p).tolist(), strict=True):
+            if b - a < WIDTH + p:
+                continue
+            for d in range(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(begins, b, side="left"))):
+                x, y = max(a, int(begins[d])), min(b, int(ends[d]))
+                if y - x >= WIDTH + p and not any(u <= x and y <= v for u, v, q in found if p % q == 0):
+                    own.append((x, y, p))
+        found += own
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def spread(spans: list[tuple[int, int]], own: np.ndarray) -> list[tuple[int, int]]:
+    """The removed bytes (start, end) of a document, with those of its stretches' further windows."""
+    if not spans or not len(own):
+        return spans
+    start, end = np.array(sorted(spans), np.int64).T
+    last = np.maximum.accumulate(end - WIDTH)  # the last window of each that is gone
+    more = []
+    for a, b, p in own.tolist():
+        first = np.arange(a, a + p)
+        at = np.searchsorted(start, first, side="right") - 1
+        gone = first[(at >= 0) & (last[at] >= first)]
+        more += [(int(x), int(x + (b - WIDTH - x) // p * p + WIDTH)) for x in gone]
+    return spans + more
+
+
 def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums from which hash_at gives the hash of any range of bytes."""
     up, down = _powers(len(data) + 1)
@@ -396,6 +440,8 @@ def _first_pass(batch: list[tuple], plan: Plan, sent: Sent) -> Iterator[tuple[in
     ok = np.ones(len(lead), bool)
     for e in ends[:-1].tolist():  # windows that would cross into the next document
         ok[max(0, e - WIDTH + 1) : e] = False
+    for a, b, p in stretches(data[:-TOKEN], ends).tolist():
+        ok[a + p : b - WIDTH + 1] = False
     # pieces of frequent tokens: compared within the batch, so that each goes on once
     at, n = runs_of(lead, ok)
     token = lead[at].astype(np.int64)
@@ -530,10 +576,14 @@ def _finish(docs: pd.DataFrame, spans: list[bytes]) -> pd.DataFrame:
         for d, t, s, e in zip(*(c[k].tolist() for k in ("doc", "th", "start", "end"))):
             found.setdefault((d, t), []).append((s, e))
     rows = []
-    for doc_id, th, text in zip(docs["doc_id"], docs["th"], docs["text"], strict=True):
-        data = text.encode("utf-8", "surrogatepass")
+    texts = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
+    ends = np.cumsum([len(t) for t in texts])
+    far = stretches(np.frombuffer(b"".join(texts), np.uint8), ends) if found else np.zeros((0, 3), np.int64)
+    owner = np.searchsorted(ends, far[:, 0], side="right")
+    for i, (doc_id, th, data) in enumerate(zip(docs["doc_id"], docs["th"], texts, strict=True)):
         kept, at, removed, count, end = hashlib.sha256(), 0, 0, 0, -1
-        for s, e in sorted(found.get((doc_id, th), ()) if not pd.isna(doc_id) else ()):
+        own = far[owner == i] - [[int(ends[i]) - len(data)] * 2 + [0]] if len(far) else far
+        for s, e in sorted(spread(found.get((doc_id, th), []), own) if not pd.isna(doc_id) else ()):
             if s > end:  # a gap: the run before ends here
                 kept.update(data[at:s])
                 count += 1
