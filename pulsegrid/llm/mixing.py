@@ -6,20 +6,22 @@ pattern costs more than the one before (convex costs), so repetitions spread as
 whose flow is c whole passes and a rest takes every document c times and, in the order of a seeded hash, documents
 worth the rest once more (of those that are not larger than the rest; all of them again where they don't suffice).
 
-Patterns and sources that no overlap connects are routed apart, so the flow is solved for each connected part. The
-driver sees one row for each pattern and source, never documents. The seeded choice needs no global order: the hashes
+Patterns and sources that no overlap connects are routed apart: the flow of each connected part is solved in a task, by
+the same successive shortest paths whether it has one pattern or many. The driver sees one row for each pattern and
+source, never documents, and refuses more than PATTERNS of them. The seeded choice needs no global order: the hashes
 of each pattern's documents are cut into at most BUCKETS ranges; whole ranges are taken until one would exceed the
 rest. Where that one holds more than BUCKET documents, it is cut again; the documents of the last are looked at one
 by one.
 
 Nulls: a null source is a source of its own, the last; a null text has size 0. Rows that are wholly alike share a
-decision. Empty texts are never taken. An empty table gives an empty result. Sizes and targets are words.
+decision. Empty texts are never taken. Very long texts are read whole, once, by the word count. Other columns are kept as
+they are, whatever their names. An empty table gives an empty result. Sizes and targets are words.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import documents, few, materialize, text_or_empty, word_count
 
 WEIGHTS, MOST_REPEATS, SEED, BUCKET, BUCKETS = (1, 2, 3), 3, 20_240_229, 512, 65_536
+#: Most patterns that the driver connects.
+PATTERNS = 2_000_000
 #: Documents looked at for an exchange; hashes of documents lie below SPAN.
 EXCHANGED = 1_024
 SPAN = (1 << 63) - 1
@@ -57,13 +61,9 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, sh
         capped |= {s: most * sizes[s] for s in above}
 
 
-def flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) -> dict[tuple, dict]:
-    """Tokens that each pattern gives to each of its sources: a maximum flow of least repetition cost.
-
-    patterns: tokens by tuple of sources; quotas: whole tokens by source. The k-th pass over a pattern costs 2k - 1 a
-    token. Patterns that share sources, directly or over others, are solved together, all others apart.
-    """
-    root = {s: s for s in quotas}
+def connected(patterns: Iterable[tuple], sources: Iterable) -> dict[tuple, int]:
+    """The number of each pattern's part: patterns that share sources, directly or over others, have one."""
+    root = {s: s for s in sources}
 
     def find(s):
         while root[s] != s:
@@ -73,19 +73,42 @@ def flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) ->
     for name in patterns:
         for s in name[1:]:
             root[find(s)] = find(name[0])
-    parts: dict = {}
-    for name in patterns:
-        parts.setdefault(find(name[0]) if name else None, []).append(name)
+    number: dict = {}
+    return {name: number.setdefault(find(name[0]) if name else None, len(number)) for name in patterns}
+
+
+def flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST_REPEATS) -> dict[tuple, dict]:
+    """Tokens that each pattern gives to each of its sources: a maximum flow of least repetition cost.
+
+    patterns: tokens by tuple of sources; quotas: whole tokens by source. The k-th pass over a pattern costs 2k - 1 a
+    token. Patterns that share sources, directly or over others, are solved together, all others apart.
+    """
     out = {}
-    for names in parts.values():
-        sources = dict.fromkeys(s for name in names for s in name)
-        if len(names) == 1 and len(sources) <= 1:  # alone: all that it may give
-            out |= {name: {s: min(quotas[s], most * patterns[name]) for s in name} for name in names}
-        else:
-            out |= _joint_flow({name: patterns[name] for name in names}, {s: quotas[s] for s in sources}, most)
+    part = connected(patterns, quotas)
+    for k in dict.fromkeys(part.values()):
+        names = [name for name in patterns if part[name] == k]
+        out |= _joint_flow({name: patterns[name] for name in names}, {s: quotas[s] for name in names for s in name}, most)
     return out
 
 
+def routed(spark: SparkSession, patterns: list[tuple[str, tuple, int]], quotas: dict, most: int) -> DataFrame:
+    """(mix_pattern, mix_passes, mix_limit): whole passes and the rest that the flow takes of (text of the pattern,
+    sources, tokens). Each connected part is a group, whose flow is solved in a task."""
+    part = connected([name for _, name, _ in patterns], quotas)
+    rows = [(part[name], text, list(name), size, [quotas[s] for s in name]) for text, name, size in patterns]
+    table = spark.createDataFrame(rows, "part int, mix_pattern string, sources array<string>, size long, quotas array<long>")
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("mix_pattern")
+        names = [tuple(s) for s in group["sources"]]
+        own = {s: int(q) for name, of in zip(names, group["quotas"], strict=True) for s, q in zip(name, of, strict=True)}
+        found = _joint_flow(dict(zip(names, map(int, group["size"]), strict=True)), own, most)
+        taken = [divmod(sum(found[n].values()), int(size)) if size else (0, 0) for n, size in zip(names, group["size"], strict=True)]
+        return pd.DataFrame({"mix_pattern": group["mix_pattern"], "mix_passes": [w for w, _ in taken], "mix_limit": [r for _, r in taken]})
+
+    return table.groupBy("part").applyInPandas(solve, "mix_pattern string, mix_passes int, mix_limit long")
+
+
 def _joint_flow(patterns: dict[tuple, int], quotas: dict, most: int) -> dict[tuple, dict]:
     """Successive shortest paths with potentials."""
     names = list(patterns)
@@ -189,19 +212,16 @@ def _narrowed(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def plan_mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS) -> Mix:
     """Decide the mix of sized() rows (no text needed)."""
     spark = rows.sparkSession
-    found = rows.groupBy("mix_pattern").agg(F.first("mix_sources").alias("s"), F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("mix_pattern").collect()
+    found = rows.groupBy("mix_pattern").agg(F.first("mix_sources").alias("s"), F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("mix_pattern").limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} membership patterns: give fewer sources")
     sizes: dict = {}
     for r in found:
         for s in r["s"]:
             sizes[s] = sizes.get(s, 0) + r["size"]
     aims = targets(sizes, weights, share, most) if sizes else []
-    routed = flow({tuple(r["s"]): r["size"] for r in found}, {a.source: round(a.target) for a in aims}, most)
-    passes = []
-    for r in found:
-        got = sum(routed[tuple(r["s"])].values())
-        whole, rest = divmod(got, r["size"]) if r["size"] else (0, 0)
-        passes.append((r["mix_pattern"], int(whole), int(rest)))
-    small = materialize(spark.createDataFrame(passes, "mix_pattern string, mix_passes int, mix_limit long"), "mix-passes")
+    quotas = {a.source: round(a.target) for a in aims}
+    small = materialize(routed(spark, [(r["mix_pattern"], tuple(r["s"]), r["size"]) for r in found], quotas, most), "mix-passes")
     by = rows.join(few(small), "mix_pattern").where(_eligible()).groupBy("mix_pattern").agg(F.sum("mix_size").alias("e"), F.count(F.lit(1)).alias("n"))
     extra = F.coalesce(F.least(F.expr("mix_limit div e"), F.lit(most) - F.col("mix_passes")), F.lit(0)).cast("int")
     gap = F.when(F.col("mix_passes") + F.col("mix_extra") < most, F.col("mix_limit") - F.col("mix_extra") * F.col("e")).otherwise(0)
@@ -254,15 +274,18 @@ def with_copies(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS, sources: Column | None = None, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each row as often as the mix takes it; the columns of docs."""
-    rows = sized(docs, sources, seed)
+    kept = "mix_row"
+    while kept in docs.columns:
+        kept += "_"
+    rows = sized(docs.withColumn(kept, F.struct(*docs.columns)), sources, seed)
     mix = plan_mix(materialize(rows.select("mix_pattern", "mix_sources", "mix_size", "mix_chance"), "mix-sizes"), weights, share, most)
     taken = with_copies(rows, mix).where("mix_copies > 0")
-    return taken.withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    return taken.withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(f"{kept}.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(sized(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text"), "mix-sizes")
     mix = plan_mix(rows)
     aims = spark.createDataFrame(mix.sources, "source string, source_size long, target double")
-    found = with_copies(rows, mix).withColumnRenamed("source", "own").join(F.broadcast(aims), F.col("own").eqNullSafe(F.col("source")))
+    found = with_copies(rows, mix).withColumnRenamed("source", "own").join(few(aims), F.col("own").eqNullSafe(F.col("source")))
     return found.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.col("mix_copies").alias("copies"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import mixing
@@ -96,3 +98,22 @@ def test_many_documents_are_narrowed_in_several_rounds(spark, monkeypatch):
     for s in mix.sources:
         assert abs(taken[s.source] - s.target) <= 0.05 * s.target + 20, s
     assert found.where("mix_copies > 3").count() == 0 and found.where("doc_id = 9999").select("mix_copies").distinct().count() == 1
+
+
+def test_every_part_goes_through_the_flow_in_tasks(spark):
+    """Sources that share no document are parts of one pattern each; they take what the same flow gives them."""
+    patterns = [("1", ("a",), 100), ("2", ("a", "b"), 100), ("3", ("b",), 50), ("4", ("c",), 40), ("5", ("d",), 0), ("6", (None,), 7)]
+    quotas = {"a": 150, "b": 300, "c": 90, "d": 0, None: 30}
+    assert sorted(Counter(mixing.connected([n for _, n, _ in patterns], quotas).values()).values()) == [1, 1, 1, 3]
+    want = {t: divmod(sum(f.values()), size) if size else (0, 0) for (t, n, size), f in zip(patterns, mixing.flow({n: s for _, n, s in patterns}, quotas).values(), strict=True)}
+    found = mixing.routed(spark, patterns, quotas, 3)
+    assert {r["mix_pattern"]: (r["mix_passes"], r["mix_limit"]) for r in found.collect()} == want
+    assert want["4"] == (2, 10) and want["6"] == (3, 0)
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().toString()
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    table = docs(spark).withColumns({"mix_size": F.lit("kept"), "mix_row": F.lit(3), "mix_copies": F.col("text"), "mix_n": F.lit(None).cast("int")})
+    mixed = mixing.mix_documents(table)
+    assert mixed.columns == table.columns and mixed.where("mix_size <> 'kept' or mix_row <> 3 or mix_n is not null").count() == 0
+    assert mixed.count() == mixing.mix_documents(docs(spark)).count()
