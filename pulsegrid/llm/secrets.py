@@ -8,6 +8,7 @@ Positions are code points. They come from splitting a text by a pattern: a match
 matches before it.
 
 Nulls: a null text is the empty text; a null doc_id is a path like any other. Repeated rows give repeated rows.
+Very long texts are read whole: a text without any hint of a rule costs one pass of it, others an array of their matches.
 An empty table gives an empty result. Other columns of the input are passed through; blob and spans are replaced.
 """
 
@@ -33,10 +34,11 @@ class Rule:
 
 
 RULE_VERSION = "base-1"
+# The last two patterns ask for the least length themselves: runs are greedy, so the same spans are found as by longer-or-shorter runs of which the short are dropped.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
-    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}"),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, r"AKIA[A-Z0-9]{12}"),
+    Rule("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
 )
 
 SPAN = "struct<kind:string,start:long,end:long,ord:int>"
