@@ -8,7 +8,7 @@ of its repeats are in it. Only DataFrame functions and Spark's own ML estimators
 
 Nulls: a null url, or one without ``://``, has empty host and path and is judged by the trees on its (empty)
 features. Repeated rows, repeated keys and null keys are judged by their urls alone and give as many rows. Where no
-labels exist, or all are of one kind, that kind (else allow) is the verdict. Equal lengths of fitting rules: the
+labels exist, or all are of one kind, that kind (else allow) is the verdict. Very long urls are read whole. Equal lengths of fitting rules: the
 smaller name. An empty table gives an empty result. Columns of the input other than the key and url are not read.
 """
 
@@ -90,6 +90,19 @@ def with_rules(urls: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFram
     return urls.join(hits, ["host", "path"], "left")
 
 
+def repeats_of(text: Column) -> Column:
+    """The sum of n * log2(n) over the different code points of a text, n the number of each, from one pass over them in order."""
+    characters = F.array_sort(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    closed = lambda run: F.when(run > 1, run * F.log2(run)).otherwise(0.0)
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["last"] == c
+        return F.struct(c.alias("last"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"), (acc["sum"] + F.when(same, 0.0).otherwise(closed(acc["run"]))).alias("sum"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    return F.aggregate(characters, start, step, lambda a: a["sum"] + closed(a["run"]))
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """Adds the lexical features; the suffix is the host's last two labels."""
     url = F.coalesce("url", F.lit(""))
@@ -97,10 +110,7 @@ def lexical(urls: DataFrame) -> DataFrame:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     labels = F.split("host", r"\.")
     size = F.greatest(n, F.lit(1)).cast("double")
-    kinds = "abcdefghijklmnopqrstuvwxyz0123456789-_./:?=&%#"
-    share = lambda c: (n - F.length(F.replace(F.lower(url), F.lit(c), F.lit("")))) / size
-    shares = F.array(*[share(c) for c in kinds])
-    entropy = -F.aggregate(F.filter(shares, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x * F.log2(x))
+    entropy = F.when(n > 0, F.log2(size) - repeats_of(url) / size).otherwise(0.0)
     count = lambda text, c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double")
     return urls.withColumns({
         "suffix": F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), "."),

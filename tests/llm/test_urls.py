@@ -89,3 +89,15 @@ def test_trees_learn_a_lexical_rule_and_reruns_agree(spark):
 def test_no_labels_and_no_rows(spark):
     assert {r["verdict"] for r in urls.judge(pages(spark), rules=()).collect()} == {"allow"}
     assert urls.judge(pages(spark).limit(0)).count() == 0
+
+
+def test_entropy_is_that_of_the_code_points(spark):
+    import math
+    from collections import Counter
+
+    texts = [*(u for u in URLS if u is not None), "aAaA", "ÄÖ😀😀", "x" * 5_000 + "y" * 5_000, "http://a.b/" + "0123456789abcdef" * 2_000]
+    table = spark.createDataFrame([(t, "h", "p") for t in texts], "url string, host string, path string")
+    for r in urls.lexical(table).collect():
+        n = Counter(r["url"])
+        want = -sum(c / len(r["url"]) * math.log2(c / len(r["url"])) for c in n.values())
+        assert abs(r["f_entropy"] - want) < 1e-9, r["url"]
