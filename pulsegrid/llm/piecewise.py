@@ -2,7 +2,7 @@
 
 A rolling hash over the last seven bytes ends a chunk where its lowest bits are all ones; the number of bits asked
 for, the block size's logarithm, is the least that leaves at most 64 chunks. A fingerprint is
-``block size:signature:signature at twice the block size``, one base-64 digit of every chunk's hash. Two
+``block size:signature:signature at twice the block size``, one base-64 digit of the hash of every chunk's bytes. Two
 fingerprints compare by edit distance where their block sizes are equal or differ by a factor of two; other pairs
 have likeness 0.
 
@@ -11,7 +11,8 @@ have none, lie in many ranges; only rows alike in both lie in one.
 
 Nulls: a null text is empty (fingerprint ``1::``); null ids come last in descending order. Rows that repeat an id
 follow one another in the order of a hash of their texts. Equal texts have equal fingerprints and likeness 1. A single document is its own next
-document. An empty table gives an empty result.
+document. Very long texts are read whole; their ranges hold fewer of them. An empty table gives an empty result. Columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MOST, LEVELS = 64, 40
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Pairs compared at once; keys sampled for each range.
 TOGETHER, SAMPLED = 512, 50
+#: Bytes of text of a range, where the session's shuffle partitions would make them larger; powers kept in a worker.
+RANGE_BYTES, HELD = 32_000_000, 1 << 18
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -45,6 +48,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_HELD: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse; those up to HELD are kept."""
+    if n > HELD:
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, c, np.uint64)])) for c in (int(B), pow(int(B), -1, 1 << 64)))
+    if not _HELD:
+        _HELD[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(HELD - 1, c, np.uint64)])) for c in (int(B), pow(int(B), -1, 1 << 64))]
+    return _HELD[0][:n], _HELD[1][:n]
+
+
 def fingerprint(data: bytes) -> str:
     n = len(data)
     if not n:
@@ -56,7 +71,8 @@ def fingerprint(data: bytes) -> str:
     level = 0
     while level < LEVELS and np.count_nonzero(ones >= np.uint64(1 << level)) > MOST:
         level += 1
-    sums = np.cumsum(rolled * B, dtype=np.uint64)
+    up, down = _powers(n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(np.frombuffer(data, np.uint8) * up, dtype=np.uint64)])
     out = [str(1 << level)]
     for k in (level, level + 1):
         ends = np.flatnonzero(ones >= np.uint64(1 << k))
@@ -64,7 +80,8 @@ def fingerprint(data: bytes) -> str:
             ends = np.append(ends, n - 1)
         if len(ends) > MOST:
             ends = np.append(ends[: MOST - 1], n - 1)
-        chunks = _mix(np.diff(sums[ends], prepend=np.uint64(0)))
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        chunks = _mix((sums[ends + 1] - sums[begins]) * down[begins])  # of the chunk's own bytes, wherever it begins
         out.append(DIGITS[(chunks >> np.uint64(58)).astype(np.int64)].tobytes().decode())
     return ":".join(out)
 
@@ -128,16 +145,16 @@ def _compare(rows: list[tuple]) -> pd.DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (range, ahead, doc_id, text), each range one task's run of descending ids; a copy of the next range's
-    first row, ahead = 1, ends each range (the very first row ends the last). A sample of keys, SAMPLED for each shuffle
-    partition, and the ranges' first keys are all that passes through the driver."""
+    first row, ahead = 1, ends each range (the very first row ends the last). A sample of keys, SAMPLED for each
+    range, and the ranges' first keys are all that passes through the driver."""
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # rises as ids fall, nulls last; then a hash of the text
     keyed = rows.withColumns({"none": F.col("doc_id").isNull().cast("int"), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "th": F.xxhash64("text")})
     key = ["none", "down", "th"]
-    total = keyed.count() if parts > 1 else 0
-    share = min(1.0, SAMPLED * parts / total) if total else 0.0
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    parts = max(shuffle_parts(spark), -(-(size["bytes"] or 0) // RANGE_BYTES))
+    share = min(1.0, SAMPLED * parts / size["n"]) if size["n"] and parts > 1 else 0.0
     drawn = keyed.where(F.pmod(F.xxhash64("doc_id", "th", F.lit(3)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select(*key).distinct()
     found = sorted(map(tuple, drawn.collect())) if share else []
     cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []

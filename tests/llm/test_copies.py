@@ -122,9 +122,9 @@ def test_components_of_a_long_chain(spark):
     assert {(r["id"], r["comp"]) for r in neardup.components(links).collect()} == {(i, 0) for i in range(101)} | {(200, 200), (201, 200)}
 
 
-def brute_suffixes() -> list[tuple]:
+def brute_suffixes(rows=None) -> list[tuple]:
     least: dict = {}
-    raw = [(r[0], (r[1] or "").encode()) for r in ROWS]
+    raw = [(r[0], (r[1] or "").encode()) for r in (ROWS if rows is None else rows)]
     for i, t in raw:
         for k in range(len(t) - 49) if i is not None else ():
             w = t[k : k + 50]
@@ -244,6 +244,48 @@ def test_fingerprints_of_documents_and_edits(spark):
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
 
 
+def plain_fingerprint(data: bytes) -> str:
+    """Byte by byte: a window of seven bytes as a number ends chunks; a chunk's digit is a polynomial of its bytes."""
+    a, b, all_ = int(piecewise.A), int(piecewise.B), (1 << 64) - 1
+    mix = lambda x: (lambda y: y ^ y >> 29)(((lambda z: z ^ z >> 32)(x * a & all_)) * b & all_)
+    if not data:
+        return "1::"
+    ones, window = [], 0
+    for byte in data:
+        window = (window >> 8) | byte << 48
+        h, k = mix(window), 0
+        while h >> k & 1:
+            k += 1
+        ones.append(k)
+    level = next(k for k in range(100) if sum(x >= k for x in ones) <= 64)
+    out = [str(1 << level)]
+    for k in (level, level + 1):
+        chunks, now = [], []
+        for i, byte in enumerate(data):
+            now.append(byte)
+            if (ones[i] >= k and len(chunks) < 63) or i == len(data) - 1:
+                chunks.append(now)
+                now = []
+        # where the 64th chunk would end before the text does, it goes on to its end
+        out.append("".join(piecewise.DIGITS.tobytes().decode()[mix(sum(x * pow(b, j, 1 << 64) for j, x in enumerate(c)) & all_) >> 58] for c in chunks))
+    return ":".join(out)
+
+
+def test_fingerprints_are_those_of_a_plain_rolling_hash():
+    dice = np.random.default_rng(8)
+    for n in (0, 1, 6, 7, 8, 63, 64, 65, 200, 3_000, 20_000):
+        for data in (dice.integers(0, 256, n).astype(np.uint8).tobytes(), dice.integers(97, 100, n).astype(np.uint8).tobytes(), b"z" * n):
+            assert piecewise.fingerprint(data) == plain_fingerprint(data)
+
+
+def test_an_edit_changes_the_digits_of_its_own_chunks():
+    base = text(3_000).encode()
+    at = 1_500
+    changed = base[:at] + b"#" + base[at + 1 :]
+    a, b = (piecewise.fingerprint(x).split(":") for x in (base, changed))
+    assert a[0] == b[0] and distance(a[1], b[1]) <= 3
+
+
 def test_edit_distances_and_likeness():
     a, b = (["".join(DICE.choice("ABC/") for _ in range(DICE.randint(0, 64))) for _ in range(60)] for _ in range(2))
     assert piecewise.distances(a, b).tolist() == [distance(x, y) for x, y in zip(a, b)]
@@ -273,3 +315,37 @@ def test_edges_of_the_fingerprint_order(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.removed_repeats(none).count() == piecewise.fingerprints(none).count() == neardup.near_duplicates(none, 3, (85, 100)).count() == 0
+
+
+def test_stretches_of_one_byte_are_one_piece(spark):
+    """Many documents with long runs of one character or a short period: as brute force, and few pieces."""
+    rng = np.random.default_rng(12)
+    word = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    runs = ["-" * 400, " " * 90, "=-" * 120, "abc" * 80, "\n \n" * 60, "0123456789abcdef" * 12, "0123456789abcdefg" * 9]
+    rows = []
+    for i in range(60):
+        parts = [runs[k] if rng.random() < 0.7 else runs[k][: rng.integers(30, 80)] for k in rng.integers(0, len(runs), 3)]
+        rows.append((int(rng.integers(0, 50)), word(20) + parts[0] + word(int(rng.integers(0, 3))) + parts[1] + word(30) + parts[2]))
+    rows += [(100, "-" * 70), (101, "-" * 49), (102, "-" * 50 + "+"), (103, "=" * 300), (104, "-=" * 100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffixes.removed_repeats(frame).collect())) == Counter(brute_suffixes(rows))
+    long = "x" * 1_000_000
+    plan = suffixes.Plan(np.zeros(suffixes.SLOTS, np.uint64), np.zeros((0, 2), np.uint64), 1)
+    batch = [(i, i, 0, (f"{word(60)}{long[: 200_000 + i]}{word(60)}").encode()) for i in range(5)]
+    pieces = [len(found[0]) for kind, _, found in suffixes._first_pass(batch, plan, suffixes.Sent()) if kind == 0]
+    assert sum(pieces) < 5 * 60
+
+
+def test_stretches_are_the_longest_of_the_smallest_period():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        texts = [b"".join(bytes(rng.integers(97, 99, rng.integers(1, 20)).astype(np.uint8)) * int(rng.integers(1, 30)) for _ in range(4)) for _ in range(3)]
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+        skipped = np.zeros(len(data), bool)
+        for a, b, p in suffixes.stretches(data, ends).tolist():
+            skipped[a + p : b - suffixes.WIDTH + 1] = True
+        raw = data.tobytes()
+        for d, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+            for i in range(d, e - suffixes.WIDTH + 1):
+                want = any(i - p >= d and raw[i : i + suffixes.WIDTH] == raw[i - p : i - p + suffixes.WIDTH] for p in range(1, suffixes.PERIODS + 1))
+                assert skipped[i] == want
