@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -209,8 +210,27 @@ def split_prefixes(pieces: DataFrame, hot_words: np.ndarray, parts: int, limit:
     return np.unique(np.concatenate([words, more]))
 
 
+def _pack(words: np.ndarray, pointers: np.ndarray, n: np.ndarray) -> bytes:
+    """A block: sorted numbers of words as byte planes of their differences, pointers (four columns of places among
+    them) and counts, compressed together."""
+    steps = np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    raw = b"".join((len(words).to_bytes(4, "little"), len(n).to_bytes(4, "little"), np.ascontiguousarray(steps).tobytes(), pointers.T.astype(kind).tobytes(), n.astype(np.uint32).tobytes()))
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    words, n = (int.from_bytes(raw[i : i + 4], "little") for i in (0, 4))
+    kind = np.uint16 if words <= 1 << 16 else np.uint32
+    at = 8 + 8 * words
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * words, 8).reshape(8, -1).T).view(np.uint64).ravel()
+    pointers = np.frombuffer(raw, kind, LONGEST * n, at).reshape(LONGEST, -1).T
+    return np.cumsum(steps, dtype=np.uint64), pointers.astype(np.int32), np.frombuffer(raw, np.uint32, n, at + pointers.nbytes).astype(np.int64)
+
+
 def projected(pieces: DataFrame, split: np.ndarray, parts: int) -> DataFrame:
-    """(part, words, pointers, counts): packed blocks of pointers, for the task of their prefix."""
+    """(part, block): packed pointers, for the task of their prefix."""
     shared = pieces.sparkSession.sparkContext.broadcast(split)  # 24 keys a part at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +246,17 @@ def projected(pieces: DataFrame, split: np.ndarray, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             part, rows, n = part[order], rows[order], n[order]
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            out: list[list] = [[], [], [], []]
+            blocks = []
             for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
                 used, places = np.unique(rows[a:b], return_inverse=True)
-                kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-                for column, x in zip(out, (int(part[a]), h[used].tobytes(), places.reshape(-1, LONGEST).T.astype(kind).tobytes(), n[a:b].astype(np.uint32).tobytes()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", "words", "pointers", "counts"])
+                order = np.argsort(h[used])
+                place = np.empty(len(used), np.int64)
+                place[order] = np.arange(len(used))
+                blocks.append(_pack(h[used[order]], place[places].reshape(-1, LONGEST), n[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
         release()
 
-    return pieces.mapInArrow(deal, "part int, words binary, pointers binary, counts binary")
+    return pieces.mapInArrow(deal, "part int, block binary")
 
 
 class Growth:
@@ -284,10 +305,7 @@ def grown(dealt: DataFrame, split: np.ndarray, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for words, pointers, counts in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-                n = np.frombuffer(counts.as_buffer(), np.uint32)
-                raw = pointers.as_buffer()
-                own.append((np.frombuffer(words.as_buffer(), np.uint64).copy(), np.frombuffer(raw, np.uint16 if len(raw) == 2 * LONGEST * len(n) else np.uint32).reshape(LONGEST, -1).T.astype(np.int32), n.astype(np.int64)))
+            own += [_unpack(block) for block in batch.column(1).to_pylist()]
         if own:
             h = np.unique(np.concatenate([[np.uint64(0)], *(w for w, _, _ in own)]))
             rows = np.concatenate([np.searchsorted(h, w)[r] for w, r, _ in own])

@@ -106,8 +106,19 @@ def test_pointers_of_a_hot_prefix_go_to_many_tasks(spark):
     pieces = collocations.encoded(texts, collocations.bit_map(words), 0)
     hot = words.where("word in ('of', 'the')").select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     split = collocations.split_prefixes(pieces, hot, 20, 100)
-    dealt = collocations.projected(pieces, split, 20).selectExpr("part", "length(counts) / 4 as n").groupBy("part").sum("n").toPandas()
-    assert dealt["sum(n)"].max() < 4 * dealt["sum(n)"].sum() / 20
+    dealt: Counter = Counter()
+    for r in collocations.projected(pieces, split, 20).collect():
+        dealt[r["part"]] += len(collocations._unpack(bytes(r["block"]))[2])
+    assert max(dealt.values()) < 4 * sum(dealt.values()) / 20
+
+
+def test_blocks_come_back_as_packed():
+    rng = np.random.default_rng(6)
+    for words in (3, 200, 70_000):
+        h = np.unique(rng.integers(0, 1 << 63, words).astype(np.uint64) * np.uint64(2))
+        pointers, n = rng.integers(0, len(h), (500, 4)), rng.integers(1, 9, 500)
+        got = collocations._unpack(collocations._pack(h, pointers, n))
+        assert all(np.array_equal(a, b) for a, b in zip(got, (h, pointers, n), strict=True))
 
 
 def test_numbers_that_clash_are_noticed(spark):
