@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numbers import clamp_scale, js_round, tier_order
+from pulsegrid.operators.scoreboard import bucket_of, standings
 
 #: Weights of the forecast score and the bounds its signals are scaled by.
 FORECAST = {"velocity": 0.25, "acceleration": 0.20, "burst": 0.15, "engagement": 0.15, "influence": 0.10, "rank": 0.10, "spread": 0.05}
-HISTORY, READ, EXPOSED, STALE_DAYS = 100, 20, 10, 7
+HISTORY, READ, EXPOSED, STALE_DAYS, SPREAD_MINUTES = 100, 20, 10, 7, 45
 
 
 def _history(by: str = "trend") -> Window:
@@ -28,30 +29,20 @@ def leaderboard(snapshots: DataFrame, most: int = 50) -> DataFrame:
 
 
 def percentiles(snapshots: DataFrame) -> DataFrame:
-    """Position from the top and percentile (ascending rank over number) among trends.
-
-    Ranks come from the counts of each score, so only distinct scores pass a global window.
-    """
-    now = latest(snapshots).select("trend", "score")
-    by = now.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = by.select("score", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("below"))
-    ranked = now.join(below, "score").withColumn("rank", F.col("below") + F.row_number().over(Window.partitionBy("score").orderBy("trend")) - 1)
-    total = now.agg(F.count(F.lit(1)).alias("total"))
-    whole = ranked.crossJoin(F.broadcast(total))  # one row
-    return whole.select("trend", "score", "rank", (F.col("total") - F.col("rank")).alias("position"), js_round(F.col("rank") / F.col("total") * 100).alias("percentile"))
+    """Position from the top and percentile (ascending rank over number) among all trends, by the order statistics of the
+    registry: counts by bucket of score, and places within buckets."""
+    now = latest(snapshots).select(F.col("trend").alias("member"), F.col("score").cast("double").alias("score"))
+    by = now.groupBy(bucket_of(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return standings(now, by).select(F.col("member").alias("trend"), "score", "rank", "position", "percentile")
 
 
 def movement(snapshots: DataFrame) -> DataFrame:
-    """Change of score and tier from the snapshot before; unknown tiers order below all."""
+    """Change of score and tier from the snapshot before: the change is null and the movement stable for the first;
+    a change between tiers is rising or falling, unknown tiers order below all."""
     w = _history()
-    before = tier_order(F.lag("tier").over(w))
-    now = tier_order(F.col("tier"))
-    seen = F.lag("tier").over(w).isNotNull()
-    return snapshots.select(
-        "trend", "captured_at", "score", "tier", js_round(F.coalesce(F.col("score") - F.lag("score").over(w), F.lit(0.0)), 4).alias("score_delta"),
-        F.when(~seen, "new").when(now > before, "up").when(now < before, "down").otherwise("same").alias("tier_movement"),
-    )
+    before = F.lag("tier").over(w)
+    moved = F.when(F.lag("captured_at").over(w).isNull() | F.col("tier").eqNullSafe(before), "stable").when(tier_order(F.col("tier")) > tier_order(before), "rising").otherwise("falling")
+    return snapshots.select("trend", "captured_at", "score", "tier", (F.col("score") - F.lag("score").over(w)).alias("score_delta"), moved.alias("tier_movement"))
 
 
 def capped_history(snapshots: DataFrame, most: int = HISTORY) -> DataFrame:
@@ -69,7 +60,7 @@ def fresh(snapshots: DataFrame, now: Column, days: int = STALE_DAYS) -> DataFram
 def momentum(snapshots: DataFrame) -> DataFrame:
     """Differences to the snapshot before; a better rank counts up."""
     w = _history()
-    delta = lambda c: js_round(F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)), 4)
+    delta = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
     return snapshots.select(
         "*", delta("velocity").alias("d_velocity"), delta("acceleration").alias("d_acceleration"), delta("engagement").alias("d_engagement"),
         delta("virality").alias("d_virality"), F.coalesce(F.lag("rank").over(w) - F.col("rank"), F.lit(0)).alias("d_rank"),
@@ -91,12 +82,17 @@ def hourly_rate(snapshots: DataFrame) -> DataFrame:
         F.max_by("score", "captured_at").alias("s0"), F.min_by("score", "captured_at").alias("s2"), F.max("captured_at").alias("t0"), F.min("captured_at").alias("t2"), F.count(F.lit(1)).alias("n")
     )
     hours = (F.unix_micros("t0") - F.unix_micros("t2")) / 3.6e9
-    return few.select("trend", "s0", F.when((F.col("n") >= 2) & (hours > 0), js_round((F.col("s0") - F.col("s2")) / hours, 4)).otherwise(0.0).alias("rate"))
+    return few.select("trend", "s0", F.when((F.col("n") >= 2) & (hours > 0), (F.col("s0") - F.col("s2")) / hours).otherwise(0.0).alias("rate"))
 
 
 def forecast(snapshots: DataFrame) -> DataFrame:
-    """Score, breakout probability, direction, 6/12/24-hour horizons, time to peak and confidence of each trend's
-    newest snapshot against the one before."""
+    """Score, breakout, growth and decline probabilities, direction, 6/12/24-hour horizons, time to peak, the next likely
+    platform and confidence of each trend's newest snapshot against the one before. Only results are rounded.
+
+    snapshots may hold fastest_platform: a trend that has just spread to a further platform goes on to Telegram from X,
+    else to Reddit, in about SPREAD_MINUTES; without the column nothing is known of it."""
+    if "fastest_platform" not in snapshots.columns:
+        snapshots = snapshots.withColumn("fastest_platform", F.lit(None).cast("string"))
     counted = snapshots.groupBy("trend").agg(F.count(F.lit(1)).alias("history"))
     now = latest(momentum(snapshots)).join(hourly_rate(snapshots), "trend").join(counted, "trend")
     signals = {
@@ -113,7 +109,8 @@ def forecast(snapshots: DataFrame) -> DataFrame:
         0.5 * F.col("forecast_score") + bonus(F.col("d_acceleration") > 0, 20) + bonus(F.col("d_acceleration") > 2, 10)
         + bonus(F.col("d_velocity") > 0, 10) + bonus(F.col("d_engagement") > 100, 10) + bonus(F.col("spread"), 10)
     )
-    now = now.withColumn("chance", F.greatest(F.lit(0.0), F.least(F.lit(100.0), chance)))
+    now = now.withColumn("chance", F.greatest(F.lit(0.0), F.least(F.lit(100.0), chance))).withColumn("breakout", js_round(F.col("chance")))
+    onward = F.col("spread") & (F.col("platforms") > 1) & F.col("fastest_platform").isNotNull()
     falling = (F.col("d_velocity") < 0) & (F.col("d_acceleration") < 0)
     direction = (
         F.when((F.col("chance") >= 80) & (F.col("d_acceleration") > 0), "breakout")
@@ -128,9 +125,10 @@ def forecast(snapshots: DataFrame) -> DataFrame:
     hours = js_round(F.try_divide(100 - F.col("score"), F.col("rate")))
     confidence = F.when(~known, "insufficient_data").when(F.col("history") < 5, "low").when(F.col("history") < 10, "medium").otherwise("high")
     return now.select(
-        "trend", "score", "forecast_score", js_round(F.col("chance")).alias("breakout"), direction.alias("direction"), ahead(6).alias("h6"), ahead(12).alias("h12"), ahead(24).alias("h24"),
-        F.when(known & (F.col("rate") > 0) & (hours <= 72), hours).alias("hours_to_peak"), js_round(F.col("chance") * 0.9).alias("growth_6h"), js_round(F.col("chance") * 0.8).alias("growth_24h"),
-        confidence.alias("confidence"),
+        "trend", "score", "forecast_score", "breakout", direction.alias("direction"), ahead(6).alias("h6"), ahead(12).alias("h12"), ahead(24).alias("h24"),
+        F.when(known & (F.col("rate") > 0) & (hours <= 72), hours).alias("hours_to_peak"), js_round(F.col("breakout") * 0.9).alias("growth_6h"), js_round(F.col("breakout") * 0.8).alias("growth_24h"),
+        (100 - js_round(F.col("breakout") * 0.9)).alias("decline_6h"), (100 - js_round(F.col("breakout") * 0.8)).alias("decline_24h"),
+        F.when(onward, F.when(F.col("fastest_platform") == "x", "telegram").otherwise("reddit")).alias("next_platform"), F.when(onward, SPREAD_MINUTES).alias("spread_minutes"), confidence.alias("confidence"),
     )
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.plans import graph_queries, more_queries, trend_queries
+from pulsegrid.plans import graph_queries, kept_queries, more_queries, trend_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = trend_queries.QUERIES | graph_queries.QUERIES | more_queries.QUERIES
+ALL = trend_queries.QUERIES | graph_queries.QUERIES | more_queries.QUERIES | kept_queries.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -91,11 +91,13 @@ def score_movement(spark: S, d: str) -> DataFrame:
 
 
 def momentum(spark: S, d: str) -> DataFrame:
-    return R.momentum(snapshots(spark, d)).select("trend", "captured_at", "d_velocity", "d_acceleration", "d_engagement", "d_virality", "d_rank", "spread")
+    found = R.momentum(snapshots(spark, d))
+    return found.select("trend", "captured_at", *[N.js_round(F.col(c), 4).alias(c) for c in ("d_velocity", "d_acceleration", "d_engagement", "d_virality")], "d_rank", "spread")
 
 
 def forecast(spark: S, d: str) -> DataFrame:
-    return R.forecast(snapshots(spark, d))
+    fastest = T.fastest_platform(posts(spark, d)).select("trend", "fastest_platform")  # a row a trend
+    return R.forecast(snapshots(spark, d).join(fastest, "trend", "left"))
 
 
 def smoothed_scores(spark: S, d: str) -> DataFrame:
@@ -193,7 +195,7 @@ LAG = "lag({0}) OVER (PARTITION BY trend ORDER BY captured_at)"
 
 
 def _delta(c: str) -> str:
-    return jr(f"coalesce({c} - {LAG.format(c)}, 0)", 4)
+    return f"coalesce({c} - {LAG.format(c)}, 0)"
 
 
 MOMENTUM = f"""m AS (SELECT *, {_delta("velocity")} AS d_velocity, {_delta("acceleration")} AS d_acceleration, {_delta("engagement")} AS d_engagement, {_delta("virality")} AS d_virality,
@@ -202,16 +204,19 @@ MOMENTUM = f"""m AS (SELECT *, {_delta("velocity")} AS d_velocity, {_delta("acce
 FORECAST = f"""WITH {SNAPSHOTS}, {MOMENTUM},
 c AS (SELECT *, row_number() OVER (PARTITION BY trend ORDER BY captured_at DESC) AS rn, count(*) OVER (PARTITION BY trend) AS history FROM m),
 h AS (SELECT trend, arg_max(score, captured_at) AS s0, arg_min(score, captured_at) AS s2, (epoch_us(max(captured_at)) - epoch_us(min(captured_at))) / 3.6e9 AS hrs, count(*) AS n FROM c WHERE rn <= 3 GROUP BY 1),
-r AS (SELECT c.*, CASE WHEN h.n >= 2 AND hrs > 0 THEN {jr("(s0 - s2) / hrs", 4)} ELSE 0.0 END AS rate FROM c JOIN h USING (trend) WHERE rn = 1),
+r AS (SELECT c.*, CASE WHEN h.n >= 2 AND hrs > 0 THEN (s0 - s2) / hrs ELSE 0.0 END AS rate FROM c JOIN h USING (trend) WHERE rn = 1),
 s AS (SELECT *, {jr('''(0.25 * (greatest(-10, least(10, d_velocity)) + 10) / 20 + 0.2 * (greatest(-5, least(5, d_acceleration)) + 5) / 10 + 0.15 * greatest(0, least(100, burst)) / 100 + 0.15 * greatest(0, least(1000, d_engagement)) / 1000
   + 0.1 * greatest(0, least(1, d_virality)) + 0.1 * greatest(0, least(10, d_rank)) / 10 + 0.05 * CASE WHEN spread THEN 1 ELSE 0 END) * 100''')} AS fs FROM r),
 b AS (SELECT *, greatest(0.0, least(100.0, 0.5 * fs + CASE WHEN d_acceleration > 0 THEN 20 ELSE 0 END + CASE WHEN d_acceleration > 2 THEN 10 ELSE 0 END + CASE WHEN d_velocity > 0 THEN 10 ELSE 0 END
-  + CASE WHEN d_engagement > 100 THEN 10 ELSE 0 END + CASE WHEN spread THEN 10 ELSE 0 END)) AS chance FROM s)
-SELECT trend, score, fs AS forecast_score, {jr("chance")} AS breakout, CASE WHEN chance >= 80 AND d_acceleration > 0 THEN 'breakout' WHEN fs >= 70 AND d_velocity > 0 THEN 'strongly_rising' WHEN fs >= 50 AND d_velocity > 0 THEN 'rising'
+  + CASE WHEN d_engagement > 100 THEN 10 ELSE 0 END + CASE WHEN spread THEN 10 ELSE 0 END)) AS chance FROM s),
+z AS (SELECT *, {jr("chance")} AS breakout FROM b), f1 AS (SELECT trend, platform, {jr("avg(interactions / velocity_window)", 6)} AS v, min((published_at, event_id)) AS f FROM posts GROUP BY 1, 2),
+f2 AS (SELECT trend, arg_min(platform, (-v, f)) AS fastest FROM f1 GROUP BY 1)
+SELECT trend, score, fs AS forecast_score, breakout, CASE WHEN chance >= 80 AND d_acceleration > 0 THEN 'breakout' WHEN fs >= 70 AND d_velocity > 0 THEN 'strongly_rising' WHEN fs >= 50 AND d_velocity > 0 THEN 'rising'
   WHEN d_velocity < 0 AND d_acceleration < 0 AND score > 70 THEN 'weakening' WHEN d_velocity < 0 AND d_acceleration < 0 THEN 'declining' ELSE 'stable' END AS direction,
   {", ".join(f"CASE WHEN history >= 2 THEN {jr(f'greatest(0, least(100, score + rate * (fs / 50) * {h}))')} END AS h{h}" for h in (6, 12, 24))},
-  CASE WHEN history >= 2 AND rate > 0 AND {jr("(100 - score) / nullif(rate, 0)")} <= 72 THEN {jr("(100 - score) / nullif(rate, 0)")} END AS hours_to_peak, {jr("chance * 0.9")} AS growth_6h, {jr("chance * 0.8")} AS growth_24h,
-  CASE WHEN history < 2 THEN 'insufficient_data' WHEN history < 5 THEN 'low' WHEN history < 10 THEN 'medium' ELSE 'high' END AS confidence FROM b"""
+  CASE WHEN history >= 2 AND rate > 0 AND {jr("(100 - score) / nullif(rate, 0)")} <= 72 THEN {jr("(100 - score) / nullif(rate, 0)")} END AS hours_to_peak, {jr("breakout * 0.9")} AS growth_6h, {jr("breakout * 0.8")} AS growth_24h,
+  100 - {jr("breakout * 0.9")} AS decline_6h, 100 - {jr("breakout * 0.8")} AS decline_24h, CASE WHEN spread AND platforms > 1 THEN CASE fastest WHEN 'x' THEN 'telegram' ELSE 'reddit' END END AS next_platform, CASE WHEN spread AND platforms > 1 THEN 45 END AS spread_minutes,
+  CASE WHEN history < 2 THEN 'insufficient_data' WHEN history < 5 THEN 'low' WHEN history < 10 THEN 'medium' ELSE 'high' END AS confidence FROM z LEFT JOIN f2 USING (trend)"""
 
 PLAIN = DYNAMICS.replace("INFLUENCE", "1.0").replace("RATE", "CAST(NULL AS DOUBLE)")
 GRAIN = "make_timestamp(CAST(floor(epoch_us(published_at) / (h * 3.6e9)) * (h * 3600000000) AS BIGINT))"
@@ -248,9 +253,9 @@ QUERIES = {
       SELECT trend, score, row_number() OVER (ORDER BY score DESC, trend DESC) AS position FROM n WHERE rn = 1 QUALIFY position <= 3"""),
     "percentiles": (percentiles, f"""WITH {SNAPSHOTS}, n AS (SELECT trend, score, row_number() OVER (PARTITION BY trend ORDER BY captured_at DESC) AS rn FROM snapshots), r AS (SELECT trend, score, row_number() OVER (ORDER BY score, trend) - 1 AS rank, count(*) OVER () AS t FROM n WHERE rn = 1)
       SELECT trend, score, rank, t - rank AS position, {jr("rank / t * 100")} AS percentile FROM r"""),
-    "score_movement": (score_movement, f"""WITH {SNAPSHOTS}, m AS (SELECT *, {LAG.format("score")} AS ps, {LAG.format("tier")} AS pt FROM snapshots) SELECT trend, captured_at, score, tier, {jr("coalesce(score - ps, 0)", 4)} AS score_delta,
-      CASE WHEN pt IS NULL THEN 'new' WHEN {ORD.format("tier")} > {ORD.format("pt")} THEN 'up' WHEN {ORD.format("tier")} < {ORD.format("pt")} THEN 'down' ELSE 'same' END AS tier_movement FROM m"""),
-    "momentum": (momentum, f"WITH {SNAPSHOTS}, {MOMENTUM} SELECT trend, captured_at, d_velocity, d_acceleration, d_engagement, d_virality, d_rank, spread FROM m"),
+    "score_movement": (score_movement, f"""WITH {SNAPSHOTS}, m AS (SELECT *, {LAG.format("score")} AS ps, {LAG.format("tier")} AS pt FROM snapshots) SELECT trend, captured_at, score, tier, score - ps AS score_delta,
+      CASE WHEN pt IS NULL OR pt = tier THEN 'stable' WHEN {ORD.format("tier")} > {ORD.format("pt")} THEN 'rising' ELSE 'falling' END AS tier_movement FROM m"""),
+    "momentum": (momentum, f"WITH {SNAPSHOTS}, {MOMENTUM} SELECT trend, captured_at, {", ".join(f"{jr(c, 4)} AS {c}" for c in ("d_velocity", "d_acceleration", "d_engagement", "d_virality"))}, d_rank, spread FROM m"),
     "forecast": (forecast, FORECAST),
     "smoothed_scores": (smoothed_scores, f"""WITH {SNAPSHOTS}, c AS (SELECT *, row_number() OVER (PARTITION BY trend ORDER BY captured_at DESC) AS rn FROM snapshots), l AS (SELECT trend, list(score ORDER BY captured_at) AS s FROM c WHERE rn <= 20 GROUP BY 1)
       SELECT trend, {jr("list_reduce(s, lambda a, x: a * 0.7 + x * 0.3)", 4)} AS ema FROM l"""),
