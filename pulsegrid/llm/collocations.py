@@ -6,7 +6,7 @@
 2. The frequent words' numbers set bits in a map of fixed size (BITS). A second pass writes the texts as numbers of words
    whose bit is set; all others, and the ends of pieces, are breaks. (Words that share a bit by chance only cost time.)
 3. Projection: each occurrence of a word with a follower becomes a pointer to it with the at most three words on its
-   right. A task merges equal ones of its batch, and deals them in packed blocks to the task of their prefix.
+   right. A task merges equal ones, and deals them in packed blocks to the task of their prefix.
 4. Growth: a prefix's task sorts its projection and extends it to the right depth-first; each extension that is frequent
    narrows the range of pointers in which the next word is looked for.
 
@@ -42,6 +42,8 @@ from pulsegrid.llm.shared import arrow_rows, documents, few, materialize, releas
 LEAST, LONGEST, SCALE, DROP, TOP = 30, 4, 2_000_000, 80, 2_000
 #: Bits of the map of frequent words; pointers that a task of growth should have; shares of a language ranked apart; rows of a batch.
 BITS, POINTERS, SPREAD, ROWS = 1 << 26, 2_000_000, 64, 2_000
+#: Pointers that a task holds before it packs them.
+HELD = 1_500_000
 SPACES, ENDS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
 KIND[list(SPACES)], KIND[list(ENDS)], LOWER[65:91] = 1, 2, np.arange(97, 123)
@@ -233,27 +235,38 @@ def projected(pieces: DataFrame, split: np.ndarray, parts: int) -> DataFrame:
     """(part, block): packed pointers, for the task of their prefix."""
     shared = pieces.sparkSession.sparkContext.broadcast(split)  # 24 keys a part at most
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         split = shared.value
+        h = np.unique(np.concatenate([words for words, _, _ in held]))
+        rows = np.concatenate([np.searchsorted(h, words).astype(np.int32)[places] for words, places, _ in held])
+        n = np.concatenate([x for *_, x in held])
+        held.clear()
+        key = h[rows[:, 0]]
+        deep = np.flatnonzero(_among(key, split))
+        for k in range(1, LONGEST):
+            key[deep] = longer(key[deep], h[rows[deep, k]])
+            deep = deep[_among(key[deep], split)]
+        with np.errstate(over="ignore"):
+            part = ((key * MIX >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        blocks = []
+        for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            used, places = np.unique(rows[order[a:b]], return_inverse=True)  # in the order of the numbers, as h is
+            own = places.reshape(-1, LONGEST)
+            by, first = _grouped(own)
+            blocks.append(_pack(h[used], own[by[first]], np.add.reduceat(n[order[a:b]][by], first)))
+        return pa.RecordBatch.from_arrays([pa.array(part[order[starts]], pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for h, rows, n in _blocks(batches):
-            key = h[rows[:, 0]]
-            deep = np.flatnonzero(_among(key, split))
-            for k in range(1, LONGEST):
-                key[deep] = longer(key[deep], h[rows[deep, k]])
-                deep = deep[_among(key[deep], split)]
-            with np.errstate(over="ignore"):
-                part = ((key * MIX >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, rows, n = part[order], rows[order], n[order]
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            blocks = []
-            for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
-                used, places = np.unique(rows[a:b], return_inverse=True)
-                order = np.argsort(h[used])
-                place = np.empty(len(used), np.int64)
-                place[order] = np.arange(len(used))
-                blocks.append(_pack(h[used[order]], place[places].reshape(-1, LONGEST), n[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
+            if len(n):
+                held.append((h, rows.astype(np.int32), n))
+            if sum(len(x) for *_, x in held) >= HELD:
+                yield packed(held)
+        if held:
+            yield packed(held)
         release()
 
     return pieces.mapInArrow(deal, "part int, block binary")
