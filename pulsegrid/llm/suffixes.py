@@ -213,17 +213,19 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     begins = np.concatenate([[0], ends[:-1]])
     for p in range(1, PERIODS + 1):
         i = np.arange(p, len(data) - 16, PROBE)
-        if not (len(i) and ((data[i] == data[i - p]) & (data[i + 8] == data[i + 8 - p]) & (data[i + 16] == data[i + 16 - p])).any()):
-            continue
-        edge = np.diff(np.concatenate([[0], (data[p:] == data[:-p]).astype(np.int8), [0]]))
+        same = [data[at + p :: PROBE][: len(i)] == data[at::PROBE][: len(i)] for at in (0, 8, 16)]
+        hits = np.flatnonzero(same[0] & same[1] & same[2])
         own: list[tuple[int, int, int]] = []
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + p).tolist(), strict=True):
-            if b - a < WIDTH + p:
-                continue
-            for d in range(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(begins, b, side="left"))):
-                x, y = max(a, int(begins[d])), min(b, int(ends[d]))
-                if y - x >= WIDTH + p and not any(u <= x and y <= v for u, v, q in found if p % q == 0):
-                    own.append((x, y, p))
+        for chain in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1) if len(hits) else ():
+            lo, hi = max(0, int(i[chain[0]]) - PROBE - p), min(len(data), int(i[chain[-1]]) + 17 + PROBE)
+            edge = np.diff(np.concatenate([[0], (data[lo + p : hi] == data[lo : hi - p]).astype(np.int8), [0]]))
+            start, stop = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo + p
+            long = stop - start >= WIDTH + p
+            for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True):
+                for d in range(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(begins, b, side="left"))):
+                    x, y = max(a, int(begins[d])), min(b, int(ends[d]))
+                    if y - x >= WIDTH + p and not any(u <= x and y <= v for u, v, q in found if p % q == 0):
+                        own.append((x, y, p))
         found += own
     return np.array(found, np.int64).reshape(-1, 3)
 
