@@ -7,22 +7,24 @@ hashtags, reply_to_author, quote_of, forward_of, mentions. Node ids are platform
 from __future__ import annotations
 
 from collections import deque
-from zlib import crc32
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numbers import js_round, null_sum
 from pulsegrid.functions.text import node_id, relation_type, username
+from pulsegrid.operators.distributions import at_ranks
+from pulsegrid.operators.trend import before
 from pulsegrid.session import checkpoint_folder
 
 #: Weight of each interaction and of each signal of the influence score.
 EDGE_WEIGHTS = {"follow": 1, "like": 1, "mention": 1, "reply": 2, "quote": 3, "repost": 3}
 SIGNALS = {"content_impact": 0.30, "network_authority": 0.25, "reach": 0.15, "received_influence": 0.20, "interaction_activity": 0.10}
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
-#: Sources of shortest paths that one task takes of a graph, about.
-SOURCES = 64
+#: Edges up to which a graph's betweenness is found in one task; ids of events listed for an edge.
+SMALL, LISTED = 2_000, 100
 
 
 def author_nodes(posts: DataFrame) -> DataFrame:
@@ -76,14 +78,21 @@ def relationship_edges(relationships: DataFrame) -> DataFrame:
 
 
 def aggregate_edges(links: DataFrame) -> DataFrame:
-    """One row for each (src, dst): counts by kind, weight, first and last time, ids."""
+    """One row for each (src, dst): counts by kind, weight, first and last time, number of links; edge_events has ids."""
     weight = F.create_map(*[F.lit(x) for p in EDGE_WEIGHTS.items() for x in p])[F.col("kind")]
     return links.groupBy("src", "dst").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in EDGE_WEIGHTS], F.sum(weight).alias("weight"), F.min("published_at").alias("first_at"),
-        F.max("published_at").alias("last_at"), F.array_sort(F.collect_set("event_id")).alias("event_ids"),
+        F.max("published_at").alias("last_at"), F.count(F.lit(1)).alias("links"),
     )
 
 
+def edge_events(links: DataFrame, most: int = LISTED) -> DataFrame:
+    """(src, dst, event_ids): the smallest ids of each edge's events, at most so many; aggregate_edges has their number."""
+    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("event_id"))  # cut before the shuffle
+    few = links.where("event_id is not null").select("src", "dst", "event_id").distinct().withColumn("place", first).where(F.col("place") <= most)
+    return few.groupBy("src", "dst").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
+
+
 def new_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ends of edges that are not among the nodes."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
@@ -102,37 +111,40 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("id", zero("in_degree"), zero("out_degree"), zero("weighted_in"), zero("weighted_out"), degree.alias("degree"), F.when(F.col("n") > 1, js_round(degree / (2 * (F.col("n") - 1)), 6)).otherwise(0.0).alias("degree_centrality"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, every: int = 5) -> DataFrame:
-    """(id, pagerank): unweighted, dangling mass spread over all, stopped by the L1 change. Ranks are checkpointed to
-    the shared folder every few rounds; the driver sees one row of sums a check."""
-    checkpoint_folder(nodes.sparkSession)
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(id, pagerank): unweighted, dangling mass spread over all; ends with the first round whose L1 change is below the
+    tolerance.
+
+    Edges are dealt by their source once and kept so on the executors' disks, so a round shuffles what nodes gain and
+    the ranks alone. Ranks are checkpointed each round; the driver sees a row of sums a round."""
+    spark = nodes.sparkSession
+    checkpoint_folder(spark)
     ids = nodes.select("id").distinct()
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
     out = edges.select("src", "dst").distinct().join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = out.join(out.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "src").select("src", "dst", (1.0 / F.col("k")).alias("share")).checkpoint()
+    dealt = shares.repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
     sources = shares.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
-    state = ids.join(sources, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")).checkpoint()
-    before = state
-    for k in range(1, rounds + 1):
-        gained = shares.join(state, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        loose = state.agg(F.sum(F.when(~F.col("linked"), F.col("rank")).otherwise(0.0)).alias("loose"))
-        moved = state.select("id", "linked").join(gained, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(loose))  # one row
-        state = moved.select("id", "linked", ((1 - DAMPING) / n + DAMPING * (F.coalesce("in", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % every == 0 or k == rounds:
-            state = state.checkpoint()
-            change = state.join(before.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()["d"]
-            before = state
-            if change < tolerance * every:
-                break
+    state = ids.join(sources, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("old")).checkpoint()
+    loose = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("loose")
+    sums = state.agg(loose).first()
+    for _ in range(rounds):
+        gained = dealt.join(state, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
+        moved = state.select("id", "linked", F.col("rank").alias("old")).join(gained, F.col("id") == F.col("dst"), "left")
+        rank = (1 - DAMPING) / n + DAMPING * (F.coalesce("in", F.lit(0.0)) + sums["loose"] / n)
+        state = moved.select("id", "linked", rank.alias("rank"), "old").checkpoint()
+        sums = state.agg(loose, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change")).first()
+        if sums["change"] < tolerance:
+            break
+    dealt.unpersist()
     return state.select("id", js_round(F.col("rank"), 8).alias("pagerank"))
 
 
-def betweenness(edges: DataFrame, graph: str) -> DataFrame:
-    """(graph, id, betweenness): exact shortest-path betweenness, directed and unweighted, of each of many
-    graphs (one collection each); over (n - 1)(n - 2), 0 where n <= 2. A graph's sources are dealt in blocks; each
-    block gets the graph's edges, and the credits of the blocks are summed."""
+def _small_betweenness(links: DataFrame, graph: str) -> DataFrame:
+    """Betweenness of graphs of at most SMALL edges, each in one task; sums of credits, not scaled."""
 
     def central(rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(rows["src"]) | set(rows["dst"]))
@@ -140,8 +152,7 @@ def betweenness(edges: DataFrame, graph: str) -> DataFrame:
         for s, d in sorted(set(zip(rows["src"], rows["dst"], strict=True))):
             out[s].append(d)
         total = dict.fromkeys(ids, 0.0)
-        block, blocks = int(rows["block"].iloc[0]), int(rows["blocks"].iloc[0])
-        for source in (i for i in ids if crc32(i.encode()) % blocks == block):
+        for source in ids:
             depth, paths, parents, order, todo = {source: 0}, {source: 1.0}, {}, [], deque([source])
             while todo:
                 v = todo.popleft()
@@ -159,17 +170,92 @@ def betweenness(edges: DataFrame, graph: str) -> DataFrame:
                     credit[v] += paths[v] / paths[w] * (1 + credit[w])
                 if w != source:
                     total[w] += credit[w]
-        n = len(ids)
-        scale = (n - 1) * (n - 2)
-        return pd.DataFrame({graph: rows[graph].iloc[0], "id": ids, "betweenness": [total[i] / scale if n > 2 else 0.0 for i in ids]})
-
-    kind = dict(edges.dtypes)[graph]
-    links = edges.select(graph, "src", "dst").distinct()
-    ends = links.select(graph, F.explode(F.array("src", "dst")).alias("id"))
-    sized = ends.groupBy(F.col(graph).alias("sized")).agg(F.ceil(F.count_distinct("id") / SOURCES).cast("int").alias("blocks"))
-    dealt = links.join(sized, F.col(graph).eqNullSafe(F.col("sized"))).drop("sized").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = dealt.groupBy(graph, "block").applyInPandas(central, f"{graph} {kind}, id string, betweenness double")
-    return found.groupBy(graph, "id").agg(js_round(F.sum("betweenness"), 6).alias("betweenness"))
+        return pd.DataFrame({graph: rows[graph].iloc[0], "id": ids, "credit": [total[i] for i in ids]})
+
+    return links.groupBy(graph).applyInPandas(central, f"{graph} {dict(links.dtypes)[graph]}, id string, credit double")
+
+
+def _frontier_betweenness(links: DataFrame, graph: str, share: float) -> DataFrame:
+    """The same for graphs of any size: all sources' searches advance together, a level a round. A round joins the
+    frontier (source, node, paths) with the edges and leaves out what has been reached; credits flow back level by
+    level along the same edges. Levels are checkpointed; no task holds a graph."""
+    checkpoint_folder(links.sparkSession)
+    by = [graph, "source"]
+    edges = links.select(F.col(graph), F.col("src").alias("node"), F.col("dst").alias("next")).checkpoint()
+    ends = links.select(graph, F.explode(F.array("src", "dst")).alias("id")).distinct()
+    chosen = F.pmod(F.xxhash64(F.col(graph).cast("string"), "id"), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True)
+    level = ends.where(chosen).select(graph, F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("paths")).checkpoint()
+    levels, reached = [level], level.select(*by, "node")
+    while True:
+        onward = level.join(edges, [graph, "node"]).groupBy(*by, F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = onward.join(reached, [*by, "node"], "left_anti").select(graph, "source", "node", "paths").checkpoint()
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+        reached = reached.unionByName(level.select(*by, "node")).checkpoint()
+    credit, found = levels[-1].withColumn("credit", F.lit(0.0)), []
+    for level in reversed(levels[:-1]):
+        found.append(credit.groupBy(graph, F.col("node").alias("id")).agg(F.sum("credit").alias("credit")))
+        after = credit.select(graph, "source", F.col("node").alias("next"), F.col("paths").alias("through"), F.col("credit").alias("behind"))
+        back = level.join(edges, [graph, "node"]).join(after, [graph, "source", "next"]).groupBy(*by, "node").agg(F.sum(F.col("paths") / F.col("through") * (1 + F.col("behind"))).alias("credit"))
+        credit = level.join(back, [*by, "node"], "left").select(graph, "source", "node", "paths", F.coalesce("credit", F.lit(0.0)).alias("credit")).checkpoint()
+    every = ends.select(graph, "id", F.lit(0.0).alias("credit"))  # a source's own credit, on level 0, isn't counted
+    for part in found:
+        every = every.unionByName(part)
+    return every.groupBy(graph, "id").agg((F.sum("credit") / share).alias("credit"))
+
+
+def betweenness(edges: DataFrame, graph: str, small: int = SMALL, share: float = 1.0) -> DataFrame:
+    """(graph, id, betweenness): shortest-path betweenness, directed and unweighted, of each of many graphs (one
+    collection each, of known name); over (n - 1)(n - 2), 0 where n <= 2.
+
+    Graphs of at most `small` edges are solved in a task each, larger ones by frontiers over DataFrames. Exact; with a
+    share below 1 the larger ones take about that share of their nodes as sources, by a hash, and scale up: an unbiased
+    estimate whose error for a node stays, in 19 of 20 cases, within 1.4 * sqrt((1 - share) / (share * n)) of the range."""
+    links = edges.where(F.col(graph).isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(graph, "src", "dst").distinct()
+    sizes = links.groupBy(graph).agg(F.count(F.lit(1)).alias("edges"))
+    large = sizes.where(F.col("edges") > small).select(graph)
+    if large.limit(1).count():
+        credits = _small_betweenness(links.join(large, graph, "left_anti"), graph).unionByName(_frontier_betweenness(links.join(large, graph, "left_semi"), graph, share))
+    else:
+        credits = _small_betweenness(links, graph)
+    n = links.select(graph, F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy(graph).agg(F.count(F.lit(1)).alias("n"))
+    scale = (F.col("n") - 1) * (F.col("n") - 2)
+    return credits.join(n, graph).select(graph, "id", js_round(F.when(F.col("n") > 2, F.col("credit") / scale).otherwise(0.0), 6).alias("betweenness"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(id, community, size, modularity): communities by weighted label propagation over edges taken as undirected.
+
+    Every node begins as its own community. In a round the nodes of one half (by a hash of their name, in turn; so two
+    neighbours seldom swap labels for ever) take the label of the greatest weight among their neighbours; ties keep the
+    own label if it is among them, else the smallest one. It ends when both halves stay as they are, or after so many
+    rounds. Modularity is that of the whole division, 6 decimals. Loops and edges with unknown ends count nothing."""
+    checkpoint_folder(nodes.sparkSession)
+    ids = nodes.select("id").where("id is not null").distinct()
+    known = surviving_edges(edges.where("src <> dst"), ids).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    both = known.unionByName(known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")).checkpoint()
+    dealt = both.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dst").persist(StorageLevel.DISK_ONLY)
+    state = ids.select("id", F.col("id").alias("label"), (F.crc32("id") % 2).alias("half"), F.lit(False).alias("moved")).checkpoint()
+    still = 0
+    for k in range(2 * rounds):
+        votes = dealt.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("weight"))
+        ranked = votes.withColumnRenamed("label", "vote").join(state.where(F.col("half") == k % 2).select(F.col("id").alias("src"), "label"), "src")
+        # the heaviest; then the own label; then the smallest
+        best = ranked.groupBy("src").agg(F.min(F.struct((-F.col("weight")).alias("w"), (F.col("vote") != F.col("label")).alias("other"), "vote"))["vote"].alias("vote"))
+        state = state.join(best.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("vote", "label").alias("label"), "half", F.coalesce(F.col("vote") != F.col("label"), F.lit(False)).alias("moved")).checkpoint()
+        still = 0 if state.where("moved").limit(1).count() else still + 1
+        if still == 2:
+            break
+    named = state.select("id", F.col("label").alias("community"))
+    of = lambda end: named.select(F.col("id").alias(end), F.col("community").alias(f"{end}_of"))
+    placed = both.join(of("src"), "src").join(of("dst"), "dst")
+    by = placed.groupBy(F.col("src_of").alias("community")).agg(F.sum("weight").alias("degree"), F.coalesce(F.sum(F.when(F.col("src_of") == F.col("dst_of"), F.col("weight"))), F.lit(0.0)).alias("inside"))
+    whole = both.agg(F.sum("weight").alias("all"))
+    parts = by.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("inside") / F.col("all") - (F.col("degree") / F.col("all")) * (F.col("degree") / F.col("all"))).alias("q"))  # one row
+    sizes = named.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    found = named.join(sizes, "community").crossJoin(F.broadcast(parts)).select("id", "community", "size", js_round(F.coalesce("q", F.lit(0.0)), 6).alias("modularity"))
+    return found
 
 
 def influence_signals(authors: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -231,15 +317,14 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def behaviour(posts: DataFrame, by: str = "author_id") -> DataFrame:
-    """Delays between an author's posts: number, upper median, mean and population deviation, in milliseconds."""
-    w = Window.partitionBy(by).orderBy("published_at", "event_id")
-    gaps = posts.select(by, ((F.unix_micros("published_at") - F.unix_micros(F.lag("published_at").over(w))) / 1000).alias("d")).where("d is not null")
-    place = Window.partitionBy(by).orderBy("d")
-    ranked = gaps.select(by, "d", F.row_number().over(place).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("n"))
-    return ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("delays"), js_round(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("d"))), 3).alias("median_ms"),
-        js_round(F.avg("d"), 2).alias("mean_ms"), js_round(F.stddev_pop("d"), 2).alias("deviation_ms"),
-    )
+    """Delays between an author's posts: number, upper median, mean and population deviation, in milliseconds. Posts are
+    put in order within short slots of time, and the median is found by its rank, so nobody's posts are sorted as a whole."""
+    checkpoint_folder(posts.sparkSession)
+    linked = before(posts.select(by, "published_at", "event_id").withColumn("at", F.unix_micros("published_at")), "at", by, "published_at", "event_id")
+    gaps = linked.where("previous is not null").select(by, ((F.col("at") - F.col("previous")) / 1000).alias("d")).checkpoint()
+    stats = gaps.groupBy(F.col(by).alias("of")).agg(F.count(F.lit(1)).alias("delays"), js_round(F.avg("d"), 2).alias("mean_ms"), js_round(F.stddev_pop("d"), 2).alias("deviation_ms"))
+    middle = at_ranks(gaps, "d", {"median": (0.5, F.floor(F.col("n") / 2))}, by)
+    return middle.join(stats, F.col(by).eqNullSafe(F.col("of"))).select(by, "delays", js_round(F.col("median"), 3).alias("median_ms"), "mean_ms", "deviation_ms")
 
 
 def coordinated(density: Column, betweenness: Column, delays: Column, mean_ms: Column, deviation_ms: Column) -> Column:

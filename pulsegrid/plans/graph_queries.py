@@ -23,13 +23,11 @@ from pulsegrid.sources.collections import comment_tree
 S = SparkSession
 
 EDGES = f"""{LINKS}, edges AS (SELECT src, dst, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in G.EDGE_WEIGHTS)},
-  CAST(sum(CASE kind WHEN 'reply' THEN 2 WHEN 'quote' THEN 3 WHEN 'repost' THEN 3 ELSE 1 END) AS BIGINT) AS weight, min(published_at) AS first_at, max(published_at) AS last_at, list_sort(list(DISTINCT event_id)) AS ids FROM links GROUP BY 1, 2),
+  CAST(sum(CASE kind WHEN 'reply' THEN 2 WHEN 'quote' THEN 3 WHEN 'repost' THEN 3 ELSE 1 END) AS BIGINT) AS weight, min(published_at) AS first_at, max(published_at) AS last_at, count(*) AS links, list_sort(list(DISTINCT event_id))[1:100] AS ids FROM links GROUP BY 1, 2),
   nodes AS (SELECT DISTINCT 'x:' || user_id AS id FROM posts WHERE user_id IS NOT NULL)"""
 
 
-#: Change of all ranks at which PageRank has settled far below the decimals that are compared.
-CONVERGED = 1e-12
-#: PageRank over nodes and edges by so many rounds; ranks(id, rank).
+#: PageRank over nodes and edges, with the first round whose change is below the tolerance; ranks(id, rank).
 RANKS = """shares AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM (SELECT DISTINCT src, dst FROM edges)),
   linked AS (SELECT n.id, n.id IN (SELECT src FROM shares) AS linked, (SELECT count(*) FROM nodes) AS n FROM nodes n),
   rounds AS (SELECT 0 AS k, id, linked, n, 1.0::DOUBLE / n AS rank FROM linked UNION ALL
@@ -37,7 +35,8 @@ RANKS = """shares AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS
       (SELECT any_value(r.k) AS k, x.id, sum(CASE WHEN x.via THEN r.rank * x.share END) AS got, sum(CASE WHEN NOT x.via AND NOT r.linked THEN r.rank END) AS loose
         FROM rounds r JOIN (SELECT src, dst AS id, share, true AS via FROM shares UNION ALL SELECT a.id, b.id, 0.0, false FROM linked a, linked b WHERE NOT a.linked OR a.id = b.id) x ON x.src = r.id WHERE r.k < 80 GROUP BY x.id) g
       JOIN linked l ON l.id = g.id),
-  ranks AS (SELECT id, rank FROM rounds WHERE k = 80)"""
+  changes AS (SELECT k, sum(abs(rank - old)) AS change FROM (SELECT k, rank, lag(rank) OVER (PARTITION BY id ORDER BY k) AS old FROM rounds) GROUP BY k),
+  ranks AS (SELECT id, rank FROM rounds WHERE k = (SELECT coalesce(min(k), 80) FROM changes WHERE change < 1e-6))"""
 
 
 def _nodes(spark: S, d: str) -> DataFrame:
@@ -45,7 +44,8 @@ def _nodes(spark: S, d: str) -> DataFrame:
 
 
 def edge_agg(spark: S, d: str) -> DataFrame:
-    return G.aggregate_edges(links(spark, d)).withColumn("event_ids", F.array_join("event_ids", ","))
+    found = links(spark, d)
+    return G.aggregate_edges(found).join(G.edge_events(found), ["src", "dst"], "left").withColumn("event_ids", F.array_join("event_ids", ","))
 
 
 def degree_centrality(spark: S, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def behaviour_pattern(spark: S, d: str) -> DataFrame:
 def pagerank(spark: S, d: str) -> DataFrame:
     edges = links(spark, d).select("src", "dst").distinct()
     nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    return G.pagerank(nodes, edges, tolerance=CONVERGED)
+    return G.pagerank(nodes, edges)
 
 
 def betweenness(spark: S, d: str) -> DataFrame:
@@ -103,10 +103,15 @@ def betweenness(spark: S, d: str) -> DataFrame:
 def top_influencers(spark: S, d: str) -> DataFrame:
     edges = G.aggregate_edges(links(spark, d))
     authors = G.author_nodes(posts(spark, d).withColumns({"platform": F.lit("x"), "hashtags": F.array(F.lit("#all"))}))
-    nodes = G.influence_signals(authors, edges, G.pagerank(authors, edges, tolerance=CONVERGED))
+    nodes = G.influence_signals(authors, edges, G.pagerank(authors, edges))
     return G.top_influencers(G.influence_scores(nodes)).select("place", "id", "influence", "influence_tier")
 
 
+def communities(spark: S, d: str) -> DataFrame:
+    edges = G.aggregate_edges(links(spark, d).where("kind <> 'like'"))
+    return G.communities(_nodes(spark, d), edges)
+
+
 def author_merge(spark: S, d: str) -> DataFrame:
     rows = posts(spark, d).select("platform", "author_id", "published_at", "likes", "quotes", "views", "event_id")
     return K.merge_latest(rows, ["platform", "author_id"], "published_at", ("likes", "views"), "event_id").drop("event_id")
@@ -275,6 +280,7 @@ QUERIES = {
     "pagerank": (pagerank, f"""WITH RECURSIVE {LINKS}, edges AS (SELECT DISTINCT src, dst FROM links), nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), {RANKS}
       SELECT id, {jr("rank", 8)} AS pagerank FROM ranks"""),
     "betweenness": (betweenness, None),
+    "communities": (communities, None),
     "top_influencers": (top_influencers, f"""WITH RECURSIVE {EDGES}, {RANKS}, p AS (SELECT 'x:' || user_id AS id, sum(likes) AS l, sum(replies) AS c, sum(reposts) AS s, coalesce(sum(quotes), 0) AS q, sum(likes + replies + reposts + coalesce(quotes, 0)) AS i, greatest(max(followers), max(views)) AS reach FROM posts WHERE user_id IS NOT NULL GROUP BY 1),
       ev AS (SELECT *, {" + ".join(f"n_{k}" for k in G.EDGE_WEIGHTS)} AS every FROM edges), t AS (SELECT dst AS id, sum(every) AS got, sum(n_repost) AS got_s FROM ev GROUP BY 1), f AS (SELECT src AS id, sum(every) AS gave FROM ev GROUP BY 1),
       g AS (SELECT id, l + c + s + coalesce(got_s, 0) AS a, {jr("rank", 8)} AS b, reach AS c, q + s + coalesce(got, 0) AS d, i + coalesce(gave, 0) AS e FROM p LEFT JOIN t USING (id) LEFT JOIN f USING (id) LEFT JOIN ranks USING (id)),

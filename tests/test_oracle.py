@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries without SQL, and the tests that hold them against plain Python or cases by hand.
 ELSEWHERE = {
     "betweenness": "test_no_sql", "network_flags": "test_no_sql", "mentions_of_documents": "test_no_sql", "merkle_roots": "test_no_sql",
-    "segmented_tags": "test_texts", "sentiment": "test_operators", "language_detection": "test_languages",
+    "segmented_tags": "test_texts", "sentiment": "test_operators", "language_detection": "test_languages", "communities": "test_graphs",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
