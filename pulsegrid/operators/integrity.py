@@ -137,10 +137,9 @@ def audit_join(anchors: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def registry(events: DataFrame) -> DataFrame:
-    """First write of each key wins; later ones only count."""
-    w = Window.partitionBy("key").orderBy("at", "event_id")
-    first = events.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    return first.where("rn = 1").select("key", "value", "at", (F.col("n") - 1).alias("matches"))
+    """First write of each key wins, by time and event id; later ones only count. Combined before the shuffle."""
+    first = F.min(F.struct("at", "event_id", "value")).alias("first")
+    return events.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).select("key", "first.value", "first.at", (F.col("n") - 1).alias("matches"))
 
 
 def audit_counts(verdicts: DataFrame) -> DataFrame:

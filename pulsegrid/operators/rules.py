@@ -25,24 +25,37 @@ def level_alerts(prices: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.where(above | below).select("date", "rule_id", "instrument", "direction")
 
 
+def running(prices: DataFrame) -> DataFrame:
+    """(instrument, date, place from 1, upto: sum of the closes so far, known: number of those that aren't null). Months
+    are summed by themselves and start where those before end, so no instrument is sorted as a whole."""
+    close = F.coalesce("close", F.lit(0))
+    slotted = prices.select("instrument", "date", "close", F.date_trunc("month", "date").alias("slot"))
+    own = Window.partitionBy("instrument", "slot").orderBy("date")
+    within = slotted.select("instrument", "slot", "date", F.row_number().over(own).alias("place"), F.sum(close).over(own).alias("upto"), F.count("close").over(own).alias("known"))
+    ends = slotted.groupBy("instrument", "slot").agg(F.count(F.lit(1)).alias("place"), F.sum(close).alias("upto"), F.count("close").alias("known"))
+    past = Window.partitionBy("instrument").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a row a month
+    starts = ends.select("instrument", "slot", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_before") for c in ("place", "upto", "known")])
+    return within.join(starts, ["instrument", "slot"]).select("instrument", "date", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in ("place", "upto", "known")])
+
+
 def average_alerts(prices: DataFrame, rules: DataFrame) -> DataFrame:
-    """Crossings of a short and a long moving average over the most recent observations; sums are cross-multiplied."""
-    pairs = [(r["short"], r["long"]) for r in rules.where(F.col("type") == "ma_cross").select("short", "long").distinct().collect()]  # rule parameters
-    found = None
-    for short, long in pairs:
-        w = Window.partitionBy("instrument").orderBy("date")
-        over = lambda n, w=w: w.rowsBetween(1 - n, 0)
-        sums = prices.select("instrument", "date", F.sum("close").over(over(short)).alias("s"), F.sum("close").over(over(long)).alias("l"), F.count("close").over(over(long)).alias("n"))
-        gap = sums.select("instrument", "date", F.when(F.col("n") == long, F.signum(F.round(F.col("s") * long - F.col("l") * short, 6))).alias("g"))
-        crossed = gap.withColumn("p", F.lag("g").over(w)).select("instrument", "date", F.lit(short).alias("short"), F.lit(long).alias("long"), "g", "p")
-        found = crossed if found is None else found.unionByName(crossed)
+    """Crossings of a short and a long moving average over the most recent observations; sums are cross-multiplied. Sums
+    over windows are differences of running sums, so any number of pairs of windows is one join on shifted places."""
     asked = rules.where(F.col("type") == "ma_cross")
-    if found is None:
-        return asked.select(F.lit(None).cast("timestamp").alias("date"), "rule_id", "instrument", "direction").where("false")
-    hits = found.join(asked, ["instrument", "short", "long"])
+    sums = running(prices)
+    rows = sums.join(asked.select("instrument", "short", "long").distinct(), "instrument").where(F.col("place") >= F.col("long"))
+    ago = lambda name: sums.select("instrument", (F.col("place") + 0).alias(f"{name}_place"), F.col("upto").alias(f"{name}_upto"), F.col("known").alias(f"{name}_known"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    for name in ("short", "long"):  # place 0, before the first observation, has no row
+        rows = rows.withColumn(f"{name}_place", (F.col("place") - F.col(name))).join(ago(name), ["instrument", f"{name}_place"], "left")
+    s, t = F.col("upto") - zero("short_upto"), F.col("upto") - zero("long_upto")
+    gap = F.when(F.col("known") - zero("long_known") == F.col("long"), F.signum(F.round(s * F.col("long") - t * F.col("short"), 6)))
+    by = ["instrument", "short", "long"]
+    gaps = rows.select(*by, "date", "place", gap.alias("g"))
+    both = gaps.join(gaps.select(*by, (F.col("place") + 1).alias("place"), F.col("g").alias("p")), [*by, "place"])
     above = (F.col("direction") == "above") & (F.col("p") <= 0) & (F.col("g") > 0)
     below = (F.col("direction") == "below") & (F.col("p") >= 0) & (F.col("g") < 0)
-    return hits.where(above | below).select("date", "rule_id", "instrument", "direction")
+    return both.join(asked, by).where(above | below).select("date", "rule_id", "instrument", "direction")
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ def merge_latest(rows: DataFrame, keys: list[str], order: str, replaced: tuple[s
 
 
 def upsert_trends(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(trend_key, label, first_seen, last_seen, status): last_seen never falls; the newest label wins; active again."""
+    """(trend_key, label, first_seen, last_seen, status): last_seen never falls; the newest label wins, of equal times the
+    larger; active again."""
     rows = old.select("trend_key", "label", "first_seen", "last_seen").unionByName(new.select("trend_key", "label", "first_seen", "last_seen"))
-    return rows.groupBy("trend_key").agg(F.max_by("label", "last_seen").alias("label"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).withColumn("status", F.lit("active"))
+    return rows.groupBy("trend_key").agg(F.max_by("label", F.struct("last_seen", "label")).alias("label"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).withColumn("status", F.lit("active"))
 
 
 def sequence(collections: DataFrame) -> DataFrame:
@@ -33,8 +34,10 @@ def sequence(collections: DataFrame) -> DataFrame:
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new whose key is not there yet, once each."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+    """Rows of new whose key is not there yet, once each: of several the smallest."""
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in new.columns]) if rest else new.distinct()
+    return once.join(old.select(*keys), keys, "left_anti")
 
 
 def conflicting(old: DataFrame, new: DataFrame, key: str, owner: str) -> DataFrame:
