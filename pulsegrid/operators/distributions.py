@@ -134,7 +134,11 @@ def rollups(posts: DataFrame, grains: dict[str, str] | None = None, *dims: str)
     )
 
 
-def fan_in(results: DataFrame, categories: tuple[str, ...] = ("sentiment", "demographic", "trend", "network")) -> DataFrame:
+#: Categories of which a run has one result each.
+CATEGORIES = ("sentiment", "demographic", "trend", "network")
+
+
+def fan_in(results: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """(run_id, …, problem): one result of each category for a run; missing, duplicate and unexpected ones are named."""
     by = results.groupBy("run_id").agg(
         *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in categories], *[F.max(F.when(F.col("category") == c, F.col("payload"))).alias(c) for c in categories],
