@@ -167,8 +167,11 @@ def anchor_registry(spark: S, d: str) -> DataFrame:
 
 
 def merkle_roots(spark: S, d: str) -> DataFrame:
-    leaves = field_leaves(spark, d).withColumn("batch", F.substring_index("id", "@", 1))
-    return I.verified(I.merkle_trees(leaves, "batch", ["id", "field"])).groupBy("batch", "root").agg(F.count(F.lit(1)).alias("leaves"), F.bool_and("ok").alias("all_ok"))
+    """Keccak roots of batches of at most 100 field leaves of a trend's snapshots, with all proofs checked."""
+    at = F.substring_index("id", "@", -1)
+    leaves = field_leaves(spark, d).select("id", "field", "leaf", F.substring_index("id", "@", 1).alias("stream"), at.cast("date").alias("day"))
+    dealt = I.batches(leaves, ["id", "field"])
+    return I.verified(I.merkle_trees(dealt, "batch", ["leaf_index"])).groupBy("batch", "root").agg(F.count(F.lit(1)).alias("leaves"), F.bool_and("ok").alias("all_ok"))
 
 
 def _prices(spark: S, d: str) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pulsegrid.functions import text as X
 from pulsegrid.operators import distributions as D
 from pulsegrid.operators import graph as G
 from pulsegrid.operators import integrity as I
+from pulsegrid.operators import merkle as L
 from pulsegrid.operators import normalize as M
 from pulsegrid.operators import ranking as R
 from pulsegrid.operators import rules as P
@@ -164,15 +165,54 @@ def snapshot_hashes(spark: S, d: str) -> DataFrame:
     return rows.select("snapshot_id", I.canonical_hash({k: F.col(k) for k in I.PAYLOAD}).alias("hash"))
 
 
+FIELDS = ["engagement", "platforms", "rank", "score", "tier"]
+
+
+def _anchored(spark: S, d: str) -> DataFrame:
+    """Daily snapshots with an id, as they were anchored."""
+    return snapshots(spark, d).select(F.concat_ws("@", "trend", F.date_format("captured_at", "yyyy-MM-dd")).alias("id"), "captured_at", *FIELDS)
+
+
+def _present(rows: DataFrame) -> DataFrame:
+    """As they are now: on Mondays the tier has been overwritten, on Wednesdays those of rank 2 are gone."""
+    day = F.dayofweek("captured_at")
+    return rows.withColumn("tier", F.when(day == 2, "dormant").otherwise(F.col("tier"))).where(~((day == 4) & (F.col("rank") == 2)))
+
+
+def merkle_levels(spark: S, d: str) -> DataFrame:
+    """The root of each trend's whole stream of events, of any length, with proofs of its first and last leaf checked."""
+    rows = posts(spark, d).select(F.col("trend").alias("tree"), "published_at", "event_id", I.leaf(F.col("event_id").cast("string"), F.col("platform")).alias("leaf"))
+    leaves = L.placed(rows, "tree", ["published_at", "event_id"])
+    table = L.levels(leaves, "tree")
+    ends = leaves.groupBy("tree").agg(F.min("place").alias("a"), F.max("place").alias("z")).select("tree", F.explode(F.array_distinct(F.array("a", "z"))).alias("place"))
+    checked = L.proofs(table, ends).join(leaves.select("tree", "place", "leaf"), ["tree", "place"]).join(L.roots(table), "tree")
+    return checked.groupBy("tree", "root", "leaves").agg(F.bool_and(L.leads_to(F.col("leaf"), F.col("proof"), F.col("root"))).alias("ok"))
+
+
 def verification_ladder(spark: S, d: str) -> DataFrame:
-    k = F.col("k")
-    found = I.ladder(F.when(k % 2 == 0, k % 7 > 0), k % 3 == 0, k % 5 == 0, (k % 11 == 0).cast("int"))
-    return posts(spark, d).select("event_id", found["status"].alias("status"), found["method"].alias("method"))
+    """Present snapshots against their anchors: the first of a day by proofs of its fields, the second by the root of its
+    fields, the third by a hash of the whole, others without an anchor. All verdicts come from hashes."""
+    then, now = _anchored(spark, d), _present(_anchored(spark, d))
+    leaves = lambda rows: L.field_places(I.field_leaves(rows, "id", FIELDS), "id")
+    table, current = L.levels(leaves(then), "tree"), L.levels(leaves(now), "tree")
+    anchor = L.roots(table).select("tree", F.col("root").alias("anchored"))
+    whole = lambda rows, name: rows.select(F.col("id").alias("tree"), "rank", I.canonical_hash({c: F.col(c) for c in FIELDS}).alias(name))
+    asked = current.where("level = 0").select("tree", "place", F.col("node").alias("leaf"))
+    proved = L.proofs(table, asked.select("tree", "place")).join(asked, ["tree", "place"]).join(anchor, "tree")
+    proved = proved.groupBy("tree").agg(F.bool_and(L.leads_to(F.col("leaf"), F.col("proof"), F.col("anchored"))).alias("proof_ok"))
+    wrong = L.differing(table, current).groupBy("tree").agg(F.count(F.lit(1)).alias("wrong"))
+    rows = whole(now, "hash").join(whole(then, "legacy").drop("rank"), "tree").join(L.roots(current).select("tree", "root"), "tree").join(anchor, "tree").join(proved, "tree").join(wrong, "tree", "left")
+    rank = F.col("rank")
+    found = I.ladder(F.when(rank == 1, F.col("proof_ok")), (rank == 2) & (F.col("root") == F.col("anchored")), (rank == 3) & (F.col("hash") == F.col("legacy")), F.coalesce("wrong", F.lit(0)))
+    return rows.select(F.col("tree").alias("id"), found["status"].alias("status"), found["method"].alias("method"), F.coalesce("wrong", F.lit(0)).alias("tampered"))
 
 
 def latest_audit(spark: S, d: str) -> DataFrame:
-    p = posts(spark, d).select(F.col("event_id").alias("snapshot_id"), F.col("published_at").alias("anchored_at"), "k")
-    return I.audit_latest(p.drop("k"), p.where("k % 3 > 0").select("snapshot_id", F.when(F.col("k") % 3 == 1, "INTACT").otherwise("TAMPER_DETECTED").alias("verdict")))
+    """The forty newest snapshots, hashed anew and held against what was anchored of them."""
+    then = _anchored(spark, d)
+    leaves = lambda rows: L.field_places(I.field_leaves(rows, "id", FIELDS), "id")
+    anchors = then.select(F.col("id").alias("tree"), F.col("captured_at").alias("anchored_at"))
+    return L.audit(anchors, L.levels(leaves(then), "tree"), leaves(_present(then)), 40)
 
 
 def reaction_totals(spark: S, d: str) -> DataFrame:
@@ -300,9 +340,15 @@ QUERIES = {
       SELECT batch, '0x' || h AS root, (SELECT count(*) FROM p WHERE p.trend || '#' || (p.r // 100) = t.batch) AS leaves, true AS all_ok FROM t WHERE m = 1"""),
     "snapshot_hashes": (snapshot_hashes, f"""WITH {SNAPSHOTS}, i AS (SELECT trend || '@' || strftime(captured_at, '%Y-%m-%d') AS snapshot_id, * FROM snapshots) SELECT snapshot_id, '0x' || sha256('{{"captured_at":"' || strftime(captured_at, '%Y-%m-%dT%H:%M:%S') || '.000Z","centrality_score":null,"config_hash":"0xab","sentiment_result":null,"sentiment_score":null,"snapshot_id":"' || snapshot_id
       || '","trend_label":"' || trend || '","virality_score":' || rank || ',"virality_tier":"' || tier || '"}}') AS hash FROM i"""),
-    "verification_ladder": (verification_ladder, f"""WITH {POSTS} SELECT event_id, CASE WHEN k % 2 = 0 THEN CASE WHEN k % 7 > 0 AND k % 11 > 0 THEN 'INTACT' ELSE 'TAMPER_DETECTED' END WHEN k % 3 = 0 THEN CASE WHEN k % 11 > 0 THEN 'INTACT' ELSE 'TAMPER_DETECTED' END WHEN k % 5 = 0 THEN 'INTACT' ELSE 'TAMPER_DETECTED' END AS status,
-      CASE WHEN k % 2 = 0 THEN 'field_merkle_tree' WHEN k % 3 = 0 THEN 'direct' WHEN k % 5 = 0 THEN 'direct_legacy' ELSE 'unknown' END AS method FROM posts"""),
-    "latest_audit": (latest_audit, f"WITH {POSTS} SELECT event_id AS snapshot_id, published_at AS anchored_at, CASE k % 3 WHEN 1 THEN 'INTACT' WHEN 2 THEN 'TAMPER_DETECTED' ELSE 'MISSING' END AS verdict FROM posts ORDER BY published_at DESC, event_id LIMIT 10"),
+    "verification_ladder": (verification_ladder, f"""WITH {SNAPSHOTS}, c AS (SELECT *, trend || '@' || strftime(captured_at, '%Y-%m-%d') AS id, dayofweek(captured_at) = 1 AND tier <> 'dormant' AS changed FROM snapshots WHERE NOT (dayofweek(captured_at) = 3 AND rank = 2))
+      SELECT id, CASE WHEN changed OR rank > 3 THEN 'TAMPER_DETECTED' ELSE 'INTACT' END AS status, CASE WHEN rank = 1 THEN 'field_merkle_tree' WHEN rank = 2 AND NOT changed THEN 'direct' WHEN rank = 3 AND NOT changed THEN 'direct_legacy' ELSE 'unknown' END AS method,
+      CAST(changed AS BIGINT) AS tampered FROM c"""),
+    "latest_audit": (latest_audit, f"""WITH {SNAPSHOTS}, c AS (SELECT trend || '@' || strftime(captured_at, '%Y-%m-%d') AS tree, captured_at AS anchored_at, dayofweek(captured_at) = 1 AND tier <> 'dormant' AS changed, dayofweek(captured_at) = 3 AND rank = 2 AS gone FROM snapshots)
+      SELECT tree, anchored_at, CASE WHEN gone THEN 'MISSING' WHEN changed THEN 'TAMPER_DETECTED' ELSE 'INTACT' END AS verdict, CASE WHEN NOT gone THEN CAST(changed AS BIGINT) END AS tampered FROM c ORDER BY anchored_at DESC, tree LIMIT 40"""),
+    "merkle_levels": (merkle_levels, f"""WITH RECURSIVE {POSTS}, p AS (SELECT trend, row_number() OVER (PARTITION BY trend ORDER BY published_at, event_id) - 1 AS place, '0x' || sha256(event_id || ':' || platform) AS node FROM posts),
+      t AS (SELECT 0 AS k, trend, place, node FROM p UNION ALL SELECT any_value(k) + 1, trend, place // 2, CASE count(*) WHEN 2 THEN '0x' || sha256(unhex(substr(min(node), 3) || substr(max(node), 3))) ELSE min(node) END FROM t WHERE k < 40 AND k < (SELECT ceil(log2(max(place) + 1)) FROM p) GROUP BY trend, place // 2, k),
+      n AS (SELECT trend, count(*) AS leaves FROM p GROUP BY 1)
+      SELECT t.trend AS tree, t.node AS root, n.leaves, true AS ok FROM t JOIN n USING (trend) WHERE t.k = (SELECT max(k) FROM t) AND t.place = 0"""),
     "reaction_totals": (reaction_totals, f"WITH {POSTS} SELECT event_id, CASE WHEN k % 4 > 0 AND (k % 2 > 0 OR k % 3 > 0) THEN CASE WHEN k % 2 > 0 THEN k % 10 ELSE 0 END + CASE WHEN k % 3 > 0 THEN k % 10 ELSE 0 END END AS reactions FROM posts"),
     "degree_ranks": (degree_ranks, f"WITH {LINKS}, ed AS (SELECT DISTINCT src, dst FROM links WHERE dst < src), x AS (SELECT src AS id, false AS t FROM ed UNION ALL SELECT dst, true FROM ed) SELECT id, count(*) AS edge_count, CASE WHEN bool_or(t) THEN count(*) ELSE 0 END AS rank FROM x GROUP BY 1"),
     "benchmark_by_platform": (benchmark_by_platform, f"""WITH {DESCRIBED}, r AS (SELECT platform, sentiment = {sql_pick(SENTIMENTS, 'k')} AS ok, interactions AS x, row_number() OVER (PARTITION BY platform ORDER BY interactions) - 1 AS r, count(*) OVER (PARTITION BY platform) AS n FROM described)
