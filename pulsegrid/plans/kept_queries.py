@@ -1,4 +1,5 @@
-"""Queries over tables that the engine keeps between batches: commits, the score registry; and language profiles."""
+"""Queries over tables that the engine keeps between batches (commits, the score registry), language profiles and
+dictionaries."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.numbers import js_round, tier
 from pulsegrid.operators import commits as C
 from pulsegrid.operators import languages as L
+from pulsegrid.operators import matching as A
 from pulsegrid.operators import scoreboard as B
 from pulsegrid.plans.views import POSTS, SNAPSHOTS, jr, posts, snapshots
 from pulsegrid.session import checkpoint_folder, table
@@ -96,7 +98,32 @@ def language_detection(spark: S, d: str) -> DataFrame:
     return L.detect(docs, known).select("doc_id", "lang", "detected", "confidence", fold.alias("held_out"))
 
 
+def _words(spark: S, d: str, least: int) -> DataFrame:
+    """(name, ord): the different words of the benchmark texts, longer ones listed first."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"\\p{{L}}{{{least},}}"), F.lit(0))).alias("name")).distinct()
+    return B.row_numbers(words.withColumn("shorter", -F.length("name")), [], ["shorter", "name"], "ord").select("name", "ord")
+
+
+WORDS = "w AS (SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}{LEAST,}')) AS name FROM benchmark))"
+
+
+def dictionary_hits(spark: S, d: str) -> DataFrame:
+    """The first listed word of the benchmark (of eight letters or more) that each document's whole text contains."""
+    return A.first_contained(table(spark, d, "documents").select("doc_id", "text"), "text", _words(spark, d, 8)).select("doc_id", "found")
+
+
+def matched_topics(spark: S, d: str) -> DataFrame:
+    """The listed word that each page's first host label names: the same, else one that lies in it or around it."""
+    label = F.regexp_extract("url", r"^[a-zA-Z]+://([^./?#]*)", 1)
+    return A.matched(table(spark, d, "pages").select("page_id", label.alias("label")), "label", _words(spark, d, 4)).select("page_id", "label", "matched")
+
+
 QUERIES = {
+    "dictionary_hits": (dictionary_hits, f"WITH {WORDS.replace('LEAST', '8')} SELECT doc_id, arg_min(name, ord) AS found FROM documents LEFT JOIN w ON contains(lower(text), name) GROUP BY doc_id"),
+    "matched_topics": (matched_topics, f"""WITH {WORDS.replace('LEAST', '4')}, v AS (SELECT name, ord, regexp_replace(name, '[^a-z0-9]', '', 'g') AS k FROM w), p AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^./?#]*)', 1) AS label FROM pages),
+      l AS (SELECT DISTINCT label, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS k FROM p), s AS (SELECT label, arg_min(name, ord) AS name FROM l JOIN v USING (k) WHERE k <> '' GROUP BY 1),
+      n AS (SELECT label, arg_min(name, ord) AS name FROM l JOIN v ON l.k <> '' AND v.k <> '' AND (contains(l.k, v.k) OR contains(v.k, l.k)) GROUP BY 1)
+      SELECT page_id, label, coalesce(s.name, n.name) AS matched FROM p LEFT JOIN s USING (label) LEFT JOIN n USING (label)"""),
     "score_registry": (score_registry, REGISTRY),
     "event_upserts": (event_upserts, EVENTS),
     "snapshot_upserts": (snapshot_upserts, UPSERTS),
