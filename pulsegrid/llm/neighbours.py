@@ -6,7 +6,7 @@ again; where more lists are asked for than the driver's sample can carry, tasks
 more. Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm, 0 for queries.
 Every class goes to its nearest centroid's list and, where it lies at the boundary to others, to theirs as well: at
 most EDGE of the way from the bisecting plane to its own centroid. A query finds centroids by best-first search in a
-neighbour graph over the centroids, and searches the lists whose distance is at most a ratio times the nearest's, and
+neighbour graph over the centroids (its links are found once, in tasks, and broadcast with them), and searches the lists whose distance is at most a ratio times the nearest's, and
 more of them in order of distance until they hold enough classes. The ratio is fitted: the least at which vectors of
 the sample find RECALL of their true neighbours within the sample. On clustered vectors it stays near 1; on vectors
 without any structure, distances to all centroids are alike and it selects many lists. Lists are searched in blocks of
@@ -39,6 +39,10 @@ NEAREST, LIST, MOST_LISTS, SAMPLE, SAMPLE_BYTES, PER_LIST, SECOND = 20, 256, 65_
 RECALL, ASKED, RATIO, COPIES, EDGE = 0.95, 256, 1.2, 4, 0.05
 #: Classes and queries of one block; links of a centroid; rows handled at once; distances held at once.
 BLOCK, QUERY_BLOCK, DEGREE, TOGETHER, HELD, SEED = 4_096, 2_048, 24, 512, 4_000_000, 11
+#: Centroids linked at once; width that a query begins with; times the width of a search from which on all centroids are looked at.
+LINKED, PROBED, SCANNED = 1_024, 16, 4
+#: Times the root of the number of centroids: where searches look first.
+ENTRIES = 2
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -92,63 +96,114 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8, seed: int = S
 
 
 class CentroidGraph:
-    """Centroids with links to their neighbours and to a few others; best-first search for many points at once."""
-
-    def __init__(self, centroids: np.ndarray, degree: int = DEGREE, seed: int = SEED):
-        self.c, n = centroids, len(centroids)
-        near = []
-        for i in range(0, n, 1024):
-            near.append(np.argsort(squared(centroids[i : i + 1024], centroids), axis=1, kind="stable")[:, : degree + 1])
-        far = np.random.default_rng(seed).integers(0, n, (n, max(4, degree // 4)))
-        self.links = np.concatenate([np.concatenate(near), far], axis=1)
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
+    """Centroids with links to their neighbours and to a few others; best-first search for many points at once. What a
+    search holds and measures of a point depends on its width and the links, not on the number of centroids."""
+
+    def __init__(self, centroids: np.ndarray, links: np.ndarray):
+        self.c, self.links = centroids, links
+        self.norms = (centroids * centroids).sum(1)
+        self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(len(centroids), max(16, int(ENTRIES * len(centroids) ** 0.5)))).astype(int))
+        self.measured = 0
+
+    def away(self, x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Squared distances of pairs (row of x, centroid)."""
+        self.measured += len(row)
+        return np.maximum((x * x).sum(1)[row] - 2 * np.einsum("pd,pd->p", self.c[at], x[row]) + self.norms[at], 0)
+
+    def scan(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        self.measured += len(x) * len(self.c)
+        d = squared(x, self.c)
+        order = np.argsort(d, axis=1, kind="stable")[:, :width]
+        return order, np.sqrt(np.take_along_axis(d, order, 1))
 
     def search(self, x: np.ndarray, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances), nearest first, of the width best that best-first search meets; inf where none."""
+        """(centroids, distances), nearest first, of the width best that best-first search meets; inf (and 0) where none.
+        A search about as wide as there are centroids looks at all of them."""
         n, k = len(x), len(self.c)
-        width, rows = min(width, k), np.arange(n)[:, None]
-        seen = np.full((n, k), np.inf)
-        seen[:, self.entries] = squared(x, self.c[self.entries])
-        done = np.zeros((n, k), bool)
-        own = (x * x).sum(1)[:, None]
-        norms = (self.c * self.c).sum(1)
+        width = min(width, k)
+        if not n or SCANNED * width >= k:
+            return self.scan(x, width)
+        most = max(1, HELD // (at_once * self.links.shape[1] * width))
+        if n > most:
+            parts = [self.search(x[i : i + most], width, at_once) for i in range(0, n, most)]
+            return np.concatenate([a for a, _ in parts]), np.concatenate([d for _, d in parts])
+        ids, far, done = np.full((n, width), -1), np.full((n, width), np.inf), np.zeros((n, width), bool)
+        start = squared(x, self.c[self.entries])
+        self.measured += start.size
+        first = np.argsort(start, axis=1, kind="stable")[:, :width]
+        ids[:, : first.shape[1]], far[:, : first.shape[1]] = self.entries[first], np.take_along_axis(start, first, 1)
+        at_once = min(at_once, width)
         while True:
-            bound = np.partition(seen, width - 1, axis=1)[:, width - 1 : width]
-            open_ = np.where(done | (seen > bound), np.inf, seen)
-            best = np.argpartition(open_, min(at_once, k) - 1, axis=1)[:, :at_once]
-            live = np.isfinite(open_[rows, best])
-            if not live.any():
-                break
-            done[rows, best] |= live
+            open_ = np.where(done, np.inf, far)
+            best = np.argpartition(open_, at_once - 1, axis=1)[:, :at_once]
+            live = np.isfinite(np.take_along_axis(open_, best, 1))
             active = np.flatnonzero(live.any(1))
-            links = self.links[best[active]].reshape(len(active), -1)
-            d = own[active] - 2 * np.einsum("nld,nd->nl", self.c[links], x[active]) + norms[links]
-            d = np.where(np.repeat(live[active], self.links.shape[1], axis=1), np.maximum(d, 0), np.inf)
-            at = (active[:, None], links)
-            np.minimum.at(seen, at, d)
-        order = np.argsort(seen, axis=1, kind="stable")[:, :width]
-        return order, np.sqrt(seen[rows, order])
+            if not len(active):
+                break
+            own, live = best[active], live[active]
+            np.put_along_axis(done, best, np.take_along_axis(done, best, 1) | np.isfinite(np.take_along_axis(open_, best, 1)), 1)
+            met = np.where(live[:, :, None], self.links[np.take_along_axis(ids[active], own, 1)], -1).reshape(len(active), -1)
+            met = np.sort(met, axis=1)
+            new = met >= 0
+            new[:, 1:] &= met[:, 1:] != met[:, :-1]
+            new &= ~(met[:, :, None] == ids[active][:, None, :]).any(2)
+            d = np.full(met.shape, np.inf)
+            row, col = np.nonzero(new)
+            d[row, col] = self.away(x, active[row], met[row, col])
+            every_id, every = np.concatenate([ids[active], np.where(new, met, -1)], axis=1), np.concatenate([far[active], d], axis=1)
+            keep = np.argpartition(every, width - 1, axis=1)[:, :width]
+            ids[active], far[active] = np.take_along_axis(every_id, keep, 1), np.take_along_axis(every, keep, 1)
+            done[active] = np.take_along_axis(np.concatenate([done[active], np.zeros(met.shape, bool)], axis=1), keep, 1)
+        order = np.lexsort((ids, far))
+        far = np.take_along_axis(far, order, 1)
+        return np.where(np.isfinite(far), np.take_along_axis(ids, order, 1), 0), np.sqrt(far)
+
+
+def linked(centroids: np.ndarray, start: int, stop: int, degree: int = DEGREE, seed: int = SEED) -> np.ndarray:
+    """Links of the centroids from start to stop: half to their nearest ones, half to ones at ever farther places in the
+    order of distance, so that a search can leave a crowd, and a few to any."""
+    n = len(centroids)
+    places = np.unique(np.concatenate([np.arange(1, degree // 2 + 1), np.geomspace(degree // 2 + 1, max(n - 1, degree), degree - degree // 2).astype(int)]))
+    order = np.argsort(squared(centroids[start:stop], centroids), axis=1)
+    near = order[:, np.minimum(places, n - 1)]
+    other = np.random.default_rng((seed, start)).integers(0, n, (stop - start, max(4, degree + 6 - len(places))))
+    return np.concatenate([near, other], axis=1).astype(np.int32)
+
+
+def links_of(spark: SparkSession, centroids: np.ndarray) -> np.ndarray:
+    """The links of all centroids, found once, a block of them in a task; about 120 bytes a centroid come back."""
+    n, shared = len(centroids), spark.sparkContext.broadcast(centroids)
+    starts = spark.createDataFrame([(i,) for i in range(0, n, LINKED)], "start int").repartition(max(1, -(-n // LINKED)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["start"].tolist():
+                yield pd.DataFrame({"start": [i], "links": [linked(shared.value, i, min(n, i + LINKED)).tobytes()]})
+
+    rows = starts.mapInPandas(run, "start int, links binary").collect()
+    return np.concatenate([np.frombuffer(r["links"], np.int32).reshape(min(n, r["start"] + LINKED) - r["start"], -1) for r in sorted(rows, key=lambda r: r["start"])])
 
 
 @cache
-def _graph(raw: bytes, width: int) -> CentroidGraph:
+def _graph(centroids: bytes, links: bytes, width: int) -> CentroidGraph:
     """One for each Python worker and index."""
-    return CentroidGraph(np.frombuffer(raw).reshape(-1, width))
+    c = np.frombuffer(centroids).reshape(-1, width)
+    return CentroidGraph(c, np.frombuffer(links, np.int32).reshape(len(c), -1))
 
 
 class Index:
-    """Broadcast: the centroids, of bounded size. norm: the largest norm; ratio: of distances, for pruning."""
+    """Broadcast: the centroids and their links, of bounded size. norm: the largest norm; ratio: of distances, for pruning."""
 
     def __init__(self, spark: SparkSession, centroids: np.ndarray, norm: float, ratio: float = RATIO):
         self.width, self.norm, self.lists, self.ratio = centroids.shape[1], norm, len(centroids), ratio
-        self.raw = spark.sparkContext.broadcast(centroids.tobytes())
+        self.raw = spark.sparkContext.broadcast((centroids.tobytes(), links_of(spark, centroids).tobytes()))
 
     def graph(self) -> CentroidGraph:
-        return _graph(self.raw.value, self.width)
+        return _graph(*self.raw.value, self.width)
 
     def together(self) -> int:
-        """Rows to search the graph for at once."""
-        return max(16, min(TOGETHER, HELD // self.lists))
+        """Rows to search the graph for at once; a scan holds a distance to each list."""
+        return max(16, min(TOGETHER, HELD // min(self.lists, 2_048)))
 
 
 def lift(x: np.ndarray, norm: float) -> np.ndarray:
@@ -255,7 +310,7 @@ def probe(queries: DataFrame, index: Index, sizes: np.ndarray, enough: int, rati
             for i in range(0, len(batch), step):
                 part = batch.iloc[i : i + step]
                 x = np.stack(part["v"].to_numpy()).astype(float)
-                lifted, width = asking(x), 64
+                lifted, width = asking(x), PROBED
                 while True:  # wide enough when the farthest that was met is beyond what is asked for
                     near, far = graph.search(lifted, width)
                     held = np.where(np.isfinite(far), sizes[near], 0).cumsum(1)

@@ -71,6 +71,23 @@ def test_boundary_replicas_and_pruning_of_clustered_vectors(spark, monkeypatch):
     assert second.lists > 32 and rows > 1.0 and share < 0.3 and recall >= 0.9
 
 
+def test_a_search_measures_few_of_very_many_centroids(spark):
+    dice = np.random.default_rng(7)
+    c = dice.normal(size=(256, 24))[dice.integers(0, 256, 8_192)] + 0.4 * dice.normal(size=(8_192, 24))
+    x = c[dice.integers(0, 8_192, 200)] + 0.1 * dice.normal(size=(200, 24))
+    links = neighbours.links_of(spark, c)
+    assert links.shape == (8_192, 30) and np.array_equal(links[1_024:2_048], neighbours.linked(c, 1_024, 2_048))
+    for width in (2 * neighbours.COPIES, neighbours.PROBED):
+        graph = neighbours.CentroidGraph(c, links)
+        near, far = graph.search(x, width)
+        assert graph.measured < 200 * 8_192 / 10
+        best, least = graph.scan(x, width)
+        assert np.mean(near[:, 0] == best[:, 0]) > 0.95 and (np.diff(far, axis=1) >= 0).all()
+        assert np.mean([len(set(a) & set(b)) / width for a, b in zip(near, best)]) > 0.9
+    wide, far = neighbours.CentroidGraph(c, links).search(x[:3], 4_000)
+    assert wide.shape == (3, 4_000) and np.isfinite(far).all()
+
+
 def test_vectors_without_structure_reach_the_recall_by_more_lists(spark):
     x = np.random.default_rng(6).normal(size=(3000, 24))
     _, rows, share, recall = measured(spark, x / np.linalg.norm(x, axis=1, keepdims=True))
@@ -87,7 +104,7 @@ def test_few_candidates_are_all_returned(spark):
 def test_graph_search_finds_the_nearest_centroid():
     dice = np.random.default_rng(1)
     c, x = dice.normal(size=(500, 12)), dice.normal(size=(300, 12))
-    near, _ = neighbours.CentroidGraph(c).search(x, 16)
+    near, _ = neighbours.CentroidGraph(c, neighbours.linked(c, 0, len(c))).search(x, 16)
     assert (near[:, 0] == neighbours.squared(x, c).argmin(1)).mean() > 0.97
 
 
