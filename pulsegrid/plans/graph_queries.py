@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import numbers as N
@@ -11,6 +11,7 @@ from pulsegrid.functions import times as M
 from pulsegrid.operators import distributions as D
 from pulsegrid.operators import graph as G
 from pulsegrid.operators import integrity as I
+from pulsegrid.operators import rollups as U
 from pulsegrid.operators import rules as P
 from pulsegrid.operators import segmentation as Z
 from pulsegrid.operators import sentiment as E
@@ -112,6 +113,22 @@ def communities(spark: S, d: str) -> DataFrame:
     return G.communities(_nodes(spark, d), edges)
 
 
+def _weight() -> Column:
+    return F.create_map(*[F.lit(x) for p in G.EDGE_WEIGHTS.items() for x in p])[F.col("kind")]
+
+
+def edge_rollups(spark: S, d: str) -> DataFrame:
+    return U.edge_rollups(links(spark, d), _weight())
+
+
+def node_rollups(spark: S, d: str) -> DataFrame:
+    return U.node_rollups(links(spark, d), _weight())
+
+
+GRAINS = f"""{LINKS}, v AS (SELECT *, CASE kind WHEN 'reply' THEN 2 WHEN 'quote' THEN 3 WHEN 'repost' THEN 3 ELSE 1 END AS w FROM links), g(granularity, h) AS (VALUES ('6h', 6), ('1d', 24), ('7d', 168), ('30d', 720))"""
+START = "make_timestamp(CAST(floor(epoch_us(published_at) / (h * 3.6e9)) * (h * 3600000000) AS BIGINT))"
+
+
 def author_merge(spark: S, d: str) -> DataFrame:
     rows = posts(spark, d).select("platform", "author_id", "published_at", "likes", "quotes", "views", "event_id")
     return K.merge_latest(rows, ["platform", "author_id"], "published_at", ("likes", "views"), "event_id").drop("event_id")
@@ -284,6 +301,9 @@ QUERIES = {
       SELECT id, {jr("rank", 8)} AS pagerank FROM ranks"""),
     "betweenness": (betweenness, None),
     "communities": (communities, None),
+    "edge_rollups": (edge_rollups, f"WITH {GRAINS} SELECT src, dst, granularity, {START} AS bucket_start, count(*) AS links, CAST(sum(w) AS BIGINT) AS weight, count(DISTINCT event_id) AS events FROM v, g GROUP BY 1, 2, 3, 4"),
+    "node_rollups": (node_rollups, f"""WITH {GRAINS}, n AS (SELECT published_at, src AS id, dst AS peer, w, 0 AS i FROM v UNION ALL SELECT published_at, dst, src, w, w FROM v)
+      SELECT id, granularity, {START} AS bucket_start, count(*) AS links, CAST(sum(w) AS BIGINT) AS weight, CAST(sum(i) AS BIGINT) AS weight_in, count(DISTINCT peer) AS peers FROM n, g GROUP BY 1, 2, 3"""),
     "top_influencers": (top_influencers, f"""WITH RECURSIVE {EDGES}, {RANKS}, p AS (SELECT 'x:' || user_id AS id, sum(likes) AS l, sum(replies) AS c, sum(reposts) AS s, coalesce(sum(quotes), 0) AS q, sum(likes + replies + reposts + coalesce(quotes, 0)) AS i, greatest(max(followers), max(views)) AS reach FROM posts WHERE user_id IS NOT NULL GROUP BY 1),
       ev AS (SELECT *, {" + ".join(f"n_{k}" for k in G.EDGE_WEIGHTS)} AS every FROM edges), t AS (SELECT dst AS id, sum(every) AS got, sum(n_repost) AS got_s FROM ev GROUP BY 1), f AS (SELECT src AS id, sum(every) AS gave FROM ev GROUP BY 1),
       g AS (SELECT id, l + c + s + coalesce(got_s, 0) AS a, {jr("rank", 8)} AS b, reach AS c, q + s + coalesce(got, 0) AS d, i + coalesce(gave, 0) AS e FROM p LEFT JOIN t USING (id) LEFT JOIN f USING (id) LEFT JOIN ranks USING (id)),

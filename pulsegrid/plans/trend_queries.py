@@ -9,6 +9,7 @@ from pulsegrid.functions import numbers as N
 from pulsegrid.functions import text as X
 from pulsegrid.operators import distributions as D
 from pulsegrid.operators import ranking as R
+from pulsegrid.operators import rollups as U
 from pulsegrid.operators import trend as T
 from pulsegrid.plans.views import NOW, POSTS, SNAPSHOTS, jr, now, posts, snapshots
 from pulsegrid.session import table
@@ -145,7 +146,9 @@ def confusion_matrix(spark: S, d: str) -> DataFrame:
 
 
 def rollup_grains(spark: S, d: str) -> DataFrame:
-    return D.rollups(posts(spark, d))
+    found = U.merged_rollups(posts(spark, d), ["trend"], "published_at", "author_id", {"engagement": F.col("interactions")}, {"peak": F.col("interactions")}, "authors")
+    average = N.js_round(F.col("engagement") / F.col("mentions"), 8)
+    return found.withColumnRenamed("rows_", "mentions").select("trend", "granularity", "bucket_start", "mentions", "authors", N.js_round(F.col("engagement"), 4).alias("engagement"), average.alias("average"), "peak")
 
 
 def rollup_platform(spark: S, d: str) -> DataFrame:
