@@ -69,6 +69,20 @@ def mention_edges(posts: DataFrame, handles: DataFrame) -> DataFrame:
     return joined.select(node_id(F.col("platform"), F.col("author_id")).alias("src"), dst.alias("dst"), F.lit("mention").alias("kind"), "published_at", "event_id").where("src <> dst")
 
 
+def mention_targets(posts: DataFrame, nodes: DataFrame, handles: DataFrame) -> DataFrame:
+    """Edges from mentions (array of id, username): to the node of the id where there is one (nodes: id), else to the
+    author of that handle on the platform (platform, handle, author_id, ord), else to an external node named by the id or
+    the handle. A mention with neither makes no edge."""
+    asked = posts.where(F.col("author_id").isNotNull()).select("platform", "author_id", "published_at", "event_id", F.explode("mentions").alias("m"))
+    asked = asked.withColumns({"handle": username(F.col("m.username")), "by_id": node_id(F.col("platform"), F.col("m.id"))})
+    known = handles.groupBy("platform", username(F.col("handle")).alias("handle")).agg(F.min_by("author_id", "ord").alias("target"))
+    there = nodes.select(F.col("id").alias("by_id"), F.lit(True).alias("there")).distinct()
+    joined = asked.join(there, "by_id", "left").join(known, ["platform", "handle"], "left")
+    name = F.coalesce(F.col("m.id"), F.nullif(F.col("handle"), F.lit("")))
+    dst = F.when(F.col("there"), F.col("by_id")).when(F.col("target").isNotNull(), node_id(F.col("platform"), F.col("target"))).otherwise(F.concat(F.lit("external:"), F.col("platform"), F.lit(":"), name))
+    return joined.select(node_id(F.col("platform"), F.col("author_id")).alias("src"), dst.alias("dst"), F.lit("mention").alias("kind"), "published_at", "event_id").where("src <> dst")
+
+
 def relationship_edges(relationships: DataFrame) -> DataFrame:
     """Edges from given relationships (platform, source_user, target_user, type, observed_at, post)."""
     return relationships.select(

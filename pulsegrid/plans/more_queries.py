@@ -13,6 +13,7 @@ from pulsegrid.operators import integrity as I
 from pulsegrid.operators import merkle as L
 from pulsegrid.operators import normalize as M
 from pulsegrid.operators import ranking as R
+from pulsegrid.operators import topics as O
 from pulsegrid.operators import rules as P
 from pulsegrid.operators import trend as T
 from pulsegrid.operators import validate as V
@@ -39,6 +40,10 @@ def _described(spark: S, d: str) -> DataFrame:
 DESCRIBED = f"{POSTS}, described AS (SELECT *, {sql_pick(LANGUAGES, 'k')} AS language, {sql_pick(REGIONS, 'k')} AS region, {sql_pick(SENTIMENTS, 'user_id')} AS sentiment FROM posts)"
 
 
+HALVES = f"""r0 AS (SELECT trend, interactions AS i, row_number() OVER (PARTITION BY trend ORDER BY published_at, event_id) <= count(*) OVER (PARTITION BY trend) // 2 AS early FROM posts),
+halves AS (SELECT trend, {jr(f"{jr('sum(CASE WHEN early THEN 0 ELSE i END)', 4)} - {jr('sum(CASE WHEN early THEN i ELSE 0 END)', 4)}", 4)} AS growth FROM r0 GROUP BY 1)"""
+
+
 def trend_analysis(spark: S, d: str) -> DataFrame:
     """The 30-day dynamics, growth, peak, fastest platform, reach, activity and lifecycle of each trend in one row."""
     p = posts(spark, d).withColumns({"influence": F.lit(1.0), "engagement_rate": F.lit(None).cast("double")})
@@ -106,7 +111,43 @@ def narratives(spark: S, d: str) -> DataFrame:
     p = posts(spark, d)
     by = p.groupBy("trend").agg(F.count(F.lit(1)).alias("n"), F.max("published_at").alias("latest"), F.count_if((F.col("platform") == "x") & (F.col("likes") > 0)).alias("on_x"))
     kept = by.where((F.col("on_x") > 0) & M.matches("i", F.col("trend")))
-    return kept.select("trend", "n", "latest", *[F.row_number().over(Window.orderBy(*order)).alias(name) for name, order in (("by_most", (F.desc("n"), "trend")), ("by_least", ("n", "trend")), ("by_recent", (F.desc("latest"), "trend")))])  # a row a trend
+    halves = T.growth(p).select("trend", N.js_round(F.col("second_half") - F.col("first_half"), 4).alias("growth"))
+    return O.narrative_orders(kept.join(halves, "trend").select("trend", "n", "latest", "growth"))
+
+
+def related_topics(spark: S, d: str) -> DataFrame:
+    found = T.growth(posts(spark, d)).select(F.col("trend").alias("topic"), N.js_round(F.col("second_half") - F.col("first_half"), 4).alias("growth"))
+    return O.related(found, 2)
+
+
+def country_codes(spark: S, d: str) -> DataFrame:
+    """Customers name their country by its name in small letters, by two letters, or by one that nobody knows."""
+    nation = table(spark, d, "nation")
+    letter = lambda x: F.chr(F.lit(65) + x)
+    code = F.concat(letter(F.floor(F.col("n_nationkey") / 26)), letter(F.col("n_nationkey") % 26))
+    asked = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), F.lower(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))))).when(F.col("c_custkey") % 3 == 1, F.lower(F.substring("c_mktsegment", 1, 2))).otherwise(F.col("c_mktsegment"))
+    rows = table(spark, d, "customer").select("c_custkey", asked.alias("country"))
+    return O.country_codes(rows, "country", nation.select(F.col("n_name").alias("name"), code.alias("code")))
+
+
+def interest_regions(spark: S, d: str) -> DataFrame:
+    landed = _described(spark, d).groupBy("trend", "region", F.to_date("published_at").alias("day")).agg(F.sum("likes").cast("double").alias("value"))
+    return O.interest_regions(landed, "trend")
+
+
+def demographics(spark: S, d: str) -> DataFrame:
+    p = _described(spark, d)
+    days = p.select("trend", F.to_date("published_at").alias("day")).distinct()
+    return O.demographics(p, days, p.where("region <> 'Other'").select("trend", "region"), "trend")
+
+
+def mention_targets(spark: S, d: str) -> DataFrame:
+    """Every post mentions somebody by a handle, every other one by an id as well."""
+    mention = F.struct(F.when(F.col("k") % 2 == 0, (F.col("k") % 300).cast("string")).alias("id"), F.concat(F.lit("@U"), (F.col("k") % 200).cast("string")).alias("username"))
+    p = posts(spark, d).withColumns({"event_id": F.col("event_id").cast("string"), "mentions": F.array(mention)})
+    nodes = p.where("author_id is not null").select(X.node_id(F.col("platform"), F.col("author_id")).alias("id")).distinct()
+    handles = posts(spark, d).groupBy("platform", "author_id").agg(F.min("event_id").alias("ord")).withColumn("handle", F.concat(F.lit("u"), "author_id"))
+    return G.mention_targets(p, nodes, handles).select("src", "dst", "event_id")
 
 
 def resolved_labels(spark: S, d: str) -> DataFrame:
@@ -321,8 +362,20 @@ QUERIES = {
       SELECT *, row_number() OVER (PARTITION BY platform ORDER BY engagement DESC, trend) AS place FROM b QUALIFY place <= 8"""),
     "searched_parts": (searched_parts, "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'rin') OR contains(lower(p_name), 'rin') OR contains(lower(p_brand), 'rin')"),
     "ingest_filter": (ingest_filter, f"WITH {DESCRIBED} SELECT event_id FROM described WHERE coalesce(likes, 0) >= 10 AND (platform <> 'x' OR region <> 'Other')"),
-    "narratives": (narratives, f"""WITH {POSTS}, b AS (SELECT trend, count(*) AS n, max(published_at) AS latest, count(*) FILTER (WHERE platform = 'x' AND likes > 0) AS on_x FROM posts GROUP BY 1)
-      SELECT trend, n, latest, row_number() OVER (ORDER BY n DESC, trend) AS by_most, row_number() OVER (ORDER BY n, trend) AS by_least, row_number() OVER (ORDER BY latest DESC, trend) AS by_recent FROM b WHERE on_x > 0 AND contains(lower(trend), 'i')"""),
+    "narratives": (narratives, f"""WITH {POSTS}, b AS (SELECT trend, count(*) AS n, max(published_at) AS latest, count(*) FILTER (WHERE platform = 'x' AND likes > 0) AS on_x FROM posts GROUP BY 1), {HALVES}
+      SELECT trend, n, latest, growth, row_number() OVER (ORDER BY n DESC, trend) AS by_most, row_number() OVER (ORDER BY n, trend) AS by_least, row_number() OVER (ORDER BY growth DESC, trend) AS by_growth, row_number() OVER (ORDER BY latest DESC, trend) AS by_recent FROM b JOIN halves USING (trend) WHERE on_x > 0 AND contains(lower(trend), 'i')"""),
+    "related_topics": (related_topics, f"""WITH {POSTS}, {HALVES} SELECT a.trend AS topic, CAST(row_number() OVER (PARTITION BY a.trend ORDER BY b.growth DESC, b.trend) AS INTEGER) AS place, b.trend AS related, b.growth FROM halves a, halves b WHERE a.trend <> b.trend QUALIFY place <= 2"""),
+    "country_codes": (country_codes, """WITH n AS (SELECT lower(n_name) AS name, chr(CAST(65 + n_nationkey // 26 AS INTEGER)) || chr(CAST(65 + n_nationkey % 26 AS INTEGER)) AS code FROM nation),
+      a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ' nation_' || c_nationkey WHEN 1 THEN lower(c_mktsegment[1:2]) ELSE c_mktsegment END AS country FROM customer)
+      SELECT c_custkey, country, CASE WHEN length(trim(country)) = 2 THEN upper(country) ELSE code END AS code, CASE WHEN length(trim(country)) <> 2 AND code IS NULL THEN 'unknown country ' || trim(country) END AS problem FROM a LEFT JOIN n ON n.name = lower(trim(country))"""),
+    "interest_regions": (interest_regions, f"""WITH {DESCRIBED}, l AS (SELECT trend, region, CAST(published_at AS DATE) AS day, CAST(sum(likes) AS DOUBLE) AS value FROM described GROUP BY 1, 2, 3), m AS (SELECT trend, region, max(value) AS value FROM l GROUP BY 1, 2)
+      SELECT trend, row_number() OVER (PARTITION BY trend ORDER BY value DESC, region) AS place, region, value FROM m"""),
+    "demographics": (demographics, f"""WITH {DESCRIBED} SELECT trend, count(*) AS event_count, count(DISTINCT (platform, author_id)) FILTER (WHERE author_id IS NOT NULL) AS profiles_available, count(DISTINCT CAST(published_at AS DATE)) AS timeline_points, count(DISTINCT region) FILTER (WHERE region <> 'Other') AS regions,
+      CAST(NULL AS VARCHAR) AS top_age, CAST(NULL AS VARCHAR) AS top_region, CAST(NULL AS VARCHAR) AS age_distribution, CAST(NULL AS VARCHAR) AS gender_distribution, CAST(NULL AS VARCHAR) AS professional_interests FROM described GROUP BY 1"""),
+    "mention_targets": (mention_targets, f"""WITH {POSTS}, n AS (SELECT DISTINCT platform, author_id FROM posts WHERE author_id IS NOT NULL), m AS (SELECT event_id, platform, author_id, CASE WHEN k % 2 = 0 THEN CAST(k % 300 AS VARCHAR) END AS id, CAST(k % 200 AS VARCHAR) AS handle FROM posts WHERE author_id IS NOT NULL),
+      r AS (SELECT m.platform || ':' || m.author_id AS src, CASE WHEN a.author_id IS NOT NULL THEN m.platform || ':' || m.id WHEN b.author_id IS NOT NULL THEN m.platform || ':' || m.handle ELSE 'external:' || m.platform || ':' || coalesce(m.id, 'u' || m.handle) END AS dst, CAST(event_id AS VARCHAR) AS event_id
+        FROM m LEFT JOIN n a ON a.platform = m.platform AND a.author_id = m.id LEFT JOIN n b ON b.platform = m.platform AND b.author_id = m.handle)
+      SELECT * FROM r WHERE src <> dst"""),
     "resolved_labels": (resolved_labels, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN trim(c_name) ELSE trim(c_mktsegment) END AS label FROM customer"),
     "tolerant_counts": (tolerant_counts, f"""WITH {POSTS}, m AS (SELECT *, CASE WHEN k % 2 = 0 THEN k % 13 END AS comments, CASE WHEN k % 4 = 0 THEN k % 3 END AS shares, CASE WHEN k % 6 = 2 THEN k % 9 END AS reactions FROM posts)
       SELECT event_id, CASE WHEN k % 11 = 0 THEN k WHEN platform = 'reddit' THEN replies + coalesce(comments, 0) WHEN platform = 'telegram' THEN coalesce(reactions, 0) + replies + coalesce(comments, 0) ELSE likes + replies + reposts + coalesce(quotes, 0) + coalesce(comments, 0) + coalesce(shares, 0) END AS interactions FROM m"""),
