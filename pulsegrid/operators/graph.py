@@ -221,21 +221,22 @@ def _frontier_betweenness(links: DataFrame, graph: str, share: float) -> DataFra
 
 def betweenness(edges: DataFrame, graph: str, small: int = SMALL, share: float = 1.0) -> DataFrame:
     """(graph, id, betweenness): shortest-path betweenness, directed and unweighted, of each of many graphs (one
-    collection each, of known name); over (n - 1)(n - 2), 0 where n <= 2.
+    collection each; those without a name are one); over (n - 1)(n - 2), 0 where n <= 2.
 
     Graphs of at most `small` edges are solved in a task each, larger ones by frontiers over DataFrames. Exact; with a
     share below 1 the larger ones take about that share of their nodes as sources, by a hash, and scale up: an unbiased
     estimate whose error for a node stays, in 19 of 20 cases, within 1.4 * sqrt((1 - share) / (share * n)) of the range."""
-    links = edges.where(F.col(graph).isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(graph, "src", "dst").distinct()
-    sizes = links.groupBy(graph).agg(F.count(F.lit(1)).alias("edges"))
-    large = sizes.where(F.col("edges") > small).select(graph)
+    named = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.to_json(F.struct(graph)).alias("graph_"), F.col(graph).alias("name_"), "src", "dst")
+    names, links = named.select("graph_", "name_").distinct(), named.select("graph_", "src", "dst").distinct()
+    large = links.groupBy("graph_").agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") > small).select("graph_")
     if large.limit(1).count():
-        credits = _small_betweenness(links.join(large, graph, "left_anti"), graph).unionByName(_frontier_betweenness(links.join(large, graph, "left_semi"), graph, share))
+        credits = _small_betweenness(links.join(large, "graph_", "left_anti"), "graph_").unionByName(_frontier_betweenness(links.join(large, "graph_", "left_semi"), "graph_", share))
     else:
-        credits = _small_betweenness(links, graph)
-    n = links.select(graph, F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy(graph).agg(F.count(F.lit(1)).alias("n"))
+        credits = _small_betweenness(links, "graph_")
+    n = links.select("graph_", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("graph_").agg(F.count(F.lit(1)).alias("n"))
     scale = (F.col("n") - 1) * (F.col("n") - 2)
-    return credits.join(n, graph).select(graph, "id", js_round(F.when(F.col("n") > 2, F.col("credit") / scale).otherwise(0.0), 6).alias("betweenness"))
+    found = credits.join(n, "graph_").join(names, "graph_")
+    return found.select(F.col("name_").alias(graph), "id", js_round(F.when(F.col("n") > 2, F.col("credit") / scale).otherwise(0.0), 6).alias("betweenness"))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
