@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.numbers import js_round
+from pulsegrid.session import checkpoint_folder
 
 
 def counts(rows: DataFrame, *by: str) -> DataFrame:
@@ -109,7 +110,9 @@ def interest_timeline(rows: DataFrame, by: str, at: str, value: str) -> DataFram
 
 def kept_by_share(rows: DataFrame, score: str, key: str, least: int, share: float) -> DataFrame:
     """The best rows: a share of them, but at least so many; ties by key. The score of the last is found by its rank, so
-    only rows of that score are put in order."""
+    only rows of that score are put in order. The rows are written once, as several steps look at them."""
+    checkpoint_folder(rows.sparkSession)
+    rows = rows.checkpoint()
     n = rows.count()
     most = max(least, int(n * share + 0.5))
     scored, rest = rows.where(F.col(score).isNotNull()), rows.where(F.col(score).isNull())

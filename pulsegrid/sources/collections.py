@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.scoreboard import row_numbers
 from pulsegrid.session import checkpoint_folder
 from pulsegrid.sources.schemas import ENVELOPE
 
@@ -43,23 +46,36 @@ def pairs_to_map(fields: str = "fields") -> Column:
     return F.map_from_arrays(F.filter(fields, lambda _, i: i % 2 == 0), odd)
 
 
+def _lifted(rows: DataFrame, start: Column, joined: Callable[[Column, Column], Column], most: int) -> DataFrame:
+    """(post, id, way) of the comments that a root is above: the joined starts on the way down from it. Pointers are
+    doubled: in each round a comment's way is put behind that of the one its pointer leads to, so a thread of depth d
+    takes about log2(d) rounds, each over one written table."""
+    state = rows.select("post", "id", F.col("parent_id").alias("up"), start.alias("way")).checkpoint()
+    for _ in range(most.bit_length() + 1):  # a circle's pointers never end
+        if not state.where("up IS NOT NULL").limit(1).count():
+            break
+        above = state.select("post", F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("way").alias("above"), F.lit(True).alias("there"))
+        met = state.join(above, ["post", "up"], "left").where("up IS NULL OR there")
+        way = F.when(F.col("up").isNull(), F.col("way")).otherwise(joined(F.col("above"), F.col("way")))
+        state = met.select("post", "id", F.when(F.col("up").isNotNull(), F.col("next_up")).alias("up"), way.alias("way")).checkpoint()
+    return state.where("up IS NULL").select("post", "id", "way")
+
+
 def comment_tree(comments: DataFrame, most: int | None = None) -> DataFrame:
-    """Depth-first order of comments (post, id, parent_id, ord); roots have no parent. Adds depth, path and place.
+    """Depth-first order of comments (post, id, parent_id, ord), ids once in a post; roots have no parent. Adds depth, path
+    and place.
 
-    Level by level, each a checkpoint in the shared folder, so neither depth nor number of comments is limited; parents
-    that form a circle have no root and are never met.
+    Depths are found first, then the paths of the comments that have one, both by doubled pointers; parents that form a
+    circle, or that aren't there, have no root and are left out. Places are offsets of range partitions, so no post's
+    comments are sorted in one task. A path holds the ord of every comment above.
     """
     checkpoint_folder(comments.sparkSession)
-    rows = comments.select("post", "id", "parent_id", "ord")
-    level = rows.where("parent_id IS NULL").select("post", "id", F.lit(0).alias("depth"), F.array("ord").alias("path"))
-    tree = level
-    while True:
-        above = level.select("post", F.col("id").alias("parent_id"), "depth", "path")
-        level = rows.join(above, ["post", "parent_id"]).select("post", "id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("ord")).alias("path")).checkpoint()
-        if not level.limit(1).count():
-            break
-        tree = tree.unionByName(level)
-    tree = tree.withColumn("place", F.row_number().over(Window.partitionBy("post").orderBy("path")))
+    rows = comments.select("post", "id", "parent_id", "ord").checkpoint()
+    n = rows.count()
+    depths = _lifted(rows, F.lit(0), lambda a, b: a + b + 1, n).withColumnRenamed("way", "depth")
+    rooted = rows.join(depths.select("post", "id"), ["post", "id"], "left_semi")
+    paths = _lifted(rooted, F.array("ord"), lambda a, b: F.concat(a, b), n).withColumnRenamed("way", "path")
+    tree = row_numbers(depths.join(paths, ["post", "id"]), ["post"], ["path", "id"], "place")
     return tree if most is None else tree.where(F.col("place") <= most)
 
 
