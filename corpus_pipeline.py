@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each is written as Parquet and read again as the
 next one's documents. All but the last return the columns of documents.
+
+Nulls: a null text is empty (it is never toxic for being so, a duplicate of nothing, and never mixed in); a null id, source
+or language is kept as it is. Repeated rows and ties: of rows alike in id and text one stays, of near-duplicates the one with
+the smallest id; equal rows share a decision of the mix. Very long texts are read whole by every stage. Empty tables give
+empty tables of the same columns; without labels of both kinds no document is toxic unless all labelled ones are. Further
+columns, whatever their names, are dropped by the first stage.
 """
 
 from __future__ import annotations

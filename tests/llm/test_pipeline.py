@@ -47,7 +47,7 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
@@ -60,3 +60,12 @@ def test_near_duplicate_stage_loses_no_unlike_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = sorted((str(r["doc_id"]), r["text"] or "") for r in pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect())
     assert left == sorted([("3", long), ("5", other), ("None", rows[5][1]), ("8", ""), ("8", ""), ("None", "")])
+
+
+def test_an_empty_table_goes_through_every_stage(spark, tmp_path):
+    write(spark, tmp_path / "full")
+    none = spark.read.parquet(f"{tmp_path}/full/documents.parquet").limit(0)
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/full/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    found = pipeline.run(spark, str(tmp_path))
+    assert found.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns)
