@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.numbers import clamp_scale, js_round, tier_order
 from pulsegrid.operators.scoreboard import bucket_of, standings
+from pulsegrid.session import checkpoint_folder
 
 #: Weights of the forecast score and the bounds its signals are scaled by.
 FORECAST = {"velocity": 0.25, "acceleration": 0.20, "burst": 0.15, "engagement": 0.15, "influence": 0.10, "rank": 0.10, "spread": 0.05}
@@ -31,7 +32,8 @@ def leaderboard(snapshots: DataFrame, most: int = 50) -> DataFrame:
 def percentiles(snapshots: DataFrame) -> DataFrame:
     """Position from the top and percentile (ascending rank over number) among all trends, by the order statistics of the
     registry: counts by bucket of score, and places within buckets."""
-    now = latest(snapshots).select(F.col("trend").alias("member"), F.col("score").cast("double").alias("score"))
+    checkpoint_folder(snapshots.sparkSession)
+    now = latest(snapshots).select(F.col("trend").alias("member"), F.col("score").cast("double").alias("score")).checkpoint()
     by = now.groupBy(bucket_of(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     return standings(now, by).select(F.col("member").alias("trend"), "score", "rank", "position", "percentile")
 

@@ -2,7 +2,7 @@
 
 Scores are kept in a log of observations and in counts by score bucket, both under atomic commits. A batch of
 observations changes the counts of the buckets that its members leave and enter, nothing else. A member's place is the
-number of scores in lower buckets, read from sums over a tree of buckets whose nodes have 256 children, plus its place
+number of scores in lower buckets, read from sums over a tree of buckets whose nodes have 65,536 children at most, plus its place
 among the members of its own bucket; so only the asked buckets' rows are looked at, and no window runs over all members.
 A bucket that very many share (a score of 0) is not sorted in one task: places within it are offsets of range partitions.
 
@@ -20,7 +20,7 @@ from pulsegrid.operators.commits import commit, compact, read
 from pulsegrid.session import checkpoint_folder
 
 #: Buckets of one unit of score; bits of a level of the bucket tree; observations kept of a member.
-BUCKETS, BITS, HISTORY = 100, 8, 100
+BUCKETS, BITS, HISTORY = 100, 16, 100
 OBSERVED = "member string, score double, tier string, captured_at timestamp"
 COUNTS = "bucket long, n long"
 
@@ -79,7 +79,7 @@ def counts(spark: SparkSession, root: str) -> DataFrame:
 
 def below(by: DataFrame, asked: DataFrame) -> DataFrame:
     """(bucket, below) of the asked buckets: how many lie in lower ones. Level by level of the tree, a node's lower
-    siblings are summed: at most 256 rows under one parent."""
+    siblings are summed: at most 65,536 rows under one parent."""
     nodes, sums = asked.select("bucket").distinct(), None
     for shift in range(0, 64, BITS):
         parent = F.shiftright("node", BITS) if shift + BITS < 64 else F.lit(0)

@@ -35,7 +35,7 @@ def _author_scores(spark: S, d: str) -> DataFrame:
 
 def score_registry(spark: S, d: str) -> DataFrame:
     """Authors' daily scores, recorded in three batches (the second one twice), then every author's standing."""
-    path, rows = root(spark, "scores"), _author_scores(spark, d)
+    path, rows = root(spark, "scores"), _author_scores(spark, d).checkpoint()
     at = [F.lit(c).cast("timestamp") for c in CUTS]
     parts = [F.col("captured_at") < at[0], (F.col("captured_at") >= at[0]) & (F.col("captured_at") < at[1]), F.col("captured_at") >= at[1]]
     for number in (0, 1, 1, 2):
