@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 TRAILING = r"[.,;:!?)\]}>'\"]+$"
+#: Collected tags and mentions, not after a word character; the mark comes first, so that few places look behind them.
+TAG, MENTION = r"#(?<![\p{L}\p{N}_#]#)(\p{L}[\p{L}\p{N}_-]*)", r"@(?<![\p{L}\p{N}_@]@)([A-Za-z0-9_]+)"
 
 
 @F.pandas_udf(StringType())
@@ -23,9 +25,12 @@ def blank_to_null(text: Column) -> Column:
 
 
 def distinct_folded(items: Column) -> Column:
-    """Distinct but for case, the first spelling of each kept, in order."""
-    folded = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+    """Distinct but for case, the first spelling of each kept, in order. Equal ones are brought together by a sort, so
+    each looks at its neighbour alone; the items are worked out once."""
+    spelled = F.sort_array(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("folded"), i.alias("at"), x.alias("x"))))
+    first = lambda s: F.filter(s, lambda e, j: e["folded"].isNotNull() & ((j == 0) | ~F.get(s, j - 1)["folded"].eqNullSafe(e["folded"])))
+    kept = F.get(F.transform(F.array(spelled), first), F.lit(0))  # an array of one, so that the sorted items have a name
+    return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["at"], e["x"]))), lambda e: e["x"])
 
 
 def hashtags(text: Column) -> Column:
@@ -35,11 +40,11 @@ def hashtags(text: Column) -> Column:
 
 def collected_hashtags(text: Column) -> Column:
     """Tags as collected: a letter first, not after a word character, without #; first spelling kept."""
-    return distinct_folded(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_#])#(\p{L}[\p{L}\p{N}_-]*)"), F.lit(1)))
+    return distinct_folded(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)))
 
 
 def mentions(text: Column) -> Column:
-    return distinct_folded(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_@])@([A-Za-z0-9_]+)"), F.lit(1)))
+    return distinct_folded(F.regexp_extract_all(text, F.lit(MENTION), F.lit(1)))
 
 
 def urls(text: Column) -> Column:

@@ -229,7 +229,10 @@ def tags_of_documents(spark: S, d: str) -> DataFrame:
 
 
 def mentions_of_documents(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.mentions(F.replace(F.col("text"), F.lit(" re"), F.lit(" @re"))), ",").alias("mentions"), F.array_join(X.collected_hashtags(F.replace(F.col("text"), F.lit(" T"), F.lit(" #T"))), ",").alias("tags")).where("mentions <> '' or tags <> ''")
+    text = F.col("text")
+    marked = table(spark, d, "documents").select("doc_id", F.replace(text, F.lit(" re"), F.lit(" @re")).alias("m"), F.replace(text, F.lit(" T"), F.lit(" #T")).alias("t"))
+    found = marked.where(F.col("m").rlike(X.MENTION) | F.col("t").rlike(X.TAG))  # before the lists, so they are made once
+    return found.select("doc_id", F.array_join(X.mentions(F.col("m")), ",").alias("mentions"), F.array_join(X.collected_hashtags(F.col("t")), ",").alias("tags"))
 
 
 def label_slugs(spark: S, d: str) -> DataFrame:

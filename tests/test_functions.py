@@ -70,3 +70,19 @@ def test_times(spark):
     early, late = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-02").cast("timestamp")
     assert one(spark, times.hours_between(early, late)) == 24.0 and one(spark, times.hours_between(late, early)) is None and one(spark, times.age_hours(late, early)) == 0.0
     assert one(spark, times.day_label(early)) == "Jan 1"
+
+
+def test_many_mentions_of_one_text_are_told_apart_in_proportion(spark):
+    from time import monotonic
+
+    names = [f"{'Re' if i % 3 else 'rE'}{i % 9_000}" for i in range(20_000)]
+    first: dict = {}
+    for n in names:
+        first.setdefault(n.lower(), n)
+    rows = spark.createDataFrame([(1, " ".join("@" + n for n in names)), (2, None), (3, "")], "id int, t string")
+    begun = monotonic()
+    got = {r["id"]: r["m"] for r in rows.select("id", text.mentions(F.col("t")).alias("m")).collect()}
+    assert got == {1: list(first.values()), 2: None, 3: []}
+    assert monotonic() - begun < 20  # looking through all names for each took minutes
+    assert one(spark, text.distinct_folded(F.array(F.lit("B"), F.lit(None).cast("string"), F.lit("a"), F.lit("b"), F.lit("A")))) == ["B", "a"]
+    assert one(spark, text.mentions(F.lit("@@a b@c (@d) @é @_e"))) == ["d", "_e"] and one(spark, text.collected_hashtags(F.lit("##a b#c (#d) #1 #éa #É-b #ÉA"))) == ["d", "éa", "É-b"]
