@@ -23,8 +23,8 @@ from pulsegrid.session import checkpoint_folder
 EDGE_WEIGHTS = {"follow": 1, "like": 1, "mention": 1, "reply": 2, "quote": 3, "repost": 3}
 SIGNALS = {"content_impact": 0.30, "network_authority": 0.25, "reach": 0.15, "received_influence": 0.20, "interaction_activity": 0.10}
 DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
-#: Edges up to which a graph's betweenness is found in one task; ids of events listed for an edge.
-SMALL, LISTED = 2_000, 100
+#: Edges up to which a graph's betweenness is found in one task.
+SMALL = 2_000
 
 
 def author_nodes(posts: DataFrame) -> DataFrame:
@@ -100,11 +100,9 @@ def aggregate_edges(links: DataFrame) -> DataFrame:
     )
 
 
-def edge_events(links: DataFrame, most: int = LISTED) -> DataFrame:
-    """(src, dst, event_ids): the smallest ids of each edge's events, at most so many; aggregate_edges has their number."""
-    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("event_id"))  # cut before the shuffle
-    few = links.where("event_id is not null").select("src", "dst", "event_id").distinct().withColumn("place", first).where(F.col("place") <= most)
-    return few.groupBy("src", "dst").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
+def edge_events(links: DataFrame) -> DataFrame:
+    """(src, dst, event_ids): all different ids of each edge's events, in order."""
+    return links.groupBy("src", "dst").agg(F.sort_array(F.collect_set("event_id")).alias("event_ids"))
 
 
 def new_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -184,3 +184,13 @@ def test_pairs_shares_and_cuts(spark):
     shares = distributions.shares(spark.createDataFrame([("a",), ("b",), ("c",)], "p string"), "p").collect()
     assert sum(r["share"] for r in shares) == 100
     assert distributions.kept_by_share(spark.range(10).withColumn("s", F.col("id")), "s", "id", 6, 0.2).count() == 6
+
+
+def test_edges_list_all_their_events(spark):
+    from pulsegrid.plans import graph_queries
+
+    links = spark.range(300).select(F.lit("x:1").alias("src"), F.lit("x:2").alias("dst"), (F.col("id") % 250).cast("string").alias("event_id"))
+    links = links.unionByName(spark.createDataFrame([("x:2", "x:1", None)], "src string, dst string, event_id string"))
+    got = {r["src"]: r["event_ids"] for r in graph.edge_events(links).collect()}
+    assert got == {"x:1": sorted(str(i) for i in range(250)), "x:2": []}
+    assert "[1:100]" not in graph_queries.QUERIES["edge_agg"][1]
