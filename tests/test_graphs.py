@@ -131,3 +131,24 @@ def test_registered_communities(spark):
     label, q = plain_communities(ids, [(s, d, w) for (s, d), w in rows.items()])
     found = graph_queries.communities(spark, SF).collect()
     assert {r["id"]: r["community"] for r in found} == label and all(abs(r["modularity"] - q) < 1e-6 for r in found)
+
+
+def test_a_large_graph_is_solved_by_tasks_for_a_share_of_its_sources_each(spark, monkeypatch):
+    """3,000 edges went by frontiers, a round of joins for each step of the longest path."""
+    chain = [("long", f"c{i:04}", f"c{i + 1:04}") for i in range(3_000)]
+    some = made(9, 12, 40)
+    frame = spark.createDataFrame([*chain, *(("some", s, d) for s, d in some)], "g string, src string, dst string")
+    monkeypatch.setattr(G, "_frontier_betweenness", None)
+    monkeypatch.setattr(G, "WORK", 100)
+    monkeypatch.setattr(G, "PARTS", 7)
+    got = {(r["g"], r["id"]): r["betweenness"] for r in G.betweenness(frame, "g").collect()}
+    want = {("some", v): x for v, x in paths_through(some).items()} | {("long", f"c{i:04}"): i * (3_000 - i) / (3_000 * 2_999) for i in range(3_001)}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_credits_of_sources_taken_singly_or_together(monkeypatch):
+    starts, nexts = np.array([0, 2, 3, 4, 4]), np.array([1, 2, 3, 3])  # two ways from 0 to 3
+    whole = G._credits(starts, nexts, np.arange(4))
+    monkeypatch.setattr(G, "TOGETHER", 1)
+    assert whole.tolist() == G._credits(starts, nexts, np.arange(4)).tolist() == [0.0, 0.5, 0.5, 0.0]
+    assert G._credits(starts, nexts, np.arange(0)).tolist() == [0.0] * 4
