@@ -1,8 +1,8 @@
 """Rollups at nested grains with mergeable distinct counts.
 
-Rows are read once, into slots of six hours; days are merged from slots, weeks and months of thirty days from days. Who
-was seen in a slot is a set of bitmaps over dense numbers of the members, one for each 32768 numbers, so distinct members
-of a longer time are bits of merged bitmaps, not a second look at the rows. All sums combine within tasks first.
+Rows are read once, into slots of six hours; days are merged from slots, weeks and months of thirty days from days. A slot
+has one row for each member seen in it, so the distinct members of a longer time are those of merged rows, not a second
+look at the input, and no row or sum holds more than numbers. All sums combine within tasks first.
 
 Members without a name count in no distinct number, rows without a time in no slot.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.scoreboard import row_numbers
 from pulsegrid.session import checkpoint_folder
 
 HOUR = 3_600_000_000
@@ -20,11 +19,6 @@ HOUR = 3_600_000_000
 GRAINS = (("6h", 6, None), ("1d", 24, "6h"), ("7d", 168, "1d"), ("30d", 720, "1d"))
 
 
-def numbered(rows: DataFrame, member: str) -> DataFrame:
-    """(member, number): dense numbers from 1 of the different members, in order."""
-    return row_numbers(rows.where(F.col(member).isNotNull()).select(member).distinct(), [], [member], "number")
-
-
 def slot(at: Column, hours: int) -> Column:
     """The start of the slot in microseconds."""
     return (F.floor(at / (hours * HOUR)) * (hours * HOUR)).cast("long")
@@ -34,22 +28,20 @@ def merged_rollups(rows: DataFrame, keys: list[str], at: str, member: str, sums:
     """(keys, granularity, bucket_start, rows_, sums, maxima, distinct) of all four grains, for rows with a time."""
     checkpoint_folder(rows.sparkSession)
     most = most or {}
-    known = numbered(rows, member).withColumnRenamed(member, "m_")
-    named = rows.where(F.col(at).isNotNull()).join(known, F.col(member) == F.col("m_"), "left")
-    plain = named.select(*keys, slot(F.unix_micros(at), 6).alias("slot"), F.bitmap_bucket_number("number").alias("of"), F.bitmap_bit_position("number").alias("bit"), *[c.alias(k) for k, c in {**sums, **most}.items()])
+    named = rows.where(F.col(at).isNotNull())
+    plain = named.select(*keys, slot(F.unix_micros(at), 6).alias("slot"), F.col(member).alias("m_"), *[c.alias(k) for k, c in {**sums, **most}.items()])
     totals = [F.sum("rows_").alias("rows_"), *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most]]
     first = [F.count(F.lit(1)).alias("rows_"), *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most]]
-    grains = {"6h": plain.groupBy(*keys, "slot", "of").agg(F.bitmap_construct_agg("bit").alias("seen"), *first).checkpoint()}
+    grains = {"6h": plain.groupBy(*keys, "slot", "m_").agg(*first).checkpoint()}
     for name, hours, source in GRAINS[1:]:
-        finer = grains[source].withColumn("slot", slot(F.col("slot"), hours))
-        grains[name] = finer.groupBy(*keys, "slot", "of").agg(F.bitmap_or_agg("seen").alias("seen"), *totals)
+        grains[name] = grains[source].withColumn("slot", slot(F.col("slot"), hours)).groupBy(*keys, "slot", "m_").agg(*totals)
         if name == "1d":
             grains[name] = grains[name].checkpoint()
     every = None
     for name, table in grains.items():
         own = table.withColumn("granularity", F.lit(name))
         every = own if every is None else every.unionByName(own)
-    found = every.groupBy(*keys, "granularity", "slot").agg(*totals, F.coalesce(F.sum(F.when(F.col("of").isNotNull(), F.bitmap_count("seen"))), F.lit(0)).cast("long").alias(distinct))
+    found = every.groupBy(*keys, "granularity", "slot").agg(*totals, F.count("m_").alias(distinct))  # one row a member
     return found.select(*keys, "granularity", F.timestamp_micros("slot").alias("bucket_start"), "rows_", *sums, *most, distinct)
 
 

@@ -32,3 +32,12 @@ def test_more_members_than_one_bitmap_holds(spark):
     found = {r["granularity"]: r["members"] for r in U.merged_rollups(frame, ["k"], "at", "who", {}).where("granularity in ('7d', '30d')").collect()}
     assert found == {"7d": 66_000, "30d": 66_000}
     assert U.merged_rollups(frame.limit(0), ["k"], "at", "who", {}).collect() == []
+
+
+def test_no_row_holds_a_bitmap(spark):
+    """A bitmap has 4 KB, however few members it marks; many small groups held one each."""
+    frame = spark.range(2_000).select(F.concat(F.lit("k"), F.col("id") % 500).alias("k"), F.timestamp_micros(F.col("id") * 1_000_000).alias("at"), F.when(F.col("id") % 3 > 0, F.format_string("m%d", F.col("id"))).alias("who"))
+    found = U.merged_rollups(frame, ["k"], "at", "who", {"n": F.lit(1)})
+    assert "bitmap" not in found._jdf.queryExecution().toString() and sum(r["members"] for r in found.where("granularity = '30d'").collect()) == 1_333
+    groups = U.merged_rollups(frame.withColumn("who", F.lit(None).cast("string")), ["k"], "at", "who", {}).collect()
+    assert len(groups) == 2_000 and {(r["rows_"], r["members"]) for r in groups} == {(4, 0)}
