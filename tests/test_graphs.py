@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.operators import graph as G
 from pulsegrid.plans import graph_queries, views
@@ -152,3 +153,15 @@ def test_credits_of_sources_taken_singly_or_together(monkeypatch):
     monkeypatch.setattr(G, "TOGETHER", 1)
     assert whole.tolist() == G._credits(starts, nexts, np.arange(4)).tolist() == [0.0, 0.5, 0.5, 0.0]
     assert G._credits(starts, nexts, np.arange(0)).tolist() == [0.0] * 4
+
+
+def test_sizes_estimated_in_loops_stay_those_of_the_rows(spark):
+    """The estimates of checkpointed joins double their digits each round."""
+    from pulsegrid.session import stored
+
+    state = spark.range(5)
+    for _ in range(4):
+        state = stored(state.join(state.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert sorted(r["id"] for r in state.collect()) == [0, 1, 2, 3, 4]
+    assert int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+    assert stored(state.where("id > 9")).collect() == []
