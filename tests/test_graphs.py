@@ -165,3 +165,17 @@ def test_sizes_estimated_in_loops_stay_those_of_the_rows(spark):
     assert sorted(r["id"] for r in state.collect()) == [0, 1, 2, 3, 4]
     assert int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
     assert stored(state.where("id > 9")).collect() == []
+
+
+def test_flags_of_a_large_day_need_no_frontiers(spark, monkeypatch):
+    import datetime as dt
+
+    monkeypatch.setattr(G, "_frontier_betweenness", None)
+    t0 = dt.datetime(2024, 5, 1)
+    links = [("day", f"c{i:04}", f"c{i + 1:04}", "like", t0, str(i)) for i in range(2_100)]
+    posts = [("day", f"c{i:04}", t0 + dt.timedelta(minutes=i), i, ["#a"]) for i in range(12)]
+    frame = spark.createDataFrame(posts, "day string, id string, published_at timestamp, event_id long, hashtags array<string>")
+    edges = spark.createDataFrame(links, "day string, src string, dst string, kind string, published_at timestamp, event_id string")
+    got = G.analyze_network(frame, edges, "day").first()
+    want = sum(i * (2_100 - i) for i in range(1, 11)) / (2_100 * 2_099) / 10
+    assert abs(got["avg_betweenness"] - want) < 2e-6 and got["suspected"] is False
