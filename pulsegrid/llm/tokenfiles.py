@@ -28,6 +28,8 @@ from pulsegrid.llm.wordcode import encoder
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 BLOCK, FRAME = 65_536, 262_144
+#: Words kept by a task, about.
+WORDS = 800_000
 FRAME_SCHEMA = "part int, frame int, base long, n_ids long, doc_ids array<long>, doc_lengths array<long>, planes string, first array<long>, n array<int>, sizes array<int>, payload binary"
 ENTRY_SCHEMA = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -74,7 +76,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
     """Write (doc_id, text) rows as token files, in ascending doc_id order over parts, frames and documents."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, tail, part = encoder(tokenizer), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
+        code, tail, part = encoder(tokenizer, WORDS), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
         base = number = held = 0
         doc_ids, lengths, ids = [], [], []
 
@@ -82,17 +84,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
             whole = np.frombuffer(b"".join(ids), "<u4")
             return pd.DataFrame([{"part": part, "frame": number, "base": base, "n_ids": len(whole), "doc_ids": list(doc_ids), "doc_lengths": list(lengths)} | pack_frame(whole, planes, block)])
 
-        for batch in batches:
-            for doc_id, own in zip(batch["doc_id"], code.many(batch["text"]), strict=True):
-                own += tail
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(own) // 4)
-                ids.append(own)
-                held += len(own) // 4
-                if held >= frame:
-                    yield flush()
-                    base, number, held = base + held, number + 1, 0
-                    doc_ids, lengths, ids = [], [], []
+        for doc_id, own in code.rows(batches):
+            own += tail
+            doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+            lengths.append(len(own) // 4)
+            ids.append(own)
+            held += len(own) // 4
+            if held >= frame:
+                yield flush()
+                base, number, held = base + held, number + 1, 0
+                doc_ids, lengths, ids = [], [], []
         if ids:
             yield flush()
         ids = []

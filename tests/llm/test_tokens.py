@@ -23,6 +23,48 @@ def test_word_by_word_ids_are_the_whole_text_ids(name):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class Counted:
+    """A part of the tokenizers library that counts the strings it is given."""
+
+    def __init__(self, part, given):
+        self._part, self._given = part, given
+
+    def __getattr__(self, name):
+        found = getattr(self._part, name)
+        if name not in ("encode", "encode_batch", "encode_batch_fast", "tokenize"):
+            return found
+
+        def call(texts, **more):
+            self._given.append(len(texts) if isinstance(texts, list) else 1)
+            return found(texts, **more)
+
+        return call
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_reach_the_library_many_at_a_time_and_their_ends_once(name):
+    whole, code, dice, given = Tokenizer.from_file(public_tokenizers.path(name)), wordcode.Encoder(name), random.Random(6), []
+    for key, part in list(vars(code).items()):
+        if type(part).__module__.startswith("tokenizers"):
+            setattr(code, key, Counted(part, given))
+    words = sorted({"".join(dice.choice("abcdefghijklmnopqrstuvwxyzABCéßñ") for _ in range(9)) for _ in range(8000)})
+    text = " ".join(w + end for w in words for end in ("", ",", "!?", "###", "'s", ".5%"))
+    for _ in range(2):
+        (ids,) = code.many(["first " + text])
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode("first " + text, add_special_tokens=False).ids
+    assert sum(given) < len(words) // 20
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_stay_right_when_words_are_forgotten(name, monkeypatch):
+    monkeypatch.setattr(wordcode, "TOGETHER", 2000)
+    whole, code, dice = Tokenizer.from_file(public_tokenizers.path(name)), wordcode.Encoder(name, 300), random.Random(7)
+    parts = [" ", " ", " ", "\n", "\n\n", "\t", "a", "Zà", "º", "ª", "ſ", "é", "e\u0301", "中文", "\u00a0", "'s", "'ll", ",", "###", "_", "Ⅷ", "²", "12", "<|endoftext|>", "ẞ", "ŉ", "ΑΣ"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randint(0, 40))) for _ in range(3000)]
+    for text, ids in zip(texts, code.many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_frames_round_trip(planes):
     ids = np.random.default_rng(1).integers(0, 1 << 32, 1000, dtype=np.uint64).astype("<u4")
