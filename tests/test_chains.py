@@ -70,3 +70,40 @@ def test_sources_dealt_over_parts_add_up(monkeypatch):
     for parts in (1, 3, n + 2):
         credit, some = solved(parts)
         assert np.allclose(credit, whole) and np.allclose(some, sums)
+
+
+def test_flags_of_a_day_of_long_chains(spark):
+    """The same for the flags: 20,000 accounts that each answer the next one."""
+    import datetime as dt
+
+    n, t0 = 20_000, dt.datetime(2024, 5, 1)
+    chain = spark.range(n).selectExpr("'day' AS day", "format_string('c%05d', id) AS src", "format_string('c%05d', id + 1) AS dst", "'reply' AS kind", "timestamp'2024-05-01' AS published_at", "cast(id AS string) AS event_id")
+    posts = [("day", f"c{i:05}", t0 + dt.timedelta(minutes=i), i, ["#a"]) for i in range(12)]
+    frame = spark.createDataFrame(posts, "day string, id string, published_at timestamp, event_id long, hashtags array<string>")
+    late = Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = G.analyze_network(frame, chain, "day").first()
+    finally:
+        late.cancel()
+    want = sum(i * (n - i) for i in range(1, 11)) / (n * (n - 1)) / 10  # the ten of degree two with the smallest names
+    assert abs(got["avg_betweenness"] - want) < 2e-6 and got["suspected"] is False and got["edges"] == n
+
+
+def test_links_are_read_once(spark):
+    """Nodes, edges, sizes, names and the graphs each read the links anew, on large tables most of the time."""
+    import datetime as dt
+
+    t0, read = dt.datetime(2024, 5, 1), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            read.add(len(rows))
+            yield rows
+
+    made = [("day", a, b, "reply", t0, a + b) for a, b in sorted(stretched(5, 8, 20)) if a != b]
+    shape = "day string, src string, dst string, kind string, published_at timestamp, event_id string"
+    links = spark.createDataFrame(made, shape).mapInPandas(counted, shape)
+    posts = spark.createDataFrame([("day", "n1", t0, 1, ["#a"])], "day string, id string, published_at timestamp, event_id long, hashtags array<string>")
+    assert G.betweenness(links, "day").count() and read.value == len(made)
+    assert G.analyze_network(posts, links, "day").collect() and read.value == 2 * len(made)
